@@ -2,26 +2,28 @@
 
 The pre-tokenizer of `word_bpe_49k.json` never joins characters across ASCII white space, and its normalizer (NFC,
 white space, lower case by character) acts on each word alone, so a text's ids are its words' ids in order. Real texts
-repeat their words: each worker encodes a word once. Words within Latin-1 are looked up lower-cased, and a trailing run
-of ASCII punctuation apart from the letters before it, as the normalizer and the pre-tokenizer would have them.
+repeat their words: Arrow splits and codes them, and a worker encodes each word once. A word of Latin-1 letters, with or
+without ASCII punctuation behind them, is one or two pre-tokens; these are encoded many at a time, since the last token
+of each carries the vocabulary's end-of-word mark, which tells their ids apart again.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words held by a worker before its cache starts anew; bounds memory, not results.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
-_SPLIT = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:%$&*#|]+)")
-_LATIN = re.compile(r"[\x21-\xff]+")
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:%$&*#|]*$"
+_POINTS = ".,!?;:%$&*#|"
 
 
 class WordEncoder:
-    """Encodes texts, given as UTF-8 bytes, into one flat array of ids and each text's number of ids."""
+    """Encodes texts into one flat array of ids and each text's number of ids."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,76 +37,86 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.part: dict[str, tuple[int, int]] = {}
+        self.part: dict[bytes, int] = {}
         self.start = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
-
-    @staticmethod
-    def _pieces(word: str) -> tuple[str, ...]:
-        """Strings whose ids, in order, are the word's."""
-        if "<" in word or not _LATIN.fullmatch(word):
-            return (word,)
-        low = word.lower()
-        return m.groups() if (m := _SPLIT.fullmatch(low)) else (low,)
-
-    def _append(self, ids: np.ndarray) -> int:
-        at, self.used = self.used, self.used + len(ids)
-        while self.used > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : self.used] = ids
-        return at
-
-    def _learn(self, words: list[bytes]) -> None:
-        split = [self._pieces(w.decode("utf-8", "replace")) for w in words]
-        part = self.part
-        new = list(dict.fromkeys(p for ps in split for p in ps if p not in part))
-        whole = [p for p in new if p.isalpha()]
-        for i in range(0, len(whole), 2000):  # a word of letters ends at its one end-of-word token
-            some = whole[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        self.codes = self.used = 0
+
+    def _learn_parts(self, parts: pa.Array) -> np.ndarray:
+        """Codes of parts, some perhaps known: lower-case Latin-1 letters, or a run of punctuation: a pre-token each."""
+        found = parts.cast(pa.binary()).to_pylist()
+        own = np.fromiter((self.part.get(p, -1) for p in found), np.int64, len(found))
+        new = np.flatnonzero(own < 0)
+        for a in range(0, len(new), 4000):
+            some = new[a : a + 4000]
+            texts = parts.take(pa.array(some)).to_pylist()
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(some):
-                at = self._append(ids)
-                starts = np.concatenate([[0], ends[:-1]])
-                part.update(zip(some, zip((at + starts).tolist(), (ends - starts).tolist(), strict=True), strict=True))
-        rest = [p for p in new if p not in part]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            part[p] = (self._append(np.array(e.ids, np.uint32)), len(e.ids))
-        k = len(self.code)
-        while k + len(words) > len(self.start):
+            if len(ends) != len(some):
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                ids, ends = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each])
+            own[some] = self._place(ids, np.diff(ends, prepend=0))
+            self.part.update(zip((found[i] for i in some.tolist()), own[some].tolist(), strict=True))
+        return own
+
+    def _place(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """New codes for as many strings as there are counts, with their ids one after the other."""
+        n = len(counts)
+        while self.codes + n > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        self.code.update(zip(words, range(k, k + len(words)), strict=True))
-        starts, counts = [], []
-        for ps in split:
-            at, n = part[ps[0]]
-            if len(ps) > 1:
-                more, m = part[ps[1]]
-                at, n = self._append(np.concatenate([self.flat[at : at + n], self.flat[more : more + m]])), n + m
-            starts.append(at)
-            counts.append(n)
-        self.start[k : k + len(words)], self.count[k : k + len(words)] = starts, counts
-
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in one array, ids of each text in number). A null text has none."""
-        split = [t.split() if t else [] for t in texts]
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        codes = np.arange(self.codes, self.codes + n)
+        self.start[codes], self.count[codes] = self.used + np.cumsum(counts) - counts, counts
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.codes += n
+        self.used += len(ids)
+        return codes
+
+    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some codes, one after the other, and where each code's end, from 0."""
+        n = self.count[codes]
+        ends = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=ends[1:])
+        at = np.repeat(self.start[codes] - ends[:-1], n)
+        at += np.arange(ends[-1])
+        return self.flat[at], ends
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Codes of new words."""
+        own = np.zeros(len(words), np.int64)
+        is_plain = pc.match_substring_regex(words, _PLAIN)
+        plain, rest = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (is_plain, pc.invert(is_plain)))
+        low = pc.utf8_lower(words.filter(is_plain))
+        letters = pc.utf8_rtrim(low, characters=_POINTS)
+        by_part = letters.dictionary_encode()
+        first = self._learn_parts(by_part.dictionary)[by_part.indices.to_numpy()]
+        pointed = pc.not_equal(pc.binary_length(low), pc.binary_length(letters))
+        second = np.zeros(len(plain), np.int64)
+        where = np.flatnonzero(pointed.to_numpy(zero_copy_only=False))
+        by_points = pc.replace_substring_regex(low.filter(pointed), r"^[^.,!?;:%$&*#|]+", "").dictionary_encode()
+        second[where] = self._learn_parts(by_points.dictionary)[by_points.indices.to_numpy()]
+        own[plain] = first
+        ids, ends = self._ids(np.stack([first[where], second[where]], 1).ravel())
+        own[plain[where]] = self._place(ids, np.diff(ends[::2]))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
+        own[rest] = self._place(np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
+        self.code.update(zip(words.cast(pa.binary()).to_pylist(), own.tolist(), strict=True))
+        return own
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in one array, ids of each text in number) of a string array. A null text has none."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
         if len(self.code) > self.cache_words:
             self.clear()
-        code = self.code
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in code))
-        if new:
-            self._learn(new)
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter((code[w] for ws in split for w in ws), np.int64, int(n_words.sum()))
-        n = self.count[codes]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.start[codes] - (ends - n), n)
-        at += np.arange(total)
-        by_word = np.concatenate([[0], ends])
-        by_text = by_word[np.concatenate([[0], np.cumsum(n_words)])]
-        return self.flat[at], np.diff(by_text)
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        own = np.fromiter((self.code.get(w, -1) for w in distinct), np.int64, len(distinct))
+        if len(new := np.flatnonzero(own < 0)):
+            own[new] = self._learn(coded.dictionary.take(pa.array(new)))
+        ids, by_word = self._ids(own[coded.indices.to_numpy()])
+        return ids, np.diff(by_word[np.asarray(words.offsets) - words.offsets[0].as_py()])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -117,13 +129,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def in_slices(texts: list, most: int = 8_000_000):
+def in_slices(texts: pa.Array, most: int = 4_000_000):
     """(from, to) over a batch's texts, so that no slice has much over `most` bytes, unless a single text has."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= most:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    size = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
