@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, packing, pii, token_files
+from plumbline.llm import language, mixing, packing, pii, quality_model, quality_rules, token_files
 
-QUERIES = {f.__name__: f for f in (packing.op1_pack, mixing.op3_mix, pii.op4_pii, token_files.op10_token_files)}
+QUERIES = {f.__name__: f for f in (packing.op1_pack, mixing.op3_mix, pii.op4_pii, quality_model.op5_quality, language.op8_language, quality_rules.op9_quality_rules, token_files.op10_token_files)}
 ORACLES = {"op3_mix": mixing.OP3_SQL}
