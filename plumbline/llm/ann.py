@@ -31,7 +31,7 @@ QUERY_BLOCK = 4096
 SHORTLIST = 80
 THRESHOLD = 0.2
 #: Share of a sample's true neighbours that must lie in the partitions a query visits.
-COVER = 0.98
+COVER = 0.99
 SEED = 3
 
 
