@@ -23,7 +23,7 @@ from plumbline.llm.packing import default_tokenizer
 END_ID = 2
 SCHEMA = "doc_id long, shard int, start long, n_tokens long, tokens array<int>"
 FILE_OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "v2",
     "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(128 << 10),
@@ -41,7 +41,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, start = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(1)
             for a, b in tokens.in_slices(texts):
                 ids, n = encode(texts[a:b])
                 ends = np.cumsum(n)
@@ -61,26 +61,37 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     encoded(docs, tokenizer or default_tokenizer(), end_id).write.options(**FILE_OPTIONS).parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with `start` counted over all files. Only the columns that a caller selects are read; a filter on
-    doc_id reaches the row groups' statistics and the page indexes."""
-    files = spark.read.schema(SCHEMA).parquet(path)
+def _counted_over_all(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """`rows`, which have shard and start, with `start` counted over all files."""
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))  # one row per file
     base = shards.select("shard", F.coalesce(F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return files.join(base, "shard").withColumn("start", F.col("start") + F.col("_base")).drop("_base")
+    return rows.join(base, "shard").withColumn("start", F.col("start") + F.col("_base")).drop("_base", "shard")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows as they are. Only the columns that a caller selects are read, so counts cost no ids; a filter on
+    doc_id reaches the row groups' statistics and the page indexes."""
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def positions(files: DataFrame) -> DataFrame:
+    """doc_id, start over all files, and n_tokens: none of the ids are read."""
+    return _counted_over_all(files.select("doc_id", "shard", "start", "n_tokens"), files)
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of each document's ids as little-endian unsigned 32-bit integers."""
+def digests(files: DataFrame) -> DataFrame:
+    """doc_id, start over all files, n_tokens and the crc32 of each document's ids as little-endian unsigned 32-bit
+    integers. Ids are summed up where they are read; none is shuffled."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             ids, at = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
             sums = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64())], [*batch.schema.names[:4], "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    summed = files.select("doc_id", "shard", "start", "n_tokens", "tokens").mapInArrow(crc, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
+    return _counted_over_all(summed, files)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

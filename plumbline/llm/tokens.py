@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words held by a worker before its cache starts anew; bounds memory, not results.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:%$&*#|]*$"
 _POINTS = ".,!?;:%$&*#|"
