@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import ann, language, mixing, ngram_join, packing, pii, quality_model, quality_rules, token_files
+from plumbline.llm import ann, language, license_scan, mixing, ngram_join, packing, pii, quality_model, quality_rules, token_files
 
-QUERIES = {f.__name__: f for f in (packing.op1_pack, ann.op2_nearest, mixing.op3_mix, pii.op4_pii, quality_model.op5_quality, ngram_join.op6_ngram_join, language.op8_language, quality_rules.op9_quality_rules, token_files.op10_token_files)}
+QUERIES = {f.__name__: f for f in (packing.op1_pack, ann.op2_nearest, mixing.op3_mix, pii.op4_pii, quality_model.op5_quality, ngram_join.op6_ngram_join, license_scan.op7_license_scan, language.op8_language, quality_rules.op9_quality_rules, token_files.op10_token_files)}
 ORACLES = {"op3_mix": mixing.OP3_SQL}
