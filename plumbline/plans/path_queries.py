@@ -71,11 +71,15 @@ def companion_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return companions.learned_suffixes(endings, ["lang"], share=0.1)
 
 
-@query(f"""WITH {_P}, s AS (SELECT DISTINCT number AS stem, path AS source, dir FROM paths WHERE lang = 'en'), t AS (SELECT DISTINCT number AS stem, path AS test, dir FROM paths WHERE lang <> 'en'),
+_PLACE = "split_part(host, '.', -1) || '/' || split_part(host, '.', 1)"
+
+
+@query(f"""WITH {_P}, s AS (SELECT DISTINCT number[-2:] AS stem, path AS source, {_PLACE} AS dir FROM paths WHERE lang = 'en'), t AS (SELECT DISTINCT number[-2:] AS stem, path AS test, {_PLACE} AS dir FROM paths WHERE lang <> 'en'),
 b AS (SELECT test, source, CASE WHEN s.dir = t.dir THEN 0 WHEN split_part(s.dir, '/', -1) = split_part(t.dir, '/', -1) THEN 1 ELSE 2 END AS how FROM s JOIN t ON s.stem = t.stem)
 SELECT test, first(source ORDER BY how, source) AS source, ['whole', 'mirrored', 'stem'][min(how) + 1] AS how FROM b GROUP BY test""")
 def namesake_match(spark: SparkSession, sf: str) -> DataFrame:
-    there = pages.paths(spark, sf).select(F.col("number").alias("stem"), "path", "dir", "lang").distinct()
+    place = F.concat_ws("/", F.substring_index("host", ".", -1), F.substring_index("host", ".", 1))
+    there = pages.paths(spark, sf).select(F.expr("right(number, 2)").alias("stem"), "path", place.alias("dir"), "lang").distinct()
     return companions.namesakes(there.where("lang = 'en'"), there.where("lang <> 'en'"))
 
 
@@ -86,9 +90,9 @@ def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return companions.resolved_imports(imports, there.select("path"))
 
 
-@query(f"WITH {_L}, o AS (SELECT DISTINCT lang, page_id, substr(module, 1, 2) AS module FROM links), f AS (SELECT lang, count(DISTINCT page_id) AS files FROM o GROUP BY lang HAVING count(DISTINCT page_id) >= 5), c AS (SELECT o.lang, module, count(*) AS importers, files, count(*) / files AS share FROM o JOIN f ON o.lang = f.lang GROUP BY o.lang, module, files), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY importers DESC, module) AS rank FROM c WHERE share >= 0.6) SELECT lang, module, importers, files, share, rank FROM r WHERE rank <= 3")
+@query(f"WITH {_L}, o AS (SELECT DISTINCT lang, page_id, lower(substr(module, 1, 1)) AS module FROM links), f AS (SELECT lang, count(DISTINCT page_id) AS files FROM o GROUP BY lang HAVING count(DISTINCT page_id) >= 5), c AS (SELECT o.lang, module, count(*) AS importers, files, count(*) / files AS share FROM o JOIN f ON o.lang = f.lang GROUP BY o.lang, module, files), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY importers DESC, module) AS rank FROM c WHERE share >= 0.6) SELECT lang, module, importers, files, share, rank FROM r WHERE rank <= 3")
 def common_imports(spark: SparkSession, sf: str) -> DataFrame:
-    links = pages.links(spark, sf).select("lang", F.col("page_id").alias("importer"), F.substring("module", 1, 2).alias("module"))
+    links = pages.links(spark, sf).select("lang", F.col("page_id").alias("importer"), F.lower(F.substring("module", 1, 1)).alias("module"))
     return companions.common_imports(links, "lang").select("lang", "module", "importers", "files", "share", "rank")
 
 
