@@ -122,7 +122,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, top: int = TOP) -> Profiles
             grams, n = merged(own)
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    summed = some.select("lang", "text").mapInArrow(counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = some.select("lang", "text").mapInArrow(common.lean(counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = summed.withColumn("place", place).where(F.col("place") <= top).collect()  # `top` rows a language
     profiles: dict[str, list] = {}
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 found = [profiles.nearest(t) for t in batch.column(1)[a:b].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(nearest, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(nearest), "doc_id long, lang_pred string, score double")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

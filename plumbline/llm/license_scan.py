@@ -166,7 +166,7 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, min_cover: fl
                 found = pa.array([[dict(zip(("name", "start", "end", "coverage"), m, strict=True)) for m in x] for x in out], kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], found], ["doc_id", "matches"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, matches array<struct<name:string,start:bigint,end:bigint,coverage:double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(rows), "doc_id long, matches array<struct<name:string,start:bigint,end:bigint,coverage:double>>")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 doc, i, s, m, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(i, pa.int32()), pa.array(s, pa.int64()), pa.array(m, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(common.lean(cut), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             j = rank - since
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first + j // each), pa.array(offset + j % each * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(take, f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(common.lean(take), f"{PIECES}, sequence_id long, offset long")
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found))], ["doc_id", "quality", "found"])
 
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").select("text", "doc_id", "quality")
-    table = texts.mapInArrow(rows, "doc_id long, quality int, found array<int>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")]).combine_chunks()
+    table = texts.mapInArrow(common.lean(rows), "doc_id long, quality int, found array<int>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")]).combine_chunks()
     if not len(table):
         return fit([], np.zeros(0))
     lists = table["found"].chunk(0)
@@ -147,7 +147,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 score = own.scores(*features(words_of(part.column(at))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "_score"])
 
-    return docs.mapInArrow(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double").withColumnRenamed("_score", "score")
+    return docs.mapInArrow(common.lean(rows), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double").withColumnRenamed("_score", "score")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

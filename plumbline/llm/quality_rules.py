@@ -129,7 +129,7 @@ def measure(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
                 columns = [n, chars, symbols, dup, repeat, failed, lost, ~failed & (lost <= max_lost)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *map(pa.array, columns)], ["doc_id", *(x.split()[0] for x in MEASURES.split(", "))])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(judged, f"doc_id long, {MEASURES}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(common.lean(judged), f"doc_id long, {MEASURES}")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def clean(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array([x[0].decode() for x in done], batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(common.lean(rows), schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                 start += int(at[-1])
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(rows, SCHEMA)
+    return ordered.mapInArrow(common.lean(rows), SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -90,7 +90,7 @@ def digests(files: DataFrame) -> DataFrame:
             sums = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64())], [*batch.schema.names[:4], "ids_crc32"])
 
-    summed = files.select("doc_id", "shard", "start", "n_tokens", "tokens").mapInArrow(crc, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
+    summed = files.select("doc_id", "shard", "start", "n_tokens", "tokens").mapInArrow(common.lean(crc), "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
     return _counted_over_all(summed, files)
 
 

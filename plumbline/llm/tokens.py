@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words held by a worker before its cache starts anew; bounds memory, not results.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:%$&*#|]*$"
 _POINTS = ".,!?;:%$&*#|"
@@ -129,7 +129,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def in_slices(texts: pa.Array, most: int = 4_000_000):
+def in_slices(texts: pa.Array, most: int = 3_000_000):
     """(from, to) over a batch's texts, so that no slice has much over `most` bytes, unless a single text has."""
     size = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
     a = 0
