@@ -86,7 +86,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 sig = [signature(found[s:e], a, b).tobytes() if e > s else None for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sig, pa.binary())], ["doc_id", "key", "sig"])
 
-    made = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("key"), "text").mapInArrow(rows, "doc_id long, key binary, sig binary")
+    made = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("key"), "text").mapInArrow(common.lean(rows), "doc_id long, key binary, sig binary")
     return made.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.when(F.col("sig").isNotNull(), F.col("key")).alias("key"), "sig")
 
 
@@ -117,7 +117,7 @@ def by_group(rows: DataFrame, keys: list[str], apply: Callable[[pa.Table], pa.Re
         if held and (out := apply(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(common.lean(run), schema)
 
 
 def least_matches(hashes: int = HASHES, step: int = STEP, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -202,6 +202,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def _grows(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, whatever its estimated size."""
+    return side.hint("merge")
+
+
 def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """(node, pivot, share): the share of MinHash values that two nodes have in common."""
 
@@ -212,7 +217,7 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(1))], ["node", "pivot", "share"])
 
     both = pairs.join(sigs.select("node", F.col("sig").alias("own")), "node").join(sigs.select(F.col("node").alias("pivot"), F.col("sig").alias("other")), "pivot")
-    return both.select("node", "pivot", "own", "other").mapInArrow(share, "node long, pivot long, share double")
+    return both.select("node", "pivot", "own", "other").mapInArrow(common.lean(share), "node long, pivot long, share double")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -234,12 +239,12 @@ def _candidates(nodes: DataFrame) -> DataFrame:
                     key = mixed(key * np.uint64(3) + values[:, :, r])
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "node"])
 
-    rows = nodes.select("node", "sig").mapInArrow(bands, "bucket long, node long")
+    rows = nodes.select("node", "sig").mapInArrow(common.lean(bands), "bucket long, node long")
     buckets = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("bucket", "pivot")
-    members = common.stored(rows.join(buckets, "bucket").where("node <> pivot"), "join-members")
+    members = common.stored(rows.join(_grows(buckets), "bucket").where("node <> pivot"), "join-members")
     pairs = common.stored(members.select("node", "pivot").distinct(), "join-pairs")
     involved = pairs.select("node").union(pairs.select("pivot")).distinct()
-    sigs = common.stored(nodes.select("node", "sig").join(involved, "node"), "join-signatures")
+    sigs = common.stored(nodes.select("node", "sig").join(_grows(involved), "node"), "join-signatures")
     shares = common.stored(_agreement(pairs, sigs), "join-shares")
     open_ = members.join(shares.where(F.col("share") < SETTLED), ["node", "pivot"]).select("bucket", "node")
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -317,9 +322,9 @@ def _verified(docs: DataFrame, grouped: DataFrame, threshold: float) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["node", "links", "root"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("key"), "text").alias("d")
-    wanted = grouped.alias("g")
+    wanted = _grows(grouped).alias("g")
     texts = keyed.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key"))).select("g.grp", "g.node", "d.text")
-    made = texts.mapInArrow(sets, "grp long, node long, shingles binary, sig binary")
+    made = texts.mapInArrow(common.lean(sets), "grp long, node long, shingles binary, sig binary")
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     units = _dealt(made, "grp", sizes, "node").select("grp", "i", "j", "block", "node", "shingles", "sig")
     return by_group(units, ["grp", "i", "j"], verify, "node long, links long, root long")
@@ -336,17 +341,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     sketch = common.stored(_sketch(docs), "join-sketch")
     nodes = common.stored(sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id")), "join-nodes")
-    own = sketch.select(F.col("uid").alias("node"), "doc_id", "key", "sig").join(nodes.select("node"), "node")
+    own = sketch.select(F.col("uid").alias("node"), "doc_id", "key", "sig").join(_grows(nodes.select("node")), "node")
     groups = components(_candidates(own.select("node", "sig")), "join-groups")
-    grouped = common.stored(groups.select("node", F.col("label").alias("grp")).join(sketch.select(F.col("uid").alias("node"), "doc_id", "key"), "node"), "join-grouped")
+    grouped = common.stored(groups.select("node", F.col("label").alias("grp")).join(_grows(sketch.select(F.col("uid").alias("node"), "doc_id", "key")), "node"), "join-grouped")
     found = common.stored(_verified(docs, grouped, threshold), "join-links")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "join-classes")
     counted = found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node")
     named = counted.join(nodes, "node").select("node", "links", "label", "least_id")
     first = named.groupBy("label").agg(F.min("least_id").alias("class_least"))
-    by_node = nodes.join(named.select("node", "links", "label"), "node", "left").join(first, "label", "left")
+    by_node = nodes.join(_grows(named.select("node", "links", "label")), "node", "left").join(first, "label", "left")
     by_node = by_node.select("key", "node", F.coalesce("class_least", "least_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("label", "node").alias("first_uid"))
-    rows = sketch.select("uid", "doc_id", "key").join(by_node, "key", "left")
+    rows = sketch.select("uid", "doc_id", "key").join(_grows(by_node), "key", "left")
     alone = F.col("node").isNull()
     return rows.select("doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("uid") == F.col("first_uid"))).alias("is_first"))
 
@@ -356,7 +361,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = common.stored(join(docs, threshold).where("is_first AND key IS NOT NULL").select("doc_id", "key"), "join-first")
     keyed = docs.withColumn("_key", F.unhex(F.md5("text"))).withColumn("_words", common.n_words(F.col("text")) > 0).alias("d")
     empty = keyed.where("NOT _words").select(*[F.col(f"d.{c}") for c in docs.columns])
-    kept = keyed.where("_words").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._key") == F.col("f.key"))).select("d.*")
+    kept = keyed.where("_words").join(_grows(first).alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._key") == F.col("f.key"))).select("d.*")
     once = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)]))
     return kept.withColumn("_n", once).where("_n = 1").select(docs.columns).unionByName(empty)
 
