@@ -65,15 +65,17 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, weights: tuple[int, ...
     place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     bucket = F.floor(place * F.ceil(F.sqrt("n_docs")) / F.lit(2**32)).cast("long")
     there = there.withColumns({"_whole": whole.cast("long"), "_bucket": bucket})
-    by = ["source", "_bucket"]
+    # the same keys for the window and the join: rows, whatever they carry, are dealt once
+    there = there.withColumns({"_source": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()})
+    by = ["_source", "_null", "_bucket"]
     sums = there.groupBy(by).agg(F.sum("size").alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("_source", "_null").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     running = F.coalesce(F.sum("size").over(Window.partitionBy(by).orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    there = there.withColumn("_running", running).alias("d").join(before.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d._bucket") == F.col("b._bucket"))).select("d.*", "b._before")
+    there = there.withColumn("_running", running).join(before, by)
     more = F.col("target") - F.col("_whole") * F.col("source_size")
     extra = (F.col("size") > 0) & (F.col("_whole") < epochs) & (2 * (F.col("_before") + F.col("_running")) + F.col("size") <= 2 * more)
     copies = F.when(F.col("size") > 0, F.col("_whole") + extra.cast("long")).otherwise(0)
-    return there.withColumn("copies", copies).drop("_key", "_whole", "_bucket", "_running", "_before", "n_docs")
+    return there.withColumn("copies", copies).drop(*by, "_key", "_whole", "_running", "_before", "n_docs")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
