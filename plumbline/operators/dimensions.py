@@ -16,7 +16,8 @@ MIN_CAPABLE_FILES = 3
 
 
 def _struct(d: Dimension) -> Column:
-    conforming = F.expr(d.conforming) if d.conforming and not d.inner and not d.per_file else F.lit(None).cast("boolean")
+    # an attribute that is not there makes a predicate null: the site does not conform
+    conforming = F.coalesce(F.expr(d.conforming), F.lit(False)) if d.conforming and not d.inner and not d.per_file else F.lit(None).cast("boolean")
     return F.struct(F.lit(d.key).alias("key"), conforming.alias("conforming"), F.expr(d.cls or "CAST(NULL AS STRING)").alias("class"), (F.expr(d.grouped) if d.grouped else F.lit(None)).cast("int").alias("grp"))
 
 
@@ -37,7 +38,7 @@ def tree_sites(nodes: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIONS)
         holds = reduce(lambda a, b: a | b, [(F.col("n.key") == d.key) & F.expr(d.inner) for d in inner])
         hit = n.join(i, (F.col("n.rel") == F.col("i.rel")) & F.col("i.pre").between(F.col("n.pre") + 1, F.col("n.post")) & holds, "left_semi").select("rel", "key", "pre", F.lit(True).alias("_held"))
         both = found.where(F.col("key").isin([d.key for d in inner])).join(hit, ["rel", "key", "pre"], "left").withColumn("held", F.coalesce("_held", F.lit(False))).alias("n")
-        verdict = F.coalesce(*[F.when(F.col("n.key") == d.key, F.expr(d.conforming)) for d in inner])
+        verdict = F.coalesce(*[F.when(F.col("n.key") == d.key, F.expr(d.conforming)) for d in inner], F.lit(False))
         out = out.unionByName(both.withColumn("conforming", verdict).select(SITES))
     for d in per_file:
         one = found.where(F.col("key") == d.key).groupBy("rel", "key").agg(F.min("pre").alias("pre"), F.min("line").alias("line"), F.count_distinct("name").alias("names"))
