@@ -25,7 +25,7 @@ from plumbline.llm.words import Words, mixed, words_of
 
 BITS = 20
 #: Labelled rows that the model is fitted on: all of them up to this number, about this many beyond it.
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 SMOOTH = 1.0
 COST = 0.1
 EPOCHS = 12
@@ -79,10 +79,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = COST, epochs:
     y = np.where(labels == 1, 1.0, -1.0)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, 5.0 * float(y[0]) if len(y) else 0.0)
-    counts = {s: SMOOTH + np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == s]), minlength=1 << BITS) for s in (1.0, -1.0)}
+    counts = {s: np.full(1 << BITS, SMOOTH) for s in (1.0, -1.0)}
+    for r, v in zip(rows, y, strict=True):
+        counts[v][r] += 1  # a row's features differ from each other
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
-    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
-    squares = np.array([v @ v + 1.0 for v in values])
+    values = [(ratio[r] / np.sqrt(max(len(r), 1))).astype(np.float32) for r in rows]
+    squares = np.array([float(v @ v) + 1.0 for v in values])
     weight, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     by_class = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum()))
     random = np.random.default_rng(seed)
@@ -120,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in in_slices(batch.column(0)):
+            for a, b in in_slices(batch.column(0), 1_000_000):
                 found, offsets = features(words_of(batch.column(0)[a:b]))
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found))], ["doc_id", "quality", "found"])
 
@@ -130,7 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         return fit([], np.zeros(0))
     lists = table["found"].chunk(0)
     values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return fit([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], table["quality"].to_numpy())
+    model = fit([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], table["quality"].to_numpy())
+    del table, lists, values
+    common.release()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -142,7 +147,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            for a, b in in_slices(batch.column(at)):
+            for a, b in in_slices(batch.column(at), 1_000_000):
                 part = batch.slice(a, b - a)
                 score = own.scores(*features(words_of(part.column(at))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "_score"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words held by a worker before its cache starts anew; bounds memory, not results.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:%$&*#|]*$"
 _POINTS = ".,!?;:%$&*#|"
@@ -119,14 +119,14 @@ class WordEncoder:
         return ids, np.diff(by_word[np.asarray(words.offsets) - words.offsets[0].as_py()])
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """This worker's encoder for a tokenizer file; its cache lasts over tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, cache_words) not in _encoders:
+        _encoders[path, cache_words] = WordEncoder(path, cache_words)
+    return _encoders[path, cache_words]
 
 
 def in_slices(texts: pa.Array, most: int = 3_000_000):
