@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from plumbline.operators import sessions
+from plumbline.streaming import sessions as stateful
 from plumbline.streaming import windows
 
 
@@ -12,3 +14,16 @@ def test_a_stream_gives_the_batch_counts(spark, small, tmp_path):
     query.awaitTermination(120)
     batch = windows.windowed_counts(events, "event_type", F.col("value") <= 20, "6 hours")
     assert sorted(map(tuple, spark.table("slots").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_repeats_over_a_stream_are_those_of_the_batch(spark, small, tmp_path):
+    kind = F.when(F.col("event_type") == "error", "compact").otherwise("delivery")
+    events = spark.read.parquet(f"{small}/events.parquet").where("event_id < 1500").select(F.col("user_id").alias("session"), F.col("event_id").alias("ord"), kind.alias("kind"), (F.col("event_id") % 7).cast("string").alias("path"))
+    for i in range(3):  # one file a trigger, in order of events
+        events.where(f"ord DIV 500 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stateful.repeats(stream).writeStream.format("memory").queryName("repeats").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    columns = ["session", "ord", "path", "compacts", "seen_before", "after_compact"]
+    found = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    assert found(spark.table("repeats")) == found(sessions.repeats(events))
