@@ -81,7 +81,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _multipliers()
         for batch in batches:
-            for i, j in in_slices(batch.column(2)):
+            for i, j in in_slices(batch.column(2), 1_000_000):
                 found, offsets = shingle_hashes(batch.column(2)[i:j])
                 sig = [signature(found[s:e], a, b).tobytes() if e > s else None for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(sig, pa.binary())], ["doc_id", "key", "sig"])
@@ -259,7 +259,10 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"]) if len(own) else None
 
     rest = by_group(open_, ["bucket", "i", "j"], compare, "a long, b long")
-    return shares.where(F.col("share") >= GROUPED).select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(rest)
+    # a node and its pivots, one a band at most, are joined through the least of them: fewer edges, the same components
+    star = shares.where(F.col("share") >= GROUPED).groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
+    star = star.select(F.array_append("pivots", F.col("node")).alias("all")).select(F.explode("all").alias("a"), F.array_min("all").alias("b"))
+    return star.where("a <> b").distinct().union(rest)
 
 
 def shared_shingles(x: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -298,7 +301,7 @@ def _verified(docs: DataFrame, grouped: DataFrame, threshold: float) -> DataFram
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _multipliers()
         for batch in batches:
-            for i, j in in_slices(batch.column(2)):
+            for i, j in in_slices(batch.column(2), 1_000_000):
                 found, offsets = shingle_hashes(batch.column(2)[i:j])
                 own = [np.unique(found[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([x.tobytes() for x in own], pa.binary()), pa.array([signature(x, a, b).tobytes() for x in own], pa.binary())], ["grp", "node", "shingles", "sig"])
