@@ -168,15 +168,17 @@ def usable(rows: DataFrame) -> DataFrame:
 def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: for rows where `is_query` holds, the `k` nearest other rows found.
 
-    Vectors that are null, zero or not finite take no part, nor do rows without an id; equal scores go to the smaller
+    Vectors that are null, zero, not finite or of another length than most take no part, nor do rows without an id; equal scores go to the smaller
     id; fewer than `k` candidates are all returned; an empty table gives none. A query visits as many partitions as
     `visits` asks for, so that clustered vectors take few and shapeless ones most.
     """
     spark = rows.sparkSession
     vectors = usable(rows)
-    n = vectors.count()
-    if not n:
+    lengths = {r[0]: r[1] for r in vectors.groupBy(F.size("embedding")).count().collect()}  # a row a length
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = max(lengths, key=lambda k: (lengths[k], k))
+    n, vectors = lengths[dim], vectors.where(F.size("embedding") == dim)
     share = int(min(1.0, MAX_SAMPLE / n) * (1 << 30))
     sample = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) <= share).orderBy("vec_id").toArrow()  # about MAX_SAMPLE rows
     x = np.unique(_matrix(sample["embedding"]), axis=0)  # many copies of one vector must not shape the index
@@ -184,7 +186,6 @@ def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: in
     index = fit(x, partitions)
     visited = len(index.centres) if n <= BLOCK else visits(x, index, k, cover)
     shared = spark.sparkContext.broadcast(tuple(index))  # at most 2048 centres and the codebooks, whatever the input
-    dim = index.centres.shape[1]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index(*shared.value)
@@ -196,7 +197,7 @@ def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: in
             lists = pa.FixedSizeListArray.from_arrays(pa.array(near.astype(np.int32).ravel()), visited).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), lists], ["vec_id", "embedding", "part", "codes", "near"])
 
-    made = common.stored(vectors.where(F.size("embedding") == dim).mapInArrow(coded, "vec_id long, embedding array<double>, part int, codes binary, near array<int>"), "ann-index")
+    made = common.stored(vectors.mapInArrow(common.lean(coded), "vec_id long, embedding array<double>, part int, codes binary, near array<int>"), "ann-index")
     probes = made.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("near").alias("part"))
     # at most as many rows as there are partitions
     sizes = made.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(probes.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks")), "part")

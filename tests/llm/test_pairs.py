@@ -124,7 +124,7 @@ def vectors(spark, extra=()):
 
 
 def test_neighbours_against_brute_force(spark):
-    bad = [(7001, None, 1), (7000, [0.0] * 16, 1), (7020, [float("nan")] * 16, 1), (7040, [None] + [1.0] * 15, 1), (7060, [float("inf")] * 16, 1), (None, [1.0] * 16, 1)]
+    bad = [(7001, None, 1), (7000, [0.0] * 16, 1), (7020, [float("nan")] * 16, 1), (7040, [None] + [1.0] * 15, 1), (7060, [float("inf")] * 16, 1), (7080, [1.0] * 5, 1), (7100, [], 1), (None, [1.0] * 16, 1)]
     rows, schema = vectors(spark, bad)
     out = ann.search(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0, k=10).collect()
     ids = np.array([r[0] for r in rows[: -len(bad)]])
