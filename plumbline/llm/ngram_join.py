@@ -37,7 +37,9 @@ STEP = 32
 SETTLED = 0.75
 #: Agreement from which two nodes share a group: SETTLED less the distance of a link and a margin for the estimate.
 GROUPED = 0.42
-BLOCK = 256
+BLOCK = 128
+#: Parts in which a group's rows look up its size, so that a group with many rows is not dealt to one task.
+SALTS = 16
 SEED = 17
 
 
@@ -175,10 +177,11 @@ def _pairs(blocks: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _dealt(rows: DataFrame, group: str, sizes: DataFrame, id_: str) -> DataFrame:
     """Rows with `block`, and once for each unit (i, j) of two blocks of their group; a small group is the unit (0, 0)."""
-    blocks = sizes.select(group, F.ceil(F.col("size") / BLOCK).cast("int").alias("_blocks"))
-    there = rows.join(blocks, group).withColumn("block", F.pmod(F.xxhash64(id_, F.lit(SEED)), F.col("_blocks")).cast("int"))
+    salt = F.pmod(F.xxhash64(id_, F.lit(SEED + 1)), F.lit(SALTS)).cast("int")
+    blocks = sizes.select(group, F.ceil(F.col("size") / BLOCK).cast("int").alias("_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    there = rows.withColumn("_salt", salt).join(blocks, [group, "_salt"]).withColumn("block", F.pmod(F.xxhash64(id_, F.lit(SEED)), F.col("_blocks")).cast("int"))
     there = there.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return there.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).drop("_blocks", "_other")
+    return there.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).drop("_blocks", "_other", "_salt")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
