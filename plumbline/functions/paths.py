@@ -99,3 +99,24 @@ def stem_words(path: Column) -> Column:
 def version(text: Column) -> Column:
     """A dotted version as numbers, which compare as arrays; parts that are no numbers are 0."""
     return F.transform(F.split(text, r"\."), lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^([0-9]{1,9})", 1), F.lit("")).cast("int"), F.lit(0)))
+
+
+def imported_path(dir_: Column, specifier: Column) -> Column:
+    """The path that a relative specifier names from a directory (`.` or empty for the root), without query or fragment;
+    null where it leaves the tree or is not relative."""
+    plain = F.regexp_replace(specifier, r"[?#].*$", "")
+    from_ = F.filter(F.split(dir_, "/"), lambda p: (p != "") & (p != "."))
+    begin = F.struct(from_.alias("at"), F.lit(True).alias("inside"))
+
+    def step(s: Column, part: Column) -> Column:
+        up = F.struct(F.slice(s["at"], F.lit(1), F.greatest(F.size(s["at"]) - 1, F.lit(0))).alias("at"), (s["inside"] & (F.size(s["at"]) > 0)).alias("inside"))
+        down = F.struct(F.concat(s["at"], F.array(part)).alias("at"), s["inside"].alias("inside"))
+        return F.when(part == "..", up).when((part == "") | (part == "."), s).otherwise(down)
+
+    walked = F.aggregate(F.split(plain, "/"), begin, step, lambda s: F.when(s["inside"], F.array_join(s["at"], "/")))
+    return F.when(plain.rlike(r"^\.\.?(/|$)"), walked)
+
+
+def import_candidates(path: Column, extensions: tuple[str, ...]) -> Column:
+    """Paths that an import of `path` may mean, in order: itself, with an extension, as a directory's index file."""
+    return F.array(path, *[F.concat(path, F.lit(f".{e}")) for e in extensions], *[F.concat(path, F.lit(f"/index.{e}")) for e in extensions])

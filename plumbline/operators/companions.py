@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.paths import suffixes
+from plumbline.functions.paths import import_candidates, imported_path, suffixes
 
 MIN_IMPORTERS, MIN_IMPORT_SHARE, TOP_IMPORTS = 5, 0.6, 3
 MIN_REUSE, TOP_REUSED = 3, 5
@@ -54,6 +54,13 @@ def resolved_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     return imports.join(index, "specifier", "left").select("importer", "specifier", "target")
 
 
+def relative_imports(imports: DataFrame, paths: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """importer, specifier, target of imports (importer, dir, specifier): the first candidate that is a path; else null."""
+    each = imports.select("importer", "specifier", F.posexplode(import_candidates(imported_path(F.col("dir"), F.col("specifier")), extensions)).alias("nth", "path"))
+    found = each.join(paths.select("path").distinct(), "path").groupBy("importer", "specifier").agg(F.min_by("path", "nth").alias("target"))
+    return imports.select("importer", "specifier").distinct().join(found, ["importer", "specifier"], "left")
+
+
 def common_imports(imports: DataFrame, by: str) -> DataFrame:
     """by, module, importers, files, share: modules that most importing files of a group import, three at most."""
     once = imports.select(by, "importer", "module").distinct()

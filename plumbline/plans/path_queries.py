@@ -90,6 +90,14 @@ def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return companions.resolved_imports(imports, there.select("path"))
 
 
+@query(f"WITH {_P}, i AS (SELECT DISTINCT path AS importer, '../' || ['fr', 'en', 'de'][1 + number::INT % 3] || '/./' || number || '?q=1' AS specifier, tld || '/' || host || '/' || ['fr', 'en', 'de'][1 + number::INT % 3] || '/' || number || '.html' AS wanted FROM paths) SELECT importer, specifier, p.path AS target FROM i LEFT JOIN (SELECT DISTINCT path FROM paths) p ON p.path = wanted")
+def relative_import_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    there = pages.paths(spark, sf).select("path", "dir", "number").distinct()
+    other = F.element_at(F.array(F.lit("fr"), F.lit("en"), F.lit("de")), 1 + F.col("number").cast("int") % 3)
+    imports = there.select(F.col("path").alias("importer"), "dir", F.concat(F.lit("../"), other, F.lit("/./"), F.col("number"), F.lit("?q=1")).alias("specifier"))
+    return companions.relative_imports(imports, there.select("path"), ("html", "js"))
+
+
 @query(f"WITH {_L}, o AS (SELECT DISTINCT lang, page_id, lower(substr(module, 1, 1)) AS module FROM links), f AS (SELECT lang, count(DISTINCT page_id) AS files FROM o GROUP BY lang HAVING count(DISTINCT page_id) >= 5), c AS (SELECT o.lang, module, count(*) AS importers, files, count(*) / files AS share FROM o JOIN f ON o.lang = f.lang GROUP BY o.lang, module, files), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY importers DESC, module) AS rank FROM c WHERE share >= 0.6) SELECT lang, module, importers, files, share, rank FROM r WHERE rank <= 3")
 def common_imports(spark: SparkSession, sf: str) -> DataFrame:
     links = pages.links(spark, sf).select("lang", F.col("page_id").alias("importer"), F.lower(F.substring("module", 1, 1)).alias("module"))

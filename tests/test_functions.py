@@ -81,3 +81,8 @@ def test_scan_of_a_tree(spark, tmp_path):
 def test_encoded(spark):
     rows = spark.createDataFrame([("ﬁ  `x`\n#y",), (None,)], "t string").select(text.encoded("t").alias("t")).collect()
     assert [r.t for r in rows] == ["fi x y", None]
+
+
+@pytest.mark.parametrize(("dir_", "specifier", "path"), [("a/b", "./c", "a/b/c"), ("a/b", "../c?x#y", "a/c"), ("a", "../../c", None), (".", "./c", "c"), ("a", "c", None), ("a", "..", ""), ("a/b", "./../b/./d", "a/b/d")])
+def test_imported_path(spark, dir_, specifier, path):
+    assert one(spark, paths.imported_path(F.lit(dir_), F.lit(specifier))) == path
