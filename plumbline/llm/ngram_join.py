@@ -175,13 +175,18 @@ def _pairs(blocks: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(left, len(right)), np.tile(right, len(left))
 
 
-def _dealt(rows: DataFrame, group: str, sizes: DataFrame, id_: str) -> DataFrame:
-    """Rows with `block`, and once for each unit (i, j) of two blocks of their group; a small group is the unit (0, 0)."""
+def _sized(rows: DataFrame, group: str, sizes: DataFrame, id_: str) -> DataFrame:
+    """Rows of the groups in `sizes` with `blocks`, the number of blocks of their group; slim rows, before texts join them."""
     salt = F.pmod(F.xxhash64(id_, F.lit(SEED + 1)), F.lit(SALTS)).cast("int")
-    blocks = sizes.select(group, F.ceil(F.col("size") / BLOCK).cast("int").alias("_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    there = rows.withColumn("_salt", salt).join(blocks, [group, "_salt"]).withColumn("block", F.pmod(F.xxhash64(id_, F.lit(SEED)), F.col("_blocks")).cast("int"))
-    there = there.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return there.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).drop("_blocks", "_other", "_salt")
+    blocks = sizes.select(group, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return rows.withColumn("_salt", salt).join(_grows(blocks), [group, "_salt"]).drop("_salt")
+
+
+def _dealt(rows: DataFrame, id_: str) -> DataFrame:
+    """Rows with `block`, and once for each unit (i, j) of two blocks of their group; a small group is the unit (0, 0)."""
+    there = rows.withColumn("block", F.pmod(F.xxhash64(id_, F.lit(SEED)), F.col("blocks")).cast("int"))
+    there = there.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return there.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).drop("blocks", "_other")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -251,7 +256,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     shares = common.stored(_agreement(pairs, sigs), "join-shares")
     open_ = members.join(shares.where(F.col("share") < SETTLED), ["node", "pivot"]).select("bucket", "node")
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    open_ = _dealt(open_, "bucket", sizes, "node").join(sigs, "node").select("bucket", "i", "j", "block", "node", "sig")
+    open_ = _dealt(_sized(open_, "bucket", sizes, "node"), "node").join(sigs, "node").select("bucket", "i", "j", "block", "node", "sig")
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
         ids, blocks = table["node"].to_numpy(), table["block"].to_numpy()
@@ -307,7 +312,7 @@ def _verified(docs: DataFrame, grouped: DataFrame, threshold: float) -> DataFram
             for i, j in in_slices(batch.column(2), 1_000_000):
                 found, offsets = shingle_hashes(batch.column(2)[i:j])
                 own = [np.unique(found[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([x.tobytes() for x in own], pa.binary()), pa.array([signature(x, a, b).tobytes() for x in own], pa.binary())], ["grp", "node", "shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([x.tobytes() for x in own], pa.binary()), pa.array([signature(x, a, b).tobytes() for x in own], pa.binary()), batch.column(3)[i:j]], ["grp", "node", "shingles", "sig", "blocks"])
 
     def verify(table: pa.Table) -> pa.RecordBatch | None:
         ids, first = np.unique(table["node"].to_numpy(), return_index=True)  # a row given twice is one node
@@ -328,11 +333,11 @@ def _verified(docs: DataFrame, grouped: DataFrame, threshold: float) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["node", "links", "root"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("key"), "text").alias("d")
-    wanted = _grows(grouped).alias("g")
-    texts = keyed.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key"))).select("g.grp", "g.node", "d.text")
-    made = texts.mapInArrow(common.lean(sets), "grp long, node long, shingles binary, sig binary")
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    units = _dealt(made, "grp", sizes, "node").select("grp", "i", "j", "block", "node", "shingles", "sig")
+    wanted = _grows(_sized(grouped, "grp", sizes, "node")).alias("g")
+    texts = keyed.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key"))).select("g.grp", "g.node", "d.text", "g.blocks")
+    made = texts.mapInArrow(common.lean(sets), "grp long, node long, shingles binary, sig binary, blocks int")
+    units = _dealt(made, "node").select("grp", "i", "j", "block", "node", "shingles", "sig")
     return by_group(units, ["grp", "i", "j"], verify, "node long, links long, root long")
 
 
