@@ -12,13 +12,14 @@ OUT = "session long, ord long, path string, compacts long, seen_before boolean,
 STATE = "compacts long, paths array<string>, seen array<long>"
 
 
-def repeats(events: DataFrame, idle: str = "24 hours") -> DataFrame:
+def repeats(events: DataFrame, idle: str | None = "24 hours") -> DataFrame:
     """Deliveries (session, ord, path, compacts, seen_before, after_compact) of a stream (session, ord, kind, path).
 
     Events of a session come in order of `ord` over triggers; within one they are sorted. A session without events for
-    `idle` is forgotten, which bounds the state by the sessions that are active.
+    `idle` is forgotten, which bounds the state by the sessions that are active; with None, none is, and the query can
+    end when its input does.
     """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -34,7 +35,8 @@ def repeats(events: DataFrame, idle: str = "24 hours") -> DataFrame:
             rows.append((key[0], e.ord, e.path, compacts, e.path in last, e.path in last and compacts > last[e.path]))
             last[e.path] = compacts
         state.update((compacts, list(last), list(last.values())))
-        state.setTimeoutDuration(wait)
+        if wait:
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return events.groupBy("session").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)

@@ -22,8 +22,11 @@ def test_repeats_over_a_stream_are_those_of_the_batch(spark, small, tmp_path):
     for i in range(2):  # one file a trigger, in order of events
         events.where(f"ord DIV 500 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stateful.repeats(stream).writeStream.format("memory").queryName("repeats").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(240)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # each holds a state store
+    query = stateful.repeats(stream, idle=None).writeStream.format("memory").queryName("repeats").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     columns = ["session", "ord", "path", "compacts", "seen_before", "after_compact"]
     found = lambda df: sorted(map(tuple, df.select(columns).collect()))
     assert found(spark.table("repeats")) == found(sessions.repeats(events))
