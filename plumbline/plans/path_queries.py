@@ -187,6 +187,14 @@ def text_positions(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", T.line_at(F.col("text"), F.lit(500)).alias("line_at_500"), T.normalised(F.substring("text", 1, 300)).alias("head"))
 
 
+@query("WITH n AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS normal FROM documents) SELECT doc_id, md5(normal) AS normal_md5, length(normal)::BIGINT AS normal_length, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS line_at_end, CASE WHEN contains(text, '@') THEN (length(split_part(text, '@', 1)) - length(replace(split_part(text, '@', 1), chr(10), '')) + 1)::BIGINT END AS line_at_mark FROM n")
+def text_positions_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, normalised, and the lines of two offsets of their own: the end and the first at sign."""
+    docs = star.read(spark, sf, "documents").select("doc_id", "text", T.normalised(F.col("text")).alias("normal"))
+    mark = F.instr("text", "@")
+    return docs.select("doc_id", F.md5("normal").alias("normal_md5"), F.length("normal").cast("long").alias("normal_length"), T.line_at(F.col("text"), F.length("text")).alias("line_at_end"), F.when(mark > 0, T.line_at(F.col("text"), mark - 1)).alias("line_at_mark"))
+
+
 @query("SELECT o_orderkey, (o_orderkey % 7) || '.' || (o_custkey % 12) || '.0' AS version, [o_orderkey % 7, o_custkey % 12, 0] >= [3, 2, 1] AS new_enough FROM orders")
 def version_compare(spark: SparkSession, sf: str) -> DataFrame:
     orders = star.read(spark, sf, "orders").select("o_orderkey", F.concat_ws(".", F.col("o_orderkey") % 7, F.col("o_custkey") % 12, F.lit(0)).alias("version"))
