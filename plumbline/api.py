@@ -40,7 +40,8 @@ class Engine:
     def sites(self, files: DataFrame, nodes: DataFrame | None = None, frameworks: tuple[str, ...] = ()) -> DataFrame:
         """Sites of all dimensions that apply; `nodes` from a parser, or read from `content` by the lexical extractor."""
         there = stored(lexical.extract(files), "nodes") if nodes is None else nodes  # several dimensions' plans read them
-        every = dimensions.tree_sites(there, self.dims).unionByName(dimensions.naming_sites(files)).unionByName(dimensions.pairing_sites(files, self.dims))
+        seen = tuple(d for d in self.dims if nodes is not None or d.key not in lexical.UNSEEN)
+        every = dimensions.tree_sites(there, seen).unionByName(dimensions.naming_sites(files)).unionByName(dimensions.pairing_sites(files, self.dims))
         return dimensions.offered(stored(every, "sites"), files, frameworks, self.dims)
 
     def _registry(self) -> DataFrame:

@@ -48,6 +48,11 @@ def _attr(key: str, node: str = "n") -> str:
     return f"{node}.attrs['{key}']"
 
 
+def _has(key: str, word: str) -> str:
+    """Whether an attribute of words between blanks has one; a module may be the wrapper of several concerns."""
+    return f"array_contains(split(coalesce({_attr(key)}, ''), ' '), '{word}')"
+
+
 def _exported(kinds: str) -> str:
     return f"n.type IN ({kinds}) AND {_attr('exported')} = '1'"
 
@@ -110,9 +115,9 @@ DIMENSIONS = (
     Dimension("http_through_client", PARTIAL, RUBY, site=f"n.type = 'Call' AND ({_attr('receiver')} RLIKE '^(Net::HTTP|URI$)' OR ({_attr('receiver')} RLIKE '(?i)client$' AND n.name IN ('delete', 'get', 'head', 'patch', 'post', 'put', 'request')))", conforming=f"NOT {_attr('receiver')} RLIKE '^(Net::HTTP|URI$)'", capability="network"),
     Dimension("class_base", PRECISE, RUBY, site=f"n.type = 'Class' AND NOT coalesce({_attr('super')}, '') RLIKE '(Error|Exception)$'", cls=_attr("super")),
     Dimension("module_include", PRECISE, RUBY, site=f"(n.type = 'Call' AND n.name = 'include') OR ({_BODY} AND {_attr('includes')} IS NULL)", cls=_attr("argument"), grouped="n.cls"),
-    Dimension("route_logging", PARTIAL, JS, site=f"n.type = 'CallExpression' AND ({_attr('object')} = 'console' OR {_attr('wrapper')} = 'logging')", conforming=f"{_attr('wrapper')} = 'logging'", capability="logging"),
-    Dimension("route_network", PARTIAL, JS, site=f"n.type = 'CallExpression' AND (n.name = 'fetch' OR 'axios' IN (n.name, {_attr('object')}) OR {_attr('wrapper')} = 'network')", conforming=f"{_attr('wrapper')} = 'network'", capability="network"),
-    Dimension("route_env", PARTIAL, JS, site=f"n.type = 'MemberExpression' AND ({_attr('object')} = 'process.env' OR {_attr('wrapper')} = 'env')", conforming=f"{_attr('wrapper')} = 'env'", capability="env"),
+    Dimension("route_logging", PARTIAL, JS, site=f"n.type = 'CallExpression' AND ({_attr('object')} = 'console' OR {_has('wrapper', 'logging')}) AND NOT {_has('implements', 'logging')}", conforming=_has("wrapper", "logging"), capability="logging"),
+    Dimension("route_network", PARTIAL, JS, site=f"n.type = 'CallExpression' AND (n.name = 'fetch' OR 'axios' IN (n.name, {_attr('object')}) OR {_has('wrapper', 'network')}) AND NOT {_has('implements', 'network')}", conforming=_has("wrapper", "network"), capability="network"),
+    Dimension("route_env", PARTIAL, JS, site=f"n.type = 'MemberExpression' AND ({_attr('object')} = 'process.env' OR {_has('wrapper', 'env')}) AND NOT {_has('implements', 'env')}", conforming=_has("wrapper", "env"), capability="env"),
     Dimension("law_of_demeter", PARTIAL, JS, site=f"n.type = 'CallChain' AND CAST({_attr('length')} AS INT) >= 2", conforming=f"CAST({_attr('receiver_types')} AS INT) <= 1"),
     *(
         Dimension(f"{what}_{kind}", PRECISE, RUBY, kind="pairing", from_=from_, to=f"{kind}/{to}", ext=ext, suffix=f"_{kind}.rb")

@@ -70,6 +70,91 @@ def test_sites_of_dimensions(spark, lang, text, site):
     assert site in sites_of(spark, text, lang)
 
 
+MIGRATION = "class A < ActiveRecord::Migration[7.0]\n  def change\n    %s\n  end\nend"
+TABLE = MIGRATION % "create_table :pets%s do |t|\n      %s\n    end"
+
+
+@pytest.mark.parametrize(
+    ("lang", "text", "site"),
+    [
+        ("js", "return { ok: true, value: { a } }", ("error_shape", True, None)),
+        ("js", "return Result.err(a)", ("error_shape", True, None)),
+        ("js", "/** Adds. */\nexport function add() {}", ("doc_comment_style", True, None)),
+        ("js", "const s = 'longer text';\n// Adds.\n// eslint-disable-next-line x\nexport const add = () => 1", ("doc_comment_style", True, None)),
+        ("js", "// eslint-disable-next-line x\nexport function add() {}", ("doc_comment_style", False, None)),
+        ("js", "a(); // that was a\nexport function add() {}", ("doc_comment_style", False, None)),
+        ("js", "x = a!.b", ("non_null_assertion", False, None)),
+        ("js", "x = a?.b", ("non_null_assertion", True, None)),
+        ("js", "export const f = (a: string): number => 1", ("explicit_return_type", True, None)),
+        ("js", "import { log as note } from './lib/app-logger';\nnote.info('a')", ("route_logging", True, None)),
+        ("js", "console.log('a')", ("route_logging", False, None)),
+        ("js", "import api from '../apiClient';\nawait api.users.get(1)", ("route_network", True, None)),
+        ("js", "fetch('/a')", ("route_network", False, None)),
+        ("js", "x = process.env.PORT", ("route_env", False, None)),
+        ("js", "const { PORT } = process.env", ("route_env", False, None)),
+        ("js", "import config from './config';\nx = config.db.host", ("route_env", True, None)),
+        ("jsx", "x = <a onClick={() => { b() }}>c</a>", ("handler_is_named", False, None)),
+        ("jsx", "x = <a onClick={this.b} />", ("handler_is_named", True, None)),
+        ("jsx", "const h = useCallback(() => 1, []);\nx = <B onClick={h} />", ("handler_memoised", True, None)),
+        ("jsx", "function C() { function h() {}\n return (<p><B onClick={h} /></p>) }", ("handler_memoised", False, None)),
+        ("jsx", "x = <B {...props} />", ("spread_on_component", True, None)),
+        ("jsx", "x = <b {...props} />", ("spread_on_component", False, None)),
+        ("jsx", "import { t } from 'i18next';\nx = <p>Hello</p>", ("text_translated", False, None)),
+        ("jsx", "import { t } from 'i18next';\nx = <p>{t('a')}</p>", ("text_translated", True, None)),
+        ("ruby", "class A < ApplicationRecord\n  before_save :x\nend", ("model_callbacks", False, None)),
+        ("ruby", MIGRATION % "User.update_all(a: 1)", ("migration_schema_only", False, None)),
+        ("ruby", MIGRATION % "execute <<~SQL\n      UPDATE pets SET a = 1\n    SQL", ("migration_schema_only", False, None)),
+        ("ruby", MIGRATION % "execute 'CREATE INDEX a ON b (c)'", ("migration_schema_only", True, None)),
+        ("ruby", TABLE % ("", "t.string :name, null: false"), ("column_null_declared", True, None)),
+        ("ruby", TABLE % ("", "t.string :name, limit: 9"), ("column_null_declared", False, None)),
+        ("ruby", TABLE % (", id: :uuid", ""), ("table_primary_key_declared", True, None)),
+        ("ruby", TABLE % ("", ""), ("table_primary_key_declared", False, None)),
+        ("ruby", TABLE % ("", "t.references :owner, foreign_key: { to_table: :users }"), ("reference_foreign_key", True, None)),
+        ("ruby", MIGRATION % "add_reference :pets, :owner", ("reference_foreign_key", False, None)),
+        ("ruby", MIGRATION % "add_reference :pets, :owner\n    add_foreign_key :pets, :owners", ("reference_foreign_key", True, None)),
+        ("ruby", "Time.zone.parse(a)", ("zone_aware_time", True, None)),
+    ],
+)
+def test_both_sides_of_dimensions(spark, lang, text, site):
+    assert site in sites_of(spark, text, lang)
+
+
+@pytest.mark.parametrize(
+    ("lang", "text", "key"),
+    [
+        ("js", "x = !a && b !== c; return!(d)", "non_null_assertion"),
+        ("js", "a!.b = 1", "non_null_assertion"),
+        ("js", "return { value: { ok: 1 } }", "error_shape"),
+        ("jsx", "function B({ a, ...rest }) { return <b {...rest} /> }", "spread_on_component"),
+        ("jsx", "x = <p>Hello</p>", "text_translated"),
+        ("jsx", "x = <a onClick={undefined} />", "handler_is_named"),
+        ("ruby", "class A < ApplicationRecord\n  belongs_to :b\nend", "reference_foreign_key"),
+        ("ruby", MIGRATION % "execute sql", "migration_schema_only"),
+        ("ruby", TABLE % ("", "t.string :name, null: allowed"), "column_null_declared"),
+        ("ruby", TABLE % ("", "t.string :name, **options"), "column_null_declared"),
+        ("ruby", TABLE % ("", "t.references :owner, polymorphic: true"), "reference_foreign_key"),
+    ],
+)
+def test_what_is_no_site(spark, lang, text, key):
+    assert not [s for s in sites_of(spark, text, lang) if s[0] == key]
+
+
+def test_the_module_of_a_concern_is_no_site_of_its_own(spark):
+    rows = [("src/logger.js", "js", "console.log('a')"), ("src/other.js", "js", "console.log('a')")]
+    nodes = lexical.extract(spark.createDataFrame(rows, "rel string, lang string, content string"))
+    assert [r.rel for r in dimensions.tree_sites(nodes).where("key = 'route_logging'").collect()] == ["src/other.js"]
+
+
+def test_unseen_dimensions_are_not_offered(spark):
+    """Over the extractor's own nodes; a parser's nodes are asked for every dimension."""
+    assert set(lexical.UNSEEN) <= {d.key for d in registry.DIMENSIONS}
+    node = ("a.ts", 0, 0, 0, "CallChain", None, [], None, None, 1, {"length": "2", "receiver_types": "2"})
+    files = spark.createDataFrame([("a.ts", "js", False, "a.b().c()")], "rel string, lang string, stripped boolean, content string")
+    nodes = spark.createDataFrame([node], dimensions.NODES)
+    keys = lambda found: {r.key for r in found.where("pre IS NOT NULL").collect()}
+    assert keys(Engine(spark).sites(files, nodes)) == {"law_of_demeter"} and not keys(Engine(spark).sites(files)) & set(lexical.UNSEEN)
+
+
 def test_let_that_changes_is_no_site(spark):
     assert not [s for s in sites_of(spark, "let a = 1; a = 2;") if s[0] == "module_state_const"]
 
