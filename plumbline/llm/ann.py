@@ -170,7 +170,8 @@ def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: in
 
     Vectors that are null, zero, not finite or of another length than most take no part, nor do rows without an id; equal scores go to the smaller
     id; fewer than `k` candidates are all returned; an empty table gives none. A query visits as many partitions as
-    `visits` asks for, so that clustered vectors take few and shapeless ones most.
+    `visits` asks for at every size of table, so that clustered vectors take few and shapeless ones most, and more where
+    these hold no `k` other rows.
     """
     spark = rows.sparkSession
     vectors = usable(rows)
@@ -184,7 +185,8 @@ def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: in
     x = np.unique(_matrix(sample["embedding"]), axis=0)  # many copies of one vector must not shape the index
     partitions = max(1, min(2048, int(n**0.5 / 2), len(x)))
     index = fit(x, partitions)
-    visited = len(index.centres) if n <= BLOCK else visits(x, index, k, cover)
+    visited = visits(x, index, k, cover)
+    holds = np.bincount(np.argmax(x @ index.centres.T - 0.5 * (index.centres.astype(np.float64) ** 2).sum(1), 1), minlength=len(index.centres))
     shared = spark.sparkContext.broadcast(tuple(index))  # at most 2048 centres and the codebooks, whatever the input
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +195,14 @@ def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: in
             v = _matrix(batch.column(1))
             at = np.argmax(v @ own.centres.T - 0.5 * (own.centres.astype(np.float64) ** 2).sum(1), 1)
             codes = _codes(v, v - own.centres[at], own)
-            near = np.argpartition(-(v @ own.centres.T), visited - 1, axis=1)[:, :visited]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(near.astype(np.int32).ravel()), visited).cast(pa.list_(pa.int32()))
+            far = -(v @ own.centres.T)
+            near = np.argpartition(far, visited - 1, axis=1)[:, :visited]
+            lists = list(near.astype(np.int32))
+            for i in np.flatnonzero(holds[near].sum(1) <= k):  # so few rows are there that more partitions have to be asked
+                order = np.argsort(far[i], kind="stable")
+                lists[i] = order[: max(visited, int(np.searchsorted(np.cumsum(holds[order]), k + 1)) + 1)].astype(np.int32)
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), lists], ["vec_id", "embedding", "part", "codes", "near"])
 
     made = common.stored(vectors.mapInArrow(common.lean(coded), "vec_id long, embedding array<double>, part int, codes binary, near array<int>"), "ann-index")

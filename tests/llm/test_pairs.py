@@ -146,6 +146,16 @@ def test_neighbours_against_brute_force(spark):
     assert hits / (10 * len(found)) >= 0.9
 
 
+def test_small_tables_visit_as_many_partitions_as_the_sample_asks_for(spark, monkeypatch):
+    """And a query is never left with fewer than k rows while there are more."""
+    asked = []
+    monkeypatch.setattr(ann, "visits", lambda *a: asked.append(a) or 1)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) + 9 * np.eye(8)[i % 8]).tolist()) for i in range(120)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=60).collect()
+    assert len(asked) == 1 and collections.Counter(r.query_id for r in found) == {i: 60 for i in range(0, 120, 20)}
+
+
 def test_few_or_no_neighbours(spark):
     schema = "vec_id long, embedding array<float>"
     out = ann.search(spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0])], schema), F.col("vec_id") == 0).collect()
