@@ -35,8 +35,6 @@ TOLERANCE = 1e-6
 STEP = 32
 #: Agreement with a bucket's pivot from which a row needs no comparison with the bucket's other rows.
 SETTLED = 0.75
-#: Agreement from which two nodes share a group: SETTLED less the distance of a link and a margin for the estimate.
-GROUPED = 0.42
 BLOCK = 128
 #: Parts in which a group's rows look up its size, so that a group with many rows is not dealt to one task.
 SALTS = 16
@@ -137,6 +135,11 @@ def least_matches(hashes: int = HASHES, step: int = STEP, threshold: float = THR
     return out
 
 
+#: Agreement from which two nodes share a group. A node below it differs from one that is SETTLED in more values than
+#: pruning lets a pair differ in, so no pair is lost here that would not be pruned.
+GROUPED = (SETTLED * HASHES - HASHES + least_matches()[-1][1]) / HASHES
+
+
 def pruned(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (row of x, row of y) whose similarity may still reach the threshold after all values."""
     matches = np.zeros(len(left), np.int32)
@@ -238,9 +241,9 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) whose components hold every link between nodes that share a bucket.
 
     A link is a distance (1 - similarity) of 0.2 at most, and distances obey the triangle inequality. Of a link's two
-    nodes in a bucket, either one agrees with the pivot by SETTLED or more; then the other agrees with it by SETTLED - 0.2
-    or more, less the error of two estimates, and both have an edge to the pivot. Or neither does; then they are
-    compared with each other among the rows that are not settled.
+    nodes in a bucket, either one agrees with the pivot by SETTLED or more; then the other agrees with it by GROUPED or
+    more, and both have an edge to the pivot, or the two differ in so many values that the pair would be pruned. Or
+    neither does; then they are compared with each other among the rows that are not settled.
     """
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,23 @@ def test_pruning_rarely_drops_what_reaches_the_threshold():
         assert low <= share <= high
 
 
+def test_a_link_that_pruning_keeps_is_in_one_group(spark):
+    """One node settled, the other as far from the pivot as a pair that is not pruned allows, in their one bucket."""
+    least = ngram_join.least_matches()[-1][1]
+    y = ngram_join.HASHES - least  # values in which the two differ, at least one in each band but the first
+    differ = [5 * band + r for r in range(5) for band in range(1, ngram_join.BANDS)][:y]
+    other = [i for i in range(5, ngram_join.HASHES) if i not in differ][:40]
+    pivot = np.arange(ngram_join.HASHES, dtype=np.uint16)
+    a, b = pivot.copy(), pivot.copy()
+    a[other] += 1000
+    b[other] += 1000
+    b[differ] += 2000
+    assert (a == pivot).mean() == ngram_join.SETTLED and (a == b).sum() == least
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate((pivot, a, b))], "node long, sig binary")
+    labels = {r.node: r.label for r in ngram_join.components(ngram_join._candidates(nodes), "test").collect()}
+    assert labels == {0: 0, 1: 0, 2: 0}
+
+
 def test_shared_shingles_both_ways():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, 120)).astype(np.uint64) for _ in range(20)]
