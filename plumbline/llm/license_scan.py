@@ -5,7 +5,9 @@ increasing run of anchors stays, and the gaps between them are aligned in the sa
 either end of a gap. Coverage is the share of the template's words that the densest stretch of the alignment holds.
 
 Windows lie around triggers: so many of a template's words, the longest first, that a stretch without any of them cannot
-reach the least coverage. No text that would match is left out by them.
+reach the least coverage. No text that would match is left out by them. Where a window holds a trigger more often than
+the template, the stretches that put this trigger in its place in the template are aligned as well, so that copies of a
+notice in a row are each found.
 """
 
 from __future__ import annotations
@@ -130,9 +132,14 @@ class Scanner:
                 template = self.templates[name]
                 reach = int(MAX_STRETCH * len(template))
                 a = max(0, at - reach)
-                n, start, end = densest(align(words[a : at + reach + 1], template), len(template))
-                if n >= self.min_cover * len(template) - 1e-9:
-                    found.add((-n / len(template), -n, a + start, a + end, name))
+                windows = [(a, at + reach + 1)]
+                if words[a : at + reach + 1].count(w) > template.count(w):  # copies nearby: no word is unique among them
+                    for place in (i for i, x in enumerate(template) if x == w):
+                        windows += [(max(0, at - place), at - place + len(template)), (max(0, at - place), at + reach + 1), (a, at - place + len(template))]
+                for low, high in windows:
+                    n, start, end = densest(align(words[low:high], template), len(template))
+                    if n >= self.min_cover * len(template) - 1e-9:
+                        found.add((-n / len(template), -n, low + start, low + end, name))
         taken: list[tuple[str, int, int, float]] = []
         for cover, _, start, end, name in sorted(found):
             if all(end <= s or e <= start for _, s, e, _ in taken):

@@ -153,3 +153,20 @@ def test_license_scan(spark):
     assert [m[0] for m in out[3]] == ["mit-permission"] and out[3][0][1] == 2
     assert out[5] == [("mit", 5000, 5005), ("mit", 5006, 5011)]
     assert license_scan.find(frame(spark, [])).count() == 0
+
+
+def test_copies_of_a_notice_in_a_row_are_each_found():
+    notice = license_scan.Scanner(license_scan.TEMPLATES).templates["mit"]
+    for copies in (1, 2, 4, 9):
+        words = ["before"] * 20 + notice * copies + ["after"] * 20
+        found = license_scan.Scanner(license_scan.TEMPLATES).scan(words)
+        assert [m[:3] for m in found] == [("mit", 20 + 5 * i, 25 + 5 * i) for i in range(copies)]
+
+
+def test_copies_of_a_long_notice_with_a_word_changed_are_each_found():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    notice = scanner.templates["mit-permission"]
+    for gone in (3, len(notice) // 2, len(notice) - 3):
+        copy = notice[:gone] + notice[gone + 1 :]
+        found = scanner.scan(["before"] * 20 + copy * 3 + ["after"] * 20)
+        assert [m[0] for m in found] == ["mit-permission"] * 3 and [m[1] for m in found] == [20 + len(copy) * i for i in range(3)]
