@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions throughout.
 
 1. Base patterns find e-mail addresses, IP addresses, card and phone numbers with their code-point spans.
-2. These seed entities induce lexical patterns: the word before, the two words before, and the words on both sides.
+2. These seed entities induce lexical patterns: the word before, the two words before, and the words on both sides,
+   whole and however far away.
 3. Patterns and instances (surface forms, seeds and other identifier-shaped strings alike) form a bipartite graph. Each
    round scores a pattern by the mean score of its instances and a form that is no seed by the mean of its patterns.
 4. Patterns that keep a high score and were induced by several seeds mark unseen identifiers whose shape fits the kind.
@@ -31,6 +32,10 @@ PATTERNS = {
 }
 #: Identifier-shaped strings: groups of digits, tokens around an at sign, groups of hexadecimal digits.
 CANDIDATE = r"(?<![0-9A-Za-z(])\(?[0-9][0-9().\x20-]*[0-9](?![0-9A-Za-z])|(?<![^\x20\x09-\x0D])[^@\x20\x09-\x0D]++@[^\x20\x09-\x0D]++|(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])"
+_BLANK = r"\x20\x09-\x0D"
+#: The last word of a text and its last two words.
+_ONE = rf"(?<![^{_BLANK}])([^{_BLANK}]++)[{_BLANK}]*+\z"
+_TWO = rf"(?<![^{_BLANK}])([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]++)[{_BLANK}]*+\z"
 ROUNDS = 3
 MIN_SCORE = 0.6
 MIN_SEEDS = 3
@@ -100,12 +105,21 @@ def scan(docs: DataFrame) -> DataFrame:
     every = F.concat("found", as_kind(F.col("others"), -1))
 
     def mention(m: Column) -> Column:
-        left = F.lower(F.substring(F.col("text"), F.greatest(m["start"] - 59, F.lit(1)).cast("int"), F.least(m["start"], F.lit(60)).cast("int")))
-        right = F.lower(F.substring(F.col("text"), (m["end"] + 1).cast("int"), F.lit(40)))
-        one = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-        two = F.regexp_extract(left, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-        next_ = F.regexp_extract(right, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-        made = F.array(F.when(one != "", F.concat(F.lit("1 "), one)), F.when(two != "", F.concat(F.lit("2 "), two)), F.when((one != "") & (next_ != ""), F.concat(F.lit("3 "), one, F.lit(" "), next_)))
+        # a few characters hold the neighbouring words nearly always; where they may cut one, the whole side is read
+        near = F.struct(F.substring("text", F.greatest(m["start"] - 59, F.lit(1)).cast("int"), F.least(m["start"], F.lit(60)).cast("int")).alias("left"), F.substring("text", (m["end"] + 1).cast("int"), F.lit(40)).alias("right"))
+
+        def sides(s: Column) -> Column:
+            left = F.when((m["start"] <= 60) | s["left"].rlike(rf"[{_BLANK}]{_TWO}"), s["left"]).otherwise(F.substring("text", F.lit(1), m["start"].cast("int")))
+            right = F.when((F.length(s["right"]) < 40) | s["right"].rlike(rf"^[{_BLANK}]*+[^{_BLANK}]++[{_BLANK}]"), s["right"]).otherwise(F.substring("text", (m["end"] + 1).cast("int"), F.lit(2**31 - 1)))
+            return F.struct(F.lower(left).alias("left"), F.lower(right).alias("right"))
+
+        def words(s: Column) -> Column:
+            return F.struct(F.regexp_extract(s["left"], _ONE, 1).alias("one"), F.regexp_extract(s["left"], _TWO, 1).alias("two"), F.regexp_extract(s["right"], rf"^[{_BLANK}]*+([^{_BLANK}]++)", 1).alias("next"))
+
+        def named(w: Column) -> Column:
+            return F.array(F.when(w["one"] != "", F.concat(F.lit("1 "), w["one"])), F.when(w["two"] != "", F.concat(F.lit("2 "), w["two"])), F.when((w["one"] != "") & (w["next"] != ""), F.concat(F.lit("3 "), w["one"], F.lit(" "), w["next"])))
+
+        made = F.transform(F.transform(F.transform(F.array(near), sides), words), named)[0]
         return F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["hit"]).alias("form"), F.filter(made, lambda p: p.isNotNull()).alias("patterns"))
 
     base = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

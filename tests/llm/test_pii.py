@@ -64,6 +64,15 @@ def test_patterns_discover_what_the_base_misses(taught):
     assert pii.find(taught).count() == taught.count()
 
 
+def test_contexts_are_whole_words_however_far(spark):
+    far, long = " " * 90, "https://example.org/" + "a" * 70
+    texts = [f"see {long} hotline{far}+49 30 555-1000{far}today", f"see {long}{far}+49 30 555-1000 {long}{far}", "+49 30 555-1000"]
+    found = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    one, two, none = ({p for m in r.mentions if m.kind == 3 for p in m.patterns} for r in found)
+    assert one == {"1 hotline", f"2 {long} hotline", "3 hotline today"}
+    assert two == {f"1 {long}", f"2 see {long}", f"3 {long} {long}"} and none == set()
+
+
 def test_redaction_replaces_spans_only(taught):
     clashing = taught.selectExpr("doc_id", "text", "doc_id AS start", "text AS spans")
     out = {r.doc_id: r for r in pii.redact(clashing).collect()}
