@@ -13,6 +13,7 @@ a partition to blocks of about QUERY_BLOCK, so a partition that holds most vecto
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -159,7 +160,7 @@ def searched(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles) of vectors that take part: not null or zero, all components finite, of the usual length."""
+    """vec_id, embedding (doubles) of vectors that take part: not null or zero, all components finite, of any length."""
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     there = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id IS NOT NULL AND size(embedding) > 0").where(finite)
     return there.where(F.exists("embedding", lambda v: v != 0))
@@ -168,8 +169,8 @@ def usable(rows: DataFrame) -> DataFrame:
 def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: for rows where `is_query` holds, the `k` nearest other rows found.
 
-    Vectors that are null, zero, not finite or of another length than most take no part, nor do rows without an id; equal scores go to the smaller
-    id; fewer than `k` candidates are all returned; an empty table gives none. A query visits as many partitions as
+    Vectors that are null, zero or not finite take no part, nor do rows without an id; those of each length are searched
+    among themselves, with an index of their own; equal scores go to the smaller id; fewer than `k` candidates are all returned; an empty table gives none. A query visits as many partitions as
     `visits` asks for at every size of table, so that clustered vectors take few and shapeless ones most, and more where
     these hold no `k` other rows.
     """
@@ -178,8 +179,13 @@ def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: in
     lengths = {r[0]: r[1] for r in vectors.groupBy(F.size("embedding")).count().collect()}  # a row a length
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = max(lengths, key=lambda k: (lengths[k], k))
-    n, vectors = lengths[dim], vectors.where(F.size("embedding") == dim)
+    found = [_of_length(vectors.where(F.size("embedding") == dim), n, is_query, k, cover, seed) for dim, n in sorted(lengths.items()) if n > 1]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_length(vectors: DataFrame, n: int, is_query, k: int, cover: float, seed: int) -> DataFrame:
+    """`search` over `n` vectors of one length."""
+    spark = vectors.sparkSession
     share = int(min(1.0, MAX_SAMPLE / n) * (1 << 30))
     sample = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) <= share).orderBy("vec_id").toArrow()  # about MAX_SAMPLE rows
     x = np.unique(_matrix(sample["embedding"]), axis=0)  # many copies of one vector must not shape the index

@@ -173,6 +173,14 @@ def test_small_tables_visit_as_many_partitions_as_the_sample_asks_for(spark, mon
     assert len(asked) == 1 and collections.Counter(r.query_id for r in found) == {i: 60 for i in range(0, 120, 20)}
 
 
+def test_vectors_of_each_length_are_ranked(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8 if i < 60 else 5).tolist()) for i in range(70)] + [(80, [1.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), k=4).collect()
+    assert collections.Counter(r.query_id for r in found) == {i: 4 for i in range(70)}
+    assert all((r.query_id < 60) == (r.vec_id < 60) for r in found)
+
+
 def test_few_or_no_neighbours(spark):
     schema = "vec_id long, embedding array<float>"
     out = ann.search(spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0])], schema), F.col("vec_id") == 0).collect()
