@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encode = tokens.encoder(tokenizer, cache_words).encode
         for batch in batches:
             texts = batch.column(1)
-            for a, b in tokens.in_slices(texts):
+            for a, b in tokens.in_slices(texts, tokens.SLICE_BYTES):
                 ids, n = encode(texts[a:b])
                 rows: list[tuple] = []
                 at = 0

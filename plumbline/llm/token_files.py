@@ -1,5 +1,7 @@
 """Token ids in Parquet files: list columns, dictionary and delta encoding, controlled row groups and page indexes.
 
+Texts are encoded where they are read; what is put in order is their ids, in two bytes each where the vocabulary allows.
+
 A file holds one shard of documents in ascending doc_id order: `doc_id`, `shard`, `start` (ids of the shard's documents
 before it), `n_tokens` and the list `tokens`. Ids are dictionary-encoded, so they take the bits that the shard's
 distinct ids need; the integer columns are delta-encoded where a dictionary does not pay. Small pages with column and
@@ -35,29 +37,67 @@ FILE_OPTIONS = {
 }
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """One row a document, in ascending doc_id order over and within partitions; see the module for its columns."""
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, crc and ids (bytes of numbers of `kind`) of every text, the end id included, in the order of reading."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, start = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode = tokens.encoder(tokenizer).encode
         for batch in batches:
             texts = batch.column(1)
-            for a, b in tokens.in_slices(texts):
+            for a, b in tokens.in_slices(texts, tokens.SLICE_BYTES):
                 ids, n = encode(texts[a:b])
-                ends = np.cumsum(n)
-                ids, n = np.insert(ids, ends, end_id).astype(np.int32), n + 1
-                at = np.concatenate([[0], np.cumsum(n)])
+                ids = np.insert(ids.astype(kind), np.cumsum(n), end_id)
+                at = np.concatenate([[0], np.cumsum(n + 1)]) * ids.itemsize
+                held = memoryview(ids).cast("B")
+                sums = [zlib.crc32(held[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                binary = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sums, pa.int64()), binary], ["doc_id", "crc", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(common.lean(rows), "doc_id long, crc long, ids binary")
+
+
+def _kind(tokenizer: str, end_id: int) -> str:
+    """The narrowest numbers that hold all ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """One row a document, in ascending doc_id order over and within partitions; see the module for its columns.
+
+    The ids are stored before they are put in order, so that no text is encoded twice. Documents of one id, or of none,
+    are dealt by their ids and, where these are equal too, by their place in the stored table: rows that nothing tells
+    apart, which may stand in any order.
+    """
+    kind = _kind(tokenizer, end_id)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, start = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                held = part.column(1).cast(pa.large_binary())
+                at = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, held.offset * 8)
+                data = held.buffers()[2]
+                ids = np.frombuffer(data, kind, offset=int(at[0]), count=int(at[-1] - at[0]) // np.dtype(kind).itemsize).astype(np.int32) if data else np.zeros(0, np.int32)
+                at = (at - at[0]) // np.dtype(kind).itemsize
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.full(b - a, shard, np.int32)), pa.array(start + at[:-1]), pa.array(n), lists], ["doc_id", "shard", "start", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(part), shard, np.int32)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], ["doc_id", "shard", "start", "n_tokens", "tokens"])
                 start += int(at[-1])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(common.lean(rows), SCHEMA)
+    made = common.stored(_encoded(docs, tokenizer, end_id, kind), "token-ids").withColumn("place", F.monotonically_increasing_id())
+    ordered = made.repartitionByRange("doc_id", "crc", "place").sortWithinPartitions("doc_id", "crc")
+    return ordered.select("doc_id", "ids").mapInArrow(common.lean(rows), SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Encode whole texts and write them to `path`. Null or empty texts are the end id alone; null ids come first;
-    repeated ids follow in order of text; an empty table gives files without rows."""
+    """Encode whole texts, however long, and write them to `path`.
+
+    Null or empty texts are the end id alone; null ids come first; repeated ids follow in order of their token ids' crc32,
+    and repeated rows are rows of their own; columns other than doc_id and text are ignored, whatever their names; an
+    empty table gives files without rows.
+    """
     encoded(docs, tokenizer or default_tokenizer(), end_id).write.options(**FILE_OPTIONS).parquet(path)
 
 

@@ -10,6 +10,7 @@ of each carries the vocabulary's end-of-word mark, which tells their ids apart a
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Words held by a worker before its cache starts anew; bounds memory, not results.
 CACHE_WORDS = 900_000
+#: Bytes of text that are encoded at a time: words that repeat within them are looked up once.
+SLICE_BYTES = 6_000_000
 
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:%$&*#|]*$"
 _POINTS = ".,!?;:%$&*#|"
@@ -46,7 +49,7 @@ class WordEncoder:
     def _learn_parts(self, parts: pa.Array) -> np.ndarray:
         """Codes of parts, some perhaps known: lower-case Latin-1 letters, or a run of punctuation: a pre-token each."""
         found = parts.cast(pa.binary()).to_pylist()
-        own = np.fromiter((self.part.get(p, -1) for p in found), np.int64, len(found))
+        own = np.fromiter(map(self.part.get, found, repeat(-1)), np.int64, len(found))
         new = np.flatnonzero(own < 0)
         for a in range(0, len(new), 4000):
             some = new[a : a + 4000]
@@ -112,7 +115,7 @@ class WordEncoder:
         if len(self.code) > self.cache_words:
             self.clear()
         distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        own = np.fromiter((self.code.get(w, -1) for w in distinct), np.int64, len(distinct))
+        own = np.fromiter(map(self.code.get, distinct, repeat(-1)), np.int64, len(distinct))
         if len(new := np.flatnonzero(own < 0)):
             own[new] = self._learn(coded.dictionary.take(pa.array(new)))
         ids, by_word = self._ids(own[coded.indices.to_numpy()])
