@@ -2,18 +2,22 @@
 
 1. Base patterns find e-mail addresses, IP addresses, card and phone numbers with their code-point spans.
 2. These seed entities induce lexical patterns: the word before, the two words before, and the words on both sides,
-   whole and however far away.
+   however far away. Of a word of over WORD characters, the WORD nearest to the mention stand for it; two words make a
+   pattern only where the nearer one is no longer than that.
 3. Patterns and instances (surface forms, seeds and other identifier-shaped strings alike) form a bipartite graph. Each
    round scores a pattern by the mean score of its instances and a form that is no seed by the mean of its patterns.
 4. Patterns that keep a high score and were induced by several seeds mark unseen identifiers whose shape fits the kind.
 
 Positions come without any Python: a text split by a pattern gives the gaps between its matches, and running sums of
-the lengths of gaps and matches are the spans. The patterns are written so that a run of characters is read once:
+the lengths of gaps and matches are the spans. A text with mentions is also cut into blocks of BLOCK characters, so that
+what stands at a place is read from there and not from the text's start, and folds over a text's mentions run in chunks
+(`running`): the work grows with the text's length, but for the root of its number of mentions. The patterns are written so that a run of characters is read once:
 a run is entered at its first character only, and quantifiers that nothing needs to give back from are possessive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +37,12 @@ PATTERNS = {
 #: Identifier-shaped strings: groups of digits, tokens around an at sign, groups of hexadecimal digits.
 CANDIDATE = r"(?<![0-9A-Za-z(])\(?[0-9][0-9().\x20-]*[0-9](?![0-9A-Za-z])|(?<![^\x20\x09-\x0D])[^@\x20\x09-\x0D]++@[^\x20\x09-\x0D]++|(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])"
 _BLANK = r"\x20\x09-\x0D"
-#: The last word of a text and its last two words.
+#: The last word of a text, its last two words, and its first word.
 _ONE = rf"(?<![^{_BLANK}])([^{_BLANK}]++)[{_BLANK}]*+\z"
-_TWO = rf"(?<![^{_BLANK}])([^{_BLANK}]++[{_BLANK}]++[^{_BLANK}]++)[{_BLANK}]*+\z"
+_TWO = rf"(?<![^{_BLANK}])([^{_BLANK}]++)[{_BLANK}]++[^{_BLANK}]++[{_BLANK}]*+\z"
+_NEXT = rf"^[{_BLANK}]*+([^{_BLANK}]++)"
+WORD = 256
+BLOCK = 256
 ROUNDS = 3
 MIN_SCORE = 0.6
 MIN_SEEDS = 3
@@ -65,19 +72,100 @@ _HOLDS = {
 }
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(items: Column, begin: Column, step: Callable[[Column, Column], Column], out: str) -> Column:
+    """What `step` gives for each item in order: step(state, item) is a struct of the next `state` and of `out`.
+
+    The fold goes over chunks as long as the root of the number of items: no array of all of them grows by one at a time.
+    """
+    none, no_chunks = F.array().cast(f"array<{out}>"), F.array().cast(f"array<array<{out}>>")
+
+    def over(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+
+        def item(s: Column, x: Column) -> Column:
+            return _let(step(s["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+        def chunk(s: Column, k: Column) -> Column:
+            folded = F.aggregate(F.slice(xs, k * width + 1, width), F.struct(s["state"].alias("state"), none.alias("out")), item)
+            return _let(folded, lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int"))
+        return F.flatten(F.aggregate(chunks, F.struct(begin.alias("state"), no_chunks.alias("out")), chunk, lambda s: s["out"]))
+
+    return F.when(F.size(items) > 0, _let(items, over)).otherwise(none)
+
+
 def _placed(hits: Column, gaps: Column) -> Column:
     """Spans of a pattern's matches: array of (start, end, hit), from the matches and the gaps around them."""
-    long = lambda x: F.length(x).cast("long")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + long(x["gap"])
-        end = start + long(x["hit"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        return F.struct(end.alias("state"), F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")).alias("out"))
 
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    return F.when(F.size(hits) > 0, F.aggregate(zipped, begin, step, lambda s: s["out"])).otherwise(none)
+    return running(zipped, F.lit(0).cast("long"), step, "struct<start:bigint,end:bigint,hit:string>")
+
+
+def _apart(found: Column, others: Column) -> Column:
+    """Those of `others` that overlap none of `found`, both arrays of (kind, start, end, hit): a pass over all of them in
+    order looks back at the furthest end so far, and a pass in reverse looks ahead to the next start."""
+    kind = "struct<start:bigint,end:bigint,other:boolean,kind:int,hit:string,over:boolean>"
+    item = lambda s, other: F.struct(s["start"].alias("start"), s["end"].alias("end"), other.alias("other"), s["kind"].alias("kind"), s["hit"].alias("hit"), F.lit(False).alias("over"))
+    every = F.array_sort(F.concat(F.transform(found, lambda s: item(s, F.lit(False))), F.transform(others, lambda s: item(s, F.lit(True)))))
+    marked = lambda x, over: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["other"].alias("other"), x["kind"].alias("kind"), x["hit"].alias("hit"), (x["over"] | over).alias("over"))
+
+    def back(end: Column, x: Column) -> Column:
+        return F.struct(F.when(x["other"], end).otherwise(F.greatest(end, x["end"])).alias("state"), marked(x, x["start"] < end).alias("out"))
+
+    def ahead(start: Column, x: Column) -> Column:
+        return F.struct(F.when(x["other"], start).otherwise(F.least(start, x["start"])).alias("state"), marked(x, start < x["end"]).alias("out"))
+
+    done = running(F.reverse(running(every, F.lit(0).cast("long"), back, kind)), F.lit(2**62).cast("long"), ahead, kind)
+    free = F.transform(F.filter(done, lambda x: x["other"] & ~x["over"]), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
+    return F.when((F.size(found) > 0) & (F.size(others) > 0), free).otherwise(others)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from `start` up to `end`, which may lie beyond the text's own end."""
+    first, last = (F.floor(x / BLOCK).cast("int") for x in (start, end))
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+
+def _patterns(blocks: Column, m: Column) -> Column:
+    """The lexical patterns around a mention: those that a few characters on either side show, nearly always."""
+    left = lambda n: _piece(blocks, F.greatest(m["start"] - n, F.lit(0).cast("long")), m["start"])
+    right = lambda n: _piece(blocks, m["end"], m["end"] + n)
+    everything = F.array_join(blocks, "")
+    two, long_blank = rf"[{_BLANK}]{_TWO}", rf"[{_BLANK}]{{200}}"  # with shorter blanks, 1,000 characters hold two words or as much of them as counts
+
+    def before(s: Column) -> Column:
+        wide = _let(left(1000), lambda w: F.when((m["start"] <= 1000) | w.rlike(two) | ~w.rlike(long_blank), w).otherwise(F.substring(everything, F.lit(1), m["start"].cast("int"))))
+        return F.when((m["start"] <= 60) | s.rlike(two), s).otherwise(wide)
+
+    def after(s: Column) -> Column:
+        whole = rf"{_NEXT}[{_BLANK}]"
+        wide = _let(right(600), lambda w: F.when((F.length(w) < 600) | w.rlike(whole) | ~w.rlike(long_blank), w).otherwise(F.substring(everything, (m["end"] + 1).cast("int"), F.lit(2**31 - 1))))
+        return F.when((F.length(s) < 40) | s.rlike(whole), s).otherwise(wide)
+
+    def words(s: Column) -> Column:
+        return F.struct(F.regexp_extract(s["left"], _ONE, 1).alias("one"), F.regexp_extract(s["left"], _TWO, 1).alias("two"), F.regexp_extract(s["right"], _NEXT, 1).alias("next"))
+
+    def named(w: Column) -> Column:
+        one, next_ = F.right(w["one"], F.lit(WORD)), F.left(w["next"], F.lit(WORD))
+        pair = F.when((w["two"] != "") & (F.length(w["one"]) <= WORD), F.concat(F.lit("2 "), F.right(w["two"], F.lit(WORD)), F.lit(" "), one))
+        return F.array_compact(F.array(F.when(w["one"] != "", F.concat(F.lit("1 "), one)), pair, F.when((w["one"] != "") & (w["next"] != ""), F.concat(F.lit("3 "), one, F.lit(" "), next_))))
+
+    return _let(_let(F.struct(_let(left(60), before).alias("left"), _let(right(40), after).alias("right")), lambda s: _let(F.struct(F.lower(s["left"]).alias("left"), F.lower(s["right"]).alias("right")), words)), named)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -101,29 +189,16 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.filter(f"at_{k}", lambda s: _HOLDS[k](s["hit"]))
 
     rows = rows.withColumn("found", F.concat(*[as_kind(holding(k), i) for i, k in enumerate(KINDS)]))
-    rows = rows.withColumn("others", F.filter("at_other", lambda s: ((_digits(s["hit"]) >= 7) | F.contains(s["hit"], F.lit("@")) | F.contains(s["hit"], F.lit(":"))) & ~F.exists("found", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    every = F.concat("found", as_kind(F.col("others"), -1))
+    shaped = F.filter("at_other", lambda s: (_digits(s["hit"]) >= 7) | F.contains(s["hit"], F.lit("@")) | F.contains(s["hit"], F.lit(":")))
+    rows = rows.withColumn("others", as_kind(shaped, -1)).withColumn("others", _apart(F.col("found"), F.col("others")))
+    rows = rows.withColumn("every", F.concat("found", "others"))
+    rows = rows.withColumn("blocks", F.when(F.size("every") > 0, _blocks(F.col("text"))).otherwise(empty))
 
     def mention(m: Column) -> Column:
-        # a few characters hold the neighbouring words nearly always; where they may cut one, the whole side is read
-        near = F.struct(F.substring("text", F.greatest(m["start"] - 59, F.lit(1)).cast("int"), F.least(m["start"], F.lit(60)).cast("int")).alias("left"), F.substring("text", (m["end"] + 1).cast("int"), F.lit(40)).alias("right"))
-
-        def sides(s: Column) -> Column:
-            left = F.when((m["start"] <= 60) | s["left"].rlike(rf"[{_BLANK}]{_TWO}"), s["left"]).otherwise(F.substring("text", F.lit(1), m["start"].cast("int")))
-            right = F.when((F.length(s["right"]) < 40) | s["right"].rlike(rf"^[{_BLANK}]*+[^{_BLANK}]++[{_BLANK}]"), s["right"]).otherwise(F.substring("text", (m["end"] + 1).cast("int"), F.lit(2**31 - 1)))
-            return F.struct(F.lower(left).alias("left"), F.lower(right).alias("right"))
-
-        def words(s: Column) -> Column:
-            return F.struct(F.regexp_extract(s["left"], _ONE, 1).alias("one"), F.regexp_extract(s["left"], _TWO, 1).alias("two"), F.regexp_extract(s["right"], rf"^[{_BLANK}]*+([^{_BLANK}]++)", 1).alias("next"))
-
-        def named(w: Column) -> Column:
-            return F.array(F.when(w["one"] != "", F.concat(F.lit("1 "), w["one"])), F.when(w["two"] != "", F.concat(F.lit("2 "), w["two"])), F.when((w["one"] != "") & (w["next"] != ""), F.concat(F.lit("3 "), w["one"], F.lit(" "), w["next"])))
-
-        made = F.transform(F.transform(F.transform(F.array(near), sides), words), named)[0]
-        return F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["hit"]).alias("form"), F.filter(made, lambda p: p.isNotNull()).alias("patterns"))
+        return F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["hit"]).alias("form"), _patterns(F.col("blocks"), m).alias("patterns"))
 
     base = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("text_key"), base.alias("base"), F.transform(every, mention).alias("mentions"))
+    return rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("text_key"), base.alias("base"), F.transform("every", mention).alias("mentions"))
 
 
 def _fits(form: Column) -> list[Column]:
@@ -178,20 +253,26 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with every span of personal data in its text replaced by its kind in brackets; spans that overlap merge."""
-    found = find(docs, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
-    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], gap, names[x["kind"]])).otherwise(s["out"])
-        return F.struct(F.greatest(x["end"], s["at"]).alias("at"), out.alias("out"))
+    """`docs` with every span of personal data in its text replaced by its kind in brackets; spans that overlap merge.
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("d._key") == found["_key"]), "left")
-    return keyed.select(*[(F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"d.{c}")) for c in docs.columns])
+    All columns are kept, whatever their names; null and empty texts stay as they are, and each of repeated rows is
+    redacted; an empty table gives none.
+    """
+    found = find(docs, **options).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
+    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    placed = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    there = placed.select("row", spans.alias("spans"), F.when(F.col("spans").isNotNull(), _blocks(F.col("row.text"))).alias("blocks"))
+
+    def step(at: Column, x: Column) -> Column:
+        out = F.when(x["start"] >= at, F.concat(_piece(F.col("blocks"), at, x["start"]), names[x["kind"]])).otherwise("")
+        return F.struct(F.greatest(x["end"], at).alias("state"), out.alias("out"))
+
+    pieces = running(F.col("spans"), F.lit(0).cast("long"), step, "string")
+    last = F.array_max(F.transform("spans", lambda s: s["end"]))
+    done = F.concat(F.array_join(pieces, ""), _piece(F.col("blocks"), last, last + (F.size("blocks") * BLOCK).cast("long")))
+    return there.select(*[(F.when(F.col("spans").isNotNull(), done).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col(f"row.`{c}`")) for c in docs.columns])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
