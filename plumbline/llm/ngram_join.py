@@ -4,10 +4,11 @@
 2. Candidates. Nodes that agree in a band of ROWS values share a bucket. A bucket's rows are compared to its first node,
    its pivot; rows far enough from the pivot are compared among themselves, in blocks. Agreements high enough that a
    link could hide behind them join nodes to groups; see `_candidates` for why no link between members is lost.
-3. Pruning. Within a group, blocks of nodes meet pairwise. MinHash values are compared step by step; a pair goes once the
-   posterior probability that its similarity reaches the threshold falls below TOLERANCE.
-4. Verification. Remaining pairs are decided by their exact sets of 64-bit shingle hashes. A block pair yields each
-   node's number of links and a spanning forest of them, never the pairs.
+3. Pruning. Within a group, blocks of nodes meet pairwise, with nothing but their MinHash values. These are compared step by
+   step; a pair goes once the posterior probability that its similarity reaches the threshold falls below TOLERANCE. A
+   block pair yields the nodes that are left with a partner.
+4. Verification. Texts of such nodes alone become sets of 64-bit shingle hashes, each once, and decide the remaining pairs.
+   A block pair yields each node's number of links and a spanning forest of them, never the pairs.
 
 Groups are connected components of edge tables, found by rounds of joins over tables in the shared folder.
 """
@@ -201,8 +202,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     spark = edges.sparkSession
     # each node's edges downwards meet in its least neighbour: the same components over little more than an edge a node
     down = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-down")
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
+    # stored, so that the join has a plain exchange on either side, whose large partitions Spark can split
+    least = common.stored(down.groupBy("a").agg(F.min("b").alias("least")), f"{name}-least")
+    moved = down.join(_grows(least), "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
     fewer = moved.union(least.select("a", F.col("least").alias("b"))).distinct()
     alone = edges.where("a = b").select("a", "b").distinct()
     both = common.stored(fewer.union(fewer.select("b", "a")).union(alone).distinct(), f"{name}-edges")
@@ -311,21 +313,36 @@ def shared_shingles(x: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return total
 
 
+def _unpruned(grouped: DataFrame) -> DataFrame:
+    """grp, i, j, block, node: of each unit of two blocks of a group, the nodes with a partner that pruning leaves."""
+
+    def prune(table: pa.Table) -> pa.RecordBatch | None:
+        grp, i, j = (table[c][0].as_py() for c in ("grp", "i", "j"))
+        sig, blocks = _signatures(table["sig"]), table["block"].to_numpy()
+        some = np.unique(np.concatenate(pruned(sig, sig, *_pairs(blocks, i, j))))
+        if not len(some):
+            return None
+        same = lambda v, kind: pa.array(np.full(len(some), v), kind)
+        return pa.RecordBatch.from_arrays([same(grp, pa.int64()), same(i, pa.int32()), same(j, pa.int32()), pa.array(blocks[some], pa.int32()), table["node"].combine_chunks().take(pa.array(some))], ["grp", "i", "j", "block", "node"])
+
+    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    units = _dealt(_sized(grouped.select("grp", "node", "sig"), "grp", sizes, "node"), "node").select("grp", "i", "j", "block", "node", "sig")
+    return by_group(units, ["grp", "i", "j"], prune, "grp long, i int, j int, block int, node long")
+
+
 def _verified(docs: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
     """(node, links, root): per unit of two blocks, each linked node's number of links and its least linked node."""
     limit = Fraction(threshold).limit_denominator(1000)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _multipliers()
         for batch in batches:
-            for i, j in in_slices(batch.column(2), 1_000_000):
-                found, offsets = shingle_hashes(batch.column(2)[i:j])
-                own = [np.unique(found[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array([x.tobytes() for x in own], pa.binary()), pa.array([signature(x, a, b).tobytes() for x in own], pa.binary()), batch.column(3)[i:j]], ["grp", "node", "shingles", "sig", "blocks"])
+            for i, j in in_slices(batch.column(1), 1_000_000):
+                found, offsets = shingle_hashes(batch.column(1)[i:j])
+                own = [np.unique(found[s:e]).tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(own, pa.binary())], ["node", "shingles"])
 
     def verify(table: pa.Table) -> pa.RecordBatch | None:
-        ids, first = np.unique(table["node"].to_numpy(), return_index=True)  # a row given twice is one node
-        table = table.take(pa.array(first))
+        ids = table["node"].to_numpy()
         sig, blocks = _signatures(table["sig"]), table["block"].to_numpy()
         own = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         size = np.array([len(x) for x in own], np.int64)
@@ -341,13 +358,13 @@ def _verified(docs: DataFrame, grouped: DataFrame, threshold: float) -> DataFram
         root, some = forest(a, b, len(ids)), np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["node", "links", "root"])
 
+    units = common.stored(_unpruned(grouped), "join-units")
+    wanted = grouped.join(_grows(units.select("node").distinct()), "node").alias("g")
     keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("key"), "text").alias("d")
-    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    wanted = _grows(_sized(grouped, "grp", sizes, "node")).alias("g")
-    texts = keyed.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key"))).select("g.grp", "g.node", "d.text", "g.blocks")
-    made = texts.mapInArrow(common.lean(sets), "grp long, node long, shingles binary, sig binary, blocks int")
-    units = _dealt(made, "node").select("grp", "i", "j", "block", "node", "shingles", "sig")
-    return by_group(units, ["grp", "i", "j"], verify, "node long, links long, root long")
+    texts = keyed.join(_grows(wanted), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key"))).select("g.node", "d.text")
+    made = texts.mapInArrow(common.lean(sets), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))  # a row given twice is one node
+    full = units.join(_grows(made), "node").join(_grows(grouped.select("node", "sig")), "node")
+    return by_group(full.select("grp", "i", "j", "block", "node", "shingles", "sig"), ["grp", "i", "j"], verify, "node long, links long, root long")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -363,7 +380,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = common.stored(sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id")), "join-nodes")
     own = sketch.select(F.col("uid").alias("node"), "doc_id", "key", "sig").join(_grows(nodes.select("node")), "node")
     groups = components(_candidates(own.select("node", "sig")), "join-groups")
-    grouped = common.stored(groups.select("node", F.col("label").alias("grp")).join(_grows(sketch.select(F.col("uid").alias("node"), "doc_id", "key")), "node"), "join-grouped")
+    grouped = common.stored(groups.select("node", F.col("label").alias("grp")).join(_grows(sketch.select(F.col("uid").alias("node"), "doc_id", "key", "sig")), "node"), "join-grouped")
     found = common.stored(_verified(docs, grouped, threshold), "join-links")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "join-classes")
     counted = found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node")
@@ -371,19 +388,25 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = named.groupBy("label").agg(F.min("least_id").alias("class_least"))
     by_node = nodes.join(_grows(named.select("node", "links", "label")), "node", "left").join(first, "label", "left")
     by_node = by_node.select("key", "node", F.coalesce("class_least", "least_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("label", "node").alias("first_uid"))
-    rows = sketch.select("uid", "doc_id", "key").join(_grows(by_node), "key", "left")
-    alone = F.col("node").isNull()
-    return rows.select("doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("uid") == F.col("first_uid"))).alias("is_first"))
+    rows = sketch.where("key IS NOT NULL").select("uid", "doc_id", "key").join(_grows(by_node), "key")
+    named = rows.select("doc_id", "key", "class_id", F.col("n_links").cast("long").alias("n_links"), (F.col("uid") == F.col("first_uid")).alias("is_first"))
+    alone = sketch.where("key IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_first"))
+    return named.unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` (all columns) with one row of each class of near duplicates; texts without words all stay."""
+    """`docs` with one row of each class of near duplicates; texts without words all stay.
+
+    All columns are kept, whatever their names and types. Of rows that are equal in doc_id and text, the one whose other
+    columns come first as JSON stays. An empty table gives none.
+    """
     first = common.stored(join(docs, threshold).where("is_first AND key IS NOT NULL").select("doc_id", "key"), "join-first")
-    keyed = docs.withColumn("_key", F.unhex(F.md5("text"))).withColumn("_words", common.n_words(F.col("text")) > 0).alias("d")
-    empty = keyed.where("NOT _words").select(*[F.col(f"d.{c}") for c in docs.columns])
-    kept = keyed.where("_words").join(_grows(first).alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._key") == F.col("f.key"))).select("d.*")
-    once = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)]))
-    return kept.withColumn("_n", once).where("_n = 1").select(docs.columns).unionByName(empty)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5("text")).alias("hash"), (common.n_words(F.col("text")) > 0).alias("words"), order.alias("order"))
+    kept = rows.where("words").join(_grows(first), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("key"))).select("row", "id", "hash", "order")
+    once = F.row_number().over(Window.partitionBy("id", "hash").orderBy("order"))
+    return kept.withColumn("nth", once).where("nth = 1").select("row.*").unionByName(rows.where("NOT words").select("row.*"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
