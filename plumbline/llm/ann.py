@@ -6,7 +6,7 @@ vector more than the rest, since that part is what changes large inner products.
 code, keeps each block's best, and ranks these by the exact inner product of the original vectors.
 
 The index is fitted on the driver from at most about MAX_SAMPLE vectors, chosen by a hash of their id; all vectors are
-indexed. Rows of a partition are dealt to blocks of about BLOCK rows by a hash of their id, and the queries that probe
+indexed. Rows of a partition are dealt to blocks of about BLOCK rows by a hash of their place, and the queries that probe
 a partition to blocks of about QUERY_BLOCK, so a partition that holds most vectors is searched by many tasks.
 """
 
@@ -138,15 +138,16 @@ def scan(queries: np.ndarray, codes: np.ndarray, index: Index) -> np.ndarray:
     return total
 
 
-def searched(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, index: Index, k: int = K, shortlist: int = SHORTLIST) -> list[tuple]:
-    """(query_id, vec_id, score): each query's best `k` of a block, its own row apart, by exact score after a table scan."""
+def searched(query_uids: np.ndarray, queries: np.ndarray, uids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, index: Index, k: int = K, shortlist: int = SHORTLIST) -> list[tuple]:
+    """(query's uid, vec_id, uid, score): each query's best `k` of a block, its own row apart, by exact score after a table
+    scan. A uid is a row's; an id may be that of several rows."""
     out: list[tuple] = []
-    order = np.argsort(ids, kind="stable")
-    ids, vectors, codes = ids[order], vectors[order].astype(np.float64), codes[order]
+    order = np.lexsort((uids, ids))
+    uids, ids, vectors, codes = uids[order], ids[order], vectors[order].astype(np.float64), codes[order]
     for a in range(0, len(queries), 256):
-        q, q_ids = queries[a : a + 256], query_ids[a : a + 256]
+        q, q_uids = queries[a : a + 256], query_uids[a : a + 256]
         near = scan(q, codes, index)
-        near[q_ids[:, None] == ids[None, :]] = -np.inf
+        near[q_uids[:, None] == uids[None, :]] = -np.inf
         if near.shape[1] > shortlist:
             limit = np.partition(near, near.shape[1] - shortlist, axis=1)[:, near.shape[1] - shortlist]
         else:
@@ -154,8 +155,8 @@ def searched(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
         for i in range(len(q)):
             some = np.flatnonzero((near[i] >= limit[i]) & (near[i] > -np.inf))
             score = (vectors[some] * q[i].astype(np.float64)).sum(1)  # equal vectors get equal scores, unlike in blocked products
-            best = np.lexsort((ids[some], -score))[:k]
-            out += zip([int(q_ids[i])] * len(best), ids[some][best].tolist(), score[best].tolist(), strict=True)
+            best = np.lexsort((uids[some], ids[some], -score))[:k]
+            out += zip([int(q_uids[i])] * len(best), ids[some][best].tolist(), uids[some][best].tolist(), score[best].tolist(), strict=True)
     return out
 
 
@@ -170,7 +171,10 @@ def search(rows: DataFrame, is_query, k: int = K, cover: float = COVER, seed: in
     """query_id, rank, vec_id, score: for rows where `is_query` holds, the `k` nearest other rows found.
 
     Vectors that are null, zero or not finite take no part, nor do rows without an id; those of each length are searched
-    among themselves, with an index of their own; equal scores go to the smaller id; fewer than `k` candidates are all returned; an empty table gives none. A query visits as many partitions as
+    among themselves, with an index of their own; equal scores go to the smaller id; fewer than `k` candidates are all
+    returned; an empty table gives none. Rows that share an id are rows of their own: each is ranked, and where the id is a
+    query's, each has `k` neighbours, the other row among them. Columns other than vec_id and embedding are
+    ignored; `is_query` may read these two. A query visits as many partitions as
     `visits` asks for at every size of table, so that clustered vectors take few and shapeless ones most, and more where
     these hold no `k` other rows.
     """
@@ -211,27 +215,31 @@ def _of_length(vectors: DataFrame, n: int, is_query, k: int, cover: float, seed:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), lists], ["vec_id", "embedding", "part", "codes", "near"])
 
-    made = common.stored(vectors.mapInArrow(common.lean(coded), "vec_id long, embedding array<double>, part int, codes binary, near array<int>"), "ann-index")
-    probes = made.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("near").alias("part"))
+    indexed = vectors.mapInArrow(common.lean(coded), "vec_id long, embedding array<double>, part int, codes binary, near array<int>")
+    made = common.stored(indexed.withColumn("uid", F.monotonically_increasing_id()), "ann-index")
+    probes = made.where(is_query).select(F.col("uid").alias("query_uid"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("near").alias("part"))
     # at most as many rows as there are partitions
     sizes = made.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(probes.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks")), "part")
     sizes = spark.createDataFrame([tuple(r) for r in sizes.select("part", "blocks", "query_blocks").collect()], "part int, blocks int, query_blocks int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.col(n)).cast("int")
-    left = made.join(F.broadcast(sizes), "part").select("part", of("vec_id", "blocks").alias("block"), each("query_blocks").alias("query_block"), "vec_id", "embedding", "codes")
-    right = probes.join(F.broadcast(sizes), "part").select("part", each("blocks").alias("block"), of("query_id", "query_blocks").alias("query_block"), "query_id", "query")
+    left = made.join(F.broadcast(sizes), "part").select("part", of("uid", "blocks").alias("block"), each("query_blocks").alias("query_block"), "uid", "vec_id", "embedding", "codes")
+    right = probes.join(F.broadcast(sizes), "part").select("part", each("blocks").alias("block"), of("query_uid", "query_blocks").alias("query_block"), "query_uid", "query_id", "query")
 
     def block(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple] = []
+        named: dict[int, int] = {}
         if len(rows) and len(queries):
             codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(rows), -1)
-            found = searched(queries["query_id"].to_numpy(), _matrix(queries["query"]), rows["vec_id"].to_numpy(), _matrix(rows["embedding"]), codes, Index(*shared.value), k)
-        q, v, s = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+            uids, ids = queries["query_uid"].to_numpy(), queries["query_id"].to_numpy()
+            named = dict(zip(uids.tolist(), ids.tolist(), strict=True))
+            found = searched(uids, _matrix(queries["query"]), rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["embedding"]), codes, Index(*shared.value), k)
+        q, v, u, s = zip(*found, strict=True) if found else ((), (), (), ())
+        return pa.table({"query_uid": pa.array(q, pa.int64()), "query_id": pa.array([named[x] for x in q], pa.int64()), "vec_id": pa.array(v, pa.int64()), "uid": pa.array(u, pa.int64()), "score": pa.array(s, pa.float64())})
 
     keys = ["part", "block", "query_block"]
-    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(block, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(block, "query_uid long, query_id long, vec_id long, uid long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
