@@ -4,8 +4,8 @@ Features are indicators of n-grams: words, pairs of words, and pairs of word sha
 scaled by its class log-count ratio, and a linear hinge-loss model over the scaled indicators is fitted by dual
 coordinate descent. The margin becomes a score through a logistic curve fitted on the training rows.
 
-The model is fitted on the driver from at most about MAX_TRAIN labelled rows, chosen by a hash of their id; every
-document is then scored, whole, where it is read.
+The model is fitted on the driver from at most about MAX_TRAIN labelled rows with at most about MAX_FEATURES features in
+all, chosen by a hash; every document is then scored, whole, where it is read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.llm import common
 from plumbline.llm.tokens import in_slices
@@ -26,6 +27,8 @@ from plumbline.llm.words import Words, mixed, words_of
 BITS = 20
 #: Labelled rows that the model is fitted on: all of them up to this number, about this many beyond it.
 MAX_TRAIN = 4000
+#: Features of these rows in all: where the texts are so long that they have more, fewer rows are taken.
+MAX_FEATURES = 40_000_000
 SMOOTH = 1.0
 COST = 0.1
 EPOCHS = 12
@@ -113,34 +116,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on labelled documents that are not held out; null labels, ids and texts are passed over."""
-    labelled = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
+    """Fit on labelled documents that are not held out; null labels, ids and texts are passed over.
+
+    Labels and documents that are there several times count once each; an id with both labels counts for both. Empty texts
+    are rows without features. Without labelled documents, all scores are 0.5. Other columns are ignored.
+    """
+    labelled = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
     n = labelled.count()
-    share = min(1.0, max_train / max(n, 1))
-    some = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))  # about max_train rows at most
+    below = lambda share, *by: F.pmod(F.xxhash64(*by, F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))
+    some = labelled.where(below(min(1.0, max_train / max(n, 1)), "doc_id"))  # about max_train rows at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in in_slices(batch.column(0), 1_000_000):
                 found, offsets = features(words_of(batch.column(0)[a:b]))
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found))], ["doc_id", "quality", "found"])
-
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").select("text", "doc_id", "quality")
-    table = texts.mapInArrow(common.lean(rows), "doc_id long, quality int, found array<int>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")]).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found))], ["doc_id", "quality", "key", "found"])
+
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").select("text", "doc_id", "quality", F.xxhash64("text").alias("key"))
+    made = common.stored(texts.mapInArrow(common.lean(rows), "doc_id long, quality int, key long, found array<int>"), "quality-features")
+    total = made.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+    if total > max_features:
+        made = made.where(below(max_features / total, "doc_id", "key"))
+    table = made.dropDuplicates(["doc_id", "quality", "key"]).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "quality", "key")]).combine_chunks()
     if not len(table):
         return fit([], np.zeros(0))
     lists = table["found"].chunk(0)
     values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
     model = fit([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], table["quality"].to_numpy())
-    del table, lists, values
+    del table, made, lists, values
     common.release()
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` (all columns) with `score`, by each whole text alone; null and empty texts score the model's bias."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """`docs` (all columns) with the score as column `name`, which must be new; by each whole text alone.
+
+    Null and empty texts score the model's bias; repeated rows score each by itself; an empty table gives none.
+    """
     spark, names = docs.sparkSession, docs.columns
+    if common.unused(names, name) != name:
+        raise ValueError(f"there is a column {name} already")
     shared = spark.sparkContext.broadcast(tuple(model))  # 2^BITS floats, whatever the input
     at = names.index("text")
 
@@ -150,9 +166,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for a, b in in_slices(batch.column(at), 1_000_000):
                 part = batch.slice(a, b - a)
                 score = own.scores(*features(words_of(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, name])
 
-    return docs.mapInArrow(common.lean(rows), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double").withColumnRenamed("_score", "score")
+    return docs.mapInArrow(common.lean(rows), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
