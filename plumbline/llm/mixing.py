@@ -55,27 +55,28 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, weights: tuple[int, ...
 
     `copies` is how often the mix takes the document, 0 to `epochs`. A source's taken words miss its target by half a
     document at most. A null source is a source of its own; documents without words are never taken; documents with
-    the same doc_id follow in order of size, and rows equal in both are interchangeable. An empty table gives none.
+    the same doc_id follow in order of size, and rows equal in both are interchangeable. Columns source_size, target and copies that `docs` may have give way to the new ones; all other names
+    are free. An empty table gives none.
     """
     level = targets(docs.select("source", "size") if sizes is None else sizes, weights, epochs)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    there = docs.withColumn("_key", key).alias("d").join(level.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    there = there.select("d.*", "s.source_size", "s.target", "s.n_docs")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "size", key.alias("key"))
+    there = rows.alias("d").join(level.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(epochs), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
-    place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     bucket = F.floor(place * F.ceil(F.sqrt("n_docs")) / F.lit(2**32)).cast("long")
-    there = there.withColumns({"_whole": whole.cast("long"), "_bucket": bucket})
     # the same keys for the window and the join: rows, whatever they carry, are dealt once
-    there = there.withColumns({"_source": F.coalesce("source", F.lit("")), "_null": F.col("source").isNull()})
-    by = ["_source", "_null", "_bucket"]
-    sums = there.groupBy(by).agg(F.sum("size").alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("_source", "_null").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    running = F.coalesce(F.sum("size").over(Window.partitionBy(by).orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    there = there.withColumn("_running", running).join(before, by)
-    more = F.col("target") - F.col("_whole") * F.col("source_size")
-    extra = (F.col("size") > 0) & (F.col("_whole") < epochs) & (2 * (F.col("_before") + F.col("_running")) + F.col("size") <= 2 * more)
-    copies = F.when(F.col("size") > 0, F.col("_whole") + extra.cast("long")).otherwise(0)
-    return there.withColumn("copies", copies).drop(*by, "_key", "_whole", "_running", "_before", "n_docs")
+    there = there.select("row", "doc_id", "size", "key", "source_size", "target", whole.cast("long").alias("whole"), bucket.alias("bucket"), F.coalesce("d.source", F.lit("")).alias("source"), F.col("d.source").isNull().alias("no_source"))
+    by = ["source", "no_source", "bucket"]
+    sums = there.groupBy(by).agg(F.sum("size").alias("sum"))
+    before = sums.withColumn("before", F.coalesce(F.sum("sum").over(Window.partitionBy("source", "no_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
+    running = F.coalesce(F.sum("size").over(Window.partitionBy(by).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    there = there.withColumn("running", running).join(before, by)
+    more = F.col("target") - F.col("whole") * F.col("source_size")
+    extra = (F.col("size") > 0) & (F.col("whole") < epochs) & (2 * (F.col("before") + F.col("running")) + F.col("size") <= 2 * more)
+    copies = F.when(F.col("size") > 0, F.col("whole") + extra.cast("long")).otherwise(0)
+    new = {"source_size": F.col("source_size"), "target": F.col("target"), "copies": copies}
+    return there.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in new], *[c.alias(name) for name, c in new.items()])
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
