@@ -111,20 +111,22 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """Pack whole documents, with an end id each, into as few sequences of at most `capacity` ids as best-fit finds.
 
     Columns read: doc_id, text; others may be there. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    Null or empty texts are one end id. Repeated rows, null ids and ties are pieces of their own: ranks order equal
-    lengths by (doc_id, piece, ids_crc32), and rows equal in all of these are interchangeable. An empty table gives none.
+    Null or empty texts are one end id. Repeated rows, null ids and ties are pieces of their own: pieces of a length are
+    interchangeable, and their places in the stored table rank them, so that no id's rows meet in one bucket. Very long
+    texts are cut into as many pieces as they take. An empty table gives none.
     `cache_words` trades a worker's memory for its time.
     """
     spark = docs.sparkSession
-    made = common.stored(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, cache_words), "pieces")
+    made = pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, cache_words)
+    made = common.stored(made.withColumn("place", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in made.groupBy("length").count().collect()}  # at most `capacity` rows
     rows = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)
     keys = (rows[:, 0] << _RANK_BITS) + rows[:, 1]
 
     lookup = spark.createDataFrame([(int(k), max(1, int(n**0.5))) for k, n in counts.items()], "length long, buckets long")  # at most `capacity` rows
-    dealt = made.join(F.broadcast(lookup), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets")).drop("buckets")
+    dealt = made.join(F.broadcast(lookup), "length").withColumn("bucket", F.pmod(F.xxhash64("place"), "buckets")).drop("buckets")
     before = dealt.groupBy("length", "bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("place")) - 1
     ranked = dealt.withColumn("place", place).join(before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
 
