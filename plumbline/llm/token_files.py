@@ -63,42 +63,43 @@ def _kind(tokenizer: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """One row a document, in ascending doc_id order over and within partitions; see the module for its columns.
+def ordered(made: DataFrame, kind: str) -> DataFrame:
+    """Rows of the file format from stored ids, in ascending doc_id order over and within partitions.
 
-    The ids are stored before they are put in order, so that no text is encoded twice. Documents of one id, or of none,
-    are dealt by their ids and, where these are equal too, by their place in the stored table: rows that nothing tells
-    apart, which may stand in any order.
+    Documents of one id, or of none, are dealt by their ids and, where these are equal too, by their place in the stored
+    table: rows that nothing tells apart, which may stand in any order.
     """
-    kind = _kind(tokenizer, end_id)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start = TaskContext.get().partitionId(), 0
+        shard, start, width = TaskContext.get().partitionId(), 0, np.dtype(kind).itemsize
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 held = part.column(1).cast(pa.large_binary())
                 at = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, held.offset * 8)
-                data = held.buffers()[2]
-                ids = np.frombuffer(data, kind, offset=int(at[0]), count=int(at[-1] - at[0]) // np.dtype(kind).itemsize).astype(np.int32) if data else np.zeros(0, np.int32)
-                at = (at - at[0]) // np.dtype(kind).itemsize
+                ids = np.frombuffer(held.buffers()[2], kind, int(at[-1] - at[0]) // width, int(at[0])).astype(np.int32)  # each row has the end id at least
+                at = (at - at[0]) // width
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(part), shard, np.int32)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], ["doc_id", "shard", "start", "n_tokens", "tokens"])
                 start += int(at[-1])
 
-    made = common.stored(_encoded(docs, tokenizer, end_id, kind), "token-ids").withColumn("place", F.monotonically_increasing_id())
-    ordered = made.repartitionByRange("doc_id", "crc", "place").sortWithinPartitions("doc_id", "crc")
-    return ordered.select("doc_id", "ids").mapInArrow(common.lean(rows), SCHEMA)
+    placed = made.withColumn("place", F.monotonically_increasing_id())
+    return placed.repartitionByRange("doc_id", "crc", "place").sortWithinPartitions("doc_id", "crc").select("doc_id", "ids").mapInArrow(common.lean(rows), SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Encode whole texts, however long, and write them to `path`.
+    """Encode whole texts, however long, and write them to `path`. Ids are stored before they are put in order, so that no
+    text is encoded twice.
 
     Null or empty texts are the end id alone; null ids come first; repeated ids follow in order of their token ids' crc32,
     and repeated rows are rows of their own; columns other than doc_id and text are ignored, whatever their names; an
     empty table gives files without rows.
     """
-    encoded(docs, tokenizer or default_tokenizer(), end_id).write.options(**FILE_OPTIONS).parquet(path)
+    tokenizer = tokenizer or default_tokenizer()
+    kind = _kind(tokenizer, end_id)
+    made, at = common.stored_at(_encoded(docs, tokenizer, end_id, kind), "token-ids", compression="zstd")
+    ordered(made, kind).write.options(**FILE_OPTIONS).parquet(path)
+    common.removed(docs.sparkSession, at)
 
 
 def _counted_over_all(rows: DataFrame, files: DataFrame) -> DataFrame:
