@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import DRIFT_SHARE, ratio
+from plumbline.operators.ordering import next_after
+from plumbline.tables import stored
 
 MAX_HOPS = 64
 
@@ -21,26 +23,23 @@ def pin_delta(pinned: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def resolved(renames: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """seq, path, name, hops: where each rename's path ended after the renames that followed it, `hops` at most.
+    """seq, path, name, hops: where each rename's path ended after the renames that followed it, `hops` (a power of two) at
+    most.
 
     `renames` has seq (newer is larger), old and new. A rename is followed by the first later one of the path it made, so
-    a path that is used again keeps apart from its earlier life. Successors are found once, by a join and an aggregate;
-    the recursion then walks from row to row by equality.
+    a path that is used again keeps apart from its earlier life. Each round takes a chain's end to the end of the chain
+    that goes on there, so that chains double; rounds are tables in the shared folder.
     """
-    moves = renames.where("old <> new").select("seq", "old", "new")
-    later = moves.select(F.col("seq").alias("_seq"), F.col("old").alias("_old"))
-    linked = moves.join(later, (F.col("new") == F.col("_old")) & (F.col("_seq") > F.col("seq")), "left").groupBy("seq", "old", "new").agg(F.min("_seq").alias("next_seq"))
-    return renames.sparkSession.sql(
-        """
-        WITH RECURSIVE chain AS (
-          SELECT seq, old AS path, new AS name, next_seq, 1 AS hops FROM {moves}
-          UNION ALL
-          SELECT c.seq, c.path, m.new, m.next_seq, c.hops + 1 FROM chain c JOIN {moves} m ON c.next_seq = m.seq WHERE c.hops < {hops})
-        SELECT seq, path, max_by(name, hops) AS name, max(hops) AS hops FROM chain GROUP BY seq, path
-        """,
-        moves=linked,
-        hops=hops,
-    )
+    moves = renames.where("old <> new").select(F.col("seq").cast("long"), "old", "new")
+    linked = next_after(moves.select("seq", F.col("old").alias("path"), F.col("new").alias("name")), moves.select("seq", F.col("old").alias("name")), "name", "seq", "next_seq")
+    chains = stored(linked.withColumn("hops", F.lit(1)), "renames")
+    for _ in range(hops.bit_length() - 1):
+        if chains.where("next_seq IS NOT NULL").isEmpty():
+            break
+        onward = chains.select(F.col("seq").alias("next_seq"), F.col("path").alias("name"), F.col("name").alias("_name"), F.col("next_seq").alias("_next"), F.col("hops").alias("_hops"))
+        joined = chains.join(onward, ["next_seq", "name"], "left")
+        chains = stored(joined.select("seq", "path", F.coalesce("_name", "name").alias("name"), F.col("_next").alias("next_seq"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")), "renames")
+    return chains.select("seq", "path", "name", "hops")
 
 
 def population_match(pinned: DataFrame, current: DataFrame, renames: DataFrame) -> DataFrame:

@@ -38,11 +38,18 @@ def learned_suffixes(endings: DataFrame, by: list[str], least: int = 3, share: f
 
 def namesakes(sources: DataFrame, tests: DataFrame) -> DataFrame:
     """source, test, how: tests of the same stem, one source each: whole path below the root first, then the same
-    directory name, then the stem alone; among equals the least source."""
-    both = sources.select("stem", F.col("path").alias("source"), F.col("dir").alias("_sd")).join(tests.select("stem", F.col("path").alias("test"), F.col("dir").alias("_td")), "stem")
-    how = F.when(F.col("_sd") == F.col("_td"), 0).when(F.substring_index("_sd", "/", -1) == F.substring_index("_td", "/", -1), 1).otherwise(2)
-    best = both.groupBy("test").agg(F.min(F.struct(how.alias("how"), "source")).alias("b"))
-    return best.select("test", "b.source", F.element_at(F.array(F.lit("whole"), F.lit("mirrored"), F.lit("stem")), F.col("b.how") + 1).alias("how"))
+    directory name, then the stem alone; among equals the least source.
+
+    Each way is a join by equality with one row a key, so a stem that thousands of files share makes no pairs.
+    """
+    last = lambda dir_: F.substring_index(dir_, "/", -1)
+    each = tests.select("stem", F.col("path").alias("test"), F.col("dir"), last("dir").alias("_last")).distinct()
+    ways = (("whole", ["stem", "dir"]), ("mirrored", ["stem", "_last"]), ("stem", ["stem"]))
+    known = sources.select("stem", F.col("path").alias("_source"), F.col("dir"), last("dir").alias("_last"))
+    for how, keys in ways:
+        each = each.join(known.groupBy(*keys).agg(F.min("_source").alias(f"_{how}_source")), keys, "left")
+    found = [F.when(F.col(f"_{how}_source").isNotNull(), F.struct(F.col(f"_{how}_source").alias("source"), F.lit(how).alias("how"))) for how, _ in ways]
+    return each.withColumn("_b", F.coalesce(*found)).where("_b IS NOT NULL").select("test", "_b.source", "_b.how")
 
 
 def resolved_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:

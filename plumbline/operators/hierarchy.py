@@ -5,8 +5,11 @@ A path is exploded to its ancestors and joined by equality; nothing compares pre
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,43 +34,61 @@ def deepest(paths: DataFrame, areas: DataFrame, path: str = "path", area: str =
 def discover(files: DataFrame, min_files: Column | None = None, dir_: str = "dir") -> DataFrame:
     """area, files: directories that stand for their subtrees.
 
-    A directory's files go to its nearest ancestor, itself first, whose whole subtree has `min_files`; the root is none.
+    A directory's files go to its nearest ancestor, itself first, whose whole subtree has `min_files` and whose path a glob
+    can spell; the root is none.
     Areas that end with fewer than that themselves are left out.
     """
     by_dir = files.groupBy(dir_).agg(F.count(F.lit(1)).alias("n"))
     least = min_files if min_files is not None else area_floor(F.col("total"))
     total = by_dir.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).select(least.alias("least"))  # one row
     above = by_dir.select(dir_, "n", F.explode(ancestors(F.col(dir_))).alias("path"))
-    large = above.groupBy("path").agg(F.sum("n").alias("below")).crossJoin(F.broadcast(total)).where("path <> '.' AND below >= least").select("path", "least")
+    large = above.groupBy("path").agg(F.sum("n").alias("below")).crossJoin(F.broadcast(total)).where("path <> '.' AND below >= least").where(~F.col("path").rlike(GLOB_SYNTAX)).select("path", "least")
     home = above.join(large, "path").groupBy(dir_, "n", "least").agg(F.max_by("path", F.length("path")).alias("area"))
     return home.groupBy("area", "least").agg(F.sum("n").alias("files")).where("files >= least").select("area", "files")
 
 
-def fold(areas: Iterable[tuple[str, int]], most: int) -> list[tuple[str, int]]:
-    """Fold the smallest areas into their nearest ancestor area, or a new parent, until `most` are left; never into the root.
+#: Characters that a glob does not take as they are; a directory named with one is never an area.
+GLOB_SYNTAX = r"[*?\[\]{}!]"
 
-    Each step depends on the one before it, so this runs on the driver, over one row an area, which `area_ceiling` and
-    the floor bound by the directories of one repository.
+
+def fold(areas: Iterable[tuple[str, int]], most: int) -> tuple[list[tuple[str, int]], int]:
+    """(areas, orphaned files): the smallest areas folded into their nearest ancestor area, or a new parent, until `most` are
+    left; never into the root, nor into a directory that no glob spells. Files that find no home are orphaned.
+
+    Each step depends on the one before it. Areas are taken in order of their first size; a new parent queues behind them.
     """
     size = dict(areas)
-    queue = sorted(size, key=lambda p: (size[p], p))
+    queue = deque(sorted(size, key=lambda p: (size[p], p)))
+    orphaned = 0
     while len(size) > most and queue:
-        victim = queue.pop(0)
+        victim = queue.popleft()
         if victim not in size:
             continue
-        chain = []
-        up = victim
-        while "/" in up:
-            up = up.rpartition("/")[0]
-            chain.append(up)
+        parts = victim.split("/")
+        chain = [p for n in range(len(parts) - 1, 0, -1) if not re.search(GLOB_SYNTAX, p := "/".join(parts[:n]))]
         host = next((p for p in chain if p in size), chain[0] if chain else None)
         n = size.pop(victim)
         if host is None:
+            orphaned += n
             continue
         if host not in size:
             queue.append(host)
         size[host] = size.get(host, 0) + n
-    return sorted(size.items())
+    return sorted(size.items()), orphaned
+
+
+def folded(areas: DataFrame, most: int) -> DataFrame:
+    """tree, area, files of areas (tree, area, files), `most` to a tree; a null area holds what was orphaned.
+
+    A tree's areas, a row a directory of one repository, are folded by one task; trees by as many as there are.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        kept, orphaned = fold(zip(table["area"].to_pylist(), table["files"].to_pylist(), strict=True), most)
+        kept += [(None, orphaned)] if orphaned else []
+        return pa.table({"tree": pa.array([table["tree"][0].as_py()] * len(kept), pa.string()), "area": pa.array([a for a, _ in kept], pa.string()), "files": pa.array([n for _, n in kept], pa.int64())})
+
+    return areas.select("tree", "area", "files").groupBy("tree").applyInArrow(one, "tree string, area string, files long")
 
 
 def reach(paths: DataFrame, globs: DataFrame) -> DataFrame:

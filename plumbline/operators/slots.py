@@ -6,6 +6,8 @@ file at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def file_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy(*SLOT, "rel").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("conforming").alias("conforming"))
 
 
+def merged_counts(counted: DataFrame) -> DataFrame:
+    """As `file_counts`, from sites that are counted already, in several rows a file."""
+    return counted.groupBy(*SLOT, "rel").agg(F.sum("candidates").alias("candidates"), F.sum("conforming").alias("conforming"))
+
+
 def slot_counts(by_file: DataFrame) -> DataFrame:
     """Counts of each slot, the inverse Simpson number of its files (as exact integers) and its largest file.
 
@@ -52,9 +59,12 @@ def denominators(files: DataFrame, dimensions: DataFrame) -> DataFrame:
 def pooled(slots: DataFrame, by: list[str], blocked: Column | None = None) -> DataFrame:
     """`slots` with rest_candidates and rest_conforming: sums over all other slots of the same claim that are not blocked."""
     open_ = F.lit(True) if blocked is None else ~blocked
-    over = Window.partitionBy(*by)
-    rest = lambda c: F.greatest(F.sum(F.when(open_, F.col(c)).otherwise(0)).over(over) - F.when(open_, F.col(c)).otherwise(0), F.lit(0)).alias(f"rest_{c}")
-    return slots.select("*", rest("candidates"), rest("conforming"))
+    counts = ("candidates", "conforming")
+    own = lambda c: F.when(open_, F.col(c)).otherwise(0)
+    pool = slots.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*[F.sum(own(c)).alias(f"_all_{c}") for c in counts])  # a row a claim
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    rest = [F.greatest(F.coalesce(f"_all_{c}", F.lit(0)) - own(c), F.lit(0)).alias(f"rest_{c}") for c in counts]
+    return slots.join(pool, same, "left").select(*[F.col(f"`{c}`") for c in slots.columns], *rest)
 
 
 def exceptions(by_file: DataFrame, most: int = 3) -> DataFrame:

@@ -35,10 +35,11 @@ def area_discovery(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.discover(pages.paths(spark, sf))
 
 
-@query()
+@query(f"WITH {_P}, a AS (SELECT host, dir, count(*) AS n, count(*) OVER (PARTITION BY host) AS areas, row_number() OVER (PARTITION BY host ORDER BY count(*) DESC, dir DESC) AS nth FROM paths GROUP BY host, dir), r AS (SELECT host AS tree, CASE WHEN areas <= 2 OR nth = 1 THEN dir ELSE split_part(dir, '/', 1) || '/' || host END AS area, n FROM a) SELECT tree, area, sum(n)::BIGINT AS files FROM r GROUP BY tree, area")
 def area_cap_fold(spark: SparkSession, sf: str) -> DataFrame:
-    found = [(r.area, r.files) for r in hierarchy.discover(pages.paths(spark, sf)).collect()]  # a row a directory of one tree
-    return spark.createDataFrame(hierarchy.fold(found, 12), "area string, files long")
+    """A site's directories, two to a site: all but its largest fold into their parent where there are more."""
+    areas = pages.paths(spark, sf).groupBy(F.col("host").alias("tree"), F.col("dir").alias("area")).agg(F.count(F.lit(1)).alias("files"))
+    return hierarchy.folded(areas, 2)
 
 
 @query(f"""WITH {_P}, globs AS (SELECT DISTINCT tld AS area, tld AS dir, true AS deep, false AS negated FROM paths UNION ALL SELECT DISTINCT tld, tld || '/' || host, true, true FROM paths WHERE length(host) % 3 = 0)
@@ -74,12 +75,12 @@ def companion_suffixes(spark: SparkSession, sf: str) -> DataFrame:
 _PLACE = "split_part(host, '.', -1) || '/' || split_part(host, '.', 1)"
 
 
-@query(f"""WITH {_P}, s AS (SELECT DISTINCT number[-2:] AS stem, path AS source, {_PLACE} AS dir FROM paths WHERE lang = 'en'), t AS (SELECT DISTINCT number[-2:] AS stem, path AS test, {_PLACE} AS dir FROM paths WHERE lang <> 'en'),
+@query(f"""WITH {_P}, s AS (SELECT DISTINCT number AS stem, path AS source, {_PLACE} AS dir FROM paths WHERE lang = 'en'), t AS (SELECT DISTINCT number AS stem, path AS test, {_PLACE} AS dir FROM paths WHERE lang <> 'en'),
 b AS (SELECT test, source, CASE WHEN s.dir = t.dir THEN 0 WHEN split_part(s.dir, '/', -1) = split_part(t.dir, '/', -1) THEN 1 ELSE 2 END AS how FROM s JOIN t ON s.stem = t.stem)
 SELECT test, first(source ORDER BY how, source) AS source, ['whole', 'mirrored', 'stem'][min(how) + 1] AS how FROM b GROUP BY test""")
 def namesake_match(spark: SparkSession, sf: str) -> DataFrame:
     place = F.concat_ws("/", F.substring_index("host", ".", -1), F.substring_index("host", ".", 1))
-    there = pages.paths(spark, sf).select(F.expr("right(number, 2)").alias("stem"), "path", place.alias("dir"), "lang").distinct()
+    there = pages.paths(spark, sf).select(F.col("number").alias("stem"), "path", place.alias("dir"), "lang").distinct()
     return companions.namesakes(there.where("lang = 'en'"), there.where("lang <> 'en'"))
 
 
@@ -98,9 +99,9 @@ def relative_import_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return companions.relative_imports(imports, there.select("path"), ("html", "js"))
 
 
-@query(f"WITH {_L}, o AS (SELECT DISTINCT lang, page_id, lower(substr(module, 1, 1)) AS module FROM links), f AS (SELECT lang, count(DISTINCT page_id) AS files FROM o GROUP BY lang HAVING count(DISTINCT page_id) >= 5), c AS (SELECT o.lang, module, count(*) AS importers, files, count(*) / files AS share FROM o JOIN f ON o.lang = f.lang GROUP BY o.lang, module, files), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY importers DESC, module) AS rank FROM c WHERE share >= 0.6) SELECT lang, module, importers, files, share, rank FROM r WHERE rank <= 3")
+@query(f"WITH {_L}, o AS (SELECT DISTINCT lang, page_id, module FROM links), f AS (SELECT lang, count(DISTINCT page_id) AS files FROM o GROUP BY lang HAVING count(DISTINCT page_id) >= 5), c AS (SELECT o.lang, module, count(*) AS importers, files, count(*) / files AS share FROM o JOIN f ON o.lang = f.lang GROUP BY o.lang, module, files), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY importers DESC, module) AS rank FROM c WHERE share >= 0.6) SELECT lang, module, importers, files, share, rank FROM r WHERE rank <= 3")
 def common_imports(spark: SparkSession, sf: str) -> DataFrame:
-    links = pages.links(spark, sf).select("lang", F.col("page_id").alias("importer"), F.lower(F.substring("module", 1, 1)).alias("module"))
+    links = pages.links(spark, sf).select("lang", F.col("page_id").alias("importer"), "module")
     return companions.common_imports(links, "lang").select("lang", "module", "importers", "files", "share", "rank")
 
 
@@ -115,17 +116,69 @@ def layout_tally(spark: SparkSession, sf: str) -> DataFrame:
     return layout.tally(pages.paths(spark, sf).select(F.col("lang").alias("value")), "value")
 
 
-@query()
+#: Pages as a tree with shells: `net` is `src`, `com` lies in `packages`, and hosts of even length are `lib`.
+_TREE_DIR = "CASE tld WHEN 'com' THEN 'packages/com' WHEN 'net' THEN 'src' ELSE tld END || '/' || CASE WHEN length(host) % 2 = 0 THEN 'lib' ELSE host END || CASE WHEN CAST(number AS INT) % 5 = 0 THEN '' ELSE '/' || lang END"
+_SOURCE = "CASE WHEN CAST(number AS INT) % 4 <> 0 THEN 'js' END"
+_ROOTS_SQL = f"""{_P}, f AS (SELECT {_TREE_DIR} AS dir, {_SOURCE} AS source FROM paths), d AS (SELECT dir, count(*) AS direct, count(source) AS direct_source FROM f GROUP BY dir),
+up AS (SELECT dir, direct, direct_source, dir AS path FROM d UNION ALL SELECT dir, direct, direct_source, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END FROM up WHERE path <> '.'),
+total AS (SELECT path, sum(direct)::BIGINT AS files, sum(direct_source)::BIGINT AS source, CASE WHEN path = '.' THEN NULL WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS parent FROM up GROUP BY path),
+n AS (SELECT t.*, coalesce(direct, 0) AS direct, coalesce(direct_source, 0) AS direct_source, (SELECT max(files) FROM total c WHERE c.parent = t.path) AS largest, greatest(3, ceil((SELECT count(*) FROM f) * 0.01::DOUBLE)) AS floor FROM total t LEFT JOIN d ON d.dir = t.path),
+o AS (SELECT *, path = '.' OR split_part(path, '/', -1) IN ('src', 'lib', 'app', 'apps', 'packages', 'source') OR coalesce(largest >= 0.8::DOUBLE * files, false) AS opened FROM n),
+visit AS (SELECT * FROM o WHERE path = '.' UNION ALL SELECT c.* FROM visit v JOIN o c ON c.parent = v.path WHERE v.opened AND c.files >= c.floor),
+l AS (SELECT path, files, source FROM visit WHERE path <> '.' AND (NOT opened OR largest IS NULL OR (direct < floor AND largest < floor))
+  UNION ALL SELECT path || ' (files at this level)', direct, direct_source FROM visit WHERE path <> '.' AND opened AND largest IS NOT NULL AND direct >= floor),
+r AS (SELECT *, row_number() OVER (ORDER BY source DESC, files DESC, path) AS rank FROM l)"""
+
+
+def _tree_files(spark: SparkSession, sf: str) -> DataFrame:
+    there = pages.paths(spark, sf).withColumn("tld", F.substring_index("host", ".", -1))
+    return there.select("page_id", F.expr(_TREE_DIR).alias("dir"), F.expr(_SOURCE).alias("lang"))
+
+
+@query(f"WITH RECURSIVE {_ROOTS_SQL} SELECT path, files, source, rank FROM r WHERE rank <= 7")
 def layout_roots(spark: SparkSession, sf: str) -> DataFrame:
-    found = [(r.path, r.files) for r in hierarchy.cumulative(pages.paths(spark, sf)).collect()]  # a row a directory of one tree
-    total = dict(found).get(".", 0)
-    return spark.createDataFrame(layout.roots(found, max(3, -(-total // 100))), "root string, files long")
+    return layout.roots(_tree_files(spark, sf))[0]
 
 
-@query(f"WITH {_P}, t AS (SELECT lang AS runner, host AS dir, count(*) AS n FROM paths GROUP BY lang, host) SELECT runner, sum(n)::BIGINT AS files, first(dir ORDER BY n DESC, dir) AS main_dir FROM t GROUP BY runner")
+@query(f"WITH RECURSIVE {_ROOTS_SQL} SELECT count(*) FILTER (WHERE rank > 7) AS more_roots, ((SELECT count(*) FROM f) - coalesce(sum(files) FILTER (WHERE rank <= 7), 0))::BIGINT AS more_files FROM r")
+def layout_more(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.roots(_tree_files(spark, sf))[1]
+
+
+_TEST_DIR = "'spec/' || CASE WHEN page_id % 10 < 9 THEN 'models' ELSE 'other' END || '/' || CASE WHEN lang = 'en' THEN host ELSE lang END"
+
+
+@query(f"WITH {_P}, t AS (SELECT lang AS runner, {_TEST_DIR} AS dir FROM paths), u AS (SELECT runner, unnest(['spec', regexp_replace(dir, '/[^/]*$', ''), dir]) AS up FROM t), s AS (SELECT runner, count(*) AS files FROM t GROUP BY runner), c AS (SELECT runner, up, count(*) AS under FROM u GROUP BY runner, up), b AS (SELECT c.runner, max_by(up, length(up)) AS dir, max_by(under, length(up)) AS under FROM c JOIN s ON c.runner = s.runner WHERE under >= 0.8::DOUBLE * files GROUP BY c.runner) SELECT s.runner, files, b.dir, coalesce(under, files) AS under FROM s LEFT JOIN b ON s.runner = b.runner")
 def tests_line(spark: SparkSession, sf: str) -> DataFrame:
-    counts = pages.paths(spark, sf).groupBy(F.col("lang").alias("runner"), F.col("host").alias("dir")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("runner").agg(F.sum("n").alias("files"), F.min(F.struct(-F.col("n"), "dir")).alias("first")).select("runner", "files", F.col("first.dir").alias("main_dir"))
+    return layout.majority_dirs(pages.paths(spark, sf).select(F.col("lang").alias("runner"), F.expr(_TEST_DIR).alias("dir")), ["runner"])
+
+
+_TEST_PATH = "CASE page_id % 9 WHEN 0 THEN 'src/a' || number || '.js' WHEN 1 THEN 'src/a' || number || '.test.js' WHEN 2 THEN 'test/a/b' || (page_id % 50) || '.js' WHEN 3 THEN 'lib/a/b' || (page_id % 50) || '.js' WHEN 4 THEN 'src/__tests__/x' || number || '.js' WHEN 5 THEN 'cypress/e2e/' || number || '.js' WHEN 6 THEN 'app/m' || number || '_spec.rb' WHEN 7 THEN 'src/b' || number || '.stories.tsx' ELSE 'spec/support/c' || number || '.rb' END"
+_TEST_SQL = f"""{_P}, f AS (SELECT page_id, {_TEST_PATH} AS path, CASE WHEN page_id % 13 <> 0 THEN 'js' END AS lang, CASE WHEN page_id % 5 = 0 THEN 'vitest' END AS runner, page_id % 7 = 0 AS calls, page_id % 11 = 0 AS empty FROM paths),
+outside AS (SELECT DISTINCT 'a/b' || (page_id % 50) AS tail FROM f WHERE page_id % 9 = 3 AND lang IS NOT NULL),
+t AS (SELECT *, lang IS NOT NULL AND (runner IS NOT NULL OR calls OR (NOT empty AND (page_id % 9 IN (1, 4, 6) OR (page_id % 9 = 2 AND 'a/b' || (page_id % 50) IN (SELECT tail FROM outside))))) AS is_test, page_id % 9 = 7 AS is_story, coalesce(runner, CASE WHEN page_id % 9 = 5 THEN 'cypress' END, 'test files') AS runner_name FROM f)"""
+
+
+def _tested(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("page_id")
+    files = pages.paths(spark, sf).select("page_id", F.expr(_TEST_PATH).alias("path"), F.when(n % 13 != 0, "js").alias("lang"), F.when(n % 5 == 0, "vitest").alias("runner"), (n % 7 == 0).alias("test_calls"), (n % 11 == 0).alias("empty"))
+    return layout.test_files(files)
+
+
+@query(f"WITH {_TEST_SQL} SELECT page_id, path, is_test, is_story, runner_name FROM t")
+def test_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _tested(spark, sf).select("page_id", "path", "is_test", "is_story", "runner_name")
+
+
+@query(f"WITH {_TEST_SQL}, g AS (SELECT split_part(path, '/', 1) AS root, CASE WHEN page_id % 9 = 7 THEN 'tsx' ELSE split_part(path, '.', -1) END AS ext, * FROM t), c AS (SELECT root, ext, count(*) AS n, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, ext) AS rank FROM g GROUP BY root, ext) SELECT g.root, count(*) AS files, count(lang) AS source, (SELECT string_agg(ext || ':' || n, ',' ORDER BY rank) FROM c WHERE c.root = g.root AND rank <= 2) AS exts, (count(*) - (SELECT sum(n) FROM c WHERE c.root = g.root AND rank <= 2))::BIGINT AS other, count(*) FILTER (WHERE page_id % 3 = 0) AS jsx, count(*) FILTER (WHERE is_test) AS tests, count(*) FILTER (WHERE is_story) AS stories, count(*) FILTER (WHERE is_test) * 2 > count(*) AS test_root FROM g GROUP BY g.root")
+def root_facts(spark: SparkSession, sf: str) -> DataFrame:
+    files = _tested(spark, sf).withColumns({"root": F.substring_index("path", "/", 1), "ext": P.extension(F.col("path")), "jsx": F.col("page_id") % 3 == 0})
+    return layout.root_facts(files, "root")
+
+
+@query(f"WITH {_TEST_SQL} SELECT page_id, regexp_matches(path, '^(test|tests|spec|cypress|e2e|__tests__)/') OR contains(path, '/__tests__/') OR contains(path, '/e2e/') AS under FROM t")
+def test_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return _tested(spark, sf).select("page_id", layout.under_test_tree(F.col("path")).alias("under"))
 
 
 _NAME = "CASE p_size % 5 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN split_part(p_name, ' ', 1) || upper(split_part(p_name, ' ', 2)[1:1]) || substr(split_part(p_name, ' ', 2), 2) WHEN 3 THEN upper(p_name[1:1]) || substr(split_part(p_name, ' ', 1), 2) ELSE split_part(p_name, ' ', 1) END || '.rb'"
@@ -181,12 +234,6 @@ def encoded_titles(spark: SparkSession, sf: str) -> DataFrame:
     return star.read(spark, sf, "pages").select("page_id", T.encoded(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
 
 
-@query("SELECT doc_id, (length(left(text, 500)) - length(replace(left(text, 500), chr(10), '')) + 1)::BIGINT AS line_at_500, trim(regexp_replace(left(text, 300), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS head FROM documents")
-def text_positions(spark: SparkSession, sf: str) -> DataFrame:
-    docs = star.read(spark, sf, "documents").select("doc_id", "text")
-    return docs.select("doc_id", T.line_at(F.col("text"), F.lit(500)).alias("line_at_500"), T.normalised(F.substring("text", 1, 300)).alias("head"))
-
-
 @query("WITH n AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS normal FROM documents) SELECT doc_id, md5(normal) AS normal_md5, length(normal)::BIGINT AS normal_length, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS line_at_end, CASE WHEN contains(text, '@') THEN (length(split_part(text, '@', 1)) - length(replace(split_part(text, '@', 1), chr(10), '')) + 1)::BIGINT END AS line_at_mark FROM n")
 def text_positions_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts, normalised, and the lines of two offsets of their own: the end and the first at sign."""

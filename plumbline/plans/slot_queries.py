@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.functions.text import area_id, fingerprint
 from plumbline.operators import gates, layout, slots
+from plumbline.operators.ordering import numbered
 from plumbline.plans.registry import query
 from plumbline.sources import star
+from plumbline.tables import stored
 
 _Z = f"{stats.Z}::DOUBLE"
 _Z2 = f"{stats.Z * stats.Z!r}::DOUBLE"
@@ -75,14 +77,15 @@ def dimensions(spark: SparkSession) -> DataFrame:
 
 
 def by_file(spark: SparkSession, sf: str) -> DataFrame:
-    return slots.file_counts(star.sites(spark, sf))
+    return slots.merged_counts(star.counted(spark, sf))
 
 
 def full_slots(spark: SparkSession, sf: str) -> DataFrame:
-    """Slots with everything that the gates read. The sites are counted by file once; the pool is a window over slots."""
-    sites, files, dims = star.sites(spark, sf), star.files(spark, sf), dimensions(spark)
-    counted = slots.slot_counts(slots.file_counts(sites))
-    repo = star.read(spark, sf, "lineitem").agg(F.count_distinct("l_suppkey").alias("repo_authors"))  # one row
+    """Slots with everything that the gates read. The sites are counted once, into a table that all parts read; the pool
+    is one row a claim."""
+    sites, files, dims = stored(star.counted(spark, sf), "star-sites"), stored(star.files(spark, sf), "star-files"), dimensions(spark)
+    counted = slots.slot_counts(slots.merged_counts(sites))
+    repo = sites.agg(F.count_distinct("author").alias("repo_authors"))  # one row
     there = counted.join(slots.denominators(files, dims), slots.SLOT, "left").fillna(0, ["lang_files"]).join(slots.spread(sites, files), slots.SLOT)
     return slots.pooled(there.join(F.broadcast(dims.select("key", "has_counter")), "key").crossJoin(F.broadcast(repo)), ["key"])
 
@@ -215,14 +218,14 @@ def block_precedence(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SLOTS_SQL}, {_DIMS_SQL}, d AS (SELECT area, key, count(*) AS lang_files FROM files, dims WHERE list_contains(langs, lang) AND NOT (stripped AND blind) GROUP BY area, key), s AS (SELECT s.key, applicability / lang_files AS share FROM slots s JOIN d ON s.area = d.area AND s.key = d.key) SELECT key, median(share) AS median_share, min(share) AS least, max(share) AS most, median(share) < 0.25 AS flagged FROM s GROUP BY key")
 def applicability_audit(spark: SparkSession, sf: str) -> DataFrame:
     there = slots.slot_counts(by_file(spark, sf)).join(slots.denominators(star.files(spark, sf), dimensions(spark)), slots.SLOT)
-    share = there.select("key", (F.col("applicability") / F.col("lang_files")).alias("share"))
-    return share.groupBy("key").agg(F.median("share").alias("median_share"), F.min("share").alias("least"), F.max("share").alias("most")).withColumn("flagged", F.col("median_share") < 0.25)
+    share = there.groupBy("key", (F.col("applicability") / F.col("lang_files")).alias("share")).agg(F.count(F.lit(1)).alias("n"))  # equal shares once
+    return share.groupBy("key").agg(F.percentile("share", F.lit(0.5), F.col("n")).alias("median_share"), F.min("share").alias("least"), F.max("share").alias("most")).withColumn("flagged", F.col("median_share") < 0.25)
 
 
 @query(f"WITH {JUDGED_SQL} SELECT area, key, 1 - conforming / candidates AS headroom, row_number() OVER (ORDER BY 1 - conforming / candidates DESC, area, key) AS rank FROM judged WHERE states = 'claim' AND candidates >= 20 AND key <> 'tax_cap'")
 def headroom_rank(spark: SparkSession, sf: str) -> DataFrame:
     some = judged(spark, sf).where("states = 'claim' AND candidates >= 20 AND key <> 'tax_cap'").select("area", "key", (1 - F.col("conforming") / F.col("candidates")).alias("headroom"))
-    return some.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("headroom"), "area", "key")))  # slots only
+    return numbered(some, [F.desc("headroom"), "area", "key"])
 
 
 @query(f"WITH {JUDGED_SQL}, l AS (SELECT area, key, 1 + applicability % 4 AS height, sum(1 + applicability % 4) OVER (PARTITION BY area ORDER BY key) AS used FROM judged) SELECT area, key, height, used::BIGINT AS used, used > 6 AS dropped FROM l")

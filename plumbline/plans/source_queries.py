@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import baseline, companions, dimensions, layout
+from plumbline.operators import baseline, companions, dimensions
 from plumbline.plans.registry import query
 from plumbline.registry import Dimension
 from plumbline.sources import pages, snapshots, star
@@ -61,7 +61,7 @@ _RULES = [(1, "^com/", "true"), (2, "/fr/", "false"), (3, "/en/1", "true"), (4,
 
 @query(f"WITH {pages.PAGES_SQL}, rules AS (SELECT * FROM (VALUES {', '.join(map(str, _RULES))}) AS r(ord, pattern, value)) SELECT p.path, max_by(value, ord) AS value FROM (SELECT DISTINCT path FROM paths) p LEFT JOIN rules ON regexp_matches(path, pattern) GROUP BY p.path")
 def attribute_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.attribute(pages.paths(spark, sf), spark.createDataFrame(_RULES, "ord int, pattern string, value string"))
+    return snapshots.attribute(pages.paths(spark, sf), [(pattern, value) for _, pattern, value in _RULES])
 
 
 @query("SELECT o_orderkey, severity || ' ' || path || ':' || line || ' ' || message AS text, '::' || CASE severity WHEN 'MUST-FIX' THEN 'error' WHEN 'FIX' THEN 'warning' ELSE 'notice' END || ' file=' || path || ',line=' || line || '::' || message AS github FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'MUST-FIX' WHEN 1 THEN 'FIX' ELSE 'NIT' END AS severity, 'src/' || o_custkey || '.js' AS path, o_orderkey % 90 AS line, o_orderpriority AS message FROM orders)")
@@ -119,14 +119,6 @@ def capability_adoption(spark: SparkSession, sf: str) -> DataFrame:
     return dimensions.capable(orders, _CAPABLE)
 
 
-@query(f"WITH {pages.PAGES_SQL}, r AS (SELECT dir, lang AS ext, count(*) AS n FROM paths GROUP BY dir, lang), f AS (SELECT dir, count(*) AS files, count(*) FILTER (WHERE number::INT % 3 = 0) AS tests FROM paths GROUP BY dir) SELECT f.dir, f.files, f.tests, (SELECT string_agg(ext, ',' ORDER BY n DESC, ext) FROM r WHERE r.dir = f.dir) AS exts FROM f")
-def root_facts(spark: SparkSession, sf: str) -> DataFrame:
-    there = pages.paths(spark, sf)
-    exts = layout.tally(there, "lang", ["dir"], 2).groupBy("dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "lang"))), lambda x: x["lang"]), ",").alias("exts"))
-    counts = there.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("number").cast("int") % 3 == 0).alias("tests"))
-    return counts.join(exts, "dir")
-
-
 @query(f"WITH {pages.PAGES_SQL}, t AS (SELECT DISTINCT path, lang || '/' || number AS tail FROM paths WHERE lang <> 'en'), s AS (SELECT DISTINCT 'en/' || number AS tail FROM paths WHERE lang = 'en') SELECT t.path, replace(replace(replace(t.tail, 'fr/', 'en/'), 'de/', 'en/'), 'es/', 'en/') IN (SELECT tail FROM s) AS mirrored FROM t")
 def tests_mirrored(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of other languages, and whether an English one has the same place: a semi-join on the tail of the path."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordering import next_after
+
 
 def at_revision(snapshots: DataFrame, sha: str, wanted: DataFrame | None = None) -> DataFrame:
     """Files (rel, hash, missing) of a revision; with `wanted`, just those, marked missing where the revision lacks them."""
@@ -42,19 +46,19 @@ def authors(commits: DataFrame, names: DataFrame) -> DataFrame:
     `commits` has seq, path, author; `names` (seq, path, name) says where a path renamed at `seq` ended. A commit is of
     the path's life that ends at the first rename after it.
     """
-    people = commits.where(~F.col("author").contains("[bot]"))
-    later = people.join(names.select(F.col("seq").alias("_seq"), "path", "name"), "path", "left")
-    held = later.groupBy("seq", "path", "author").agg(F.min(F.when(F.col("_seq") > F.col("seq"), F.struct("_seq", "name"))).alias("n"))
-    return held.select(F.coalesce("n.name", "path").alias("rel"), "author").distinct()
+    people = commits.where(~F.col("author").contains("[bot]")).select("path", "seq", "author")
+    ended = next_after(people, names.select("path", "seq"), "path", "seq", "_end")
+    held = ended.join(names.select("path", F.col("seq").alias("_end"), "name"), ["path", "_end"], "left")
+    return held.select(F.coalesce("name", "path").alias("rel"), "author").distinct()
 
 
-def attribute(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """path, value: of ordered rules (ord, pattern, value), the last that a path matches; null without one.
+def attribute(paths: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """path, value: of ordered rules (pattern, value), the last that a path matches; null without one.
 
-    Rules are a file of attributes, some lines long, so each path meets all of them.
+    Rules are a file of attributes, some lines long: one expression asks for them from the last on.
     """
-    hit = paths.select("path").distinct().join(F.broadcast(rules), F.rlike("path", F.col("pattern")), "left")
-    return hit.groupBy("path").agg(F.max_by("value", "ord").alias("value"))
+    last = F.coalesce(*[F.when(F.col("path").rlike(pattern), F.lit(value)) for pattern, value in reversed(rules)], F.lit(None).cast("string"))
+    return paths.select("path").distinct().withColumn("value", last)
 
 
 def reported(findings: DataFrame, form: str) -> Column:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from plumbline.operators import baseline, check, companions, gates, hierarchy, layout, nodes, slots
+from plumbline.operators import baseline, check, companions, gates, hierarchy, layout, nodes, ordering, slots
 
 
 def rows(df, *columns):
@@ -60,12 +60,45 @@ def test_owner_is_separator_aware(spark):
 
 
 def test_fold_makes_parents_but_never_the_root():
-    assert hierarchy.fold([("s/a", 2), ("s/b", 3), ("t", 9)], 2) == [("s", 5), ("t", 9)]
-    assert hierarchy.fold([("a", 1), ("b", 2)], 1) == [("b", 2)]
+    assert hierarchy.fold([("s/a", 2), ("s/b", 3), ("t", 9)], 2) == ([("s", 5), ("t", 9)], 0)
+    assert hierarchy.fold([("a", 1), ("b", 2)], 1) == ([("b", 2)], 1)
+    assert hierarchy.fold([("s/[id]/a", 1), ("s/[id]/b", 2), ("t", 9)], 2) == ([("s", 3), ("t", 9)], 0)  # no glob spells s/[id]
 
 
-def test_layout_roots_open_wrappers():
-    assert layout.roots([(".", 20), ("src", 18), ("src/a", 10), ("src/b", 8), ("doc", 2)], 3) == [("src/a", 10), ("src/b", 8)]
+def test_layout_roots_open_shells_and_wrappers(spark):
+    """A shell's own files are a line of their own, a wrapper is its child, and a shell with nothing tall in it is a root."""
+    dirs = {".": 2, "src": 4, "src/core": 9, "src/tiny": 1, "wrap/only": 10, "lib/a": 2, "lib/b": 2, "doc": 5}
+    files = spark.createDataFrame([(d, None if d == "doc" else "js") for d, n in dirs.items() for _ in range(n)], "dir string, lang string")
+    found, more = layout.roots(files, budget=4)
+    assert [(r.path, r.files, r.source) for r in found.orderBy("rank").collect()] == [("wrap/only", 10, 10), ("src/core", 9, 9), ("lib", 4, 4), ("src (files at this level)", 4, 4)]
+    assert [tuple(r) for r in more.collect()] == [(1, 8)]  # doc, and three files below the floor
+    flat, _ = layout.roots(spark.createDataFrame([(".", "js")] * 5, "dir string, lang string"))
+    assert [(r.path, r.files) for r in flat.collect()] == [(".", 5)]
+
+
+def test_a_test_is_told_by_code_first_then_by_name_and_place(spark):
+    paths = [("a/x.test.js", None, False, False, True), ("a/x.test.js", None, False, True, False), ("a/x.js", "jest", False, True, True), ("a/login-test.js", None, False, False, True), ("test/lib/rules/v.js", None, False, False, True), ("lib/rules/v.js", None, False, False, False), ("test/v.js", None, False, False, False), ("a/__tests__/u.js", None, False, False, True), ("spec/support/h_spec.rb", None, False, False, True), ("spec/support/h.rb", None, False, False, False)]
+    df = spark.createDataFrame([(i, p, "js", r, c, e) for i, (p, r, c, e, _) in enumerate(paths)], "id int, path string, lang string, runner string, test_calls boolean, empty boolean")
+    assert [r.is_test for r in layout.test_files(df).orderBy("id").collect()] == [x[-1] for x in paths]
+
+
+def test_many_renames_of_one_path(spark):
+    """A path that is renamed back and forth, thousands of times, and chains of up to 64 hops."""
+    moves = spark.range(4000).selectExpr("id AS seq", "concat('p', id % 2) AS old", "concat('p', (id + 1) % 2) AS new")
+    found = {r.seq: (r.name, r.hops) for r in baseline.resolved(moves).collect()}
+    assert len(found) == 4000 and found[3999] == ("p0", 1) and found[0] == ("p0", 64) and found[3999 - 9] == ("p0", 10)
+
+
+def test_the_next_of_a_kind_is_in_the_own_or_a_later_bucket(spark):
+    import random
+
+    rng = random.Random(2)
+    mine, theirs = ([(rng.choice("ab"), rng.randrange(500)) for _ in range(300)] for _ in range(2))
+    df = lambda x: spark.createDataFrame(x, "k string, at long")
+    got = sorted(((r.k, r.at, r.nxt) for r in ordering.next_after(df(mine), df(theirs), "k", "at", "nxt").collect()), key=str)
+    assert got == sorted(((k, at, min((b for j, b in theirs if j == k and b > at), default=None)) for k, at in mine), key=str)
+    assert ordering.next_after(df([]), df(theirs), "k", "at", "nxt").count() == 0
+    assert [r["rank"] for r in ordering.numbered(df(mine).distinct(), ["k", "at"]).orderBy("k", "at").collect()] == list(range(1, len(set(mine)) + 1))
 
 
 def test_rename_chain_keeps_a_reused_path_apart(spark):
