@@ -72,16 +72,17 @@ def companion_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return companions.learned_suffixes(endings, ["lang"], share=0.1)
 
 
-_PLACE = "split_part(host, '.', -1) || '/' || split_part(host, '.', 1)"
+_STEMS = "SELECT p_name AS stem, p_brand || '/' || p_type AS dir, p_brand || '/' || p_type || '/' || p_name || '.' || p_partkey AS path FROM part"
 
 
-@query(f"""WITH {_P}, s AS (SELECT DISTINCT number AS stem, path AS source, {_PLACE} AS dir FROM paths WHERE lang = 'en'), t AS (SELECT DISTINCT number AS stem, path AS test, {_PLACE} AS dir FROM paths WHERE lang <> 'en'),
+@query(f"""WITH s AS (SELECT stem, path AS source, dir FROM ({_STEMS} WHERE p_size <= 25)), t AS (SELECT stem, path AS test, dir FROM ({_STEMS} WHERE p_size > 25)),
 b AS (SELECT test, source, CASE WHEN s.dir = t.dir THEN 0 WHEN split_part(s.dir, '/', -1) = split_part(t.dir, '/', -1) THEN 1 ELSE 2 END AS how FROM s JOIN t ON s.stem = t.stem)
 SELECT test, first(source ORDER BY how, source) AS source, ['whole', 'mirrored', 'stem'][min(how) + 1] AS how FROM b GROUP BY test""")
 def namesake_match(spark: SparkSession, sf: str) -> DataFrame:
-    place = F.concat_ws("/", F.substring_index("host", ".", -1), F.substring_index("host", ".", 1))
-    there = pages.paths(spark, sf).select(F.col("number").alias("stem"), "path", place.alias("dir"), "lang").distinct()
-    return companions.namesakes(there.where("lang = 'en'"), there.where("lang <> 'en'"))
+    """Parts as files: a part's name is the stem, its brand and type the directory; larger parts are the tests."""
+    dir_ = F.concat_ws("/", "p_brand", "p_type")
+    there = star.read(spark, sf, "part").select(F.col("p_name").alias("stem"), F.concat(dir_, F.lit("/"), "p_name", F.lit("."), F.col("p_partkey").cast("string")).alias("path"), dir_.alias("dir"), "p_size")
+    return companions.namesakes(there.where("p_size <= 25"), there.where("p_size > 25"))
 
 
 @query(f"WITH {_P}, i AS (SELECT DISTINCT path AS importer, lang || '/' || number || '.html' AS specifier FROM paths), x AS (SELECT specifier, CASE WHEN count(DISTINCT importer) = 1 THEN min(importer) END AS target FROM i GROUP BY specifier) SELECT importer, i.specifier, target FROM i LEFT JOIN x ON i.specifier = x.specifier")
@@ -99,10 +100,12 @@ def relative_import_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return companions.relative_imports(imports, there.select("path"), ("html", "js"))
 
 
-@query(f"WITH {_L}, o AS (SELECT DISTINCT lang, page_id, module FROM links), f AS (SELECT lang, count(DISTINCT page_id) AS files FROM o GROUP BY lang HAVING count(DISTINCT page_id) >= 5), c AS (SELECT o.lang, module, count(*) AS importers, files, count(*) / files AS share FROM o JOIN f ON o.lang = f.lang GROUP BY o.lang, module, files), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY importers DESC, module) AS rank FROM c WHERE share >= 0.6) SELECT lang, module, importers, files, share, rank FROM r WHERE rank <= 3")
+@query("WITH o AS (SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS module FROM documents), f AS (SELECT lang, count(DISTINCT doc_id) AS files FROM o GROUP BY lang HAVING count(DISTINCT doc_id) >= 5), c AS (SELECT o.lang, module, count(*) AS importers, files, count(*) / files AS share FROM o JOIN f ON o.lang = f.lang GROUP BY o.lang, module, files), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY importers DESC, module) AS rank FROM c WHERE share >= 0.6) SELECT lang, module, importers, files, share, rank FROM r WHERE rank <= 3")
 def common_imports(spark: SparkSession, sf: str) -> DataFrame:
-    links = pages.links(spark, sf).select("lang", F.col("page_id").alias("importer"), "module")
-    return companions.common_imports(links, "lang").select("lang", "module", "importers", "files", "share", "rank")
+    """Documents as files and their words as what they import: the words that most documents of a language share."""
+    words = F.explode(F.array_distinct(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    imports = star.read(spark, sf, "documents").select("lang", F.col("doc_id").alias("importer"), words.alias("module"))
+    return companions.common_imports(imports, "lang").select("lang", "module", "importers", "files", "share", "rank")
 
 
 @query(f"WITH {_L}, o AS (SELECT DISTINCT lower(module[:1]) AS grp, module, page_id FROM links WHERE lower(module[:1]) <> lang[:1]), c AS (SELECT grp, module, count(*) AS importers FROM o GROUP BY grp, module HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY importers DESC, module) AS rank FROM c) SELECT * FROM r WHERE rank <= 5")
