@@ -12,6 +12,7 @@ from plumbline.registry import DIMENSIONS, Dimension
 
 NODES = "rel string, pre int, post int, depth int, type string, name string, above array<string>, fn int, cls int, line int, attrs map<string,string>"
 SITES = ["rel", "key", "pre", "line", "conforming", "class", "grp"]
+SITES_SCHEMA = "rel string, key string, pre int, line int, conforming boolean, class string, grp int"
 MIN_CAPABLE_FILES = 3
 
 
@@ -28,6 +29,8 @@ def tree_sites(nodes: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIONS)
     and range of places, for all such dimensions together; a file's nodes are bounded by the size of files that are read.
     """
     tree = [d for d in dimensions if d.kind == "tree"]
+    if not tree:
+        return nodes.sparkSession.createDataFrame([], SITES_SCHEMA)
     each = F.array_compact(F.array(*[F.when(F.expr(d.site), _struct(d)) for d in tree]))
     found = nodes.alias("n").select("n.*", F.explode(each).alias("d")).select("n.*", "d.*")
     inner, per_file = [d for d in tree if d.inner], [d for d in tree if d.per_file]
@@ -57,6 +60,8 @@ def pairing_sites(files: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIO
     """Sites of the pairing dimensions: producers, conforming where their companion is a file. One join for all of them."""
     none = lambda kind: F.lit(None).cast(kind)
     rules = [d for d in dimensions if d.kind == "pairing"]
+    if not rules:
+        return files.sparkSession.createDataFrame([], SITES_SCHEMA)
     rel = F.col("rel")
 
     def expected(d: Dimension) -> Column:

@@ -50,9 +50,13 @@ def spread(sites: DataFrame, files: DataFrame) -> DataFrame:
 def denominators(files: DataFrame, dimensions: DataFrame) -> DataFrame:
     """area, key, lang_files: files that a dimension could be seen in, with or without a site of it.
 
-    A file counts where the dimension knows its language, unless it was stripped and the dimension is blind then.
+    A file counts where the dimension knows its language, unless it was stripped and the dimension is blind then, or holds
+    no type syntax (`typed`, if the files have it) and the dimension needs some.
     """
-    eligible = files.join(F.broadcast(dimensions), F.array_contains(F.col("langs"), F.col("lang")) & ~(F.col("stripped") & F.col("blind")))
+    sees = F.array_contains(F.col("langs"), F.col("lang")) & ~(F.col("stripped") & F.col("blind"))
+    if "typed" in files.columns:
+        sees = sees & ~(F.col("needs_types") & ~F.col("typed"))
+    eligible = files.join(F.broadcast(dimensions), sees)
     return eligible.groupBy("area", "key").agg(F.count(F.lit(1)).alias("lang_files"))
 
 

@@ -26,6 +26,7 @@ class Dimension:
     cls: str = ""
     counter: bool = False
     blind: bool = False  # cannot be seen in a file whose type syntax was stripped
+    needs_types: bool = False  # only files with type syntax could show it
     per_file: bool = False  # one site a file
     grouped: str = ""  # sites with the same value are one site
     framework: str = ""
@@ -77,7 +78,7 @@ DIMENSIONS = (
     Dimension("optional_chaining", PARTIAL, JS, site=f"n.type = 'MemberExpression' AND {_attr('computed')} IS NULL AND {_attr('object')} IN ({OPTION_NAMES})", conforming=f"{_attr('optional')} = '1'"),
     Dimension("hook_per_module", PARTIAL, JS, site=f"{_exported("'Function', 'VariableDeclaration'")} AND n.name RLIKE '^use[A-Z]'", conforming="names = 1", per_file=True),
     Dimension("function_style", PRECISE, JS, site=f"n.type = 'Function' AND {_top()} AND {_attr('form')} IS NOT NULL", conforming=f"{_attr('form')} = 'declaration'", counter=True),
-    Dimension("explicit_return_type", PARTIAL, JS, site=_exported("'Function'"), conforming=f"{_attr('returns')} = '1'", blind=True),
+    Dimension("explicit_return_type", PARTIAL, JS, site=_exported("'Function'"), conforming=f"{_attr('returns')} = '1'", blind=True, needs_types=True),
     Dimension("type_only_import", PARTIAL, JS, site=f"n.type = 'ImportSpecifier' AND {_attr('as_type')} = '1' AND {_attr('as_value')} IS NULL", conforming=f"{_attr('type_only')} = '1'", counter=True, blind=True),
     Dimension("import_extension", PRECISE, JS, site=f"n.type = 'ImportDeclaration' AND {_attr('source')} RLIKE '^[.][.]?/.*[^/]$' AND NOT {_attr('source')} RLIKE '[.](css|scss|less|svg|png|jpg|json)$'", conforming=f"{_attr('source')} RLIKE '[.](cjs|js|jsx|mjs|cts|mts|ts|tsx)$'", counter=True, blind=True),
     Dimension("nullish_default", PRECISE, JS, site=f"n.type = 'LogicalExpression' AND {_attr('right')} IN ('literal', 'array', 'object') AND {_attr('mixed')} IS NULL", conforming=f"{_attr('op')} = '??'"),
@@ -114,7 +115,7 @@ DIMENSIONS = (
     Dimension("logger_over_puts", PARTIAL, RUBY, site=f"n.type = 'Call' AND ((n.name IN ('puts', 'print', 'p', 'pp', 'warn') AND {_attr('receiver')} IS NULL) OR {_attr('receiver')} RLIKE '(^|[.])(logger|Logger)$')", conforming=f"{_attr('receiver')} IS NOT NULL", capability="logging"),
     Dimension("http_through_client", PARTIAL, RUBY, site=f"n.type = 'Call' AND ({_attr('receiver')} RLIKE '^(Net::HTTP|URI$)' OR ({_attr('receiver')} RLIKE '(?i)client$' AND n.name IN ('delete', 'get', 'head', 'patch', 'post', 'put', 'request')))", conforming=f"NOT {_attr('receiver')} RLIKE '^(Net::HTTP|URI$)'", capability="network"),
     Dimension("class_base", PRECISE, RUBY, site=f"n.type = 'Class' AND NOT coalesce({_attr('super')}, '') RLIKE '(Error|Exception)$'", cls=_attr("super")),
-    Dimension("module_include", PRECISE, RUBY, site=f"(n.type = 'Call' AND n.name = 'include') OR ({_BODY} AND {_attr('includes')} IS NULL)", cls=_attr("argument"), grouped="n.cls"),
+    Dimension("module_include", PRECISE, RUBY, site=f"(n.type = 'Call' AND n.name = 'include') OR ({_BODY} AND {_attr('includes')} IS NULL)", cls=_attr("argument"), grouped="CASE WHEN n.type = 'Call' THEN n.cls ELSE n.pre END"),
     Dimension("route_logging", PARTIAL, JS, site=f"n.type = 'CallExpression' AND ({_attr('object')} = 'console' OR {_has('wrapper', 'logging')}) AND NOT {_has('implements', 'logging')}", conforming=_has("wrapper", "logging"), capability="logging"),
     Dimension("route_network", PARTIAL, JS, site=f"n.type = 'CallExpression' AND (n.name = 'fetch' OR 'axios' IN (n.name, {_attr('object')}) OR {_has('wrapper', 'network')}) AND NOT {_has('implements', 'network')}", conforming=_has("wrapper", "network"), capability="network"),
     Dimension("route_env", PARTIAL, JS, site=f"n.type = 'MemberExpression' AND ({_attr('object')} = 'process.env' OR {_has('wrapper', 'env')}) AND NOT {_has('implements', 'env')}", conforming=_has("wrapper", "env"), capability="env"),

@@ -58,7 +58,7 @@ _RB = re.compile(
     r"""^[ \t]*(?:(?P<class>class)\s+(?P<cname>[A-Z][\w:]*)(?:\s*<\s*(?P<super>[A-Z][\w:]*(?:\[[^\]]*\])?))?|(?P<module>module)\s+(?P<mname>[A-Z][\w:]*)|(?P<def>def)\s+(?P<dname>[\w.?!=\[\]]+)(?:\((?P<dparams>[^)]*)\))?)
     |(?P<rescue>^[ \t]*rescue\b(?:[^\n=]*=>\s*(?P<param>\w+))?)
     |(?P<block>^[ \t]*(?:if|unless|case|while|until|begin|for)\b|\bdo\b(?:\s*\|[^|\n]*\|)?)|(?P<end>\bend\b)
-    |(?:(?P<receiver>[A-Za-z_][\w:]*(?:\.zone)?)\.)?(?P<call>\b(?:puts|print|pp|warn|raise|include|find_by!?|find|now|today|new|current|local|parse|at|info|debug|error|get|post|put|patch|delete|head|request|start|execute|create_table|change_table|add_reference|add_belongs_to|add_foreign_key|CALLBACK)\b)(?P<arg>\s+[A-Z][\w:]*)?
+    |(?:(?P<receiver>[A-Za-z_][\w:]*(?:\.(?:zone|logger))?)\.)?(?P<call>\b(?:puts|print|pp|warn|raise|include|find_by!?|find|now|today|new|current|local|parse|at|info|debug|error|get|post|put|patch|delete|head|request|start|execute|create_table|change_table|add_reference|add_belongs_to|add_foreign_key|CALLBACK)\b)(?P<arg>\s+[A-Z][\w:]*)?
     |(?<![\w:.])(?P<model>[A-Z]\w*(?:::[A-Z]\w*)*)\.(?P<sent>[a-z_]\w*[!?]?)
     |\b(?P<block_param>[a-z_]\w*)\.(?P<column>(?:COLUMN|references|belongs_to|foreign_key)\b)
     |(?P<word>\b[a-z_]\w*\b)""".replace("CALLBACK", _CALLBACK).replace("COLUMN", _COLUMN),
@@ -528,7 +528,9 @@ def ruby(rel: str, text: str) -> list[dict]:
                     if not (sql or "").strip():
                         mark(within, "unreadable", "data_work")
                     rows = rows or bool(_DML.match((sql or "").lstrip()))
-                out.add("Call", name, at, receiver=receiver, argument=(m["arg"] or "").strip() or None, rows="1" if rows else None)
+                node = out.add("Call", name, at, receiver=receiver, argument=(m["arg"] or "").strip() or None, rows="1" if rows else None)
+                if name == "include" and out.rows[node]["cls"] is not None and out.rows[node]["fn"] is None:
+                    mark(out.rows[node]["cls"], "includes")
                 if rows:
                     mark(within, "data_work")
         elif m["model"]:
