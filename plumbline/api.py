@@ -9,23 +9,31 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.paths import directory, language
+from plumbline.functions.paths import EXTENSIONS, FILENAMES, ancestors, base, directory, language
+from plumbline.functions.stats import wilson_lower
 from plumbline.functions.text import area_id, fingerprint
-from plumbline.operators import baseline, check, dimensions, gates, hierarchy, slots
+from plumbline.operators import baseline, check, dimensions, gates, hierarchy, layout, slots
+from plumbline.operators.globs import cover
 from plumbline.registry import DIMENSIONS, Dimension
 from plumbline.sources import files as tree
 from plumbline.sources import lexical
 from plumbline.tables import stored
 
 
+#: Lines of an area's text.
+LINES = 40
+
+
 class Scan(NamedTuple):
     areas: DataFrame  # area, files, area_id
     owned: DataFrame  # rel, lang, stripped, dir, area
     sites: DataFrame  # rel, area, key, line, conforming, class, learned
     slots: DataFrame  # area, key, counts, failed, states, borrowed
+    dirs: DataFrame  # dir: the directories of the corpus
 
 
 class Engine:
@@ -37,15 +45,19 @@ class Engine:
         kept = tree.scan(self.spark, root).where("drop_reason IS NULL")
         return kept.select("rel", language(F.col("rel")).alias("lang"), F.lit(False).alias("stripped"), "content")
 
-    def sites(self, files: DataFrame, nodes: DataFrame | None = None, frameworks: tuple[str, ...] = ()) -> DataFrame:
-        """Sites of all dimensions that apply; `nodes` from a parser, or read from `content` by the lexical extractor."""
+    def sites(self, files: DataFrame, nodes: DataFrame | None = None, frameworks: tuple[str, ...] | None = None) -> DataFrame:
+        """Sites of all dimensions that apply; `nodes` from a parser, or read from `content` by the lexical extractor.
+
+        Without `frameworks`, those that the files' paths show are in use.
+        """
+        frameworks = tuple(r.framework for r in dimensions.frameworks(files).collect()) if frameworks is None else frameworks
         there = stored(lexical.extract(files), "nodes") if nodes is None else nodes  # several dimensions' plans read them
         seen = tuple(d for d in self.dims if nodes is not None or d.key not in lexical.UNSEEN)
         every = dimensions.tree_sites(there, seen).unionByName(dimensions.naming_sites(files)).unionByName(dimensions.pairing_sites(files, self.dims))
         return dimensions.offered(stored(every, "sites"), files, frameworks, self.dims)
 
     def _registry(self) -> DataFrame:
-        return self.spark.createDataFrame([(d.key, d.counter, d.learned, bool(d.grouped), list(d.langs), d.blind, d.precision) for d in self.dims], "key string, has_counter boolean, is_learned boolean, is_grouped boolean, langs array<string>, blind boolean, precision string")
+        return self.spark.createDataFrame([(d.key, d.counter, d.learned, bool(d.grouped), list(d.langs), d.blind, d.needs_types, d.precision) for d in self.dims], "key string, has_counter boolean, is_learned boolean, is_grouped boolean, langs array<string>, blind boolean, needs_types boolean, precision string")
 
     def _settled(self, sites: DataFrame) -> DataFrame:
         """Sites with `conforming` decided: a learned dimension's by its area's class; slots with a tied vote are gone."""
@@ -59,13 +71,15 @@ class Engine:
         keep = ["area", "key", "rel", "dir", "line", "conforming", "class", "learned"]
         return plain.select(keep).unionByName(single.select(keep)).unionByName(bodies.select(keep))
 
-    def scan(self, files: DataFrame, nodes: DataFrame | None = None, authors: DataFrame | None = None, frameworks: tuple[str, ...] = (), min_files: Column | None = None, pinned: DataFrame | None = None, blocked: DataFrame | None = None) -> Scan:
+    def scan(self, files: DataFrame, nodes: DataFrame | None = None, authors: DataFrame | None = None, frameworks: tuple[str, ...] | None = None, min_files: Column | None = None, pinned: DataFrame | None = None, blocked: DataFrame | None = None) -> Scan:
         """`files` has rel, lang, stripped and, without `nodes`, content; `authors` has rel and author.
 
         With `pinned` (area, rel), only its files are counted, in its areas: gates read the accepted population. Slots of
         areas in `blocked` (area) lend nothing to the pool and state nothing.
         """
-        placed = files.select("rel", "lang", "stripped", directory(F.col("rel")).alias("dir"))
+        types = F.col("rel").rlike(r"[.](cts|mts|ts|tsx)$")
+        typed = types if "typed" not in files.columns else types | F.col("typed")
+        placed = files.select("rel", "lang", "stripped", typed.alias("typed"), directory(F.col("rel")).alias("dir"))
         if pinned is None:
             areas = hierarchy.discover(placed, min_files)
             owners = hierarchy.deepest(placed.select(F.col("dir").alias("path")), areas).where("owner IS NOT NULL").select(F.col("path").alias("dir"), F.col("owner").alias("area"))
@@ -76,7 +90,7 @@ class Engine:
         owned = stored(owned, "owned")
         sites = stored(self._settled(stored(self.sites(files, nodes, frameworks).join(owned.select("rel", "area", "dir"), "rel"), "placed")), "settled")
         registry = self._registry()
-        counted = slots.slot_counts(slots.file_counts(sites)).join(slots.denominators(owned, registry.select("key", "langs", "blind")), slots.SLOT, "left").fillna(0, ["lang_files"])
+        counted = slots.slot_counts(slots.file_counts(sites)).join(slots.denominators(owned, registry.select("key", "langs", "blind", "needs_types")), slots.SLOT, "left").fillna(0, ["lang_files"])
         who = sites.select("area", "key", "rel", "dir").distinct()
         who = who.withColumn("author", F.lit(None).cast("string")) if authors is None else who.join(authors.where(~F.col("author").contains("[bot]")).select("rel", "author"), "rel", "left")
         learned = sites.where("learned IS NOT NULL").select("area", "key", "learned").distinct()
@@ -86,25 +100,93 @@ class Engine:
         open_ = full.crossJoin(F.broadcast(repo)).join(stop, "area", "left").withColumn("blocked", F.coalesce("_blocked", F.lit(False))).drop("_blocked")
         judged = gates.judged(slots.pooled(open_, ["key", "learned"], F.col("blocked")))
         judged = judged.withColumn("states", F.when(~F.col("blocked"), F.col("states")))
-        return Scan(stored(areas.withColumn("area_id", area_id(F.col("area"))), "areas"), owned, sites, stored(judged, "slots"))
+        dirs = stored(placed.select("dir").distinct(), "dirs")
+        return Scan(stored(areas.withColumn("area_id", area_id(F.col("area"))), "areas"), owned, sites, stored(judged, "slots"), dirs)
 
     def pin(self, found: Scan, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(the population as area and rel; what changed since `before`). No counts are kept."""
         now = found.owned.select("area", "rel")
         return now, baseline.pin_delta(now.limit(0) if before is None else before, now)
 
-    def check(self, stated: DataFrame, head: DataFrame, base: DataFrame, renames: DataFrame | None = None, pinned: bool = False, stale: bool = False) -> DataFrame:
-        """Findings that `head` has beyond `base`: sites (rel, area, key, line, conforming, class, learned) against slots.
+    def globs(self, found: Scan) -> DataFrame:
+        """area, dir, deep, negated, exts, names: globs that reach each area's files and no other area's.
+
+        An area's directories are worked through by one task, areas by as many as there are.
+        """
+        below = found.dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("area")).join(found.areas.select("area"), "area")
+        own = found.owned.groupBy("area", "dir").agg(F.collect_set("lang").alias("langs"), F.collect_set(F.when(base(F.col("rel")).isin(*FILENAMES), base(F.col("rel")))).alias("names"))
+        exts = {lang: [e for e, known in EXTENSIONS.items() if known == lang] for lang in set(EXTENSIONS.values())}
+
+        def covered(table: pa.Table) -> pa.Table:
+            area, dirs, langs, names = table["area"][0].as_py(), *(table[c].to_pylist() for c in ("dir", "langs", "names"))
+            mine = {d for d, x in zip(dirs, langs, strict=True) if x is not None}
+            found = cover(mine, set(dirs), area)
+            kinds = sorted({e for x in langs if x for lang in x for e in exts.get(lang, [])})
+            bare = sorted({n for x in names if x for n in x})
+            return pa.table({"area": [area] * len(found), "dir": [g.dir for g in found], "deep": [g.deep for g in found], "negated": [g.negated for g in found], "exts": pa.array([kinds] * len(found), pa.list_(pa.string())), "names": pa.array([bare] * len(found), pa.list_(pa.string()))})
+
+        return below.join(own, ["area", "dir"], "left").groupBy("area").applyInArrow(covered, "area string, dir string, deep boolean, negated boolean, exts array<string>, names array<string>")
+
+    def told(self, found: Scan, budget: int = LINES) -> DataFrame:
+        """area, key, from_area and what holds there: states, side, learned, borrowed, precision, the side's conforming of
+        candidates, and dropped: whether the area's lines had no room for it.
 
-        Both sides are fingerprinted under the path of before a rename, so that a moved file forges nothing.
+        A dimension that an area does not hold is answered by the nearest area above that states it.
         """
-        side = lambda sites: sites.join(stated.select("area", "key", "states", "precision", "borrowed", "conforming", "candidates").withColumnsRenamed({"conforming": "k", "candidates": "n"}), ["area", "key"]).where("states IS NOT NULL AND conforming = (states = 'counter')")
-        moved = side(head) if renames is None else side(head).join(renames.select(F.col("new").alias("rel"), "old"), "rel", "left")
-        old = F.col("rel") if renames is None else F.coalesce("old", "rel")
-        mark = lambda path: fingerprint(path, F.col("key"), F.coalesce("class", F.lit("")), F.coalesce("learned", F.lit("")))
-        fresh = check.introduced(moved.withColumn("fp", mark(old)), side(base).withColumn("fp", mark(F.col("rel"))), "fp", ["line"])
-        state = fresh.withColumns({"dropped": F.lit(False), "stale": F.lit(stale), "has_base": F.lit(True), "listed": F.lit(False), "pinned": F.lit(pinned), "bound": F.lit(1.0), "conforming": F.col("k"), "candidates": F.col("n")})
-        return gates.severity(state).select("rel", "line", "area", "key", "severity", "reason", "states", "fp")
+        sided = gates.sided(found.slots)
+        blocks = sided.where("states IS NOT NULL").withColumn("height", F.lit(2) + (F.col("side_conforming") < F.col("candidates")).cast("int"))
+        dropped = layout.settled(blocks.select("area", "key", "candidates", "height"), "area", [F.desc("candidates"), "key"], "height", budget).where("NOT kept").select("area", "key", F.lit(True).alias("_dropped"))
+        sides = ("states", "side", "learned", "borrowed", "precision", F.col("side_conforming").alias("conforming"), "candidates")
+        own = sided.join(dropped, ["area", "key"], "left").select("area", "key", F.col("area").alias("from_area"), F.coalesce("_dropped", F.lit(False)).alias("dropped"), *sides)
+        above = hierarchy.nearest_stating(found.slots, found.areas).join(found.slots.select("area", "key"), ["area", "key"], "left_anti")
+        return own.unionByName(above.join(sided.withColumnRenamed("area", "from_area"), ["from_area", "key"]).select("area", "key", "from_area", F.lit(False).alias("dropped"), *sides))
+
+    def _broken(self, sites: DataFrame, owners: DataFrame, told: DataFrame) -> DataFrame:
+        """Sites against what their area was told; of a body's sites that count as one, the first. Sites outside all areas stay
+        where their dimension has a predicate of its own; an omission is one only where the claim is stated."""
+        registry = F.broadcast(self._registry().select("key", "is_learned", "is_grouped"))
+        there = sites.join(owners, "rel").join(told, ["area", "key"], "left").join(registry, "key")
+        fits = F.when(F.col("is_learned"), F.coalesce(F.col("class") == F.col("learned"), F.lit(False))).otherwise(F.col("conforming_here"))
+        omitted = F.col("is_learned") & F.col("class").isNull()
+        there = there.where("area IS NULL AND NOT is_learned OR from_area IS NOT NULL").withColumns({"fits": fits, "omitted": omitted, "body": F.when(F.col("is_grouped"), F.concat_ws("#", "rel", F.coalesce("grp", "pre")))})
+        single = there.where("body IS NULL")
+        carried = [c for c in there.columns if c not in ("body", "fits", "omitted", "line", "class", "pre", "grp", "conforming_here", "rel", "key")]
+        bodies = there.where("body IS NOT NULL").groupBy("rel", "key", "body").agg(F.bool_or("fits").alias("fits"), F.bool_and("omitted").alias("omitted"), F.min("line").alias("line"), F.min("class").alias("class"), *[F.first(c).alias(c) for c in carried])
+        keep = ["rel", "key", "line", "class", "fits", "omitted", *carried]
+        every = single.select(keep).unionByName(bodies.select(keep))
+        return every.where(F.col("fits") == (F.coalesce("side", F.lit("claim")) == "counter")).where("NOT (omitted AND states IS NULL)")
+
+    def check(self, found: Scan, head: DataFrame, base: DataFrame, renames: DataFrame | None = None, added: DataFrame | None = None, pinned: bool = False, stale: bool = False, has_base: bool = True, budget: int = LINES) -> DataFrame:
+        """rel, line, area, from_area, key, severity, reason, states: what `head` breaks beyond `base`, of what `found` stated.
+
+        `head` and `base` are sites of changed files as `sites` gives them, before and after; `found` is the scan of the pinned
+        population. `renames` has old and new paths; both sides are fingerprinted under the old one, so that a moved file
+        forges nothing. With `added` (path, low, high), for want of a base, findings on added lines are the new ones.
+        """
+        rels = head.select("rel").union(base.select("rel")).distinct().withColumn("dir", directory(F.col("rel")))
+        homes = hierarchy.deepest(rels.select(F.col("dir").alias("path")), found.areas)
+        owners = stored(rels.join(homes.select(F.col("path").alias("dir"), F.col("owner").alias("area")), "dir", "left").select("rel", "area"), "owners")
+        told = stored(self.told(found, budget), "told")
+        was = owners.select("rel").withColumn("old", F.col("rel")) if renames is None else owners.select("rel").join(renames.select(F.col("new").alias("rel"), "old"), "rel", "left").withColumn("old", F.coalesce("old", "rel"))
+        mark = fingerprint(F.col("old"), F.col("key"), F.coalesce("class", F.lit("")), F.coalesce("learned", F.lit("")))
+        side = lambda sites, paths: self._broken(sites.withColumnRenamed("conforming", "conforming_here"), owners, told).join(paths, "rel").withColumn("fp", mark)
+        now = side(head, was)
+        if added is not None:
+            fresh = check.on_added_lines(now.withColumnRenamed("rel", "path"), added).withColumnRenamed("path", "rel")
+        else:
+            fresh = check.introduced(now, side(base, owners.select("rel").withColumn("old", F.col("rel"))), "fp", ["line"])
+        counted = slots.file_counts(found.sites).join(told.select("area", "key", "side"), slots.SLOT)
+        bad = counted.withColumn("bad", F.when(F.col("side") == "counter", F.col("conforming")).otherwise(F.col("candidates") - F.col("conforming")))
+        exceptions = slots.listed(bad).select("area", "key", F.col("rel").alias("old"), F.lit(True).alias("_listed"))
+        delivered = hierarchy.reach(fresh.select(F.col("rel").alias("path")), self.globs(found)).where("reached").select(F.col("path").alias("rel"), "area", F.lit(True).alias("_reached"))
+        state = fresh.join(exceptions, ["area", "key", "old"], "left").join(delivered, ["rel", "area"], "left")
+        state = state.withColumns({"dimension": F.col("key"), "key": F.when(F.col("area").isNotNull(), F.col("key")), "stale": F.lit(stale), "has_base": F.lit(has_base), "listed": F.coalesce("_listed", F.lit(False)), "pinned": F.lit(pinned), "bound": wilson_lower(F.col("conforming"), F.col("candidates"))})
+        level = gates.severity(state)
+        inherited = F.coalesce(F.col("from_area") != F.col("area"), F.lit(False))
+        away = (F.col("severity") == "MUST-FIX") & F.col("_reached").isNull()
+        reason = F.when(inherited, "counted-above").when(away, "not-delivered").otherwise(F.col("reason"))
+        severity = F.when(inherited | away, "FIX").otherwise(F.col("severity"))
+        return level.select("rel", "line", "area", "from_area", F.col("dimension").alias("key"), severity.alias("severity"), reason.alias("reason"), "states", "fp")
 
 
 def facts(found: Scan) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordering import numbered
+
 
 def introduced(head: DataFrame, base: DataFrame, by: str = "fp", order: list[str] | None = None) -> DataFrame:
     """Rows of `head` beyond as many of the same fingerprint as `base` has: the first ones, by `order`, are cancelled.
@@ -19,6 +21,21 @@ def introduced(head: DataFrame, base: DataFrame, by: str = "fp", order: list[str
     return fresh.unionByName(again)
 
 
+#: Severities, the gravest first.
+SEVERITIES = ("MUST-FIX", "FIX", "NIT")
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """`findings` (severity, path, line) with `rank`: gravest first, then by path and line, in order of code points."""
+    grave = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    return numbered(findings.withColumn("_grave", grave), ["_grave", "path", F.col("line").asc_nulls_first(), *[c for c in findings.columns if c not in ("path", "line")]]).drop("_grave")
+
+
+def tallied(findings: DataFrame) -> DataFrame:
+    """severity, reason, n."""
+    return findings.groupBy("severity", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def on_added_lines(findings: DataFrame, ranges: DataFrame, bin_: int = 64) -> DataFrame:
     """Findings (path, line) within a range (path, low, high) of their path, each once; null ends match nothing.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.paths import classify_basename, names_a_site
+from plumbline.functions.paths import base, classify_basename, directory, names_a_site
 from plumbline.registry import DIMENSIONS, Dimension
 
 NODES = "rel string, pre int, post int, depth int, type string, name string, above array<string>, fn int, cls int, line int, attrs map<string,string>"
@@ -74,6 +74,26 @@ def pairing_sites(files: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIO
     return wanted.join(known, "companion", "left").select("rel", "key", none("int").alias("pre"), none("int").alias("line"), F.coalesce("_known", F.lit(False)).alias("conforming"), none("string").alias("class"), none("int").alias("grp"))
 
 
+#: Paths that show a framework in use, with the language of the files that count; words of a wrapper's path.
+FRAMEWORKS = {"rails": ("ruby", r"(^|/)(app/models/|db/migrate/|config/application\.rb$)")}
+CAPABILITY_WORDS = {"logging": ("log", "logger", "logging"), "network": ("client", "http", "api", "request", "fetcher"), "env": ("config", "env", "settings")}
+
+
+def frameworks(files: DataFrame) -> DataFrame:
+    """framework: those that the paths (rel, lang) show."""
+    shown = F.array_compact(F.array(*[F.when((F.col("lang") == lang) & F.col("rel").rlike(shape), F.lit(name)) for name, (lang, shape) in FRAMEWORKS.items()]))
+    return files.select(F.explode(shown).alias("framework")).distinct()
+
+
+def capabilities(files: DataFrame) -> DataFrame:
+    """capability: those whose words name a directory or a file of the paths (rel): what could be asked, before anything is
+    parsed. Whether it is adopted, `capable` says."""
+    parts = F.concat(F.filter(F.split(directory(F.col("rel"), ""), "/"), lambda p: p != ""), F.array(F.regexp_extract(base(F.col("rel")), r"^(\.?[^.]*)", 1)))
+    words = F.flatten(F.transform(parts, lambda p: F.split(F.lower(F.regexp_replace(p, "([A-Z])", "-$1")), "[-_.]+")))
+    shown = F.array_compact(F.array(*[F.when(F.arrays_overlap("words", F.array(*[F.lit(w) for w in known])), F.lit(name)) for name, known in CAPABILITY_WORDS.items()]))
+    return files.select(words.alias("words")).select(F.explode(shown).alias("capability")).distinct()
+
+
 def capable(sites: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIONS) -> DataFrame:
     """capability: those with conforming sites in MIN_CAPABLE_FILES files or more."""
     of = F.coalesce(*[F.when(F.col("key") == d.key, d.capability) for d in dimensions if d.capability], F.lit(None).cast("string"))

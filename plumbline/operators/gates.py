@@ -46,6 +46,18 @@ def judged(slots: DataFrame) -> DataFrame:
     return there.withColumns({"states": states, "borrowed": borrowed}).drop("claim_borrowed", "counter_borrowed")
 
 
+def sided(slots: DataFrame) -> DataFrame:
+    """`slots` with side (claim or counter) and side_conforming: the sentence that a slot is printed on, stated or not.
+
+    A slot that states nothing shows its counter only where no site conforms, of two at least, or where the counter's own
+    lower bound is above a half: a plurality is no majority.
+    """
+    against = _c("candidates") - _c("conforming")
+    majority = ((_c("candidates") > 1) & (_c("conforming") == 0)) | (wilson_lower(against, _c("candidates")) > 0.5)
+    counter = F.coalesce(_c("has_counter") & ((_c("states") == "counter") | (_c("states").isNull() & majority)), F.lit(False))
+    return slots.withColumns({"side": F.when(counter, "counter").otherwise("claim"), "side_conforming": F.when(counter, against).otherwise(_c("conforming"))})
+
+
 def blocked_by(truncated: Column, degraded: Column, area_gate: Column, learned_moved: Column) -> Column:
     """Why a slot may state nothing whatever its counts, in order of precedence; null if nothing stands in its way."""
     return F.when(truncated, "corpus-truncated").when(degraded, "degraded-semantic").otherwise(F.coalesce(area_gate, F.when(learned_moved, F.lit("learned-moved"))))

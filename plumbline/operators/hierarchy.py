@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.paths import ancestors, directory
+from plumbline.functions.paths import ancestors, base, directory
 from plumbline.functions.stats import area_floor
 
 
@@ -94,12 +94,15 @@ def folded(areas: DataFrame, most: int) -> DataFrame:
 def reach(paths: DataFrame, globs: DataFrame) -> DataFrame:
     """path, area, reached: whether an area's globs reach a path: one that is not negated does, and none that is.
 
-    `globs` has area, dir (empty for the root), deep, exts (array) and negated. A path meets the globs of its ancestors
-    by equality of directories.
+    `globs` has area, dir (empty for the root), deep, exts (array), negated and, if some name files without an extension,
+    names (array). A path meets the globs of its ancestors by equality of directories.
     """
-    each = paths.select("path", directory(F.col("path"), "").alias("_dir"), F.regexp_extract(F.col("path"), r"[^/]\.([^./]+)$", 1).alias("_ext")).distinct()
-    above = each.select("path", "_dir", "_ext", F.explode(F.transform(ancestors(F.when(F.col("_dir") == "", ".").otherwise(F.col("_dir"))), lambda a: F.when(a == ".", "").otherwise(a))).alias("dir"))
-    hits = above.join(globs, "dir").where((F.col("deep") | (F.col("_dir") == F.col("dir"))) & F.array_contains("exts", F.col("_ext")))
+    each = paths.select("path", directory(F.col("path"), "").alias("_dir"), F.regexp_extract(F.col("path"), r"[^/]\.([^./]+)$", 1).alias("_ext"), base(F.col("path")).alias("_base")).distinct()
+    above = each.select("path", "_dir", "_ext", "_base", F.explode(F.transform(ancestors(F.when(F.col("_dir") == "", ".").otherwise(F.col("_dir"))), lambda a: F.when(a == ".", "").otherwise(a))).alias("dir"))
+    spelled = F.array_contains("exts", F.col("_ext"))
+    if "names" in globs.columns:
+        spelled = spelled | F.array_contains("names", F.col("_base"))
+    hits = above.join(globs, "dir").where((F.col("deep") | (F.col("_dir") == F.col("dir"))) & spelled)
     return hits.groupBy("path", "area").agg((F.bool_or(~F.col("negated")) & ~F.bool_or("negated")).alias("reached"))
 
 

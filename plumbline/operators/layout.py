@@ -85,6 +85,22 @@ def packed(lines: DataFrame, by: str, order: list, height: str, budget: int) ->
     return lines.withColumn("used", used).withColumn("dropped", F.col("used") > budget)
 
 
+def settled(blocks: DataFrame, by: str, order: list, height: str, budget: int) -> DataFrame:
+    """`blocks` with `kept` and `named`: which of a group's blocks fit its budget of lines, from the first on.
+
+    Where not all do, one line says so and the hidden ones are named at a line each, as many as half the budget. As many
+    blocks stay as leave room for that. A group has a block for each dimension at most.
+    """
+    over = Window.partitionBy(by)
+    cap = max(1, budget // 2)
+    upto = F.sum(height).over(over.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    there = blocks.withColumns({"_upto": upto, "_nth": F.row_number().over(over.orderBy(*order)), "_all": F.sum(height).over(over), "_n": F.count(F.lit(1)).over(over)})
+    fits = F.col("_upto") + 1 + F.least(F.col("_n") - F.col("_nth"), F.lit(cap)) <= budget
+    there = there.withColumn("_last", F.coalesce(F.max(F.when(fits, F.col("_nth"))).over(over), F.lit(0)))
+    kept = (F.col("_all") <= budget) | (F.col("_nth") <= F.col("_last"))
+    return there.withColumns({"kept": kept, "named": ~kept & (F.col("_nth") - F.col("_last") <= cap)}).drop("_upto", "_nth", "_all", "_n", "_last")
+
+
 def _within(path: Column, names: tuple[str, ...]) -> Column:
     """Whether a directory on the way to a path has one of the names."""
     return F.arrays_overlap(F.split(directory(path), "/"), F.array(*[F.lit(n) for n in names]))

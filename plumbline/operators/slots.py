@@ -81,6 +81,12 @@ def exceptions(by_file: DataFrame, most: int = 3) -> DataFrame:
     return top.join(total, SLOT).select(*SLOT, told.alias("exceptions"), F.greatest(F.col("n") - most, F.lit(0)).alias("more_exceptions"))
 
 
+def listed(by_file: DataFrame, most: int = 3) -> DataFrame:
+    """area, key, rel: the files that `exceptions` names, a row each, from rows that have `bad`."""
+    rank = F.row_number().over(Window.partitionBy(*SLOT).orderBy(F.desc("bad"), "rel"))
+    return by_file.where("bad > 0").withColumn("rank", rank).where(F.col("rank") <= most).select(*SLOT, "rel")
+
+
 def learned(sites: DataFrame, by: list[str], cls: str = "class", group: str | None = None) -> DataFrame:
     """`by`, learned, votes: the class that most sites have. A tie at the top gives null, which no slot can state.
 

@@ -178,10 +178,30 @@ def test_check_finds_the_planted_violation(spark):
     files = tree(spark, 100)
     authors = files.select("rel", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("author"))
     base = engine.scan(files, authors=authors)
-    head = engine.scan(tree(spark, 100, bad=(7,)), authors=authors)
-    found = engine.check(base.slots, head.sites, base.sites, pinned=True).collect()
-    assert [(r.rel, r.key, r.severity) for r in found] == [("src/b/some-file-7.js", "swallowed_error", "MUST-FIX")]
-    assert engine.check(base.slots, base.sites, base.sites).count() == 0
+    now, before = engine.sites(tree(spark, 100, bad=(7,))), engine.sites(files)
+    of = lambda **options: [(r.rel, r.key, r.severity, r.reason) for r in engine.check(base, now, before, **options).collect()]
+    bad = ("src/b/some-file-7.js", "swallowed_error")
+    assert of(pinned=True) == [(*bad, "MUST-FIX", "clear")]
+    assert of() == [(*bad, "FIX", "no-baseline")] and of(pinned=True, stale=True) == [(*bad, "FIX", "stale")]
+    assert of(pinned=True, budget=2) == [(*bad, "FIX", "dropped")]
+    assert engine.check(base, before, before).count() == 0
+    ranges = spark.createDataFrame([("src/b/some-file-7.js", 4, 5), ("src/b/some-file-9.js", 1, 1)], "path string, low int, high int")
+    assert [(r.rel, r.key) for r in engine.check(base, now, before.limit(0), added=ranges).collect()] == [bad]
+
+
+def test_check_reads_the_pinned_counts_and_the_areas_above(spark):
+    """A thin population, one that is not perfect, a listed exception, a directory of an area above, and a place outside all."""
+    ok, bad = "try { a(); } catch (e) { log(e); }\n", "try { a(); } catch (e) { b(); }\n"
+    rows = [(f"src/{d}/f{i}.js", ok) for d, n in (("thin", 20), ("full", 60), ("part", 80), ("full/deep", 2)) for i in range(n)]
+    rows = [(rel, bad if rel in ("src/part/f1.js", "src/part/f2.js") else text) for rel, text in rows]
+    frame = lambda x: spark.createDataFrame([(rel, "js", False, text) for rel, text in x], "rel string, lang string, stripped boolean, content string")
+    engine = Engine(spark, tuple(d for d in registry.DIMENSIONS if d.key == "swallowed_error"))
+    authors = frame(rows).select("rel", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("author"))
+    found = engine.scan(frame(rows), authors=authors, min_files=F.lit(5))
+    assert {r.area: r.states for r in found.slots.collect()} == {"src/thin": "claim", "src/full": "claim", "src/part": "claim"}
+    head = frame([("src/thin/f3.js", bad), ("src/full/f3.js", bad), ("src/part/f3.js", bad), ("src/part/f1.js", bad * 2), ("src/full/new/g.js", bad), ("odd/g.js", bad)])
+    out = {r.rel: (r.severity, r.reason) for r in engine.check(found, engine.sites(head), engine.sites(frame(rows)), pinned=True).collect()}
+    assert out == {"src/thin/f3.js": ("FIX", "borrowed"), "src/full/f3.js": ("MUST-FIX", "clear"), "src/part/f3.js": ("FIX", "imperfect"), "src/part/f1.js": ("FIX", "exception-listed"), "src/full/new/g.js": ("MUST-FIX", "clear"), "odd/g.js": ("NIT", "no-dimension")}
 
 
 def test_pin_and_exports(spark, scanned, tmp_path):
