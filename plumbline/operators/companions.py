@@ -17,6 +17,52 @@ def companions(producers: DataFrame, paths: DataFrame, expected: Column) -> Data
     return producers.withColumn("companion", expected).join(known, "companion", "left").withColumn("there", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
+def missing(changed: DataFrame, paths: DataFrame, packages: DataFrame) -> DataFrame:
+    """path, companion, elsewhere: changed producers whose companion is not there, by the first package that takes them.
+
+    `packages` (ord, from, to, ext, suffixes: array) are the rows of one obligation, a few, in order of preference; any of
+    the suffixes answers it and the first names what is missing. `elsewhere` says that a file of that name is in another place.
+    """
+    known = paths.select("path").distinct()
+    c = F.col
+    fit = c("p.path").startswith(F.concat("k.from", F.lit("/"))) & c("p.path").endswith(F.concat(F.lit("."), "k.ext"))
+    taken = changed.select("path").distinct().alias("p").join(F.broadcast(packages).alias("k"), fit).groupBy(c("p.path").alias("path")).agg(F.min_by(F.struct("k.from", "k.to", "k.ext", "k.suffixes"), "k.ord").alias("k"))
+    tail = F.expr("substring(path, length(k.`from`) + 1, length(path) - length(k.`from`) - length(k.ext) - 1)")
+    each = taken.withColumn("_tail", tail).where(~F.exists("k.suffixes", lambda s: F.endswith(F.col("path"), s)))
+    wanted = each.select("path", F.posexplode(F.transform("k.suffixes", lambda s: F.concat(F.col("k.to"), F.col("_tail"), s))).alias("nth", "companion"))
+    met = wanted.join(known.withColumnRenamed("path", "companion"), "companion", "left_semi").select("path")
+    open_ = wanted.where("nth = 0").join(met, "path", "left_anti").select("path", "companion", F.substring_index("companion", "/", -1).alias("_base"))
+    named = known.select(F.substring_index("path", "/", -1).alias("_base")).distinct().withColumn("_there", F.lit(True))
+    return open_.join(named, "_base", "left").select("path", "companion", F.coalesce("_there", F.lit(False)).alias("elsewhere"))
+
+
+def stem_extras(tests: DataFrame, sources: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
+    """dir, lang, extra, n: what tests (dir, lang, stem) add to the stem of a source (lang, stem), where as many of a
+    directory's tests do as `least` and `share` ask for.
+
+    A test that has a source of its own stem adds nothing; of several sources whose stem begins a test's, the longest counts,
+    and what follows must begin with a separator. Stems are cut at every place and joined by equality.
+    """
+    known = sources.select("lang", "stem").distinct()
+    total = tests.groupBy("dir").agg(F.count(F.lit(1)).alias("_tests"))
+    loose = tests.join(known, ["lang", "stem"], "left_anti").withColumn("_test", F.monotonically_increasing_id())
+    cut = loose.where("length(stem) > 1").select("_test", "dir", "lang", F.col("stem").alias("_stem"), F.explode(F.expr("transform(sequence(1, length(stem) - 1), n -> left(stem, n))")).alias("stem"))
+    longest = cut.join(known, ["lang", "stem"]).groupBy("_test", "dir", "lang", "_stem").agg(F.max(F.length("stem")).alias("_n"))
+    extra = F.expr("substring(_stem, _n + 1)")
+    counts = longest.select("dir", "lang", extra.alias("extra")).where(F.col("extra").rlike("^[._-]")).groupBy("dir", "lang", "extra").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(total, "dir").where((F.col("n") >= least) & (F.col("n") >= share * F.col("_tests"))).select("dir", "lang", "extra", "n")
+
+
+def namesake_ratio(answers: DataFrame, by: list[str]) -> DataFrame:
+    """`by`, of, answered, root of source files (answered, place): how many have a test of their name, and the place that at
+    least half of these, and two at least, agree on. The tie goes to the least place; an empty one is none."""
+    counts = answers.groupBy(*by).agg(F.count(F.lit(1)).alias("of"), F.count_if("answered").alias("answered"))
+    votes = answers.where("answered AND place IS NOT NULL").groupBy(*by, "place").agg(F.count(F.lit(1)).alias("n"))
+    top = votes.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("minus"), "place")).alias("_top"))
+    agreed = (F.col("answered") > 1) & (-2 * F.col("_top.minus") >= F.col("answered"))
+    return counts.join(top, by, "left").select(*by, "of", "answered", F.when(agreed, F.nullif(F.col("_top.place"), F.lit(""))).alias("root"))
+
+
 def root_vote(producers: DataFrame, companions: DataFrame, declared: str) -> DataFrame:
     """root, votes: the prefix before a producer's tail that most companions have; on a tie the declared root if it is
     among the first, else null. Companions are exploded to their tails: no pair of paths is compared."""

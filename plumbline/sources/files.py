@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +61,33 @@ def drop_reason(path: Column, content: Column, escaped: Column) -> Column:
     return F.coalesce(*[F.when(holds, F.lit(name)) for name, holds in zip(ORDER, rules, strict=True)])
 
 
+def untracked(there: DataFrame, tracked: DataFrame) -> DataFrame:
+    """One row, n: source files (rel) below a root that are not tracked; asked where the corpus is empty."""
+    rel = F.col("rel")
+    source = there.where(rel.rlike(SOURCE) & ~is_excluded(rel) & ~_any(rel, DENIED))
+    return source.select("rel").distinct().join(tracked.select("rel"), "rel", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+
+
+def contained(path: Column) -> Column:
+    """Whether a relative path stays below its root, whatever `.` and `..` it holds: never above it on its way."""
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(part == "..", -1).when((part == "") | (part == "."), 0).otherwise(1)
+        return F.struct(depth.alias("depth"), F.least(s["least"], depth).alias("least"))
+
+    return ~path.startswith("/") & (F.aggregate(F.split(path, "/"), begin, step, lambda s: s["least"]) >= 0)
+
+
 def scan(spark: SparkSession, root: str, max_bytes: int = 1 << 20) -> DataFrame:
-    """rel, content, drop_reason of the files below `root`; files over `max_bytes` are listed as `oversize`, unread."""
+    """rel, content, drop_reason of the files below `root`; files over `max_bytes` are listed as `oversize`, unread.
+
+    Spark lists no link out of the root as a file of it; a path that leaves the root all the same is `escaped`.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", r"^.*?" + root.rstrip("/").rpartition("/")[2] + "/", "")
+    plain = lambda path: re.sub(r"^[a-z0-9+.-]+:/*(?=/)", "", path)
+    under = F.regexp_replace("path", r"^[a-z0-9+.-]+:/*(?=/)", "")
+    rel = F.when(under.startswith(f"{plain(root).rstrip('/')}/"), F.substring(under, len(plain(root).rstrip("/")) + 2, 2**31 - 1)).otherwise(under)
     small = F.col("length") <= max_bytes
     there = files.select(rel.alias("rel"), "length", F.when(small, F.col("content").cast("string")).alias("content"))
-    return there.withColumn("drop_reason", F.when(F.col("length") > max_bytes, "oversize").otherwise(drop_reason(F.col("rel"), F.col("content"), F.lit(False))))
+    return there.withColumn("drop_reason", F.when(F.col("length") > max_bytes, "oversize").otherwise(drop_reason(F.col("rel"), F.col("content"), ~contained(F.col("rel")))))

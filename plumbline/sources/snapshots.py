@@ -40,6 +40,12 @@ def to_parse(new: DataFrame, parsed: DataFrame) -> DataFrame:
     return new.join(parsed.select("hash").distinct(), "hash", "left_anti")
 
 
+def pending(committed: DataFrame, tree: DataFrame) -> DataFrame:
+    """rel, hash, deleted: how a working tree (rel, hash) differs from what is committed."""
+    both = committed.select("rel", F.col("hash").alias("_was")).join(tree.select("rel", "hash"), "rel", "full_outer")
+    return both.where("NOT (_was <=> hash)").select("rel", "hash", F.col("hash").isNull().alias("deleted"))
+
+
 def authors(commits: DataFrame, names: DataFrame) -> DataFrame:
     """rel, author: who touched a file, under the name that its path has now; automatic accounts are left out.
 
