@@ -146,3 +146,22 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: The same over tables on which no language has more than MAX_DOCS documents, so that profiles are counted over all of them.
+OP8_SQL = rf"""
+WITH RECURSIVE bits AS (SELECT i AS n, i AS c, 0 AS k FROM range(256) AS r(i) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS uid, doc_id, lang, text IS NULL AS none, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) % 4 = 2, false) AS held_out,
+  trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) AS words FROM documents, crc),
+p AS (SELECT uid, string_split(' ' || words || ' ', '') AS c FROM d WHERE words <> ''),
+q AS (SELECT uid, unnest(c) AS one, unnest(list_concat(c[2:], [NULL])) AS two, unnest(list_concat(c[3:], [NULL, NULL])) AS three FROM p),
+each AS (SELECT uid, one AS gram, 1 AS n FROM q WHERE one <> ' ' UNION ALL SELECT uid, one || two, 2 FROM q WHERE two IS NOT NULL UNION ALL SELECT uid, one || two || three, 3 FROM q WHERE three IS NOT NULL AND two <> ' '),
+grams AS (SELECT uid, gram, n, count(*) AS times FROM each GROUP BY ALL),
+own AS (SELECT * FROM (SELECT uid, gram, row_number() OVER (PARTITION BY uid ORDER BY times DESC, n, gram) - 1 AS rank FROM grams) WHERE rank < {TOP}),
+counted AS (SELECT lang, gram, n, sum(times) AS times FROM grams JOIN d USING (uid) WHERE NOT none AND lang IS NOT NULL AND doc_id IS NOT NULL AND NOT held_out GROUP BY ALL),
+profile AS (SELECT * FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY times DESC, n, gram) - 1 AS rank FROM counted) WHERE rank < {TOP}),
+apart AS (SELECT uid, l.lang, sum(coalesce(abs(p.rank - o.rank), {TOP})) AS apart, count(*) AS n FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.gram = o.gram GROUP BY ALL),
+best AS (SELECT uid, first(lang ORDER BY apart, lang) AS lang_pred, 1 - min(apart)::DOUBLE / ({TOP} * min(n)) AS score FROM apart GROUP BY uid)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN best USING (uid)
+"""

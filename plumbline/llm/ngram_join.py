@@ -411,3 +411,20 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+#: All pairs of texts that share a shingle: for tables of a few thousand documents.
+OP6_SQL = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS node, text, min(doc_id) AS least FROM documents WHERE regexp_matches(text, {_WORD}) GROUP BY text),
+w AS (SELECT node, regexp_extract_all(text, {_WORD}) AS words FROM t),
+s AS (SELECT DISTINCT node, array_to_string(words[i:i + {SHINGLE - 1}], ' ') AS shingle FROM w, unnest(range(1, greatest(len(words) - {SHINGLE - 1}, 1) + 1)) AS r(i)),
+n AS (SELECT node, count(*) AS size FROM s GROUP BY node),
+p AS (SELECT a.node AS a, b.node AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.node < b.node GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE 5 * shared >= 4 * (x.size + y.size - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT node, node AS other FROM t UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other),
+c AS (SELECT r.node, min(t.least) AS class_id FROM reach r JOIN t ON t.node = r.other GROUP BY r.node),
+k AS (SELECT a AS node, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, CASE WHEN t.node IS NULL THEN d.doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN c ON c.node = t.node LEFT JOIN k ON k.node = t.node
+"""

@@ -154,3 +154,23 @@ def clean(docs: DataFrame) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = measure(common.table(spark, sf_dir, "documents"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost")
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_PHRASES = "|".join(p.decode() for p in BOILERPLATE)
+_ENDS = "".join(("\\" if c in "[]" else "") + c.replace("'", "''") for c in (p.decode() for p in CLOSING))
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT uid, doc_id, text, regexp_extract_all(text, {_WORD}) AS words FROM d),
+windows AS (SELECT uid, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS win FROM w, unnest(range(1, len(words) - {WINDOW - 2})) AS r(i)),
+again AS (SELECT uid, win FROM windows GROUP BY uid, win HAVING count(*) > 1),
+repeated AS (SELECT uid, count(DISTINCT i + j) AS n FROM windows JOIN again USING (uid, win), range({WINDOW}) AS k(j) GROUP BY uid),
+lines AS (SELECT uid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nth FROM d),
+read AS (SELECT uid, line, regexp_extract_all(line, {_WORD}) AS words, strlen(line) AS size, strlen(trim(line, {_WS})) AS bare, rtrim(line, {_WS}) AS cut, row_number() OVER (PARTITION BY uid, line ORDER BY nth) AS copy, length(line) - length(replace(line, '|', '')) AS bars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols, (length(line) - length(replace(line, '!!', ''))) // 2 AS marks FROM lines),
+failing AS (SELECT uid, bare, words <> [] AND copy > 1 AS copied, words <> [] AND (copy > 1 OR (bars >= 2 AND 3 * bars >= len(words)) OR symbols > 0.08::DOUBLE * size OR (len(words) >= 4 AND regexp_matches(line, '[A-Z]') AND NOT regexp_matches(line, '[a-z]') AND 2 * marks >= len(words))
+  OR (len(words) < 5 AND NOT regexp_matches(cut, '[{_ENDS}]$')) OR (len(words) >= 10 AND 4 * len(list_distinct(words)) <= len(words)) OR (len(words) <= 12 AND regexp_matches(lower(line), '{_PHRASES}'))) AS fails FROM read),
+of_lines AS (SELECT uid, count(*) FILTER (WHERE copied) AS n_dup_lines, coalesce(sum(bare) FILTER (WHERE fails), 0) / nullif(sum(bare), 0) AS lost FROM failing GROUP BY uid),
+base AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost FROM w JOIN of_lines USING (uid) LEFT JOIN repeated USING (uid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND lost <= {MAX_LOST}::DOUBLE AS kept, lost FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS failed FROM base)
+"""
