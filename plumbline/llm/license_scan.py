@@ -42,6 +42,14 @@ TEMPLATES = {
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    # whole texts and standard notices, without the lines that name a holder
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "bsd-3-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
 }
 MIN_COVER = 0.9
 #: A stretch may be this many times as long as its template.
@@ -101,14 +109,28 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
 
 
 def densest(matched: list[tuple[int, int]], size: int, stretch: float = MAX_STRETCH) -> tuple[int, int, int]:
-    """(words matched, start, end) of the stretch of at most `stretch` times the template that holds most matches."""
+    """(words matched, start, end) of the stretch of at most `stretch` times the template that holds most matches.
+
+    Matches at its ends that lie apart are left out: those that number less than half of the text's words, beyond the
+    template's own, between them and the rest. They are words of what stands beside the notice.
+    """
     best, low = (0, 0, 0), 0
     for high, (i, _) in enumerate(matched):
         while i - matched[low][0] + 1 > stretch * size:
             low += 1
         if high - low + 1 > best[0]:
-            best = (high - low + 1, matched[low][0], i + 1)
-    return best
+            best = (high - low + 1, low, high + 1)
+    some = matched[best[1] : best[2]]
+    top, worth, since, kept = 0.0, 0.0, 0, (0, 0)
+    for k, (i, j) in enumerate(some):  # the run of most matches less half of the words between them
+        worth -= 0.5 * max(0, (i - some[k - 1][0]) - (j - some[k - 1][1])) if k else 0.0
+        if worth < 0:
+            worth, since = 0.0, k
+        worth += 1
+        if worth > top:
+            top, kept = worth, (since, k + 1)
+    a, b = kept
+    return (b - a, some[a][0], some[b - 1][0] + 1) if b > a else (0, 0, 0)
 
 
 class Scanner:
@@ -125,7 +147,8 @@ class Scanner:
                     break
 
     def scan(self, words: list[str]) -> list[tuple[str, int, int, float]]:
-        """(template, start, end, coverage) of matches in a text's bare words; of those that overlap, the best stays."""
+        """(template, start, end, coverage) of matches in a text's bare words; of those that overlap, the one with most
+        words in common stays, of these the best covered, then the first."""
         found: set[tuple] = set()
         for at, w in enumerate(words):
             for name in self.triggers.get(w, ()):
@@ -139,20 +162,21 @@ class Scanner:
                 for low, high in windows:
                     n, start, end = densest(align(words[low:high], template), len(template))
                     if n >= self.min_cover * len(template) - 1e-9:
-                        found.add((-n / len(template), -n, low + start, low + end, name))
-        taken: list[tuple[str, int, int, float]] = []
-        for cover, _, start, end, name in sorted(found):
-            if all(end <= s or e <= start for _, s, e, _ in taken):
-                taken.append((name, start, end, -cover))
-        return sorted(taken, key=lambda x: x[1])
+                        found.add((-n, -n / len(template), low + start, low + end, name))
+        taken: list[tuple[int, int, str, float]] = []  # by start; none overlaps another, so its neighbours alone matter
+        for _, cover, start, end, name in sorted(found):
+            i = bisect_left(taken, (start,))
+            if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+                taken.insert(i, (start, end, name, -cover))
+        return [(name, start, end, cover) for start, end, name, cover in taken]
 
 
 def find(docs: DataFrame, templates: dict[str, str] | None = None, min_cover: float = MIN_COVER) -> DataFrame:
     """doc_id and matches: array of (name, start, end, coverage) over the whole text's words, one row a document.
 
     Places count words (those between ASCII white space) from 0, marks alone among them. Null and empty texts have no matches; repeated
-    rows and null ids are scanned each by itself; columns other than doc_id and text are ignored; an empty table gives
-    none.
+    rows and null ids are scanned each by itself; very long texts are scanned whole, and all copies of a notice are
+    matches; columns other than doc_id and text are ignored; an empty table gives none.
     """
     scanner = Scanner(templates or TEMPLATES, min_cover)
     triggers = pa.array(sorted(scanner.triggers))
