@@ -166,9 +166,12 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             for a, b in in_slices(batch.column(at), 1_000_000):
                 part = batch.slice(a, b - a)
                 score = own.scores(*features(words_of(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*plain, "score"])
 
-    return docs.mapInArrow(common.lean(rows), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    plain = [f"c{i}" for i in range(len(names))]  # within, names may have dots
+    fields = [StructField(c, f.dataType, f.nullable) for c, f in zip(plain, docs.schema.fields, strict=True)]
+    made = docs.toDF(*plain).mapInArrow(common.lean(rows), StructType([*fields, StructField("score", DoubleType())]))
+    return made.toDF(*names, name)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
