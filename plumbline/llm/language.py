@@ -132,7 +132,12 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, top: int = TOP) -> Profiles
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """doc_id, lang_pred and score of every whole text; `und` with score 0 for texts that are null or hold no letter."""
+    """doc_id, lang_pred and score of every whole text; `und` with score 0 for texts that are null or hold no letter.
+
+    Very long texts are counted whole, a part at a time; of n-grams that are equally frequent the lesser ranks first, and of
+    languages that are equally near the first by name is predicted. Repeated rows and null ids are judged each by itself;
+    columns other than doc_id and text are ignored; an empty table gives none.
+    """
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
