@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import ann, ngram_join
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
 
 def brute_join(rows, threshold=0.8):
     """class id and number of linked texts of each (doc_id, text), by comparing all different texts."""
@@ -201,22 +199,3 @@ def test_codes_weigh_the_parallel_error():
         scanned = ann.scan(x[:5], codes, index)
         assert np.allclose(scanned, x[:5] @ (near - index.centres[at]).T, atol=1e-4)
     assert loss[4.0] < loss[1.0]
-
-
-def test_pipeline_stages(spark, small, tmp_path):
-    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 400")
-    columns, n, seen = docs.columns, docs.count(), {}
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, small).write.parquet(f"{tmp_path}/{name}")
-        docs = seen[name] = spark.read.parquet(f"{tmp_path}/{name}")
-        assert name == "packing" or docs.columns == columns
-    sizes = {k: v.count() for k, v in seen.items()}
-    assert n > sizes["quality"] > sizes["near_duplicates"] == sizes["personal_data"]
-    rows = [(r.doc_id, r.text) for r in seen["quality"].select("doc_id", "text").collect()]
-    assert sorted(str(r.doc_id) for r in seen["near_duplicates"].collect()) and len({c for _, c, _ in brute_join(rows)}) == sizes["near_duplicates"]
-    assert seen["personal_data"].where("text RLIKE '[a-z]@[a-z]+[.]' OR text LIKE '%+1 (%'").count() == 0
-    copies = seen["mixture"].groupBy("doc_id").count().agg(F.max("count")).first()[0]
-    assert 1 <= copies <= 3
-    words = lambda df: df.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0]
-    assert abs(words(seen["mixture"]) - words(seen["personal_data"])) < 0.05 * words(seen["personal_data"])
-    assert seen["packing"].where("piece = 0").count() == sizes["mixture"]
