@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = quality_model.train(docs, common.table(spark, sf_dir, "labels"))
     score = common.unused(docs.columns, "score")
-    return quality_model.scored(docs, model, score).where(F.col(score) >= 0.5).drop(score)
+    return quality_model.scored(docs, model, score).where(F.col(f"`{score}`") >= 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
