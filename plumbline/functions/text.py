@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -34,18 +35,41 @@ def rounded(x: Column) -> Column:
     return F.round(x, 4)
 
 
+#: What is taken out of a text that is printed, in this order; each leaves a blank.
+STRUCTURAL = (r"-{3,}", r"~{3,}", r"<!--", r"--!?>", r"`+", r"\|")
+MAX_TEXT, MAX_PATH = 200, 120
+
+
+def printable(value: str | None, most: int = MAX_TEXT, path: bool = False) -> str:
+    """A text from a repository that is safe to print on a line of its own: see `encoded`."""
+    import regex
+
+    text = unicodedata.normalize("NFKC", value or "")
+    blanks = lambda t: regex.sub(" {2,}", " ", t).strip(" ")
+    text = blanks(regex.sub(r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]", " ", text))
+    for pattern in STRUCTURAL:
+        text = regex.sub(pattern, " ", text)
+    text = regex.sub(r"^(?:(?:[#>*+-]+|\d+[.)])\s*)+", "", blanks(text))
+    if regex.fullmatch("=+", text):
+        text = ""
+    if path and text and not regex.fullmatch(r"[\p{Script=Latin}\p{Script=Common}\p{Script=Inherited}]*", text):
+        return f'"<path with mixed scripts, {len(text)} chars>"'
+    parts = regex.findall(r"\X", text)
+    text = "".join(parts[:most]) + "…" if len(parts) > most else text
+    return json.dumps(text, ensure_ascii=False) if path else text
+
+
 @pandas_udf(StringType())
 def encoded(text: pd.Series) -> pd.Series:
-    """NFKC, printable characters only, white space to blanks, no structural markdown, 200 characters at most.
+    """NFKC; what is not printable, and marks that structure a page, give way to blanks; no marks of a block at the start;
+    200 characters as a reader counts them at most, with an ellipsis where there are more. A null text is an empty one.
 
-    Spark SQL has no `normalize`, so this one function leaves the JVM, a batch at a time.
+    Spark SQL has no `normalize`, so this function and `encoded_path` leave the JVM, a batch at a time.
     """
+    return text.map(printable)
 
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = " ".join(unicodedata.normalize("NFKC", t).split())
-        t = "".join(c for c in t if c.isprintable() and c not in "`*_#<>[]|~")
-        return t[:200]
 
-    return text.map(one)
+@pandas_udf(StringType())
+def encoded_path(path: pd.Series) -> pd.Series:
+    """As `encoded`, in quotes and 120 characters at most; a path of mixed scripts shows none of itself."""
+    return path.map(lambda p: printable(p, MAX_PATH, True))

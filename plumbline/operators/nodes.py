@@ -60,6 +60,7 @@ def holding(nodes: DataFrame, site: str, inner: str) -> DataFrame:
     so one window replaces a join of ranges.
     """
     some = nodes.where(F.col("type").isin(site, inner)).select("rel", "pre", "post", "type")
-    after = Window.partitionBy("rel").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
-    next_ = F.first(F.when(F.col("type") == inner, F.col("pre")), ignorenulls=True).over(after)
+    # from the last place on, so that a frame grows by a row at a time
+    after = Window.partitionBy("rel").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
+    next_ = F.last(F.when(F.col("type") == inner, F.col("pre")), ignorenulls=True).over(after)
     return some.withColumn("_next", next_).where(F.col("type") == site).select("rel", "pre", F.coalesce(F.col("_next") <= F.col("post"), F.lit(False)).alias("conforming"))

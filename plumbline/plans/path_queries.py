@@ -225,16 +225,24 @@ def drop_tally(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.coalesce(tree.drop_reason(F.col("path"), F.col("content"), F.col("escaped")), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("WITH i AS (SELECT page_id AS rel, unnest(regexp_extract_all(html, '(?s)<li[ >].*?</li>')) AS item FROM pages) SELECT rel, count(*) AS candidates, count(*) FILTER (WHERE regexp_matches(item, '<a[ >]')) AS conforming FROM i GROUP BY rel")
 def node_predicates_html(spark: SparkSession, sf: str) -> DataFrame:
     """Sites of list items by page, conforming where they hold a link, from trees of tags."""
     html = star.read(spark, sf, "pages").select(F.col("page_id").alias("rel"), F.col("html").alias("content"))
     return nodes.holding(nodes.extract(html), "li", "a").groupBy("rel").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("conforming").alias("conforming"))
 
 
-@query()
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1) || CASE page_id % 4 WHEN 0 THEN ' --- `x` | y' WHEN 1 THEN '  <!-- z -->' ELSE '' END"
+_MARKED = f"CASE page_id % 5 WHEN 0 THEN '## ' WHEN 1 THEN '1. > ' WHEN 2 THEN '-- ' ELSE '' END || {_TITLE}"
+_STRIPPED = "trim(regexp_replace(regexp_replace(regexp_replace(title, '[^\\p{L}\\p{M}\\p{N}\\p{P}\\p{S} ]', ' ', 'g'), '-{3,}|~{3,}|<!--|--!?>|`+|[|]', ' ', 'g'), ' {2,}', ' ', 'g'), ' ')"
+
+
+@query(f"WITH t AS (SELECT page_id, {_MARKED} AS title, CASE page_id % 3 WHEN 0 THEN 'src/' || page_id || '.js' WHEN 1 THEN 'src/п' || page_id ELSE '' END AS path FROM pages), s AS (SELECT page_id, path, regexp_replace({_STRIPPED}, '^(([#>*+-]+|[0-9]+[.)])[ ]*)+', '') AS title FROM t) SELECT page_id, CASE WHEN length(title) > 200 THEN left(title, 200) || '…' ELSE title END AS title, CASE WHEN contains(path, 'п') THEN '\"<path with mixed scripts, ' || length(path) || ' chars>\"' ELSE '\"' || path || '\"' END AS path FROM s")
 def encoded_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return star.read(spark, sf, "pages").select("page_id", T.encoded(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    """Titles with marks that a page would be structured by, and paths, some in more than one script."""
+    n = F.col("page_id")
+    path = F.when(n % 3 == 0, F.concat(F.lit("src/"), n.cast("string"), F.lit(".js"))).when(n % 3 == 1, F.concat(F.lit("src/п"), n.cast("string"))).otherwise("")
+    return star.read(spark, sf, "pages").select("page_id", T.encoded(F.expr(_MARKED)).alias("title"), T.encoded_path(path).alias("path"))
 
 
 @query("WITH n AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS normal FROM documents) SELECT doc_id, md5(normal) AS normal_md5, length(normal)::BIGINT AS normal_length, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS line_at_end, CASE WHEN contains(text, '@') THEN (length(split_part(text, '@', 1)) - length(replace(split_part(text, '@', 1), chr(10), '')) + 1)::BIGINT END AS line_at_mark FROM n")
