@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.paths import EXTENSIONS, FILENAMES, ancestors, base, directory, language
 from plumbline.functions.stats import wilson_lower
 from plumbline.functions.text import area_id, fingerprint
-from plumbline.operators import baseline, check, dimensions, gates, hierarchy, layout, slots
+from plumbline.operators import baseline, check, dimensions, gates, hierarchy, layout, render, slots
 from plumbline.operators.globs import cover
 from plumbline.registry import DIMENSIONS, Dimension
 from plumbline.sources import files as tree
@@ -196,8 +196,32 @@ def facts(found: Scan) -> DataFrame:
     return by_area.join(found.areas, "area").select("area", F.to_json(F.struct("area", "area_id", "files", "dimensions")).alias("json"))
 
 
-def rendered(found: Scan, budget: int = 40) -> DataFrame:
-    """area, text: what each area states, in order of sites, as many lines as `budget` allows."""
-    line = F.concat(F.lit("- "), F.col("key"), F.when(F.col("states") == "counter", F.lit(" (inverse)")).otherwise(F.lit("")), F.coalesce(F.concat(F.lit(": "), F.col("learned")), F.lit("")), F.lit(" ("), F.when(F.col("states") == "counter", F.col("candidates") - F.col("conforming")).otherwise(F.col("conforming")).cast("string"), F.lit("/"), F.col("candidates").cast("string"), F.lit(" sites)"))
-    stated = found.slots.where("states IS NOT NULL").select("area", F.struct((-F.col("candidates")).alias("minus"), "key", line.alias("line")).alias("l"))
-    return stated.groupBy("area").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), 1, budget), "\n").alias("text"))
+def rendered(found: Scan, budget: int = LINES, defaults: DataFrame | None = None) -> DataFrame:
+    """area, text: what each area states and counts, in as many lines as `budget` allows. Claims that `defaults` (key,
+    default_side, default_class) has as a model's own are counts."""
+    slots = found.slots.withColumn("matches_default", F.lit(False))
+    if defaults is not None:
+        same = F.when(F.col("learned").isNotNull(), F.col("learned") == F.col("default_class")).otherwise(F.col("states") == F.col("default_side"))
+        slots = found.slots.join(F.broadcast(defaults.select("key", "default_side", "default_class")), "key", "left").withColumn("matches_default", F.coalesce(same, F.lit(False)))
+    return render.texts(render.area_lines(slots, budget), "area")
+
+
+def write_map(found: Scan, root: str, budget: int = LINES) -> list[str]:
+    """Write each area's text below `root`, a file each, and give the paths; every file is whole or not there.
+
+    A tree has `area_ceiling` areas at most, 500, so their texts come to the driver, which renames what it wrote.
+    """
+    spark = found.slots.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(conf)
+    written = []
+    for r in rendered(found, budget).join(found.areas.select("area", "area_id"), "area").orderBy("area").collect():
+        to, draft = path(f"{root}/{r.area_id}.md"), path(f"{root}/.{r.area_id}.draft")
+        out = store.create(draft, True)
+        out.write(bytearray(f"# {r.area}\n\n{r.text}\n".encode()))
+        out.close()
+        store.delete(to, False)
+        store.rename(draft, to)
+        written.append(to.toString())
+    return written

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.api import Engine
 from plumbline.plans.registry import QUERIES, SQL, query
 from plumbline.registry import DIMENSIONS
-from plumbline.sources import samples
+from plumbline.sources import facets, samples
 
 _BLIND = {d.key for d in DIMENSIONS if d.blind}
 FAMILIES = {
@@ -84,3 +84,15 @@ def dimensions_parsed(spark: SparkSession, sf: str) -> DataFrame:
     made = customers.select("rel", each.alias("n")).select("rel", "n.*")
     nodes = made.select("rel", "pre", F.col("pre").alias("post"), F.lit(0).alias("depth"), "type", none("string").alias("name"), F.array().cast("array<string>").alias("above"), none("int").alias("fn"), none("int").alias("cls"), F.lit(1).alias("line"), "attrs")
     return Engine(spark, tuple(d for d in DIMENSIONS if d.key in _PARSED)).sites(files, nodes).where(F.col("key").isin(*_PARSED)).select("rel", "key", "conforming")
+
+
+_SAID = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'"
+_FACETS_SQL = "(VALUES " + ", ".join(f"({i}, '{f[0]}', {', '.join(map(_SAID, f[3:]))})" for i, f in enumerate(samples.FACETS)) + ") AS f(sample, name, imports, exports, jsx, typed, test_calls, runner, empty, inline_helpers)"
+
+
+@query(f"SELECT 'src/' || c_custkey || '/' || name AS rel, f.* EXCLUDE (sample, name) FROM customer JOIN {_FACETS_SQL} ON sample = c_custkey % {len(samples.FACETS)}")
+def facet_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """What files are, from their text: modules and names that they import, what they export, components, types and tests."""
+    found = facets.extract(samples.facet_files(spark, sf))
+    imports = F.array_join(F.array_sort(F.transform("imports", lambda i: F.concat(i["module"], F.lit("="), F.array_join(i["names"], "+")))), " ")
+    return found.select("rel", imports.alias("imports"), F.array_join(F.array_sort("exports"), ",").alias("exports"), "jsx", "typed", "test_calls", "runner", "empty", "inline_helpers")

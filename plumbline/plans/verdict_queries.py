@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.api import Engine, Scan
 from plumbline.functions import claims, paths
-from plumbline.operators import check, companions, dimensions, gates, hierarchy, layout, tallies, verdict
+from plumbline.operators import check, companions, dimensions, gates, hierarchy, layout, render, tallies, verdict
+from plumbline.plans.path_queries import _TEST_SQL, root_facts
 from plumbline.plans.registry import query
 from plumbline.plans.slot_queries import _CLAIM, _COUNTER, _COUNTER_OWN, _OWN, FULL_SQL, JUDGED_SQL, full_slots, judged
 from plumbline.sources import files as tree
@@ -308,3 +309,35 @@ def engine_check(spark: SparkSession, sf: str) -> DataFrame:
     authors = base.select("rel", F.explode(F.array(F.lit("x"), F.lit("y"), F.lit("z[bot]"))).alias("author"))
     found = engine.scan(base, authors=authors, frameworks=())
     return engine.check(found, engine.sites(head, frameworks=()), engine.sites(base, frameworks=()), pinned=True).select("rel", "severity", "reason")
+
+
+_OF = "CASE side WHEN 'counter' THEN candidates - conforming ELSE conforming END || ' of ' || candidates || ' sites'"
+_LINES_SQL = f"""{JUDGED_SQL}, s AS (SELECT *, {_SIDE} AS side, applicability % 3 = 0 AND states = 'claim' AS by_default FROM judged),
+c AS (SELECT *, coalesce(states IS NOT NULL AND NOT by_default, false) AS told, key || CASE side WHEN 'counter' THEN ' (inverse)' ELSE '' END AS claim FROM s),
+b AS (SELECT area, key, candidates, told, states, claim, CASE WHEN told THEN ['- ' || claim, '  ' || replace({_OF}, ' sites', '') || ' sites across ' || applicability || ' of ' || lang_files || ' files, ' || authors || CASE authors WHEN 1 THEN ' author' ELSE ' authors' END]
+  ELSE ['- ' || claim || CASE WHEN states IS NOT NULL THEN ': as by default, ' ELSE ': no convention, ' END || {_OF} || CASE WHEN states IS NULL THEN ' (' || CASE side WHEN 'counter' THEN counter_failed ELSE failed END || ')' ELSE '' END] END AS block FROM c),
+w AS (SELECT *, sum(len(block)) OVER (PARTITION BY area ORDER BY NOT told, candidates DESC, key) AS upto, row_number() OVER (PARTITION BY area ORDER BY NOT told, candidates DESC, key) AS nth, sum(len(block)) OVER (PARTITION BY area) AS total, count(*) OVER (PARTITION BY area) AS n FROM b),
+k AS (SELECT *, coalesce(max(CASE WHEN upto + 1 + least(n - nth, 2) <= 5 THEN nth END) OVER (PARTITION BY area), 0) AS last FROM w),
+l AS (SELECT area, 0 AS part, nth, unnest(block) AS line, unnest(range(len(block))) AS i FROM k WHERE total <= 5 OR nth <= last UNION ALL SELECT area, 1, 0, 'and ' || count(*) || ' more not shown here', 0 FROM k WHERE NOT (total <= 5 OR nth <= last) GROUP BY area
+  UNION ALL SELECT area, 2, nth, '- ' || claim, 0 FROM k WHERE NOT (total <= 5 OR nth <= last) AND nth - last <= 2 AND states IS NOT NULL)"""
+
+
+def _stated(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(spark, sf).withColumns({"learned": F.lit(None).cast("string"), "precision": F.lit("precise"), "matches_default": (F.col("applicability") % 3 == 0) & F.coalesce(F.col("states") == "claim", F.lit(False))})
+
+
+@query(f"WITH {_LINES_SQL} SELECT area, row_number() OVER (PARTITION BY area ORDER BY part, nth, i) AS nth, line FROM l")
+def area_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """An area's text of five lines."""
+    return render.area_lines(_stated(spark, sf), 5)
+
+
+@query(f"WITH {JUDGED_SQL}, t AS (SELECT area, count(*) FILTER (WHERE states IS NOT NULL AND NOT coalesce(applicability % 3 = 0 AND states = 'claim', false)) AS stated, max(area_files) AS files FROM judged GROUP BY area), r AS (SELECT *, row_number() OVER (ORDER BY files DESC, area) AS nth FROM t WHERE stated > 0), n AS (SELECT count(*) AS every, least(count(*) FILTER (WHERE stated > 0), 10) AS shown FROM t) SELECT nth, '- ' || area || ': ' || files || CASE files WHEN 1 THEN ' file, ' ELSE ' files, ' END || stated || CASE stated WHEN 1 THEN ' claim' ELSE ' claims' END AS line FROM r WHERE nth <= 10 UNION ALL SELECT shown + 1, '- and ' || (every - shown) || CASE every - shown WHEN 1 THEN ' more area that states nothing shown here' ELSE ' more areas that state nothing shown here' END FROM n WHERE every > shown")
+def overview_lines(spark: SparkSession, sf: str) -> DataFrame:
+    slots = _stated(spark, sf)
+    return render.overview(slots.groupBy("area").agg(F.max("area_files").alias("files")), slots, 10)
+
+
+@query(f"WITH {_TEST_SQL}, g AS (SELECT split_part(path, '/', 1) AS root, CASE WHEN page_id % 9 = 7 THEN 'tsx' ELSE split_part(path, '.', -1) END AS ext, * FROM t), c AS (SELECT root, ext, count(*) AS n, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, ext) AS rank FROM g GROUP BY root, ext), h AS (SELECT root, count(*) AS files, count(*) FILTER (WHERE is_test) AS tests, count(*) FILTER (WHERE is_story) AS stories FROM g GROUP BY root), e AS (SELECT root, string_agg(n || ' .' || ext, ', ' ORDER BY rank) AS kinds, sum(n) AS told FROM c WHERE rank <= 2 GROUP BY root) SELECT h.root, '- ' || h.root || ': ' || CASE WHEN tests * 2 > files THEN tests || CASE tests WHEN 1 THEN ' test file' ELSE ' test files' END || CASE WHEN files > tests THEN ' and ' || (files - tests) || ' other' ELSE '' END ELSE kinds || CASE WHEN files > told THEN ' and ' || (files - told) || ' other' ELSE '' END || CASE WHEN stories > 0 THEN '; ' || stories || CASE stories WHEN 1 THEN ' story' ELSE ' stories' END ELSE '' END || '; ' || tests || CASE tests WHEN 1 THEN ' test file' ELSE ' test files' END END AS line FROM h JOIN e ON h.root = e.root")
+def layout_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return render.layout_lines(root_facts(spark, sf), "root")

@@ -118,3 +118,27 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.pmod(n, F.lit(len(SAMPLES))).cast("int").alias("sample"))
     rel = F.replace(F.replace(F.expr("substring(name, 2)"), F.lit("{n}"), n.cast("string")), F.lit("{before}"), (n - 1).cast("string"))
     return customers.join(F.broadcast(table), "sample").select(rel.alias("rel"), "lang", (n % 7 == 0).alias("stripped"), "content", "sample")
+
+
+#: Files and what they are: imports as module=names, exports, jsx, typed, test calls, runner, empty, helpers of their own.
+FACETS = (
+    ("a.test.ts", "js", "import a, { b as c, d } from './x';\nimport * as q from 'vitest';\nimport type { T } from 'jest';\nimport './s.css';\ntest('a', () => {});\n", "./s.css= ./x=default+b+d jest=T vitest=*", "", False, False, True, "vitest", False, 0),
+    ("a.js", "js", "const { a, b: c } = require('mocha');\ndescribe('x', () => { it('y', () => {}); });\nmodule.exports = { a };\nexports.k = 2;\n", "mocha=a+b", "a,k", False, False, True, "mocha", False, 0),
+    ("a.js", "js", "export const z = 1;\nexport default function () { }\nfunction helper() { }\nfunction shown() { }\nexport { shown as other };\n", "", "default,other,z", False, False, False, None, False, 1),
+    ("a.jsx", "jsx", "import { test } from 'jest';\nexport function Page() { return <p>Hi</p>; }\n", "jest=test", "Page", True, False, False, None, False, 0),
+    ("a.ts", "js", "const x: number = 1;\nconst f = () => { it('a', b); };\n", "", "", False, True, False, None, False, 1),
+    ("a.js", "js", "// nothing but a note\n", "", "", False, False, False, None, True, 0),
+    ("a_spec.rb", "ruby", "RSpec.describe Foo do\n  it 'a' do\n  end\nend\n", "", "", False, False, True, "rspec", False, 0),
+    ("a.rb", "ruby", "class FooTest < ActiveSupport::TestCase\n  test 'a' do\n  end\nend\n", "", "", False, False, True, "minitest", False, 0),
+    ("a.rb", "ruby", "class Foo\n  def test_x\n  end\nend\n", "", "", False, False, False, None, False, 0),
+    ("a_test.rb", "ruby", "class Foo\n  def test_x\n  end\nend\n", "", "", False, False, True, "minitest", False, 0),
+    ("a.rb", "ruby", "# nothing but a note\n", "", "", False, False, False, None, True, 0),
+)
+
+
+def facet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rel, lang, content: a file for each customer, of FACETS in turn."""
+    n = F.col("c_custkey")
+    table = spark.createDataFrame([(i, f[0], f[1], f[2]) for i, f in enumerate(FACETS)], "sample int, name string, lang string, content string")  # one row a sample
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.pmod(n, F.lit(len(FACETS))).cast("int").alias("sample"))
+    return customers.join(F.broadcast(table), "sample").select(F.concat(F.lit("src/"), n.cast("string"), F.lit("/"), "name").alias("rel"), "lang", "content")

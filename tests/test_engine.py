@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import registry
-from plumbline.api import Engine, facts, rendered
+from plumbline.api import Engine, facts, rendered, write_map
 from plumbline.operators import dimensions
 from plumbline.sources import lexical
 
@@ -210,4 +210,8 @@ def test_pin_and_exports(spark, scanned, tmp_path):
     assert {r.change for r in Engine(spark).pin(scanned, now)[1].collect()} == {"same"}
     facts(scanned).write.parquet(f"{tmp_path}/facts")
     assert '"area":"src/a"' in spark.read.parquet(f"{tmp_path}/facts").where("area = 'src/a'").first().json
-    assert rendered(scanned, 5).count() <= 2
+    texts = {r.area: r.text.split("\n") for r in rendered(scanned, 5).collect()}
+    assert set(texts) == {"src/a", "src/b"} and all(len(t) <= 5 for t in texts.values())
+    paths = write_map(scanned, f"file://{tmp_path}/map")
+    assert len(paths) == 2 and not list((tmp_path / "map").glob(".*.draft"))
+    assert any((tmp_path / "map" / p.rpartition("/")[2]).read_text().startswith("# src/a\n") for p in paths)

@@ -79,8 +79,13 @@ def test_scan_of_a_tree(spark, tmp_path):
 
 
 def test_encoded(spark):
-    rows = spark.createDataFrame([("ﬁ  `x`\n#y",), (None,)], "t string").select(text.encoded("t").alias("t")).collect()
-    assert [r.t for r in rows] == ["fi x y", None]
+    """Marks of structure go, a mark within a line stays; long texts are cut between characters as a reader counts them."""
+    flag = "e\u0301"
+    rows = [("ﬁ  `x`\n#y",), (None,), ("## 1. > policy",), ("a --- b | c <!-- d",), ("====",), (flag * 250,), ("\u202ea\u200bb",)]
+    found = [r.t for r in spark.createDataFrame(rows, "t string").select(text.encoded("t").alias("t")).collect()]
+    assert found == ["fi x #y", "", "policy", "a b c d", "", "é" * 200 + "…", "a b"]
+    paths = spark.createDataFrame([("src/a.js",), ("src/а.js",), ('a"b',), (None,)], "t string").select(text.encoded_path("t").alias("t")).collect()
+    assert [r.t for r in paths] == ['"src/a.js"', '"<path with mixed scripts, 8 chars>"', '"a\\"b"', '""']
 
 
 @pytest.mark.parametrize(("dir_", "specifier", "path"), [("a/b", "./c", "a/b/c"), ("a/b", "../c?x#y", "a/c"), ("a", "../../c", None), (".", "./c", "c"), ("a", "c", None), ("a", "..", ""), ("a/b", "./../b/./d", "a/b/d")])
