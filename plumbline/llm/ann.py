@@ -28,8 +28,9 @@ K = 20
 MAX_SAMPLE = 12_000
 BLOCK = 2048
 QUERY_BLOCK = 4096
-#: Candidates of a block that are ranked exactly, at least; ties at the limit all are.
-SHORTLIST = 80
+#: Candidates of a query that are ranked exactly, shared over the partitions that it visits; of each block as many as its
+#: part comes to, LEAST to MOST, with all that tie with the last.
+SHORTLIST, LEAST, MOST = 1200, 32, 80
 THRESHOLD = 0.2
 #: Share of a sample's true neighbours that must lie in the partitions a query visits.
 COVER = 0.99
@@ -138,26 +139,34 @@ def scan(queries: np.ndarray, codes: np.ndarray, index: Index) -> np.ndarray:
     return total
 
 
-def searched(query_uids: np.ndarray, queries: np.ndarray, uids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, index: Index, k: int = K, shortlist: int = SHORTLIST) -> list[tuple]:
+def searched(query_uids: np.ndarray, queries: np.ndarray, uids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, index: Index, k: int = K, shortlist: int = MOST) -> tuple[np.ndarray, ...]:
     """(query's uid, vec_id, uid, score): each query's best `k` of a block, its own row apart, by exact score after a table
-    scan. A uid is a row's; an id may be that of several rows."""
-    out: list[tuple] = []
+    scan. A uid is a row's; an id may be that of several rows. Rows that tie with the last of the shortlist are on it too."""
+    out: list[tuple[np.ndarray, ...]] = []
     order = np.lexsort((uids, ids))
     uids, ids, vectors, codes = uids[order], ids[order], vectors[order].astype(np.float64), codes[order]
+    most = min(shortlist, len(ids))
     for a in range(0, len(queries), 256):
-        q, q_uids = queries[a : a + 256], query_uids[a : a + 256]
-        near = scan(q, codes, index)
+        q, q_uids = queries[a : a + 256].astype(np.float64), query_uids[a : a + 256]
+        near = scan(queries[a : a + 256], codes, index)
         near[q_uids[:, None] == uids[None, :]] = -np.inf
-        if near.shape[1] > shortlist:
-            limit = np.partition(near, near.shape[1] - shortlist, axis=1)[:, near.shape[1] - shortlist]
-        else:
-            limit = np.full(len(q), -np.inf, np.float32)
-        for i in range(len(q)):
-            some = np.flatnonzero((near[i] >= limit[i]) & (near[i] > -np.inf))
-            score = (vectors[some] * q[i].astype(np.float64)).sum(1)  # equal vectors get equal scores, unlike in blocked products
-            best = np.lexsort((uids[some], ids[some], -score))[:k]
-            out += zip([int(q_uids[i])] * len(best), ids[some][best].tolist(), uids[some][best].tolist(), score[best].tolist(), strict=True)
-    return out
+        some = np.argpartition(-near, most - 1, axis=1)[:, :most]
+        limit = np.take_along_axis(near, some, 1).min(1)
+        tied = (near >= limit[:, None]).sum(1) > most
+        for i in np.flatnonzero(tied & (limit > -np.inf)):  # copies of one vector, mostly
+            own = np.flatnonzero(near[i] >= limit[i])
+            score = (vectors[own] * q[i]).sum(1)  # equal vectors get equal scores, unlike in blocked products
+            best = np.lexsort((uids[own], ids[own], -score))[:k]
+            out.append((np.full(len(best), q_uids[i]), ids[own][best], uids[own][best], score[best]))
+        plain = np.flatnonzero(~tied | (limit == -np.inf))
+        some = np.sort(some[plain], axis=1)
+        score = (vectors[some] * q[plain, None, :]).sum(2)
+        score[np.take_along_axis(near[plain], some, 1) == -np.inf] = -np.inf
+        best = np.lexsort((uids[some], ids[some], -score), axis=1)[:, :k]
+        at, score = np.take_along_axis(some, best, 1), np.take_along_axis(score, best, 1)
+        real = score > -np.inf
+        out.append((np.broadcast_to(q_uids[plain, None], at.shape)[real], ids[at][real], uids[at][real], score[real]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -226,16 +235,18 @@ def _of_length(vectors: DataFrame, n: int, is_query, k: int, cover: float, seed:
     left = made.join(F.broadcast(sizes), "part").select("part", of("uid", "blocks").alias("block"), each("query_blocks").alias("query_block"), "uid", "vec_id", "embedding", "codes")
     right = probes.join(F.broadcast(sizes), "part").select("part", each("blocks").alias("block"), of("query_uid", "query_blocks").alias("query_block"), "query_uid", "query_id", "query")
 
+    shortlist = max(k, min(MOST, max(LEAST, -(-SHORTLIST // visited))))
+
     def block(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple] = []
-        named: dict[int, int] = {}
+        found: tuple = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+        named = np.zeros(0, np.int64)
         if len(rows) and len(queries):
             codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(rows), -1)
             uids, ids = queries["query_uid"].to_numpy(), queries["query_id"].to_numpy()
-            named = dict(zip(uids.tolist(), ids.tolist(), strict=True))
-            found = searched(uids, _matrix(queries["query"]), rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["embedding"]), codes, Index(*shared.value), k)
-        q, v, u, s = zip(*found, strict=True) if found else ((), (), (), ())
-        return pa.table({"query_uid": pa.array(q, pa.int64()), "query_id": pa.array([named[x] for x in q], pa.int64()), "vec_id": pa.array(v, pa.int64()), "uid": pa.array(u, pa.int64()), "score": pa.array(s, pa.float64())})
+            found = searched(uids, _matrix(queries["query"]), rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["embedding"]), codes, Index(*shared.value), k, shortlist)
+            order = np.argsort(uids)
+            named = ids[order[np.searchsorted(uids, found[0], sorter=order)]]
+        return pa.table({"query_uid": pa.array(found[0], pa.int64()), "query_id": pa.array(named, pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "uid": pa.array(found[2], pa.int64()), "score": pa.array(found[3], pa.float64())})
 
     keys = ["part", "block", "query_block"]
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(block, "query_uid long, query_id long, vec_id long, uid long, score double")
