@@ -86,14 +86,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return sorted(rows)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = tokens.CACHE_WORDS) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = tokens.CACHE_WORDS, slice_bytes: int = tokens.SLICE_BYTES) -> DataFrame:
     """Each document's pieces: only documents of over `capacity` ids are cut. A null text is an empty one: one end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer, cache_words).encode
         for batch in batches:
             texts = batch.column(1)
-            for a, b in tokens.in_slices(texts, tokens.SLICE_BYTES):
+            for a, b in tokens.in_slices(texts, slice_bytes):
                 ids, n = encode(texts[a:b])
                 rows: list[tuple] = []
                 at = 0
@@ -107,17 +107,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(common.lean(cut), PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = tokens.CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = tokens.CACHE_WORDS, slice_bytes: int = tokens.SLICE_BYTES) -> DataFrame:
     """Pack whole documents, with an end id each, into as few sequences of at most `capacity` ids as best-fit finds.
 
     Columns read: doc_id, text; others may be there. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     Null or empty texts are one end id. Repeated rows, null ids and ties are pieces of their own: pieces of a length are
     interchangeable, and their places in the stored table rank them, so that no id's rows meet in one bucket. Very long
     texts are cut into as many pieces as they take. An empty table gives none.
-    `cache_words` trades a worker's memory for its time.
+    `cache_words` and `slice_bytes` trade a worker's memory for its time.
     """
     spark = docs.sparkSession
-    made = pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, cache_words)
+    made = pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, cache_words, slice_bytes)
     made = common.stored(made.withColumn("place", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in made.groupBy("length").count().collect()}  # at most `capacity` rows
     rows = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)

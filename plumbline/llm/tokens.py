@@ -102,12 +102,11 @@ class WordEncoder:
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # pre-tokens that are normal already need neither normalizer nor pattern
-        self.of_parts = Tokenizer.from_file(path)
-        self.of_parts.normalizer = normalizers.Sequence([])
+        self.of_parts = Tokenizer(self.tokenizer.model)  # the same model, held once
         self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache_words = cache_words
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
