@@ -64,7 +64,7 @@ def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are one end id; every one of repeated rows is packed; null ids are kept; texts of over 2048 ids
     are cut, and all their pieces packed.
     """
-    return packing.pack(docs, cache_words=400_000)  # its workers share executors with those of four more stages
+    return packing.pack(docs, cache_words=150_000, slice_bytes=2_000_000)  # its workers share executors with those of four more stages
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("packing", packing_plan)]
