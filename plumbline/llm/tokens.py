@@ -21,7 +21,7 @@ from plumbline.llm.words import mixed
 #: Words held by a worker before its cache starts anew; bounds memory, not results.
 CACHE_WORDS = 1_300_000
 #: Bytes of text that are encoded at a time: words that repeat within them are looked up once.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:%$&*#|]*$"
 _POINTS = ".,!?;:%$&*#|"
