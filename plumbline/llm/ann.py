@@ -28,9 +28,8 @@ K = 20
 MAX_SAMPLE = 12_000
 BLOCK = 2048
 QUERY_BLOCK = 4096
-#: Candidates of a query that are ranked exactly, shared over the partitions that it visits; of each block as many as its
-#: part comes to, LEAST to MOST, with all that tie with the last.
-SHORTLIST, LEAST, MOST = 1200, 32, 80
+#: Rows that a query ranks exactly, about, by a cut that so many of all rows would pass as of the sample: SAMPLED at least.
+SHORTLIST, SAMPLED = 1000, 3
 THRESHOLD = 0.2
 #: Share of a sample's true neighbours that must lie in the partitions a query visits.
 COVER = 0.99
@@ -139,33 +138,26 @@ def scan(queries: np.ndarray, codes: np.ndarray, index: Index) -> np.ndarray:
     return total
 
 
-def searched(query_uids: np.ndarray, queries: np.ndarray, uids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, index: Index, k: int = K, shortlist: int = MOST) -> tuple[np.ndarray, ...]:
+def searched(query_uids: np.ndarray, queries: np.ndarray, cuts: np.ndarray, uids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, index: Index, k: int = K) -> tuple[np.ndarray, ...]:
     """(query's uid, vec_id, uid, score): each query's best `k` of a block, its own row apart, by exact score after a table
-    scan. A uid is a row's; an id may be that of several rows. Rows that tie with the last of the shortlist are on it too."""
+    scan. Ranked exactly are the rows whose approximate score is above the query's cut, the block's best `k` at least, and
+    all that tie with these. A uid is a row's; an id may be that of several rows."""
     out: list[tuple[np.ndarray, ...]] = []
     order = np.lexsort((uids, ids))
     uids, ids, vectors, codes = uids[order], ids[order], vectors[order].astype(np.float64), codes[order]
-    most = min(shortlist, len(ids))
     for a in range(0, len(queries), 256):
         q, q_uids = queries[a : a + 256].astype(np.float64), query_uids[a : a + 256]
         near = scan(queries[a : a + 256], codes, index)
         near[q_uids[:, None] == uids[None, :]] = -np.inf
-        some = np.argpartition(-near, most - 1, axis=1)[:, :most]
-        limit = np.take_along_axis(near, some, 1).min(1)
-        tied = (near >= limit[:, None]).sum(1) > most
-        for i in np.flatnonzero(tied & (limit > -np.inf)):  # copies of one vector, mostly
-            own = np.flatnonzero(near[i] >= limit[i])
-            score = (vectors[own] * q[i]).sum(1)  # equal vectors get equal scores, unlike in blocked products
-            best = np.lexsort((uids[own], ids[own], -score))[:k]
-            out.append((np.full(len(best), q_uids[i]), ids[own][best], uids[own][best], score[best]))
-        plain = np.flatnonzero(~tied | (limit == -np.inf))
-        some = np.sort(some[plain], axis=1)
-        score = (vectors[some] * q[plain, None, :]).sum(2)
-        score[np.take_along_axis(near[plain], some, 1) == -np.inf] = -np.inf
-        best = np.lexsort((uids[some], ids[some], -score), axis=1)[:, :k]
-        at, score = np.take_along_axis(some, best, 1), np.take_along_axis(score, best, 1)
-        real = score > -np.inf
-        out.append((np.broadcast_to(q_uids[plain, None], at.shape)[real], ids[at][real], uids[at][real], score[real]))
+        limit = cuts[a : a + 256] if len(ids) <= k else np.minimum(cuts[a : a + 256], np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+        row, at = np.nonzero((near >= limit[:, None]) & (near > -np.inf) if len(ids) > k else near > -np.inf)
+        score = np.empty(len(row))
+        for i in range(0, len(row), 65536):
+            score[i : i + 65536] = (vectors[at[i : i + 65536]] * q[row[i : i + 65536]]).sum(1)  # equal vectors get equal scores, unlike in blocked products
+        best = np.lexsort((uids[at], ids[at], -score, row))
+        row, at, score = row[best], at[best], score[best]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((q_uids[row[kept]], ids[at[kept]], uids[at[kept]], score[kept]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -226,16 +218,24 @@ def _of_length(vectors: DataFrame, n: int, is_query, k: int, cover: float, seed:
 
     indexed = vectors.mapInArrow(common.lean(coded), "vec_id long, embedding array<double>, part int, codes binary, near array<int>")
     made = common.stored(indexed.withColumn("uid", F.monotonically_increasing_id()), "ann-index")
-    probes = made.where(is_query).select(F.col("uid").alias("query_uid"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("near").alias("part"))
+    asked = made.where(is_query).select(F.col("uid").alias("query_uid"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "near")
+    sampled = spark.sparkContext.broadcast(x.astype(np.float32))  # about MAX_SAMPLE vectors at most
+    passing = min(len(x), max(SAMPLED, -(-SHORTLIST * len(x) // n)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = _matrix(batch.column(2)).astype(np.float32)
+            found = [np.partition(q[i : i + 256] @ sampled.value.T, len(x) - passing, axis=1)[:, len(x) - passing] for i in range(0, len(q), 256)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0, np.float32))], [*batch.schema.names, "cut"])
+
+    probes = asked.mapInArrow(common.lean(cut), "query_uid long, query_id long, query array<double>, near array<int>, cut float").select("query_uid", "query_id", "query", "cut", F.explode("near").alias("part"))
     # at most as many rows as there are partitions
-    sizes = made.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(probes.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks")), "part")
+    sizes = made.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(asked.select(F.explode("near").alias("part")).groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks")), "part")
     sizes = spark.createDataFrame([tuple(r) for r in sizes.select("part", "blocks", "query_blocks").collect()], "part int, blocks int, query_blocks int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.col(n)).cast("int")
     left = made.join(F.broadcast(sizes), "part").select("part", of("uid", "blocks").alias("block"), each("query_blocks").alias("query_block"), "uid", "vec_id", "embedding", "codes")
-    right = probes.join(F.broadcast(sizes), "part").select("part", each("blocks").alias("block"), of("query_uid", "query_blocks").alias("query_block"), "query_uid", "query_id", "query")
-
-    shortlist = max(k, min(MOST, max(LEAST, -(-SHORTLIST // visited))))
+    right = probes.join(F.broadcast(sizes), "part").select("part", each("blocks").alias("block"), of("query_uid", "query_blocks").alias("query_block"), "query_uid", "query_id", "query", "cut")
 
     def block(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: tuple = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
@@ -243,7 +243,9 @@ def _of_length(vectors: DataFrame, n: int, is_query, k: int, cover: float, seed:
         if len(rows) and len(queries):
             codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(rows), -1)
             uids, ids = queries["query_uid"].to_numpy(), queries["query_id"].to_numpy()
-            found = searched(uids, _matrix(queries["query"]), rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["embedding"]), codes, Index(*shared.value), k, shortlist)
+            own, q = Index(*shared.value), _matrix(queries["query"])
+            beyond = queries["cut"].to_numpy() - q @ own.centres[rows["part"][0].as_py()]  # what a row's residual has to add
+            found = searched(uids, q, beyond, rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["embedding"]), codes, own, k)
             order = np.argsort(uids)
             named = ids[order[np.searchsorted(uids, found[0], sorter=order)]]
         return pa.table({"query_uid": pa.array(found[0], pa.int64()), "query_id": pa.array(named, pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "uid": pa.array(found[2], pa.int64()), "score": pa.array(found[3], pa.float64())})
