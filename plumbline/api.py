@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.paths import EXTENSIONS, FILENAMES, ancestors, base, directory, language
-from plumbline.functions.stats import wilson_lower
+from plumbline.functions.stats import area_ceiling, wilson_lower
 from plumbline.functions.text import area_id, fingerprint
 from plumbline.operators import baseline, check, dimensions, gates, hierarchy, layout, render, slots
 from plumbline.operators.globs import cover
@@ -81,7 +81,10 @@ class Engine:
         typed = types if "typed" not in files.columns else types | F.col("typed")
         placed = files.select("rel", "lang", "stripped", typed.alias("typed"), directory(F.col("rel")).alias("dir"))
         if pinned is None:
-            areas = hierarchy.discover(placed, min_files)
+            areas = stored(hierarchy.discover(placed, min_files), "discovered")
+            most = placed.agg(area_ceiling(F.count(F.lit(1)))).first()[0]
+            if areas.count() > most:  # a tree of very many: the smallest fold upwards, by one task over a row a directory
+                areas = hierarchy.folded(areas.withColumn("tree", F.lit("")), most).where("area IS NOT NULL").select("area", "files")
             owners = hierarchy.deepest(placed.select(F.col("dir").alias("path")), areas).where("owner IS NOT NULL").select(F.col("path").alias("dir"), F.col("owner").alias("area"))
             owned = placed.join(owners, "dir")
         else:

@@ -168,6 +168,13 @@ def test_scan_states_what_the_counts_support(scanned):
     assert by_key["src/a", "file_naming_case"].learned == "kebab-case"
 
 
+def test_no_more_areas_than_a_tree_may_have(spark):
+    """Of 130 directories, 120 areas and their parents are left, and every file has its home."""
+    rows = [(f"src/p{d % 10}/dir{d}/f{i}.js", "js", False, "const a = 1;") for d in range(130) for i in range(8 + d % 2)]
+    found = Engine(spark, tuple(d for d in registry.DIMENSIONS if d.key == "module_state_const")).scan(spark.createDataFrame(rows, "rel string, lang string, stripped boolean, content string"))
+    assert found.areas.count() == 120 and found.owned.count() == len(rows)
+
+
 def test_pairing_sites(spark):
     found = {r.rel: r.conforming for r in dimensions.pairing_sites(tree(spark)).where("key = 'model_spec'").collect()}
     assert found == {"app/models/user.rb": True, "app/models/post.rb": False}
