@@ -101,7 +101,7 @@ class Engine:
         repo = (self.spark.range(1).select(F.lit(0).cast("long").alias("repo_authors")) if authors is None else authors.where(~F.col("author").contains("[bot]")).agg(F.count_distinct("author").alias("repo_authors")))
         stop = (blocked if blocked is not None else areas.where("false")).select("area", F.lit(True).alias("_blocked")).distinct()
         open_ = full.crossJoin(F.broadcast(repo)).join(stop, "area", "left").withColumn("blocked", F.coalesce("_blocked", F.lit(False))).drop("_blocked")
-        judged = gates.judged(slots.pooled(open_, ["key", "learned"], F.col("blocked")))
+        judged = gates.judged(slots.pooled(stored(open_, "open"), ["key", "learned"], F.col("blocked")))
         judged = judged.withColumn("states", F.when(~F.col("blocked"), F.col("states")))
         dirs = stored(placed.select("dir").distinct(), "dirs")
         return Scan(stored(areas.withColumn("area_id", area_id(F.col("area"))), "areas"), owned, sites, stored(judged, "slots"), dirs)

@@ -19,11 +19,6 @@ def file_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy(*SLOT, "rel").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("conforming").alias("conforming"))
 
 
-def merged_counts(counted: DataFrame) -> DataFrame:
-    """As `file_counts`, from sites that are counted already, in several rows a file."""
-    return counted.groupBy(*SLOT, "rel").agg(F.sum("candidates").alias("candidates"), F.sum("conforming").alias("conforming"))
-
-
 def slot_counts(by_file: DataFrame) -> DataFrame:
     """Counts of each slot, the inverse Simpson number of its files (as exact integers) and its largest file.
 

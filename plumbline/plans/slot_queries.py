@@ -77,17 +77,18 @@ def dimensions(spark: SparkSession) -> DataFrame:
 
 
 def by_file(spark: SparkSession, sf: str) -> DataFrame:
-    return slots.merged_counts(star.counted(spark, sf))
+    return slots.file_counts(star.sites(star.wide(spark, sf)))
 
 
 def full_slots(spark: SparkSession, sf: str) -> DataFrame:
-    """Slots with everything that the gates read. The sites are counted once, into a table that all parts read; the pool
-    is one row a claim."""
-    sites, files, dims = stored(star.counted(spark, sf), "star-sites"), stored(star.files(spark, sf), "star-files"), dimensions(spark)
-    counted = slots.slot_counts(slots.merged_counts(sites))
-    repo = sites.agg(F.count_distinct("author").alias("repo_authors"))  # one row
+    """Slots with everything that the gates read. Slots, a row for each area and dimension, are stored before they are pooled:
+    the pool, one row a claim, and what it is joined to are read from there."""
+    rows, files, dims = star.wide(spark, sf), star.files(spark, sf), dimensions(spark)
+    sites = star.sites(rows)
+    counted = slots.slot_counts(slots.file_counts(sites))
+    repo = star.read(spark, sf, "lineitem").agg(F.count_distinct("l_suppkey").alias("repo_authors"))  # one row
     there = counted.join(slots.denominators(files, dims), slots.SLOT, "left").fillna(0, ["lang_files"]).join(slots.spread(sites, files), slots.SLOT)
-    return slots.pooled(there.join(F.broadcast(dims.select("key", "has_counter")), "key").crossJoin(F.broadcast(repo)), ["key"])
+    return slots.pooled(stored(there.join(F.broadcast(dims.select("key", "has_counter")), "key").crossJoin(F.broadcast(repo)), "slots"), ["key"])
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:

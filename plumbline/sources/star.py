@@ -32,16 +32,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select(F.col("o_orderkey").alias("rel"), "area", F.col("o_orderpriority").alias("dir"), F.col("o_orderstatus").alias("lang"), (F.col("o_orderkey") % 17 == 0).alias("stripped"))
 
 
-def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """area, dir, rel, author, key, candidates, conforming: sites of the line items, counted by order and supplier.
-
-    The line items are read once; all dimensions are conditional counts of one aggregate, and rows are made of its result.
-    """
-    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_tax", "l_discount", "l_returnflag")
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """area, dir, rel, author and a boolean for each dimension: one row for each line item, which are read once."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("author"), *[F.expr(p).alias(k) for k, (p, *_) in DIMENSIONS.items()])
     there = items.join(files(spark, sf_dir).select("rel", "area", "dir"), F.col("l_orderkey") == F.col("rel"))
-    sums = there.groupBy("area", "dir", "rel", F.col("l_suppkey").alias("author")).agg(F.count(F.lit(1)).alias("candidates"), *[F.count_if(F.expr(p)).alias(k) for k, (p, *_) in DIMENSIONS.items()])
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col("candidates"), F.col(k).alias("conforming")) for k in DIMENSIONS]))
-    return sums.select("area", "dir", "rel", "author", each.alias("d")).select("area", "dir", "rel", "author", "d.*")
+    return there.select("area", "dir", "rel", "author", *DIMENSIONS)
+
+
+def sites(rows: DataFrame) -> DataFrame:
+    """area, dir, rel, author, key, conforming: a row for each dimension of `wide` rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("conforming")) for k in DIMENSIONS]))
+    return rows.select("area", "dir", "rel", "author", each.alias("d")).select("area", "dir", "rel", "author", "d.*")
 
 
 AREAS_SQL = "areas AS (SELECT n_nationkey, r_name || '/' || n_name AS area FROM nation JOIN region ON n_regionkey = r_regionkey)"
