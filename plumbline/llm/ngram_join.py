@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
+from plumbline.llm.tokens import hashes as string_hashes
 from plumbline.llm.tokens import in_slices
 from plumbline.llm.words import mixed, windows, words_of
 
@@ -45,7 +46,7 @@ SEED = 17
 def shingle_hashes(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all texts' shingles, offsets by text). A text of fewer than `size` words is one shingle of them all."""
     words = words_of(texts)
-    hashes = words.hashes()[words.codes]
+    hashes = string_hashes(words.distinct)[0][words.codes]  # 64 bits of a whole word
     found, first = windows(hashes, words.offsets, size)
     n = np.diff(words.offsets)
     counts = np.maximum(n - size + 1, 0)
@@ -68,7 +69,7 @@ def _multipliers(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    """The upper 16 bits of the least value of each hash over the shingles."""
+    """16 bits, folded from the 32 of the least value of each hash over the shingles."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), chunk):

@@ -199,3 +199,10 @@ def test_codes_weigh_the_parallel_error():
         scanned = ann.scan(x[:5], codes, index)
         assert np.allclose(scanned, x[:5] @ (near - index.centres[at]).T, atol=1e-4)
     assert loss[4.0] < loss[1.0]
+
+
+def test_words_of_one_crc_and_length_are_different():
+    import pyarrow as pa
+
+    one, two = (ngram_join.shingle_hashes(pa.array([f"a b c {w} d e f"]))[0] for w in ("gnyijstj", "etislvlf"))
+    assert not set(one.tolist()) & set(two.tolist())
