@@ -41,6 +41,7 @@ _BLANK = r"\x20\x09-\x0D"
 _ONE = rf"(?<![^{_BLANK}])([^{_BLANK}]++)[{_BLANK}]*+\z"
 _TWO = rf"(?<![^{_BLANK}])([^{_BLANK}]++)[{_BLANK}]++[^{_BLANK}]++[{_BLANK}]*+\z"
 _NEXT = rf"^[{_BLANK}]*+([^{_BLANK}]++)"
+#: A longer context word stands in a pattern by the hash of the whole of it.
 WORD = 256
 BLOCK = 256
 ROUNDS = 3
@@ -146,23 +147,26 @@ def _patterns(blocks: Column, m: Column) -> Column:
     left = lambda n: _piece(blocks, F.greatest(m["start"] - n, F.lit(0).cast("long")), m["start"])
     right = lambda n: _piece(blocks, m["end"], m["end"] + n)
     everything = F.array_join(blocks, "")
-    two, long_blank = rf"[{_BLANK}]{_TWO}", rf"[{_BLANK}]{{200}}"  # with shorter blanks, 1,000 characters hold two words or as much of them as counts
+    two, whole = rf"[{_BLANK}]{_TWO}", rf"{_NEXT}[{_BLANK}]"
 
     def before(s: Column) -> Column:
-        wide = _let(left(1000), lambda w: F.when((m["start"] <= 1000) | w.rlike(two) | ~w.rlike(long_blank), w).otherwise(F.substring(everything, F.lit(1), m["start"].cast("int"))))
-        return F.when((m["start"] <= 60) | s.rlike(two), s).otherwise(wide)
+        def further(n: int, rest: Column) -> Column:
+            return _let(left(n), lambda w: F.when((m["start"] <= n) | w.rlike(two), w).otherwise(rest))
+
+        return F.when((m["start"] <= 60) | s.rlike(two), s).otherwise(further(1000, further(20_000, F.substring(everything, F.lit(1), m["start"].cast("int")))))
 
     def after(s: Column) -> Column:
-        whole = rf"{_NEXT}[{_BLANK}]"
-        wide = _let(right(600), lambda w: F.when((F.length(w) < 600) | w.rlike(whole) | ~w.rlike(long_blank), w).otherwise(F.substring(everything, (m["end"] + 1).cast("int"), F.lit(2**31 - 1))))
-        return F.when((F.length(s) < 40) | s.rlike(whole), s).otherwise(wide)
+        def further(n: int, rest: Column) -> Column:
+            return _let(right(n), lambda w: F.when((F.length(w) < n) | w.rlike(whole), w).otherwise(rest))
+
+        return F.when((F.length(s) < 40) | s.rlike(whole), s).otherwise(further(600, further(20_000, F.substring(everything, (m["end"] + 1).cast("int"), F.lit(2**31 - 1)))))
 
     def words(s: Column) -> Column:
         return F.struct(F.regexp_extract(s["left"], _ONE, 1).alias("one"), F.regexp_extract(s["left"], _TWO, 1).alias("two"), F.regexp_extract(s["right"], _NEXT, 1).alias("next"))
 
     def named(w: Column) -> Column:
-        one, next_ = F.right(w["one"], F.lit(WORD)), F.left(w["next"], F.lit(WORD))
-        pair = F.when((w["two"] != "") & (F.length(w["one"]) <= WORD), F.concat(F.lit("2 "), F.right(w["two"], F.lit(WORD)), F.lit(" "), one))
+        one, two_, next_ = (F.when(F.length(w[n]) <= WORD, w[n]).otherwise(F.concat(F.lit(" "), F.md5(w[n]))) for n in ("one", "two", "next"))  # no word holds a blank
+        pair = F.when(w["two"] != "", F.concat(F.lit("2 "), two_, F.lit(" "), one))
         return F.array_compact(F.array(F.when(w["one"] != "", F.concat(F.lit("1 "), one)), pair, F.when((w["one"] != "") & (w["next"] != ""), F.concat(F.lit("3 "), one, F.lit(" "), next_))))
 
     return _let(_let(F.struct(_let(left(60), before).alias("left"), _let(right(40), after).alias("right")), lambda s: _let(F.struct(F.lower(s["left"]).alias("left"), F.lower(s["right"]).alias("right")), words)), named)

@@ -214,9 +214,9 @@ def brute_discovery(texts):
         rest = [x for x in rest if not any(b[1] < x[2] and x[1] < b[2] for b in base)]
         for k, a, b in base + rest:
             before, after = re.findall(WORD, text[:a].lower()), re.findall(WORD, text[b:].lower())
-            own = [f"1 {before[-1][-256:]}"] if before else []
-            own += [f"2 {before[-2][-256:]} {before[-1]}"] if len(before) > 1 and len(before[-1]) <= 256 else []
-            own += [f"3 {before[-1][-256:]} {after[0][:256]}"] if before and after else []
+            own = [f"1 {before[-1]}"] if before else []
+            own += [f"2 {before[-2]} {before[-1]}"] if len(before) > 1 else []
+            own += [f"3 {before[-1]} {after[0]}"] if before and after else []
             mentions.append((t, k, a, b, text[a:b].lower(), own))
     edges = collections.defaultdict(set)
     for _, k, _, _, form, own in mentions:
@@ -253,6 +253,8 @@ def test_discovered_spans_are_those_of_plain_loops(spark, small):
     parts = ["call", "hotline", "at", "mail", "to", "host", "card", "no", "+49 30 555-{:04d}", "030 555 {:04d}", "user{}@example.org", "user{}@host", "10.0.{}.9", "10.0.{}.900", "4111 1111 1111 1111", "fe80:0:0:{}", "\n", "  " * 40, "w" * 300, ";", "a@b.c;d@e.f"]
     texts = [" ".join(rng.choice(parts).format(rng.randrange(200)) for _ in range(rng.randint(0, 60))) for _ in range(120)]
     texts += [f"please call hotline +49 30 555-{i:04d} today" for i in range(30)] + [f"please call hotline 030 555 {i:04d} today" for i in range(20)] + ["", "x " * 3000 + "call hotline 030 555 9999 now"]
+    long = ["k" * 290 + str(i) for i in range(3)] + ["l" * 1500 + str(i) for i in range(2)]  # words that differ beyond 256 characters
+    texts += [f"{a} {b} {number} {c}" for i, number in enumerate(["+49 30 555-1234", "030 555 1234"]) for a in long for b in [*long, "id"] for c in (long[i], "end")]
     texts += [t or "" for _, t, _ in documents(spark, small, 200)]
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     want = brute_discovery(texts)
