@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.claims import same_constant
 from plumbline.functions.paths import EXTENSIONS, FILENAMES, ancestors, base, directory, language
 from plumbline.functions.stats import area_ceiling, wilson_lower
 from plumbline.functions.text import area_id, fingerprint
@@ -20,7 +21,7 @@ from plumbline.operators import baseline, check, dimensions, gates, hierarchy, l
 from plumbline.operators.globs import cover
 from plumbline.registry import DIMENSIONS, Dimension
 from plumbline.sources import files as tree
-from plumbline.sources import lexical
+from plumbline.sources import ledger, lexical, map_sink
 from plumbline.tables import stored
 
 
@@ -30,56 +31,78 @@ LINES = 40
 
 class Scan(NamedTuple):
     areas: DataFrame  # area, files, area_id
-    owned: DataFrame  # rel, lang, stripped, dir, area
+    owned: DataFrame  # rel, lang, stripped, typed, read, dir, area
     sites: DataFrame  # rel, area, key, line, conforming, class, learned
     slots: DataFrame  # area, key, counts, failed, states, borrowed
     dirs: DataFrame  # dir: the directories of the corpus
+    records: DataFrame  # rel, kind: what was read of each file
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, dims: tuple[Dimension, ...] = DIMENSIONS):
-        self.spark, self.dims = spark, dims
+    def __init__(self, spark: SparkSession, dims: tuple[Dimension, ...] = DIMENSIONS, records: ledger.Ledger | None = None, measure: ledger.Measure | None = None):
+        """`records` is a ledger that outlives this engine: files that it holds are not read again. `measure` reads files in
+        place of the lexical extractor; its nodes may be those that only a parser gives."""
+        self.spark, self.dims, self.ledger = spark, dims, records
+        self.measure, self.unseen = measure or ledger.reading(lexical.read), () if measure else lexical.UNSEEN
 
     def files(self, root: str) -> DataFrame:
-        """rel, lang, stripped, content of the source files below `root`."""
-        kept = tree.scan(self.spark, root).where("drop_reason IS NULL")
-        return kept.select("rel", language(F.col("rel")).alias("lang"), F.lit(False).alias("stripped"), "content")
+        """rel, lang, stripped, bytes, content of the source files below `root`; a file that is too large has no content."""
+        kept = tree.scan(self.spark, root).where(F.col("drop_reason").isNull() | (F.col("drop_reason") == "oversize") & F.col("rel").rlike(tree.SOURCE))
+        return kept.select("rel", language(F.col("rel")).alias("lang"), F.lit(False).alias("stripped"), F.col("length").alias("bytes"), "content")
 
-    def sites(self, files: DataFrame, nodes: DataFrame | None = None, frameworks: tuple[str, ...] | None = None) -> DataFrame:
-        """Sites of all dimensions that apply; `nodes` from a parser, or read from `content` by the lexical extractor.
+    def records(self, files: DataFrame) -> DataFrame:
+        """rel, hash, lang, kind, attempts, nodes of each file, read now or before."""
+        return (self.ledger or ledger.Ledger(self.spark)).settle(files, self.measure)
 
-        Without `frameworks`, those that the files' paths show are in use.
+    def sites(self, files: DataFrame, nodes: DataFrame | None = None, frameworks: tuple[str, ...] | None = None, records: DataFrame | None = None) -> DataFrame:
+        """Sites of all dimensions that apply; `nodes` from a parser, or of `records`, or read from `content`.
+
+        A file that could not be read has none, be it of its name or its companion. Without `frameworks`, those that the
+        files' paths show are in use.
         """
         frameworks = tuple(r.framework for r in dimensions.frameworks(files).collect()) if frameworks is None else frameworks
-        there = stored(lexical.extract(files), "nodes") if nodes is None else nodes  # several dimensions' plans read them
-        seen = tuple(d for d in self.dims if nodes is not None or d.key not in lexical.UNSEEN)
-        every = dimensions.tree_sites(there, seen).unionByName(dimensions.naming_sites(files)).unionByName(dimensions.pairing_sites(files, self.dims))
-        return dimensions.offered(stored(every, "sites"), files, frameworks, self.dims)
+        if nodes is None and records is None:
+            records = self.records(files)
+        there = stored(ledger.nodes(records), "nodes") if nodes is None else nodes  # several dimensions' plans read them
+        read = files if records is None else files.join(records.where("kind = 'ok'").select("rel"), "rel", "left_semi")
+        seen = tuple(d for d in self.dims if records is None or d.key not in self.unseen)
+        every = dimensions.tree_sites(there, seen).unionByName(dimensions.naming_sites(read)).unionByName(dimensions.pairing_sites(files, self.dims, read))
+        return dimensions.placed(dimensions.offered(stored(every, "sites"), files, frameworks, self.dims), there, self.dims)
 
     def _registry(self) -> DataFrame:
         return self.spark.createDataFrame([(d.key, d.counter, d.learned, bool(d.grouped), list(d.langs), d.blind, d.needs_types, d.precision) for d in self.dims], "key string, has_counter boolean, is_learned boolean, is_grouped boolean, langs array<string>, blind boolean, needs_types boolean, precision string")
 
     def _settled(self, sites: DataFrame) -> DataFrame:
-        """Sites with `conforming` decided: a learned dimension's by its area's class; slots with a tied vote are gone."""
+        """Sites with `conforming` decided: a learned dimension's by its area's class; slots with a tied vote are gone.
+
+        A dimension that splits its files learns from the kind that most of an area's files with sites are, and the other
+        kind's sites are gone; so is the site of the very class that an area learned.
+        """
         registry = F.broadcast(self._registry().select("key", "is_learned", "is_grouped"))
+        most = slots.majority_kind(sites.where("kind IS NOT NULL").select("area", "key", "rel", "kind").distinct(), ["area", "key"], "kind", "module")
+        sites = sites.join(most.select("area", "key", F.col("kind").alias("_kind")), slots.SLOT, "left").where("kind IS NULL OR kind = _kind").drop("_kind")
         there = sites.join(registry, "key").withColumn("body", F.when(F.col("is_grouped"), F.concat_ws("#", "rel", F.coalesce("grp", "pre"))))
         votes = slots.learned(there.where("is_learned"), ["area", "key"], group="body").where("learned IS NOT NULL").select("area", "key", "learned")
         plain = there.where("NOT is_learned").withColumn("learned", F.lit(None).cast("string"))
-        learned = there.where("is_learned").join(votes, ["area", "key"]).withColumn("conforming", F.coalesce(F.col("class") == F.col("learned"), F.lit(False)))
+        learned = there.where("is_learned").join(votes, ["area", "key"]).where("self IS NULL OR self <> learned").withColumn("conforming", same_constant(F.col("class"), F.col("learned"), F.col("nesting")))
         single = learned.where("body IS NULL").select(plain.columns)
-        bodies = learned.where("body IS NOT NULL").groupBy("area", "key", "rel", "body", "dir", "learned").agg(F.bool_or("conforming").alias("conforming"), F.min("line").alias("line"), F.min("class").alias("class"))
-        keep = ["area", "key", "rel", "dir", "line", "conforming", "class", "learned"]
+        bodies = learned.where("body IS NOT NULL").groupBy("area", "key", "rel", "body", "dir", "learned", "kind").agg(F.bool_or("conforming").alias("conforming"), F.min("line").alias("line"), F.min("class").alias("class"))
+        keep = ["area", "key", "rel", "dir", "line", "conforming", "class", "learned", "kind"]
         return plain.select(keep).unionByName(single.select(keep)).unionByName(bodies.select(keep))
 
     def scan(self, files: DataFrame, nodes: DataFrame | None = None, authors: DataFrame | None = None, frameworks: tuple[str, ...] | None = None, min_files: Column | None = None, pinned: DataFrame | None = None, blocked: DataFrame | None = None) -> Scan:
         """`files` has rel, lang, stripped and, without `nodes`, content; `authors` has rel and author.
 
         With `pinned` (area, rel), only its files are counted, in its areas: gates read the accepted population. Slots of
-        areas in `blocked` (area) lend nothing to the pool and state nothing.
+        areas in `blocked` (area) lend nothing to the pool and state nothing. A file that could not be read belongs to its
+        area and counts for no dimension: no slot has it among the files that it divides by.
         """
         types = F.col("rel").rlike(r"[.](cts|mts|ts|tsx)$")
         typed = types if "typed" not in files.columns else types | F.col("typed")
-        placed = files.select("rel", "lang", "stripped", typed.alias("typed"), directory(F.col("rel")).alias("dir"))
+        records = self.records(files) if nodes is None else None
+        nodes_ = nodes if records is None else stored(ledger.nodes(records), "nodes")  # several dimensions' plans read them
+        outcome = files.select("rel", F.lit("ok").alias("kind")) if records is None else records.select("rel", "kind")
+        placed = files.select("rel", "lang", "stripped", typed.alias("typed"), directory(F.col("rel")).alias("dir")).join(outcome, "rel", "left").withColumn("read", F.coalesce(F.col("kind") == "ok", F.lit(False))).drop("kind").join(dimensions.file_kinds(nodes_), "rel", "left").fillna("module", ["kind"])
         if pinned is None:
             areas = stored(hierarchy.discover(placed, min_files), "discovered")
             most = placed.agg(area_ceiling(F.count(F.lit(1)))).first()[0]
@@ -91,20 +114,20 @@ class Engine:
             owned = placed.join(pinned.select("rel", "area"), "rel")
             areas = owned.groupBy("area").agg(F.count(F.lit(1)).alias("files"))
         owned = stored(owned, "owned")
-        sites = stored(self._settled(stored(self.sites(files, nodes, frameworks).join(owned.select("rel", "area", "dir"), "rel"), "placed")), "settled")
+        sites = stored(self._settled(stored(self.sites(files, nodes_, frameworks, records).join(owned.select("rel", "area", "dir"), "rel"), "placed")), "settled")
         registry = self._registry()
-        counted = slots.slot_counts(slots.file_counts(sites)).join(slots.denominators(owned, registry.select("key", "langs", "blind", "needs_types")), slots.SLOT, "left").fillna(0, ["lang_files"])
+        learned = sites.where("learned IS NOT NULL").select("area", "key", "learned", "kind").distinct()
+        counted = slots.slot_counts(slots.file_counts(sites)).join(slots.denominators(owned.where("read"), registry.select("key", "langs", "blind", "needs_types"), learned.where("kind IS NOT NULL")), slots.SLOT, "left").fillna(0, ["lang_files"])
         who = sites.select("area", "key", "rel", "dir").distinct()
         who = who.withColumn("author", F.lit(None).cast("string")) if authors is None else who.join(authors.where(~F.col("author").contains("[bot]")).select("rel", "author"), "rel", "left")
-        learned = sites.where("learned IS NOT NULL").select("area", "key", "learned").distinct()
         full = counted.join(slots.spread(who, owned), slots.SLOT).join(learned, slots.SLOT, "left").join(F.broadcast(registry.select("key", "has_counter", "precision")), "key")
         repo = (self.spark.range(1).select(F.lit(0).cast("long").alias("repo_authors")) if authors is None else authors.where(~F.col("author").contains("[bot]")).agg(F.count_distinct("author").alias("repo_authors")))
         stop = (blocked if blocked is not None else areas.where("false")).select("area", F.lit(True).alias("_blocked")).distinct()
         open_ = full.crossJoin(F.broadcast(repo)).join(stop, "area", "left").withColumn("blocked", F.coalesce("_blocked", F.lit(False))).drop("_blocked")
-        judged = gates.judged(slots.pooled(stored(open_, "open"), ["key", "learned"], F.col("blocked")))
+        judged = gates.judged(slots.pooled(stored(open_, "open"), ["key", "learned", "kind"], F.col("blocked")))
         judged = judged.withColumn("states", F.when(~F.col("blocked"), F.col("states")))
         dirs = stored(placed.select("dir").distinct(), "dirs")
-        return Scan(stored(areas.withColumn("area_id", area_id(F.col("area"))), "areas"), owned, sites, stored(judged, "slots"), dirs)
+        return Scan(stored(areas.withColumn("area_id", area_id(F.col("area"))), "areas"), owned, sites, stored(judged, "slots"), dirs, outcome)
 
     def pin(self, found: Scan, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(the population as area and rel; what changed since `before`). No counts are kept."""
@@ -139,7 +162,7 @@ class Engine:
         sided = gates.sided(found.slots)
         blocks = sided.where("states IS NOT NULL").withColumn("height", F.lit(2) + (F.col("side_conforming") < F.col("candidates")).cast("int"))
         dropped = layout.settled(blocks.select("area", "key", "candidates", "height"), "area", [F.desc("candidates"), "key"], "height", budget).where("NOT kept").select("area", "key", F.lit(True).alias("_dropped"))
-        sides = ("states", "side", "learned", "borrowed", "precision", F.col("side_conforming").alias("conforming"), "candidates")
+        sides = ("states", "side", "learned", F.col("kind").alias("slot_kind"), "borrowed", "precision", F.col("side_conforming").alias("conforming"), "candidates")
         own = sided.join(dropped, ["area", "key"], "left").select("area", "key", F.col("area").alias("from_area"), F.coalesce("_dropped", F.lit(False)).alias("dropped"), *sides)
         above = hierarchy.nearest_stating(found.slots, found.areas).join(found.slots.select("area", "key"), ["area", "key"], "left_anti")
         return own.unionByName(above.join(sided.withColumnRenamed("area", "from_area"), ["from_area", "key"]).select("area", "key", "from_area", F.lit(False).alias("dropped"), *sides))
@@ -149,11 +172,11 @@ class Engine:
         where their dimension has a predicate of its own; an omission is one only where the claim is stated."""
         registry = F.broadcast(self._registry().select("key", "is_learned", "is_grouped"))
         there = sites.join(owners, "rel").join(told, ["area", "key"], "left").join(registry, "key")
-        fits = F.when(F.col("is_learned"), F.coalesce(F.col("class") == F.col("learned"), F.lit(False))).otherwise(F.col("conforming_here"))
+        fits = F.when(F.col("is_learned"), same_constant(F.col("class"), F.col("learned"), F.col("nesting"))).otherwise(F.col("conforming_here"))
         omitted = F.col("is_learned") & F.col("class").isNull()
-        there = there.where("area IS NULL AND NOT is_learned OR from_area IS NOT NULL").withColumns({"fits": fits, "omitted": omitted, "body": F.when(F.col("is_grouped"), F.concat_ws("#", "rel", F.coalesce("grp", "pre")))})
+        there = there.where("area IS NULL AND NOT is_learned OR from_area IS NOT NULL").where("(kind IS NULL OR kind <=> slot_kind) AND (self IS NULL OR learned IS NULL OR self <> learned)").withColumns({"fits": fits, "omitted": omitted, "body": F.when(F.col("is_grouped"), F.concat_ws("#", "rel", F.coalesce("grp", "pre")))})
         single = there.where("body IS NULL")
-        carried = [c for c in there.columns if c not in ("body", "fits", "omitted", "line", "class", "pre", "grp", "conforming_here", "rel", "key")]
+        carried = [c for c in there.columns if c not in ("nesting", "self", "kind", "body", "fits", "omitted", "line", "class", "pre", "grp", "conforming_here", "rel", "key")]
         bodies = there.where("body IS NOT NULL").groupBy("rel", "key", "body").agg(F.bool_or("fits").alias("fits"), F.bool_and("omitted").alias("omitted"), F.min("line").alias("line"), F.min("class").alias("class"), *[F.first(c).alias(c) for c in carried])
         keep = ["rel", "key", "line", "class", "fits", "omitted", *carried]
         every = single.select(keep).unionByName(bodies.select(keep))
@@ -210,21 +233,13 @@ def rendered(found: Scan, budget: int = LINES, defaults: DataFrame | None = None
 
 
 def write_map(found: Scan, root: str, budget: int = LINES) -> list[str]:
-    """Write each area's text below `root`, a file each, and give the paths; every file is whole or not there.
+    """Write each area's text below `root`, a file each, and give the names of the map as it is now.
 
-    A tree has `area_ceiling` areas at most, 500, so their texts come to the driver, which renames what it wrote.
+    Tasks write the texts; only names pass through the driver. Files of areas that are gone are removed if an earlier run
+    wrote them. A run that read no file of a language which has some is blind, and writes and removes nothing.
     """
-    spark = found.slots.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    store = path(root).getFileSystem(conf)
-    written = []
-    for r in rendered(found, budget).join(found.areas.select("area", "area_id"), "area").orderBy("area").collect():
-        to, draft = path(f"{root}/{r.area_id}.md"), path(f"{root}/.{r.area_id}.draft")
-        out = store.create(draft, True)
-        out.write(bytearray(f"# {r.area}\n\n{r.text}\n".encode()))
-        out.close()
-        store.delete(to, False)
-        store.rename(draft, to)
-        written.append(to.toString())
-    return written
+    known = found.records.join(found.owned.select("rel", "lang"), "rel")
+    blind = not known.groupBy("lang").agg(F.count_if(F.col("kind") == "ok").alias("read")).where("read = 0").isEmpty()
+    texts = rendered(found, budget).join(found.areas.select("area", "area_id"), "area")
+    files = texts.select(F.concat("area_id", F.lit(".md")).alias("name"), F.concat(F.lit("# "), "area", F.lit("\n\n"), "text", F.lit("\n")).alias("text"))
+    return map_sink.write(found.slots.sparkSession, files, root, blind)

@@ -56,8 +56,11 @@ def naming_sites(files: DataFrame) -> DataFrame:
     return files.where(names_a_site(rel)).select("rel", F.lit("file_naming_case").alias("key"), none("int").alias("pre"), none("int").alias("line"), none("boolean").alias("conforming"), classify_basename(rel).alias("class"), none("int").alias("grp"))
 
 
-def pairing_sites(files: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIONS) -> DataFrame:
-    """Sites of the pairing dimensions: producers, conforming where their companion is a file. One join for all of them."""
+def pairing_sites(files: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIONS, producers: DataFrame | None = None) -> DataFrame:
+    """Sites of the pairing dimensions: producers, conforming where their companion is a file. One join for all of them.
+
+    Files that could not be read are left out of `producers` by the caller; they are companions all the same.
+    """
     none = lambda kind: F.lit(None).cast(kind)
     rules = [d for d in dimensions if d.kind == "pairing"]
     if not rules:
@@ -69,11 +72,37 @@ def pairing_sites(files: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIO
         tail = F.expr(f"substring(rel, {len(d.from_) + 1}, length(rel) - {len(d.from_) + len(d.ext) + 1})")
         return F.when(inside, F.struct(F.lit(d.key).alias("key"), F.concat(F.lit(d.to), tail, F.lit(d.suffix)).alias("companion")))
 
-    wanted = files.select("rel", F.explode(F.array_compact(F.array(*[expected(d) for d in rules]))).alias("d")).select("rel", "d.*")
+    wanted = (files if producers is None else producers).select("rel", F.explode(F.array_compact(F.array(*[expected(d) for d in rules]))).alias("d")).select("rel", "d.*")
     known = files.select(F.col("rel").alias("companion"), F.lit(True).alias("_known")).distinct()
     return wanted.join(known, "companion", "left").select("rel", "key", none("int").alias("pre"), none("int").alias("line"), F.coalesce("_known", F.lit(False)).alias("conforming"), none("string").alias("class"), none("int").alias("grp"))
 
 
+def file_kinds(nodes: DataFrame) -> DataFrame:
+    """rel, kind of the files that hold JSX; all others are modules."""
+    return nodes.where(F.col("type").startswith("JSX")).select("rel", F.lit("jsx").alias("kind")).distinct()
+
+
+def placed(sites: DataFrame, nodes: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIONS) -> DataFrame:
+    """`sites` with kind (of their file, where the dimension splits by it), and nesting and self (where its classes are
+    constants): the scopes around a site, the innermost first, and the name of the class that it is about.
+
+    A file's modules and classes are one row, bounded by the size of files that are read; sites join it by file.
+    """
+    split, constants = [d.key for d in dimensions if d.split], [d.key for d in dimensions if d.constants]
+    none = F.lit(None).cast("string")
+    plain = sites.where(~F.col("key").isin(*split, *constants)).withColumns({"kind": none, "nesting": F.lit(None).cast("array<string>"), "self": none})
+    kinds = sites.where(F.col("key").isin(split)).join(file_kinds(nodes), "rel", "left").withColumns({"kind": F.coalesce("kind", F.lit("module")), "nesting": F.lit(None).cast("array<string>"), "self": none})
+    bodies = nodes.where(F.col("type").isin("Module", "Class")).groupBy("rel").agg(F.array_sort(F.collect_list(F.struct("pre", "post", "name", "type"))).alias("_bodies"))
+    around = F.filter("_bodies", lambda b: (b["pre"] < F.col("pre")) & (F.col("pre") <= b["post"]))
+    names = F.transform(around, lambda b: b["name"])
+    nesting = F.reverse(F.transform(names, lambda _, i: F.array_join(F.slice(names, 1, i + 1), "::")))
+    own = F.element_at(F.filter("_bodies", lambda b: (b["pre"] == F.col("pre")) & (b["type"] == "Class")), 1)["name"]
+    full = F.when(own.isNotNull(), F.concat_ws("::", F.array_join(names, "::"), own))
+    told = F.when(F.size(names) > 0, full).otherwise(own)
+    scoped = sites.where(F.col("key").isin(constants)).join(bodies, "rel", "left").withColumns({"kind": none, "nesting": F.coalesce(nesting, F.array().cast("array<string>")), "self": F.when(F.col("key") == "class_base", told)}).drop("_bodies")
+    return plain.unionByName(kinds).unionByName(scoped)
+
+
 #: Paths that show a framework in use, with the language of the files that count; words of a wrapper's path.
 FRAMEWORKS = {"rails": ("ruby", r"(^|/)(app/models/|db/migrate/|config/application\.rb$)")}
 CAPABILITY_WORDS = {"logging": ("log", "logger", "logging"), "network": ("client", "http", "api", "request", "fetcher"), "env": ("config", "env", "settings")}

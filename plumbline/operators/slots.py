@@ -42,17 +42,24 @@ def spread(sites: DataFrame, files: DataFrame) -> DataFrame:
     return authors.join(dirs, SLOT).join(area_dirs, "area")
 
 
-def denominators(files: DataFrame, dimensions: DataFrame) -> DataFrame:
+def denominators(files: DataFrame, dimensions: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """area, key, lang_files: files that a dimension could be seen in, with or without a site of it.
 
     A file counts where the dimension knows its language, unless it was stripped and the dimension is blind then, or holds
-    no type syntax (`typed`, if the files have it) and the dimension needs some.
+    no type syntax (`typed`, if the files have it) and the dimension needs some. Files are counted by what decides that
+    before they meet the dimensions: a few rows an area. Files that were not read are the caller's to leave out. With
+    `kinds` (area, key, kind), a slot that it names counts files of that `kind` only.
     """
-    sees = F.array_contains(F.col("langs"), F.col("lang")) & ~(F.col("stripped") & F.col("blind"))
-    if "typed" in files.columns:
+    sees = ~(F.col("stripped") & F.col("blind"))
+    alike = ["area", "lang", "stripped", *[c for c in ("typed", "kind") if c in files.columns]]
+    if "typed" in alike:
         sees = sees & ~(F.col("needs_types") & ~F.col("typed"))
-    eligible = files.join(F.broadcast(dimensions), sees)
-    return eligible.groupBy("area", "key").agg(F.count(F.lit(1)).alias("lang_files"))
+    counted = files.groupBy(*alike).agg(F.count(F.lit(1)).alias("_files"))
+    by_lang = dimensions.withColumn("lang", F.explode(F.array_distinct("langs")))  # a row a dimension and language of the registry
+    seen = counted.join(F.broadcast(by_lang), "lang").where(sees)
+    if kinds is not None:
+        seen = seen.join(kinds.select("area", "key", F.col("kind").alias("_kind")), SLOT, "left").where("_kind IS NULL OR kind = _kind")
+    return seen.groupBy("area", "key").agg(F.sum("_files").alias("lang_files"))
 
 
 def pooled(slots: DataFrame, by: list[str], blocked: Column | None = None) -> DataFrame:

@@ -280,7 +280,7 @@ def glob_covers(spark: SparkSession, sf: str) -> DataFrame:
     tld = F.substring_index("host", ".", -1)
     areas = there.select(tld.alias("area")).union(there.where(F.length("host") % 2 == 0).select(F.concat_ws("/", tld, "host"))).distinct()
     owners = hierarchy.deepest(there.select(F.col("dir").alias("path")), areas).select(F.col("path").alias("dir"), F.col("owner").alias("area"))
-    found = Scan(areas, there.join(owners, "dir").select("rel", "dir", "area", F.lit("js").alias("lang")), there, there, there.select("dir").distinct())
+    found = Scan(areas, there.join(owners, "dir").select("rel", "dir", "area", F.lit("js").alias("lang")), there, there, there.select("dir").distinct(), there)
     reached = hierarchy.reach(there.select(F.col("rel").alias("path")), Engine(spark).globs(found)).where("reached")
     return reached.select(F.regexp_replace("path", "js$", "html").alias("path"), "area")
 

@@ -28,6 +28,8 @@ class Dimension:
     blind: bool = False  # cannot be seen in a file whose type syntax was stripped
     needs_types: bool = False  # only files with type syntax could show it
     per_file: bool = False  # one site a file
+    split: bool = False  # a class is learned from files that hold JSX or from those that do not, whichever are more
+    constants: bool = False  # classes are constants, which a scope around a site may shorten
     grouped: str = ""  # sites with the same value are one site
     framework: str = ""
     capability: str = ""
@@ -93,9 +95,9 @@ DIMENSIONS = (
     Dimension("spread_on_component", PRECISE, JSX_ONLY, site=f"n.type = 'JSXSpreadAttribute' AND ({_attr('element')} = 'component' OR {_attr('forwarded')} IS NULL)", conforming=f"{_attr('element')} = 'component'"),
     Dimension("text_translated", PARTIAL, JSX_ONLY, site=f"n.type IN ('JSXText', 'Translation') AND {_attr('i18n_file')} = '1'", conforming="n.type = 'Translation'"),
     Dimension("handler_memoised", PARTIAL, JSX_ONLY, site=f"n.type = 'JSXAttribute' AND n.name RLIKE '^on[A-Z]' AND {_attr('bound_by')} IS NOT NULL", conforming=f"{_attr('bound_by')} = 'useCallback'", counter=True),
-    Dimension("file_naming_case", PRECISE, (*JS, *RUBY), kind="corpus", cls="path"),
-    Dimension("function_naming_case", PRECISE, JS, site=f"n.type = 'Function' AND {_top()} AND n.name IS NOT NULL AND {_NOT_COMPONENT} AND NOT n.name RLIKE '^[a-z0-9]+$'", cls=_WORD_CLASS),
-    Dimension("exported_symbol_case", PRECISE, JS, site=f"{_exported("'VariableDeclaration', 'Function'")} AND {_NOT_COMPONENT} AND NOT n.name RLIKE '^[a-z0-9]+$'", cls=_WORD_CLASS),
+    Dimension("file_naming_case", PRECISE, (*JS, *RUBY), kind="corpus", cls="path", split=True),
+    Dimension("function_naming_case", PRECISE, JS, site=f"n.type = 'Function' AND {_top()} AND n.name IS NOT NULL AND {_NOT_COMPONENT} AND NOT n.name RLIKE '^[a-z0-9]+$'", cls=_WORD_CLASS, split=True),
+    Dimension("exported_symbol_case", PRECISE, JS, site=f"{_exported("'VariableDeclaration', 'Function'")} AND {_NOT_COMPONENT} AND NOT n.name RLIKE '^[a-z0-9]+$'", cls=_WORD_CLASS, split=True),
     Dimension("exported_class_case", PRECISE, JS, site=_exported("'Class'"), cls=_WORD_CLASS),
     Dimension("exported_type_case", PRECISE, JS, site=_exported("'TSInterfaceDeclaration', 'TSTypeAliasDeclaration', 'TSEnumDeclaration'"), cls=_WORD_CLASS, blind=True),
     Dimension("extends_base", PRECISE, JS, site=f"n.type = 'Class' AND {_attr('super')} IS NOT NULL", cls=_attr("super")),
@@ -114,8 +116,8 @@ DIMENSIONS = (
     Dimension("zone_aware_time", PRECISE, RUBY, site=f"n.type = 'Call' AND concat({_attr('receiver')}, '.', n.name) IN ({CLOCK_CALLS})", conforming=f"n.name = 'current' OR {_attr('receiver')} = 'Time.zone'", framework="rails"),
     Dimension("logger_over_puts", PARTIAL, RUBY, site=f"n.type = 'Call' AND ((n.name IN ('puts', 'print', 'p', 'pp', 'warn') AND {_attr('receiver')} IS NULL) OR {_attr('receiver')} RLIKE '(^|[.])(logger|Logger)$')", conforming=f"{_attr('receiver')} IS NOT NULL", capability="logging"),
     Dimension("http_through_client", PARTIAL, RUBY, site=f"n.type = 'Call' AND ({_attr('receiver')} RLIKE '^(Net::HTTP|URI$)' OR ({_attr('receiver')} RLIKE '(?i)client$' AND n.name IN ('delete', 'get', 'head', 'patch', 'post', 'put', 'request')))", conforming=f"NOT {_attr('receiver')} RLIKE '^(Net::HTTP|URI$)'", capability="network"),
-    Dimension("class_base", PRECISE, RUBY, site=f"n.type = 'Class' AND NOT coalesce({_attr('super')}, '') RLIKE '(Error|Exception)$'", cls=_attr("super")),
-    Dimension("module_include", PRECISE, RUBY, site=f"(n.type = 'Call' AND n.name = 'include') OR ({_BODY} AND {_attr('includes')} IS NULL)", cls=_attr("argument"), grouped="CASE WHEN n.type = 'Call' THEN n.cls ELSE n.pre END"),
+    Dimension("class_base", PRECISE, RUBY, site=f"n.type = 'Class' AND NOT coalesce({_attr('super')}, '') RLIKE '(Error|Exception)$'", cls=_attr("super"), constants=True),
+    Dimension("module_include", PRECISE, RUBY, site=f"(n.type = 'Call' AND n.name = 'include') OR ({_BODY} AND {_attr('includes')} IS NULL)", cls=_attr("argument"), grouped="CASE WHEN n.type = 'Call' THEN n.cls ELSE n.pre END", constants=True),
     Dimension("route_logging", PARTIAL, JS, site=f"n.type = 'CallExpression' AND ({_attr('object')} = 'console' OR {_has('wrapper', 'logging')}) AND NOT {_has('implements', 'logging')}", conforming=_has("wrapper", "logging"), capability="logging"),
     Dimension("route_network", PARTIAL, JS, site=f"n.type = 'CallExpression' AND (n.name = 'fetch' OR 'axios' IN (n.name, {_attr('object')}) OR {_has('wrapper', 'network')}) AND NOT {_has('implements', 'network')}", conforming=_has("wrapper", "network"), capability="network"),
     Dimension("route_env", PARTIAL, JS, site=f"n.type = 'MemberExpression' AND ({_attr('object')} = 'process.env' OR {_has('wrapper', 'env')}) AND NOT {_has('implements', 'env')}", conforming=_has("wrapper", "env"), capability="env"),

@@ -1,20 +1,20 @@
 """A lexical extractor of nodes from JavaScript, TypeScript and Ruby text.
 
 It reads tokens and brackets, not a grammar, so it finds the plainer part of each dimension's sites. A real parser plugs
-in with the same schema. A text that cannot be read gives no nodes and `ok = false`; one file never fails a task.
+in with the same schema. A text that cannot be read is rejected and has no nodes; one file never fails a task.
 Dimensions whose two sides cannot be told without a grammar or types are UNSEEN and are not offered over these nodes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.operators import dimensions
-from plumbline.operators.dimensions import NODES
+from plumbline.sources import ledger
 
 #: Whether a name is used as a type alone takes a grammar, and a receiver's type takes a type checker.
 UNSEEN = ("type_only_import", "law_of_demeter")
@@ -43,6 +43,12 @@ _JS = re.compile(
 _WRITTEN = re.compile(r"!(?:\??\.[\w$]+|\[[^\]]*\]|\([^()]*\))+\s*(?:\+\+|--|(?:[-+*/%&|^]|<<|>>>?|\*\*|\?\?|&&|\|\|)?=(?![=>]))")
 _BEFORE_NOT = re.compile(r"\b(?:return|typeof|case|in|of|void|delete|await|yield|else|do)$")
 _VALUE = re.compile(r"\{\s*(?:(?P<function>(?:async\b\s*)?(?:\([^()]*\)|[\w$]+)\s*=>|(?:async\s+)?function\b)|(?P<identifier>[A-Za-z_$][\w$]*)\s*\}|(?P<member>[A-Za-z_$][\w$]*(?:\??\.[\w$]+)+)\s*\})")
+#: A member and its dot, backwards.
+_LINK = re.compile(r"\.\??[\w$]+")
+#: A name that is assigned, or counted up or down.
+_SET = re.compile(r"(?<![\w$.])(?P<set>[\w$]+)\s*(?:(?:[-+*/%|&^]|\*\*|\?\?|\|\||&&|<<|>>)?=(?![=>])|\+\+|--)|(?:\+\+|--)\s*(?P<count>[\w$]+)\b")
+_EMPTY_BLOCK = re.compile(r"\{\s*\}")
+_RETURNS = re.compile(r"[^(]*\([^()]*\)\s*:")
 _ELEMENT = re.compile(r"(?:[(\[{}>=,?:&|;]|\breturn\b|\bdefault\b|^)\s*(?=<(?:[A-Za-z][\w.:-]*[\s/>]|>))")
 _NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _I18N = re.compile(r"^(react-intl|react-i18next|i18next|next-intl|react-intl-universal)$|^@(lingui|formatjs)/")
@@ -75,7 +81,8 @@ _FRAMEWORK = frozenset("ActiveRecord ActiveStorage ActionText ActiveSupport Arel
 
 class _Nodes:
     def __init__(self, rel: str, text: str):
-        self.rel, self.text, self.rows = rel, text, []
+        self.rel, self.rows = rel, []
+        self.lines = [m.start() for m in re.finditer("\n", text)]
         self.open: list[tuple[str, int]] = []  # (kind of bracket or keyword, its node or -1)
 
     def above(self) -> list[int]:
@@ -85,7 +92,7 @@ class _Nodes:
         above = self.above()
         last = lambda *kinds: next((n for n in reversed(above) if self.rows[n]["type"] in kinds), None)
         pre = len(self.rows)
-        self.rows.append({"rel": self.rel, "pre": pre, "post": pre, "depth": len(above), "type": type_, "name": name, "above": [self.rows[n]["type"] for n in above], "fn": last("Function", "Def"), "cls": last("Class", "Module"), "line": self.text.count("\n", 0, at) + 1, "attrs": [(k, v) for k, v in attrs.items() if v is not None]})
+        self.rows.append({"rel": self.rel, "pre": pre, "post": pre, "depth": len(above), "type": type_, "name": name, "above": [self.rows[n]["type"] for n in above], "fn": last("Function", "Def"), "cls": last("Class", "Module"), "line": bisect_left(self.lines, at) + 1, "attrs": [(k, v) for k, v in attrs.items() if v is not None]})
         return pre
 
     def close(self) -> None:
@@ -280,10 +287,12 @@ def javascript(rel: str, text: str) -> list[dict]:
 
     def root(at: int, end: int) -> str | None:
         """The first name of the chain of members that is called at `at`."""
-        before = plain[max(0, at - 200) : at]
-        chain = re.search(r"(?:[\w$]+\??\.)+$", before)
-        rest = before[: chain.start()] if chain else before
-        return None if rest.endswith((".", ")", "]")) else re.match(r"[\w$]+", (chain[0] if chain else "") + plain[at:end])[0]
+        while (link := _LINK.match(plain[max(0, at - 1024) : at][::-1])) and link[0]:
+            at -= len(link[0])
+            if link.end() == 1024:  # a member longer than that goes on before it
+                while at and (plain[at - 1].isalnum() or plain[at - 1] in "_$"):
+                    at -= 1
+        return None if at and plain[at - 1] in ".)]" else re.compile(r"[\w$]+").match(plain, at)[0]
 
     imports = _imported(plain, kept)
     own = {c: {n for n, source in imports if source.startswith(".") and words & set(_words(source))} for c, words in CAPABILITY_WORDS.items()}
@@ -292,6 +301,9 @@ def javascript(rel: str, text: str) -> list[dict]:
     out, waiting, exported, export_at = _Nodes(rel, plain), -1, None, 0
     aside, bound, handlers = _aside(plain, kept), [], []
     nth = 0
+    last_set: dict[str, int] = {}
+    for m in _SET.finditer(plain):
+        last_set[m["set"] or m["count"]] = m.start("set" if m["set"] else "count")
 
     def flush(until: int) -> None:
         nonlocal nth
@@ -310,7 +322,7 @@ def javascript(rel: str, text: str) -> list[dict]:
         if m["open"]:
             out.open.append((m["open"], waiting if m["open"] == "{" else -1))
             if m["open"] == "{":
-                if waiting >= 0 and out.rows[waiting]["type"] == "CatchClause" and re.match(r"\{\s*\}", plain[at:]):
+                if waiting >= 0 and out.rows[waiting]["type"] == "CatchClause" and _EMPTY_BLOCK.match(plain, at):
                     out.rows[waiting]["attrs"].append(("empty", one))
                 waiting = -1
         elif m["close"]:
@@ -325,7 +337,7 @@ def javascript(rel: str, text: str) -> list[dict]:
             exported, export_at = one, at
             continue
         elif m["function"]:
-            typed = re.match(r"[^(]*\([^()]*\)\s*:", plain[at:])
+            typed = _RETURNS.match(plain, at)
             if m["fname"]:
                 bound.append((m["fname"], "function", next((n for n in reversed(out.above()) if out.rows[n]["type"] == "Function"), None)))
             waiting = out.add("Function", m["fname"], at, exported=exported, doc=documented(export_at) if exported else None, form="declaration" if m["fname"] else None, returns=one if typed else None, **{"async": one if m["async"] else None})
@@ -335,7 +347,7 @@ def javascript(rel: str, text: str) -> list[dict]:
             waiting = out.add({"interface": "TSInterfaceDeclaration", "type": "TSTypeAliasDeclaration", "enum": "TSEnumDeclaration"}[m["kindof"]], m["tname"], at, exported=exported)
         elif m["var"]:
             name = m["vname"]
-            again = one if name and re.search(rf"(?<![\w$.]){re.escape(name)}\s*(?:[-+*/%|&^]|\*\*|\?\?|\|\||&&|<<|>>)?=(?![=>])|(?:\+\+|--)\s*{re.escape(name)}\b|(?<![\w$.]){re.escape(name)}\s*(?:\+\+|--)", plain[m.end("vname") :].lstrip()[1:]) else None
+            again = one if name and last_set.get(name, -1) >= m.end("vname") else None
             out.add("VariableDeclaration", name, at, kind=m["var"], exported=exported, reassigned=again)
             memo = re.compile(r"\s*=\s*(?:[\w$]+\.)?useCallback\s*\(").match(plain, m.end())
             if name and (memo or m["arrow"] or re.compile(r"\s*=\s*(?:async\s+)?function\b").match(plain, m.end())):
@@ -431,12 +443,10 @@ def _literal(text: str, at: int, n: int = 0) -> str | None:
 
 def _sql(text: str, at: int) -> str | None:
     """The first string among the arguments of `execute`; None if none is written there."""
-    line = text[at : at + 2000]
-    if here := re.match(r"[ \t]*\(?\s*<<[~-]?([\"']?)(\w+)\1[^\n]*\n", line):
-        body = text[at + here.end() :]
-        end = re.search(rf"^[ \t]*{here[2]}\b", body, re.M)
-        return body[: end.start()] if end else None
-    said = re.match(r"[ \t]*\(?\s*(?:\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)')", line, re.S)
+    if here := re.compile(r"[ \t]*\(?\s*<<[~-]?([\"']?)(\w+)\1[^\n]*\n").match(text, at):
+        end = re.compile(rf"^[ \t]*{here[2]}\b", re.M).search(text, here.end())
+        return text[here.end() : end.start()] if end else None
+    said = re.compile(r"[ \t]*\(?\s*(?:\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)')", re.S).match(text, at)
     return (said[1] if said[1] is not None else said[2]) if said else None
 
 
@@ -568,21 +578,15 @@ def _plural(name: str) -> str:
     return f"{name[:-1]}ies" if re.search("[^aeiou]y$", name) else f"{name}es" if re.search("(s|x|z|ch|sh)$", name) else f"{name}s"
 
 
+READERS = {"js": javascript, "jsx": javascript, "ruby": ruby}
+
+
+def read(rel: str, lang: str, text: str, attempt: int = 1) -> tuple[str, list[dict]]:
+    """(kind, nodes) of a file; languages that are not read have none."""
+    return "ok", READERS[lang](rel, text) if lang in READERS and text else []
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Nodes of files (rel, lang, content); files of other languages and files that cannot be read have none."""
-    names = [x.strip().split(" ")[0] for x in NODES.replace("map<string,string>", "map").split(", ")]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
-        for batch in batches:
-            found: list[dict] = []
-            for rel, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                read = {"js": javascript, "jsx": javascript, "ruby": ruby}.get(lang)
-                if read and text:
-                    try:
-                        found += read(rel, text)
-                    except (RecursionError, ValueError, IndexError):  # an odd file is unread, the others are not
-                        continue
-            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], k) for n, k in zip(names, kinds, strict=True)], names)
-
-    return files.select("rel", "lang", "content").mapInArrow(rows, NODES)
+    keyed = files.select("rel", F.lit("").alias("hash"), "lang", "content", F.lit(1).alias("attempt")).where("content IS NOT NULL")
+    return ledger.nodes(ledger.reading(read)(keyed))
