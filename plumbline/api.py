@@ -17,7 +17,7 @@ from plumbline.functions.claims import same_constant
 from plumbline.functions.paths import EXTENSIONS, FILENAMES, ancestors, base, directory, language
 from plumbline.functions.stats import area_ceiling, wilson_lower
 from plumbline.functions.text import area_id, fingerprint
-from plumbline.operators import baseline, check, dimensions, gates, hierarchy, layout, render, slots
+from plumbline.operators import baseline, check, dimensions, gates, hierarchy, layout, render, slots, verdict
 from plumbline.operators.globs import cover
 from plumbline.registry import DIMENSIONS, Dimension
 from plumbline.sources import files as tree
@@ -29,6 +29,16 @@ from plumbline.tables import stored
 LINES = 40
 
 
+class Base(NamedTuple):
+    """The accepted population and what it held: gates read its counts, and today's are printed beside them."""
+
+    slots: DataFrame  # of a scan of the files as they were pinned, in their pinned areas
+    population: DataFrame  # area, rel
+    renames: DataFrame | None = None  # old, new since the pin
+    status: str = "ok"  # or unpinned, unreachable
+    changed: DataFrame | None = None  # rel: what the base moved since the pin
+
+
 class Scan(NamedTuple):
     areas: DataFrame  # area, files, area_id
     owned: DataFrame  # rel, lang, stripped, typed, read, dir, area
@@ -90,12 +100,16 @@ class Engine:
         keep = ["area", "key", "rel", "dir", "line", "conforming", "class", "learned", "kind"]
         return plain.select(keep).unionByName(single.select(keep)).unionByName(bodies.select(keep))
 
-    def scan(self, files: DataFrame, nodes: DataFrame | None = None, authors: DataFrame | None = None, frameworks: tuple[str, ...] | None = None, min_files: Column | None = None, pinned: DataFrame | None = None, blocked: DataFrame | None = None) -> Scan:
+    def scan(self, files: DataFrame, nodes: DataFrame | None = None, authors: DataFrame | None = None, frameworks: tuple[str, ...] | None = None, min_files: Column | None = None, pinned: DataFrame | None = None, blocked: DataFrame | None = None, base: Base | None = None, truncated: bool = False) -> Scan:
         """`files` has rel, lang, stripped and, without `nodes`, content; `authors` has rel and author.
 
         With `pinned` (area, rel), only its files are counted, in its areas: gates read the accepted population. Slots of
         areas in `blocked` (area) lend nothing to the pool and state nothing. A file that could not be read belongs to its
         area and counts for no dimension: no slot has it among the files that it divides by.
+
+        With `base`, a slot is judged by the counts that it had there, in the area that its own was, through renames. A slot
+        newer than the base, one whose learned class moved, one of an area that changed its population, and every slot of
+        a corpus that was read in part (`truncated`) states nothing, lends nothing and fails for that reason.
         """
         types = F.col("rel").rlike(r"[.](cts|mts|ts|tsx)$")
         typed = types if "typed" not in files.columns else types | F.col("typed")
@@ -124,11 +138,36 @@ class Engine:
         repo = (self.spark.range(1).select(F.lit(0).cast("long").alias("repo_authors")) if authors is None else authors.where(~F.col("author").contains("[bot]")).agg(F.count_distinct("author").alias("repo_authors")))
         stop = (blocked if blocked is not None else areas.where("false")).select("area", F.lit(True).alias("_blocked")).distinct()
         open_ = full.crossJoin(F.broadcast(repo)).join(stop, "area", "left").withColumn("blocked", F.coalesce("_blocked", F.lit(False))).drop("_blocked")
-        judged = gates.judged(slots.pooled(stored(open_, "open"), ["key", "learned", "kind"], F.col("blocked")))
-        judged = judged.withColumn("states", F.when(~F.col("blocked"), F.col("states")))
+        there = self._based(open_, owned, base, truncated)
+        judged = gates.judged(slots.pooled(stored(there, "open"), ["key", "learned", "kind"], F.col("blocked")), F.lit(authors is not None))
+        judged = judged.withColumns({"states": F.when(~F.col("blocked"), F.col("states")), "failed": F.coalesce("block", "failed"), "counter_failed": F.coalesce("block", "counter_failed")})
         dirs = stored(placed.select("dir").distinct(), "dirs")
         return Scan(stored(areas.withColumn("area_id", area_id(F.col("area"))), "areas"), owned, sites, stored(judged, "slots"), dirs, outcome)
 
+    def _based(self, open_: DataFrame, owned: DataFrame, base: Base | None, truncated: bool) -> DataFrame:
+        """Slots with the counts that gates read, block, has_base, now_candidates and now_conforming; `blocked` follows block."""
+        if base is None or base.status != "ok":
+            same = {"now_candidates": F.col("candidates"), "now_conforming": F.col("conforming"), "has_base": F.lit(base is None), "learned_moved": F.lit(False)}
+            gate = F.when(F.lit(base is not None and base.status == "unreachable"), "unreachable")
+            there = open_.withColumns(same | {"_gate": gate})
+        else:
+            renames = self.spark.createDataFrame([], "old string, new string") if base.renames is None else base.renames
+            match = stored(baseline.matched(base.population, owned.select("area", "rel"), renames, base.status), "matched")
+            then = base.slots.withColumnRenamed("area", "pinned_area").join(match.where("pinned_area IS NOT NULL").select("area", "pinned_area"), "pinned_area")
+            there = verdict.read_counts(open_, then).join(match.select("area", "gate"), "area", "left")
+            there = there.withColumn("_gate", F.coalesce("gate", F.when(~F.col("has_base"), "postdates-baseline"))).drop("gate")
+        block = gates.blocked_by(F.lit(truncated), F.lit(False), F.col("_gate"), F.col("learned_moved"))
+        return there.withColumn("block", block).withColumn("blocked", F.col("blocked") | F.col("block").isNotNull()).drop("_gate")
+
+    def stale(self, found: Scan, base: Base) -> bool:
+        """Whether the map of a scan is stale: without a pin, or with one that the base has left behind."""
+        return baseline.stale_map(found.owned, base.changed, base.status).first()[0] is not None
+
+    def caveats(self, found: Scan, head: DataFrame, base: DataFrame | None) -> DataFrame:
+        """code, files, message of what a check of the files `head` against `base` leaves unanswered."""
+        before = None if base is None else self.records(base).select("rel", "kind")
+        return check.caveats(self.records(head).select("rel", "kind"), before, found.slots.where("states IS NOT NULL"))
+
     def pin(self, found: Scan, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(the population as area and rel; what changed since `before`). No counts are kept."""
         now = found.owned.select("area", "rel")
@@ -162,7 +201,7 @@ class Engine:
         sided = gates.sided(found.slots)
         blocks = sided.where("states IS NOT NULL").withColumn("height", F.lit(2) + (F.col("side_conforming") < F.col("candidates")).cast("int"))
         dropped = layout.settled(blocks.select("area", "key", "candidates", "height"), "area", [F.desc("candidates"), "key"], "height", budget).where("NOT kept").select("area", "key", F.lit(True).alias("_dropped"))
-        sides = ("states", "side", "learned", F.col("kind").alias("slot_kind"), "borrowed", "precision", F.col("side_conforming").alias("conforming"), "candidates")
+        sides = ("states", "side", "learned", F.col("kind").alias("slot_kind"), F.col("has_base").alias("slot_has_base"), "borrowed", "precision", F.col("side_conforming").alias("conforming"), "candidates")
         own = sided.join(dropped, ["area", "key"], "left").select("area", "key", F.col("area").alias("from_area"), F.coalesce("_dropped", F.lit(False)).alias("dropped"), *sides)
         above = hierarchy.nearest_stating(found.slots, found.areas).join(found.slots.select("area", "key"), ["area", "key"], "left_anti")
         return own.unionByName(above.join(sided.withColumnRenamed("area", "from_area"), ["from_area", "key"]).select("area", "key", "from_area", F.lit(False).alias("dropped"), *sides))
@@ -206,7 +245,7 @@ class Engine:
         exceptions = slots.listed(bad).select("area", "key", F.col("rel").alias("old"), F.lit(True).alias("_listed"))
         delivered = hierarchy.reach(fresh.select(F.col("rel").alias("path")), self.globs(found)).where("reached").select(F.col("path").alias("rel"), "area", F.lit(True).alias("_reached"))
         state = fresh.join(exceptions, ["area", "key", "old"], "left").join(delivered, ["rel", "area"], "left")
-        state = state.withColumns({"dimension": F.col("key"), "key": F.when(F.col("area").isNotNull(), F.col("key")), "stale": F.lit(stale), "has_base": F.lit(has_base), "listed": F.coalesce("_listed", F.lit(False)), "pinned": F.lit(pinned), "bound": wilson_lower(F.col("conforming"), F.col("candidates"))})
+        state = state.withColumns({"dimension": F.col("key"), "key": F.when(F.col("area").isNotNull(), F.col("key")), "stale": F.lit(stale), "has_base": F.lit(has_base) & F.coalesce("slot_has_base", F.lit(True)), "listed": F.coalesce("_listed", F.lit(False)), "pinned": F.lit(pinned), "bound": wilson_lower(F.col("conforming"), F.col("candidates"))})
         level = gates.severity(state)
         inherited = F.coalesce(F.col("from_area") != F.col("area"), F.lit(False))
         away = (F.col("severity") == "MUST-FIX") & F.col("_reached").isNull()

@@ -74,3 +74,24 @@ def staleness(states: DataFrame) -> DataFrame:
     """`states` (has_map, truncated, status, mapped, changed) with the first reason for which a map is stale, null if none."""
     rules = [("no map", ~F.col("has_map")), ("truncated", F.col("truncated")), ("unpinned", F.col("status") == "unpinned"), ("unreachable", F.col("status") == "unreachable"), ("empty", F.col("mapped") == 0), ("drifted", ratio(F.col("changed"), F.col("mapped")) >= DRIFT_SHARE)]
     return states.withColumn("reason", reduce(lambda later, rule: F.when(rule[1], rule[0]).otherwise(later), reversed(rules), F.lit(None).cast("string")))
+
+
+def matched(pinned: DataFrame, current: DataFrame, renames: DataFrame, status: str) -> DataFrame:
+    """area, pinned_area, gate: each current area's pinned one, through renames, and why its slots may not use the pin.
+
+    An area that was pinned by its path and now shares no file with any is a changed population; one that was not is newer
+    than the pin.
+    """
+    match = population_match(pinned, current, renames).select("area", "pinned_area")
+    by_path = pinned.select("area").distinct().withColumn("_pinned", F.lit(True))
+    there = match.join(by_path, "area", "left")
+    return there.select("area", "pinned_area", block(F.lit(status), F.col("pinned_area"), F.coalesce("_pinned", F.lit(False))).alias("gate"))
+
+
+def stale_map(mapped: DataFrame, changed: DataFrame | None, status: str, has_map: bool = True, truncated: bool = False) -> DataFrame:
+    """One row, reason: why a map over the files `mapped` (rel) is stale, given those that changed at the base since its pin;
+    null if it is not. What changed and is not mapped is no drift."""
+    moved = mapped.limit(0).select("rel") if changed is None else changed.select("rel").distinct()
+    both = mapped.select("rel").distinct().join(moved.withColumn("_changed", F.lit(True)), "rel", "left")
+    counts = both.agg(F.count(F.lit(1)).alias("mapped"), F.count("_changed").alias("changed"))
+    return staleness(counts.withColumns({"has_map": F.lit(has_map), "truncated": F.lit(truncated), "status": F.lit(status)})).select("reason")

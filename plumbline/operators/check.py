@@ -50,3 +50,34 @@ def overlaid(committed: DataFrame, pending: DataFrame, key: str) -> DataFrame:
     """The committed rows with pending ones in their place; rows pending as deleted are gone."""
     kept = committed.join(pending.select(key).distinct(), key, "left_anti")
     return kept.unionByName(pending.where("NOT deleted").select(committed.columns))
+
+
+#: Why a check could not answer in full: code, and what it says. `{n}` is a number of files.
+CAVEATS = {
+    "no-map": "no map states anything, so nothing was checked",
+    "no-base-ref": "there is no base to compare with, so what was there before counts as new",
+    "nothing-examined": "none of the changed files could be read",
+    "head-crashed": "the reader gave no answer for {n}",
+    "head-rejected": "{n} could not be parsed",
+    "head-oversize": "{n} were too large to read",
+    "head-unreadable": "{n} could not be read",
+    "base-unparsed": "{n} could not be read as they were before",
+}
+
+
+def caveats(head: DataFrame, base: DataFrame | None, stated: DataFrame) -> DataFrame:
+    """code, files, message of what a check of the records `head` (rel, kind) against those of `base` leaves unanswered.
+
+    `stated` is what a map states. Without files there is nothing to examine, and no caveat of it.
+    """
+    unread = head.where("kind <> 'ok'").groupBy(F.concat(F.lit("head-"), "kind").alias("code")).agg(F.count(F.lit(1)).alias("files"))
+    every = head.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("kind") == "ok").alias("_read")).where("files > 0 AND _read = 0").select(F.lit("nothing-examined").alias("code"), "files")
+    none = stated.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(F.lit("no-map").alias("code"), F.lit(0).cast("long").alias("files"))
+    found = unread.unionByName(every).unionByName(none)
+    if base is None:
+        found = found.unionByName(head.sparkSession.createDataFrame([("no-base-ref", 0)], "code string, files long"))
+    else:
+        found = found.unionByName(base.where("kind <> 'ok'").groupBy(F.lit("base-unparsed").alias("code")).agg(F.count(F.lit(1)).alias("files")))
+    says = F.coalesce(*[F.when(F.col("code") == code, F.lit(text)) for code, text in CAVEATS.items()])
+    number = F.concat(F.col("files").cast("string"), F.when(F.col("files") == 1, " file").otherwise(" files"))
+    return found.select("code", "files", F.replace(says, F.lit("{n}"), number).alias("message"))

@@ -33,13 +33,14 @@ def first_failure(conforming: Column, top_conforming: Column, rest_conforming: C
     return failed, failed.isNull() & (own < MIN_RATIO)
 
 
-def judged(slots: DataFrame) -> DataFrame:
+def judged(slots: DataFrame, history_read: Column | None = None) -> DataFrame:
     """`slots` with failed, borrowed, states (claim, counter or null) by the gates; the claim wins over its counter.
 
-    Slots need the columns that the gates read, and `has_counter`: only such rows may state the inverse.
+    Slots need the columns that the gates read, and `has_counter`: only such rows may state the inverse. A history that was
+    not read is no history of few authors: with `history_read` false, slots that come that far fail as `history-unread`.
     """
-    failed, borrowed = first_failure(_c("conforming"), _c("top_conforming"), _c("rest_conforming"))
-    counter, counter_borrowed = first_failure(_c("candidates") - _c("conforming"), _c("top_candidates") - _c("top_conforming"), _c("rest_candidates") - _c("rest_conforming"))
+    failed, borrowed = first_failure(_c("conforming"), _c("top_conforming"), _c("rest_conforming"), history_read)
+    counter, counter_borrowed = first_failure(_c("candidates") - _c("conforming"), _c("top_candidates") - _c("top_conforming"), _c("rest_candidates") - _c("rest_conforming"), history_read)
     there = slots.withColumns({"failed": failed, "claim_borrowed": borrowed, "counter_failed": counter, "counter_borrowed": counter_borrowed})
     states = F.when(_c("failed").isNull(), "claim").when(_c("has_counter") & _c("counter_failed").isNull(), "counter")
     borrowed = F.when(states == "claim", _c("claim_borrowed")).when(states == "counter", _c("counter_borrowed")).otherwise(F.lit(False))

@@ -15,24 +15,27 @@ def read_counts(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """`current` slots with the counts that the gates read: the baseline's where it has the slot, else their own.
 
     `now_candidates` and `now_conforming` keep today's, which are printed and judge nothing; `has_base` and `learned_moved`
-    say whether the baseline has the slot, and another class for it.
+    say whether the baseline has the slot, and another class for it, or one of the other `kind` of files, if they have it.
     """
-    there = baseline.select("area", "key", F.col("learned").alias("_learned"), *[F.col(c).alias(f"_{c}") for c in COUNTS], F.lit(True).alias("_there"))
+    kind = F.col("kind") if "kind" in baseline.columns else F.lit(None).cast("string")
+    there = baseline.select("area", "key", F.col("learned").alias("_learned"), kind.alias("_kind"), *[F.col(c).alias(f"_{c}") for c in COUNTS], F.lit(True).alias("_there"))
     both = current.withColumns({"now_candidates": F.col("candidates"), "now_conforming": F.col("conforming")}).join(there, ["area", "key"], "left")
     has = F.coalesce("_there", F.lit(False))
     moved = has & ~F.col("learned").eqNullSafe(F.col("_learned"))
-    return both.withColumns({c: F.when(has, F.col(f"_{c}")).otherwise(F.col(c)) for c in COUNTS} | {"has_base": has, "learned_moved": moved}).drop("_learned", "_there", *[f"_{c}" for c in COUNTS])
+    if "kind" in current.columns:
+        moved = has & ~(F.col("learned").eqNullSafe(F.col("_learned")) & F.col("kind").eqNullSafe(F.col("_kind")))
+    return both.withColumns({c: F.when(has, F.col(f"_{c}")).otherwise(F.col(c)) for c in COUNTS} | {"has_base": has, "learned_moved": moved}).drop("_learned", "_kind", "_there", *[f"_{c}" for c in COUNTS])
 
 
-def verdicts(slots: DataFrame, defaults: DataFrame, truncated: Column, degraded: Column, area_gate: Column) -> DataFrame:
+def verdicts(slots: DataFrame, defaults: DataFrame, truncated: Column, degraded: Column, area_gate: Column, history_read: Column | None = None) -> DataFrame:
     """`slots` with block, failed, states, borrowed and matches_default: gates on the counts that `read_counts` chose, nothing
     stated where something stands in the way, and whether what is stated is what a model writes unasked.
 
     `defaults` has key, default_side and default_class.
     """
     block = blocked_by(truncated, degraded, area_gate, F.col("learned_moved"))
-    there = judged(slots.withColumn("block", block)).withColumn("states", F.when(F.col("block").isNull(), F.col("states")))
-    there = there.withColumn("failed", F.coalesce("block", "failed")).join(F.broadcast(defaults.select("key", "default_side", "default_class")), "key", "left")  # the registry
+    there = judged(slots.withColumn("block", block), history_read).withColumn("states", F.when(F.col("block").isNull(), F.col("states")))
+    there = there.withColumn("failed", F.coalesce("block", "failed")).join(defaults.select("key", "default_side", "default_class"), "key", "left")
     same = F.when(F.col("learned").isNotNull(), F.col("learned") == F.col("default_class")).otherwise(F.col("states") == F.col("default_side"))
     return there.withColumn("matches_default", F.col("states").isNotNull() & F.coalesce(same, F.lit(False))).drop("default_side", "default_class")
 
