@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.paths import import_candidates, imported_path, suffixes
+from plumbline.functions.paths import ancestors, directory, import_candidates, imported_path, suffixes
 
 MIN_IMPORTERS, MIN_IMPORT_SHARE, TOP_IMPORTS = 5, 0.6, 3
 MIN_REUSE, TOP_REUSED = 3, 5
@@ -24,9 +24,9 @@ def missing(changed: DataFrame, paths: DataFrame, packages: DataFrame) -> DataFr
     the suffixes answers it and the first names what is missing. `elsewhere` says that a file of that name is in another place.
     """
     known = paths.select("path").distinct()
-    c = F.col
-    fit = c("p.path").startswith(F.concat("k.from", F.lit("/"))) & c("p.path").endswith(F.concat(F.lit("."), "k.ext"))
-    taken = changed.select("path").distinct().alias("p").join(F.broadcast(packages).alias("k"), fit).groupBy(c("p.path").alias("path")).agg(F.min_by(F.struct("k.from", "k.to", "k.ext", "k.suffixes"), "k.ord").alias("k"))
+    above = changed.select("path").distinct().select("path", F.explode(ancestors(directory(F.col("path")))).alias("from"))
+    fits = above.join(packages, "from").where(F.endswith(F.col("path"), F.concat(F.lit("."), "ext")))
+    taken = fits.groupBy("path").agg(F.min_by(F.struct("from", "to", "ext", "suffixes"), "ord").alias("k"))
     tail = F.expr("substring(path, length(k.`from`) + 1, length(path) - length(k.`from`) - length(k.ext) - 1)")
     each = taken.withColumn("_tail", tail).where(~F.exists("k.suffixes", lambda s: F.endswith(F.col("path"), s)))
     wanted = each.select("path", F.posexplode(F.transform("k.suffixes", lambda s: F.concat(F.col("k.to"), F.col("_tail"), s))).alias("nth", "companion"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.paths import base, classify_basename, directory, names_a_site
@@ -22,11 +20,29 @@ def _struct(d: Dimension) -> Column:
     return F.struct(F.lit(d.key).alias("key"), conforming.alias("conforming"), F.expr(d.cls or "CAST(NULL AS STRING)").alias("class"), (F.expr(d.grouped) if d.grouped else F.lit(None)).cast("int").alias("grp"))
 
 
+def _holding(sites: DataFrame, nodes: DataFrame, dimensions: list[Dimension]) -> DataFrame:
+    """rel, key, pre of the sites that hold a node that their dimension asks for.
+
+    Of the nodes of one kind, and one key where the kind has one, the next after a site is in it just if its place is not
+    past the site's last: one ordered pass over both, for all kinds together, and no pair of a site and a node.
+    """
+    kinds = [(d.key, nth, *kind) for d in dimensions for nth, kind in enumerate(d.inner)]
+    none = F.lit(None).cast("int")
+    asks = F.array_compact(F.array(*[F.when(F.col("n.key") == key, F.struct(F.lit(nth).alias("nth"), F.expr(mine or "''").alias("by"))) for key, nth, _, mine, _ in kinds]))
+    there = F.array_compact(F.array(*[F.when(F.expr(holds), F.struct(F.lit(key).alias("key"), F.lit(nth).alias("nth"), F.expr(theirs or "''").alias("by"))) for key, nth, holds, _, theirs in kinds]))
+    asking = sites.alias("n").select("rel", "key", "pre", "post", F.explode(asks).alias("a")).select("rel", "key", "a.nth", "a.by", "pre", "post")
+    inside = nodes.alias("i").select("rel", "pre", F.explode(there).alias("a")).select("rel", "a.key", "a.nth", "a.by", "pre", none.alias("post"))
+    behind = Window.partitionBy("rel", "key", "nth", "by").orderBy(F.desc("pre"), F.col("post").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    next_ = F.last(F.when(F.col("post").isNull(), F.col("pre")), ignorenulls=True).over(behind)
+    both = asking.unionByName(inside).where("by IS NOT NULL").withColumn("_next", next_)
+    return both.where("post IS NOT NULL AND _next <= post").select("rel", "key", "pre").distinct()
+
+
 def tree_sites(nodes: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIONS) -> DataFrame:
     """rel, key, pre, line, conforming, class, grp: a row for each node that is a site of a dimension.
 
-    Predicates over the node alone are one projection, exploded. Those over what the node holds take one join by file
-    and range of places, for all such dimensions together; a file's nodes are bounded by the size of files that are read.
+    Predicates over the node alone are one projection, exploded. Those over what the node holds take one ordered pass over a
+    file's nodes, for all such dimensions together; these are bounded by the size of files that are read.
     """
     tree = [d for d in dimensions if d.kind == "tree"]
     if not tree:
@@ -37,10 +53,9 @@ def tree_sites(nodes: DataFrame, dimensions: tuple[Dimension, ...] = DIMENSIONS)
     special = [d.key for d in (*inner, *per_file)]
     out = found.where(~F.col("key").isin(special)).select(SITES) if special else found.select(SITES)
     if inner:
-        n, i = found.where(F.col("key").isin([d.key for d in inner])).alias("n"), nodes.alias("i")
-        holds = reduce(lambda a, b: a | b, [(F.col("n.key") == d.key) & F.expr(d.inner) for d in inner])
-        hit = n.join(i, (F.col("n.rel") == F.col("i.rel")) & F.col("i.pre").between(F.col("n.pre") + 1, F.col("n.post")) & holds, "left_semi").select("rel", "key", "pre", F.lit(True).alias("_held"))
-        both = found.where(F.col("key").isin([d.key for d in inner])).join(hit, ["rel", "key", "pre"], "left").withColumn("held", F.coalesce("_held", F.lit(False))).alias("n")
+        sites = found.where(F.col("key").isin([d.key for d in inner]))
+        held = _holding(sites, nodes, inner).withColumn("_held", F.lit(True))
+        both = sites.join(held, ["rel", "key", "pre"], "left").withColumn("held", F.coalesce("_held", F.lit(False))).alias("n")
         verdict = F.coalesce(*[F.when(F.col("n.key") == d.key, F.expr(d.conforming)) for d in inner], F.lit(False))
         out = out.unionByName(both.withColumn("conforming", verdict).select(SITES))
     for d in per_file:

@@ -76,18 +76,23 @@ def dimensions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, counter, list(langs), blind) for k, (_, counter, langs, blind) in star.DIMENSIONS.items()], "key string, has_counter boolean, langs array<string>, blind boolean")
 
 
-def by_file(spark: SparkSession, sf: str) -> DataFrame:
-    return slots.file_counts(star.sites(star.wide(spark, sf)))
+def by_file(files: DataFrame) -> DataFrame:
+    """area, key, rel, candidates, conforming of counted files: each dimension's counts become rows last."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("conforming")) for k in star.DIMENSIONS]))
+    return files.where("area IS NOT NULL").select("area", "rel", F.col("n").alias("candidates"), each.alias("d")).select("area", "d.key", "rel", "candidates", "d.conforming")
 
 
 def full_slots(spark: SparkSession, sf: str) -> DataFrame:
-    """Slots with everything that the gates read. Slots, a row for each area and dimension, are stored before they are pooled:
-    the pool, one row a claim, and what it is joined to are read from there."""
-    rows, files, dims = star.wide(spark, sf), star.files(spark, sf), dimensions(spark)
-    sites = star.sites(rows)
-    counted = slots.slot_counts(slots.file_counts(sites))
-    repo = star.read(spark, sf, "lineitem").agg(F.count_distinct("l_suppkey").alias("repo_authors"))  # one row
-    there = counted.join(slots.denominators(files, dims), slots.SLOT, "left").fillna(0, ["lang_files"]).join(slots.spread(sites, files), slots.SLOT)
+    """Slots with everything that the gates read. Line items are read once; every item is a site of all dimensions, so authors
+    and directories are an area's. Slots are stored before they are pooled: the pool and what it is joined to are read there."""
+    files, dims = stored(star.files_counted(spark, sf), "counted"), dimensions(spark)
+    authors = files.select("area", F.explode("authors").alias("author")).distinct()
+    repo = authors.agg(F.count_distinct("author").alias("repo_authors"))  # one row
+    by_area = authors.where("area IS NOT NULL").groupBy("area").agg(F.count(F.lit(1)).alias("authors"))
+    dirs = files.where("area IS NOT NULL").select("area", "dir").distinct().groupBy("area").agg(F.count(F.lit(1)).alias("dirs"))
+    every = star.files(spark, sf)
+    area_dirs = every.groupBy("area", "dir").agg(F.count(F.lit(1)).alias("n")).groupBy("area").agg(F.count(F.lit(1)).alias("area_dirs"), F.sum("n").alias("area_files"))
+    there = slots.slot_counts(by_file(files)).join(slots.denominators(every, dims), slots.SLOT, "left").fillna(0, ["lang_files"]).join(by_area, "area").join(dirs, "area").join(area_dirs, "area")
     return slots.pooled(stored(there.join(F.broadcast(dims.select("key", "has_counter")), "key").crossJoin(F.broadcast(repo)), "slots"), ["key"])
 
 
@@ -97,12 +102,12 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {BY_FILE_SQL} SELECT * FROM by_file")
 def site_counts_by_file(spark: SparkSession, sf: str) -> DataFrame:
-    return by_file(spark, sf)
+    return by_file(star.files_counted(spark, sf))
 
 
 @query(f"WITH {SLOTS_SQL} SELECT *, candidates * candidates / squares AS effective_files FROM slots")
 def slot_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return slots.slot_counts(by_file(spark, sf)).withColumn("effective_files", slots.effective_files(F.col("candidates"), F.col("squares")))
+    return slots.slot_counts(by_file(star.files_counted(spark, sf))).withColumn("effective_files", slots.effective_files(F.col("candidates"), F.col("squares")))
 
 
 @query(f"WITH {FULL_SQL} SELECT * FROM denominators")
@@ -139,7 +144,7 @@ def slot_gates_two_sided(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SLOTS_SQL}, b AS (SELECT *, applicability % 3 = 0 AS blocked FROM slots) SELECT area, key, greatest(sum(CASE WHEN NOT blocked THEN candidates ELSE 0 END) OVER (PARTITION BY key) - CASE WHEN NOT blocked THEN candidates ELSE 0 END, 0)::BIGINT AS rest_candidates, greatest(sum(CASE WHEN NOT blocked THEN conforming ELSE 0 END) OVER (PARTITION BY key) - CASE WHEN NOT blocked THEN conforming ELSE 0 END, 0)::BIGINT AS rest_conforming FROM b")
 def pooled_prior_loo(spark: SparkSession, sf: str) -> DataFrame:
-    counted = slots.slot_counts(by_file(spark, sf))
+    counted = slots.slot_counts(by_file(star.files_counted(spark, sf)))
     return slots.pooled(counted, ["key"], F.col("applicability") % 3 == 0).select("area", "key", "rest_candidates", "rest_conforming")
 
 
@@ -176,7 +181,7 @@ def majority_kind_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {BY_FILE_SQL}, bad AS (SELECT area, key, rel, candidates - conforming AS bad, row_number() OVER (PARTITION BY area, key ORDER BY candidates - conforming DESC, rel) AS rank, count(*) OVER (PARTITION BY area, key) AS n FROM by_file WHERE candidates > conforming) SELECT area, key, string_agg(rel || ':' || bad, ',' ORDER BY rank) AS exceptions, greatest(max(n) - 3, 0)::BIGINT AS more_exceptions FROM bad WHERE rank <= 3 GROUP BY area, key")
 def exceptions_top3(spark: SparkSession, sf: str) -> DataFrame:
-    return slots.exceptions(by_file(spark, sf))
+    return slots.exceptions(by_file(star.files_counted(spark, sf)))
 
 
 @query("WITH t AS (SELECT l_shipdate::DATE AS day, count(DISTINCT l_suppkey) FILTER (WHERE l_suppkey % 7 <> 0) AS authors FROM lineitem GROUP BY 1) SELECT day::VARCHAR AS day, authors, least(greatest(authors, 1), 2)::BIGINT AS required FROM t")
@@ -213,12 +218,12 @@ def severity_case(spark: SparkSession, sf: str) -> DataFrame:
 def block_precedence(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("applicability")
     why = gates.blocked_by(n % 7 == 0, n % 5 == 0, F.when(n % 3 == 0, F.lit("population-change")), n % 2 == 0)
-    return slots.slot_counts(by_file(spark, sf)).select("area", "key", why.alias("block"))
+    return slots.slot_counts(by_file(star.files_counted(spark, sf))).select("area", "key", why.alias("block"))
 
 
 @query(f"WITH {SLOTS_SQL}, {_DIMS_SQL}, d AS (SELECT area, key, count(*) AS lang_files FROM files, dims WHERE list_contains(langs, lang) AND NOT (stripped AND blind) GROUP BY area, key), s AS (SELECT s.key, applicability / lang_files AS share FROM slots s JOIN d ON s.area = d.area AND s.key = d.key) SELECT key, median(share) AS median_share, min(share) AS least, max(share) AS most, median(share) < 0.25 AS flagged FROM s GROUP BY key")
 def applicability_audit(spark: SparkSession, sf: str) -> DataFrame:
-    there = slots.slot_counts(by_file(spark, sf)).join(slots.denominators(star.files(spark, sf), dimensions(spark)), slots.SLOT)
+    there = slots.slot_counts(by_file(star.files_counted(spark, sf))).join(slots.denominators(star.files(spark, sf), dimensions(spark)), slots.SLOT)
     share = there.groupBy("key", (F.col("applicability") / F.col("lang_files")).alias("share")).agg(F.count(F.lit(1)).alias("n"))  # equal shares once
     return share.groupBy("key").agg(F.percentile("share", F.lit(0.5), F.col("n")).alias("median_share"), F.min("share").alias("least"), F.max("share").alias("most")).withColumn("flagged", F.col("median_share") < 0.25)
 

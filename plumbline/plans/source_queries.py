@@ -75,7 +75,7 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
 _TREE = (
     Dimension("calls", "partial", ("js",), site="n.type = 'Call'", conforming="n.name = 'test'"),
     Dimension("states", "precise", ("js",), site="n.type = 'Var' AND n.depth = 1", conforming="n.attrs['kind'] = 'const'"),
-    Dimension("holds", "precise", ("js",), site="n.type = 'Catch'", inner="i.type = 'Call' AND i.name = n.attrs['param']", conforming="held"),
+    Dimension("holds", "precise", ("js",), site="n.type = 'Catch'", inner=(("i.type = 'Call'", "n.attrs['param']", "i.name"),), conforming="held"),
     Dimension("single", "partial", ("js",), site="n.type = 'Call'", conforming="names = 1", per_file=True),
     Dimension("base", "precise", ("js",), site="n.type = 'Var'", cls="n.attrs['kind']"),
 )

@@ -131,8 +131,8 @@ _REFS_ONE = f"SELECT id, ord, min(ref) AS ref, bool_or(resolved) AS resolved, bo
 
 @query(f"WITH r AS ({_REFS_ONE}), f AS (SELECT id, first(ref ORDER BY ord) AS ref, first(fork ORDER BY ord) AS fork FROM r WHERE resolved AND NOT starts_with(ref, '-') GROUP BY id) SELECT i.id, ref, CASE WHEN fork THEN 'fork-point' WHEN NOT fork THEN 'added-lines' ELSE 'none' END AS mode FROM (SELECT DISTINCT id FROM r) i LEFT JOIN f ON i.id = f.id")
 def base_ref(spark: SparkSession, sf: str) -> DataFrame:
-    star.read(spark, sf, "lineitem").createOrReplaceTempView("_refs_lineitem")
-    return tallies.chosen_base(spark.sql(_REFS_ONE.replace("FROM lineitem", "FROM _refs_lineitem").replace("l_partkey % 4", "CAST(l_partkey % 4 AS INT)")))
+    refs = _REFS_ONE.replace("FROM lineitem", "FROM {lineitem}").replace("l_partkey % 4", "CAST(l_partkey % 4 AS INT)")
+    return tallies.chosen_base(spark.sql(refs, lineitem=star.read(spark, sf, "lineitem")))
 
 
 _RULE_SQL = "p AS (SELECT DISTINCT 'map-' || (c_custkey % 40) || '.md' AS name FROM customer), d AS (SELECT CASE n % 3 WHEN 0 THEN 'map-' ELSE 'own-' END || n || CASE WHEN n % 10 = 9 THEN '.txt' ELSE '.md' END AS name, CASE n % 8 WHEN 1 THEN 'other' WHEN 2 THEN 'unreadable' ELSE 'file' END AS kind, n % 5 <> 0 AS owned FROM (SELECT DISTINCT s_suppkey % 60 AS n FROM supplier))"

@@ -22,7 +22,7 @@ class Dimension:
     kind: str = "tree"
     site: str = ""
     conforming: str = ""
-    inner: str = ""
+    inner: tuple[tuple[str, str, str], ...] = ()  # what a site may hold: a predicate over `i`, and keys of `n` and `i` that agree, if any
     cls: str = ""
     counter: bool = False
     blind: bool = False  # cannot be seen in a file whose type syntax was stripped
@@ -73,10 +73,10 @@ CLOCK_CALLS = "'Time.now', 'Time.new', 'Time.current', 'DateTime.now', 'DateTime
 CALLBACKS = "^(before|after|around)_(validation|save|create|update|destroy|commit|rollback|initialize|find|touch)$"
 
 DIMENSIONS = (
-    Dimension("swallowed_error", PRECISE, JS, site="n.type = 'CatchClause'", inner=f"i.type = 'ThrowStatement' OR (i.type = 'Identifier' AND i.name = {_attr('param')})", conforming=f"held AND {_attr('empty')} IS NULL"),
+    Dimension("swallowed_error", PRECISE, JS, site="n.type = 'CatchClause'", inner=(("i.type = 'ThrowStatement'", "", ""), ("i.type = 'Identifier'", _attr("param"), "i.name")), conforming=f"held AND {_attr('empty')} IS NULL"),
     Dimension("error_shape", PARTIAL, JS, site=f"(n.type = 'ThrowStatement' AND NOT array_contains(n.above, 'CatchClause')) OR (n.type = 'ReturnStatement' AND {_attr('shape')} = 'result')", conforming="n.type = 'ReturnStatement'"),
     Dimension("module_state_const", PRECISE, JS, site=f"n.type = 'VariableDeclaration' AND {_top()} AND {_attr('declare')} IS NULL AND ({_attr('kind')} = 'const' OR {_attr('reassigned')} IS NULL)", conforming=f"{_attr('kind')} = 'const'"),
-    Dimension("async_error_handling", PARTIAL, JS, site=f"n.type = 'Function' AND {_attr('async')} = '1'", inner="i.type = 'TryStatement' AND i.fn = n.pre", conforming="held"),
+    Dimension("async_error_handling", PARTIAL, JS, site=f"n.type = 'Function' AND {_attr('async')} = '1'", inner=(("i.type = 'TryStatement'", "string(n.pre)", "string(i.fn)"),), conforming="held"),
     Dimension("optional_chaining", PARTIAL, JS, site=f"n.type = 'MemberExpression' AND {_attr('computed')} IS NULL AND {_attr('object')} IN ({OPTION_NAMES})", conforming=f"{_attr('optional')} = '1'"),
     Dimension("hook_per_module", PARTIAL, JS, site=f"{_exported("'Function', 'VariableDeclaration'")} AND n.name RLIKE '^use[A-Z]'", conforming="names = 1", per_file=True),
     Dimension("function_style", PRECISE, JS, site=f"n.type = 'Function' AND {_top()} AND {_attr('form')} IS NOT NULL", conforming=f"{_attr('form')} = 'declaration'", counter=True),
@@ -103,15 +103,15 @@ DIMENSIONS = (
     Dimension("extends_base", PRECISE, JS, site=f"n.type = 'Class' AND {_attr('super')} IS NOT NULL", cls=_attr("super")),
     Dimension("interface_prefix", PRECISE, JS, site="n.type = 'TSInterfaceDeclaration' AND NOT array_contains(n.above, 'TSModuleDeclaration')", cls=_PREFIX_CLASS, blind=True),
     Dimension("type_alias_prefix", PRECISE, JS, site="n.type = 'TSTypeAliasDeclaration'", cls=_PREFIX_CLASS, blind=True),
-    Dimension("migration_reversible", PARTIAL, RUBY, site=f"{_MIGRATION} AND {_attr('data_work')} IS NULL", inner="i.type = 'Def' AND i.name IN ('up', 'down')", conforming="NOT held"),
-    Dimension("migration_schema_only", PARTIAL, RUBY, site=f"{_MIGRATION} AND {_attr('unreadable')} IS NULL", inner="i.type = 'Call' AND i.attrs['rows'] = '1'", conforming="NOT held"),
+    Dimension("migration_reversible", PARTIAL, RUBY, site=f"{_MIGRATION} AND {_attr('data_work')} IS NULL", inner=(("i.type = 'Def' AND i.name IN ('up', 'down')", "", ""),), conforming="NOT held"),
+    Dimension("migration_schema_only", PARTIAL, RUBY, site=f"{_MIGRATION} AND {_attr('unreadable')} IS NULL", inner=(("i.type = 'Call' AND i.attrs['rows'] = '1'", "", ""),), conforming="NOT held"),
     Dimension("column_null_declared", PARTIAL, RUBY, site=f"n.type = 'Call' AND {_attr('receiver')} = 't' AND {_attr('typed')} = '1' AND {_attr('undecidable')} IS NULL", conforming=f"{_attr('null')} = 'false'"),
     Dimension("table_primary_key_declared", PARTIAL, RUBY, site=f"n.type = 'Call' AND n.name = 'create_table' AND {_attr('undecidable')} IS NULL", conforming=f"{_attr('id')} IS NOT NULL"),
     Dimension("reference_foreign_key", PARTIAL, RUBY, site=f"n.type = 'Call' AND n.name IN ('add_reference', 'add_belongs_to', 'references', 'belongs_to') AND {_attr('undecidable')} IS NULL AND {_attr('polymorphic')} IS NULL", conforming=f"{_attr('foreign_key')} = '1'"),
-    Dimension("rescue_uses_error", PRECISE, RUBY, site="n.type = 'Rescue'", inner=f"(i.type = 'Call' AND i.name = 'raise') OR (i.type = 'Identifier' AND i.name = {_attr('param')})", conforming=f"held AND {_attr('empty')} IS NULL"),
+    Dimension("rescue_uses_error", PRECISE, RUBY, site="n.type = 'Rescue'", inner=(("i.type = 'Call' AND i.name = 'raise'", "", ""), ("i.type = 'Identifier'", _attr("param"), "i.name")), conforming=f"held AND {_attr('empty')} IS NULL"),
     Dimension("record_lookup", PARTIAL, RUBY, site=f"n.type = 'Call' AND n.name IN ('find', 'find_by', 'find_by!') AND {_attr('receiver')} RLIKE '^[A-Z]' AND {_attr('block')} IS NULL", conforming="n.name = 'find_by'", counter=True, framework="rails"),
-    Dimension("model_callbacks", PARTIAL, RUBY, site=f"n.type = 'Class' AND {_attr('super')} IN ('ApplicationRecord', 'ActiveRecord::Base')", inner=f"i.type = 'Call' AND i.name RLIKE '{CALLBACKS}' AND i.fn IS NULL", conforming="NOT held", counter=True),
-    Dimension("service_result_shape", PARTIAL, RUBY, site=f"n.type = 'Def' AND n.name IN ('call', 'perform', 'execute', 'run') AND {_attr('sidekiq')} IS NULL AND arrays_overlap(n.above, array('Class', 'Module'))", inner="i.type = 'Call' AND i.name = 'raise' AND i.attrs['receiver'] IS NULL AND NOT array_contains(i.above, 'Rescue') AND coalesce(i.attrs['argument'], '') <> 'ActiveRecord::Rollback'", conforming="NOT held", counter=True),
+    Dimension("model_callbacks", PARTIAL, RUBY, site=f"n.type = 'Class' AND {_attr('super')} IN ('ApplicationRecord', 'ActiveRecord::Base')", inner=((f"i.type = 'Call' AND i.name RLIKE '{CALLBACKS}' AND i.fn IS NULL", "", ""),), conforming="NOT held", counter=True),
+    Dimension("service_result_shape", PARTIAL, RUBY, site=f"n.type = 'Def' AND n.name IN ('call', 'perform', 'execute', 'run') AND {_attr('sidekiq')} IS NULL AND arrays_overlap(n.above, array('Class', 'Module'))", inner=(("i.type = 'Call' AND i.name = 'raise' AND i.attrs['receiver'] IS NULL AND NOT array_contains(i.above, 'Rescue') AND coalesce(i.attrs['argument'], '') <> 'ActiveRecord::Rollback'", "", ""),), conforming="NOT held", counter=True),
     Dimension("keyword_params", PRECISE, RUBY, site=f"n.type = 'Def' AND CAST({_attr('params')} AS INT) >= 3 AND n.name NOT IN ('[]=', 'validate_each') AND {_attr('sidekiq')} IS NULL", conforming=f"{_attr('positional')} = '0'"),
     Dimension("zone_aware_time", PRECISE, RUBY, site=f"n.type = 'Call' AND concat({_attr('receiver')}, '.', n.name) IN ({CLOCK_CALLS})", conforming=f"n.name = 'current' OR {_attr('receiver')} = 'Time.zone'", framework="rails"),
     Dimension("logger_over_puts", PARTIAL, RUBY, site=f"n.type = 'Call' AND ((n.name IN ('puts', 'print', 'p', 'pp', 'warn') AND {_attr('receiver')} IS NULL) OR {_attr('receiver')} RLIKE '(^|[.])(logger|Logger)$')", conforming=f"{_attr('receiver')} IS NOT NULL", capability="logging"),

@@ -32,17 +32,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select(F.col("o_orderkey").alias("rel"), "area", F.col("o_orderpriority").alias("dir"), F.col("o_orderstatus").alias("lang"), (F.col("o_orderkey") % 17 == 0).alias("stripped"))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """area, dir, rel, author and a boolean for each dimension: one row for each line item, which are read once."""
-    items = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("author"), *[F.expr(p).alias(k) for k, (p, *_) in DIMENSIONS.items()])
-    there = items.join(files(spark, sf_dir).select("rel", "area", "dir"), F.col("l_orderkey") == F.col("rel"))
-    return there.select("area", "dir", "rel", "author", *DIMENSIONS)
-
-
-def sites(rows: DataFrame) -> DataFrame:
-    """area, dir, rel, author, key, conforming: a row for each dimension of `wide` rows."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("conforming")) for k in DIMENSIONS]))
-    return rows.select("area", "dir", "rel", "author", each.alias("d")).select("area", "dir", "rel", "author", "d.*")
+def files_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rel, area, dir, n, a count of conforming items by dimension, and authors: a row for each file with sites, from one pass
+    over the line items. An order has a few items, so its authors are a short array; area is null without an order."""
+    items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("rel")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(p)).alias(k) for k, (p, *_) in DIMENSIONS.items()], F.collect_set("l_suppkey").alias("authors"))
+    return items.join(files(spark, sf_dir).select("rel", "area", "dir"), "rel", "left")
 
 
 AREAS_SQL = "areas AS (SELECT n_nationkey, r_name || '/' || n_name AS area FROM nation JOIN region ON n_regionkey = r_regionkey)"
