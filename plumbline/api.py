@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.claims import same_constant
 from plumbline.functions.paths import EXTENSIONS, FILENAMES, ancestors, base, directory, language
 from plumbline.functions.stats import area_ceiling, wilson_lower
-from plumbline.functions.text import area_id, fingerprint
+from plumbline.functions.text import area_id, fingerprint, rounded
 from plumbline.operators import baseline, check, dimensions, gates, hierarchy, layout, render, slots, verdict
 from plumbline.operators.globs import cover
 from plumbline.registry import DIMENSIONS, Dimension
@@ -256,7 +256,7 @@ class Engine:
 
 def facts(found: Scan) -> DataFrame:
     """area, json: each area with its slots as one JSON record, floats to four places; written as text, one line an area."""
-    slot = F.struct("key", "states", "failed", "borrowed", "applicability", "candidates", "conforming", F.round(F.col("conforming") / F.col("candidates"), 4).alias("ratio"))
+    slot = F.struct("key", "states", "failed", "borrowed", "applicability", "candidates", "conforming", rounded(F.col("conforming") / F.col("candidates")).alias("ratio"))
     by_area = found.slots.groupBy("area").agg(F.array_sort(F.collect_list(slot)).alias("dimensions"))  # a slot a dimension of the registry
     return by_area.join(found.areas, "area").select("area", F.to_json(F.struct("area", "area_id", "files", "dimensions")).alias("json"))
 

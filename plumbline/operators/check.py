@@ -25,10 +25,12 @@ def introduced(head: DataFrame, base: DataFrame, by: str = "fp", order: list[str
 SEVERITIES = ("MUST-FIX", "FIX", "NIT")
 
 
-def ordered(findings: DataFrame) -> DataFrame:
-    """`findings` (severity, path, line) with `rank`: gravest first, then by path and line, in order of code points."""
+def ordered(findings: DataFrame, collation: str | None = None) -> DataFrame:
+    """`findings` (severity, path, line) with `rank`: gravest first, then by path and line, in order of code points, or as a
+    `collation` (`UNICODE`, or a locale's, such as `de`) orders paths; paths that it holds for equal go by code points."""
     grave = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return numbered(findings.withColumn("_grave", grave), ["_grave", "path", F.col("line").asc_nulls_first(), *[c for c in findings.columns if c not in ("path", "line")]]).drop("_grave")
+    by_locale = [] if collation is None else [F.collate("path", collation)]
+    return numbered(findings.withColumn("_grave", grave), ["_grave", *by_locale, "path", F.col("line").asc_nulls_first(), *[c for c in findings.columns if c not in ("path", "line")]]).drop("_grave")
 
 
 def tallied(findings: DataFrame) -> DataFrame:

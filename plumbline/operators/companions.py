@@ -98,6 +98,35 @@ def namesakes(sources: DataFrame, tests: DataFrame) -> DataFrame:
     return each.withColumn("_b", F.coalesce(*found)).where("_b IS NOT NULL").select("test", "_b.source", "_b.how")
 
 
+def owners(sources: DataFrame, tests: DataFrame, covers: DataFrame) -> DataFrame:
+    """test, owner: the one source file that each test was written for, null where that is not decided.
+
+    `sources` and `tests` have lang, stem, path and bare (the directory without words that only name a tree), `covers` has the
+    sources (test, path) that a test imports. Only a stem that several sources of the language share is contested: the
+    sources that share most of the directory's last parts with the test win, and an import among them breaks a tie; a test
+    that imports one source and mirrors another owns neither. Directories are exploded to their endings, which are counted
+    once and joined by equality, so a stem that thousands of files share makes no pairs.
+    """
+    by = ["lang", "stem"]
+    parts = F.filter(F.split("bare", "/"), lambda p: p != "")
+    ends = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("shared"), F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "/").alias("ending")))
+    source_ends = sources.select(*by, "path", F.explode(ends).alias("e")).select(*by, "path", "e.*")
+    index = source_ends.groupBy(*by, "shared", "ending").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_first"))
+    asked = tests.select(*by, F.col("path").alias("test"), F.explode(ends).alias("e")).select(*by, "test", "e.*")
+    met = asked.join(index, [*by, "shared", "ending"])
+    best = met.groupBy(*by, "test").agg(F.max_by(F.struct("shared", "ending", "_n", "_first"), "shared").alias("b"), F.max(F.when(F.col("shared") == 0, F.col("_n"))).alias("_sources")).where("_sources > 1")
+    # of the sources that a test imports, those of its own stem, and whether they are among the winners
+    own = covers.select("test", "path").distinct().join(sources.select(*by, "path", "bare"), "path").join(best.select(*by, "test", F.col("b.shared").alias("_shared"), F.col("b.ending").alias("_ending")), [*by, "test"])
+    mine = F.array_join(F.slice(parts, F.size(parts) - F.col("_shared") + 1, F.col("_shared")), "/")
+    wins = (F.size(parts) >= F.col("_shared")) & (mine == F.col("_ending"))
+    said = own.groupBy("test").agg(F.count(F.lit(1)).alias("_imports"), F.min("path").alias("_import"), F.bool_and(wins).alias("_wins"), F.collect_set(F.when(wins, F.col("path"))).alias("_winners"))
+    there = best.join(said, "test", "left")
+    alone = F.when(F.col("_imports").isNull() | F.array_contains("_winners", F.col("b._first")), F.col("b._first"))
+    tied = F.when((F.col("_imports") == 1) & F.col("_wins"), F.col("_import"))
+    decided = there.select("test", F.when(F.col("b._n") == 1, alone).otherwise(tied).alias("owner"))
+    return tests.select(F.col("path").alias("test")).distinct().join(decided, "test", "left")
+
+
 def resolved_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     """`imports` (importer, specifier) with target: the one path that ends in the specifier; null if several do or none.
 

@@ -1,12 +1,13 @@
 """Globs that reach an area's files and no other area's.
 
-A cover is worked out on the driver from one row a directory: the area's directories as they are, or the largest subtree
+A cover is worked out from one row a directory, in a task for each area: the area's directories as they are, or the largest subtree
 with the foreign subtrees taken out, whichever needs fewer globs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 
@@ -21,32 +22,43 @@ class Glob(NamedTuple):
         return ("!" if self.negated else "") + "/".join(x for x in (self.dir, "**" if self.deep else "", tail) if x)
 
 
+def _up(path: str, root: str) -> Iterator[str]:
+    """A directory and those above it, up to and with `root`."""
+    yield path
+    while path != root and "/" in path:
+        path = path.rpartition("/")[0]
+        yield path
+
+
 def cover(own: set[str], every: set[str], root: str) -> list[Glob]:
     """Globs for the directories `own` at or below `root`, among the directories `every`; a tie goes to globs without
-    exceptions."""
+    exceptions. Subtrees are counted once, by the directories above each one."""
+    foreign = {d for d in every - own if d == root or d.startswith(f"{root}/")}
+    held, strange = (Counter(a for d in of for a in _up(d, root)) for of in (own, foreign))
 
-    def below(path: str, of: set[str]) -> set[str]:
-        return {d for d in of if d == path or d.startswith(f"{path}/")}
-
-    def tops(paths: set[str], free: set[str]) -> list[str]:
+    def tops(paths: set[str], free: Counter[str]) -> list[str]:
         """The highest directories whose subtree holds none of `free`, so that they cover `paths`."""
-        out = []
+        out: set[str] = set()
         for p in sorted(paths):
-            if any(p.startswith(f"{t}/") for t in out):
-                continue
-            up = p
-            while "/" in up and up != root and not below(parent := up.rpartition("/")[0], free) and below(parent, every):
-                up = parent
-            out.append(up)
-        return sorted({t for t in out if not any(t.startswith(f"{o}/") for o in out if o != t)})
-
-    foreign = below(root, every) - own
+            above = list(_up(p, root))
+            if out.isdisjoint(above[1:]):
+                last = p
+                for a in above[1:]:
+                    if free[a]:
+                        break
+                    last = a
+                out.add(last)
+        return sorted(t for t in out if out.isdisjoint(list(_up(t, root))[1:]))
+
     positive = []
-    for top in tops(own, foreign) if foreign else [root]:
-        deep = not below(top, foreign)
-        positive += [Glob(top, deep)] if deep else [Glob(d, False) for d in sorted(below(top, own))]
-    negative = [Glob(root, True), *[Glob(t, not below(t, own), True) for t in tops(foreign, own)]]
-    shared = any(below(g.dir, own) and not g.deep for g in negative[1:])
+    found = tops(own, strange) if foreign else [root]
+    at: dict[str, list[str]] = {t: [t] if t in own else [] for t in found}
+    for d in own - set(found):
+        at[next(a for a in _up(d, root) if a in at)].append(d)
+    for top in found:
+        positive += [Glob(d, False) for d in sorted(at[top])] if strange[top] else [Glob(top, True)]
+    negative = [Glob(root, True), *[Glob(t, not held[t], True) for t in tops(foreign, held)]]
+    shared = any(held[g.dir] and not g.deep for g in negative[1:])
     return positive if shared or len(positive) <= len(negative) else negative
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths as P
 from plumbline.functions import text as T
-from plumbline.operators import companions, hierarchy, layout, nodes
+from plumbline.operators import companions, config, hierarchy, layout, nodes
 from plumbline.plans.registry import query
 from plumbline.plans.slot_queries import judged
 from plumbline.sources import files as tree
@@ -276,3 +276,43 @@ def _ancestor_sql() -> str:
 def ancestor_fallback(spark: SparkSession, sf: str) -> DataFrame:
     slots = _with_ancestors(spark, sf)
     return hierarchy.nearest_stating(slots, slots.where(F.col("area").contains("/")))
+
+
+_OWN_SQL = """f AS (SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'js' ELSE 'ruby' END AS lang, 's' || (p_partkey % 97) AS stem, p_brand || '/' || replace(p_type, ' ', '/') AS bare, p_size <= 30 AS is_source FROM part),
+s AS (SELECT *, bare || '/' || stem || '.' || p_partkey AS path FROM f WHERE is_source), t AS (SELECT *, bare || '/' || stem || '.' || p_partkey AS path FROM f WHERE NOT is_source),
+c AS (SELECT t.path AS test, s.path FROM t JOIN s ON s.lang = t.lang AND s.stem = t.stem AND (t.p_partkey % 3 = 0 AND s.p_partkey = t.p_partkey - 194 OR t.p_partkey % 5 = 0 AND s.p_partkey = t.p_partkey + 194)),
+p AS (SELECT t.path AS test, s.path, list_reverse(string_split(t.bare, '/')) AS a, list_reverse(string_split(s.bare, '/')) AS b FROM t JOIN s ON s.lang = t.lang AND s.stem = t.stem),
+n AS (SELECT test, path, len(list_filter(range(1, 1 + least(len(a), len(b))), lambda i: a[1:i] = b[1:i])) AS shared FROM p),
+b AS (SELECT test, max(shared) AS best, count(*) AS sources FROM n GROUP BY test),
+w AS (SELECT n.test, count(*) AS winners, min(n.path) AS first, list(n.path) AS won FROM n JOIN b ON n.test = b.test AND n.shared = b.best AND b.sources > 1 GROUP BY n.test),
+i AS (SELECT test, count(*) AS imports, min(path) AS import, list(path) AS imported FROM c GROUP BY test)"""
+
+
+@query(f"WITH {_OWN_SQL} SELECT t.path AS test, CASE WHEN winners = 1 AND (imports IS NULL OR list_contains(imported, first)) THEN first WHEN winners > 1 AND imports = 1 AND list_contains(won, import) THEN import END AS owner FROM t LEFT JOIN w ON w.test = t.path LEFT JOIN i ON i.test = t.path")
+def namesake_owners(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as files: the smaller are sources, the larger tests; of sources of one stem, the one that a test is for."""
+    bare = F.concat(F.col("p_brand"), F.lit("/"), F.replace(F.col("p_type"), F.lit(" "), F.lit("/")))
+    stem = F.concat(F.lit("s"), (F.col("p_partkey") % 97).cast("string"))
+    there = star.read(spark, sf, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 2 == 0, "js").otherwise("ruby").alias("lang"), stem.alias("stem"), bare.alias("bare")).withColumn("path", F.concat("bare", F.lit("/"), "stem", F.lit("."), F.col("p_partkey").cast("string")))
+    sources, tests = there.where("p_size <= 30"), there.where("p_size > 30")
+    other = F.explode(F.array_compact(F.array(F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") - 194), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") + 194))))
+    covers = tests.select(F.col("path").alias("test"), other.alias("p_partkey")).join(sources.select("p_partkey", "path"), "p_partkey").select("test", "path")
+    return companions.owners(sources, tests, covers)
+
+
+_CHAIN_SQL = """k AS (SELECT c_nationkey AS root, c_custkey AS c, 'conf/c' || c_custkey || '.json' AS path, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '../../outside.json' WHEN 2 THEN c_custkey::VARCHAR WHEN 3 THEN '0' ELSE (c_custkey + (SELECT count(*) FROM customer) // 7 * (c_custkey % 3) + 1)::VARCHAR END AS said FROM customer),
+e AS (SELECT k.root, k.path, said, CASE WHEN said IS NULL THEN 'ok' WHEN starts_with(said, '..') THEN 'escaped' END AS status, CASE WHEN NOT starts_with(said, '..') THEN 'conf/c' || said || '.json' END AS target FROM k),
+w AS (SELECT root, path, path AS last, target, 0 AS hops, [path] AS seen, status FROM e UNION ALL
+  SELECT w.root, w.path, w.target, e.target, w.hops + 1, list_append(w.seen, w.target), CASE WHEN list_contains(w.seen, w.target) THEN 'cycle' WHEN e.path IS NULL THEN 'missing' ELSE e.status END FROM w LEFT JOIN e ON e.root = w.root AND e.path = w.target WHERE w.status IS NULL)"""
+
+
+@query(f"WITH RECURSIVE {_CHAIN_SQL} SELECT root, path, last, hops, status FROM w WHERE status IS NOT NULL")
+def config_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Configurations, one to a customer and a root to a nation, that extend others: to an end, in a circle, to one that is not
+    there, or out of their root."""
+    customers = star.read(spark, sf, "customer").select(F.col("c_nationkey").alias("root"), F.col("c_custkey").alias("c"))
+    n = customers.agg((F.floor(F.count(F.lit(1)) / 7)).alias("_seventh"))  # one row
+    other = lambda c: F.concat(F.lit("./x/../c"), c.cast("string"))
+    c, by = F.col("c"), F.col("c") % 7
+    said = F.when(by == 1, "../../outside.json").when(by == 2, other(c)).when(by == 3, other(F.lit(0))).when(by > 3, other(c + F.col("_seventh") * (c % 3) + 1))
+    return config.resolved(customers.crossJoin(F.broadcast(n)).select("root", F.concat(F.lit("conf/c"), c.cast("string"), F.lit(".json")).alias("path"), said.alias("extends")))

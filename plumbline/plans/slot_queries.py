@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import stats
-from plumbline.functions.text import area_id, fingerprint
+from plumbline.functions.text import area_id, fingerprint, rounded
 from plumbline.operators import gates, layout, slots
 from plumbline.operators.ordering import numbered
 from plumbline.plans.registry import query
@@ -264,3 +264,10 @@ def merge_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = star.read(spark, sf, "documents").select("doc_id", "source", "lang")
     by_half = docs.groupBy("source", F.col("doc_id") % 2).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") == "de").alias("de"), F.count_if(~F.col("lang").isin("en", "de")).alias("other"))
     return by_half.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("n", "en", "de", "other")])
+
+
+@query("WITH m AS (SELECT p_partkey, (p_partkey * 7) % 20000 AS m, p_size FROM part) SELECT p_partkey, CASE WHEN m % 1250 = 625 THEN (m + 1) / 20000::DOUBLE ELSE printf('%.4f', m / 20000::DOUBLE)::DOUBLE END AS tied, CASE WHEN (p_size * 20000) % (p_partkey + 1) = 0 AND (p_size * 20000) // (p_partkey + 1) % 1250 = 625 THEN ((p_size * 20000) // (p_partkey + 1) + 1) / 20000::DOUBLE ELSE printf('%.4f', p_size / (p_partkey + 1)::DOUBLE)::DOUBLE END AS ratio FROM m")
+def rounded_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Doubles at and about decimal ties to four places, by their exact value."""
+    part = star.read(spark, sf, "part")
+    return part.select("p_partkey", rounded((F.col("p_partkey") * 7 % 20000) / F.lit(20000.0)).alias("tied"), rounded(F.col("p_size") / (F.col("p_partkey") + 1)).alias("ratio"))

@@ -136,3 +136,26 @@ def test_severity_order_and_cap(spark):
     df = spark.createDataFrame([good, (None, *good[1:]), (*good[:2], True, *good[3:]), (*good[:10], 9, 10)], names)
     assert [r.severity for r in gates.severity(df).collect()] == ["MUST-FIX", "NIT", "FIX", "FIX"]
     assert [r.severity for r in gates.severity(df, F.lit(True)).collect()] == ["FIX", "NIT", "FIX", "FIX"]
+
+
+def test_a_collation_orders_paths_as_a_locale_does(spark):
+    from plumbline.operators import check
+
+    paths = ["Zoo.js", "apple.js", "Ápple.js", "Apple.js", "zoo.js", "b.js", "æ.js"]
+    df = spark.createDataFrame([("FIX", p, i) for i, p in enumerate(paths)], "severity string, path string, line int")
+    by = lambda **o: [r.path for r in check.ordered(df, **o).orderBy("rank").collect()]
+    assert by() == sorted(paths)
+    assert by(collation="UNICODE") == ["æ.js", "apple.js", "Apple.js", "Ápple.js", "b.js", "zoo.js", "Zoo.js"]
+
+
+def test_configurations_are_followed_within_their_root(spark):
+    from plumbline.operators import config
+
+    rows = [("a", "tsconfig.json", "./base"), ("a", "base.json", "./lib/x.json"), ("a", "lib/x.json", None), ("b", "tsconfig.json", "../up.json"), ("c", "tsconfig.json", "./lib/y"), ("c", "lib/y.json", "../tsconfig.json"), ("d", "tsconfig.json", "./gone.json"), ("e", "other.json", None), ("f", "tsconfig.json", "/etc/x.json")]
+    df = spark.createDataFrame(rows, "root string, path string, extends string")
+    roots = df.select("root").union(spark.createDataFrame([("g",)], "root string"))
+    got = {r.root: r.reason for r in config.used(df, roots).collect()}
+    assert got == {"a": None, "b": "extends-escaped", "c": "config-errors", "d": "config-errors", "e": "no-config", "f": "extends-escaped", "g": "no-config"}
+    ends = {(r.root, r.path): (r.last, r.hops, r.status) for r in config.resolved(df).collect()}
+    assert ends["a", "tsconfig.json"] == ("lib/x.json", 2, "ok") and ends["c", "tsconfig.json"] == ("tsconfig.json", 2, "cycle") and ends["d", "tsconfig.json"] == ("gone.json", 1, "missing")
+    assert config.resolved(df.limit(0)).count() == 0
