@@ -5,7 +5,8 @@ places that nest. "Innermost interval around a place" is the one operator behind
 one ordered pass, a running sum is the depth, and the last start at a place's own depth is the interval that holds it, so
 that no pair of an interval and a place is ever made. A declaration holds from its place to its scope's end; those of one
 name nest as scopes do, so the binding of a use is again the innermost interval. A pass is by file, or file and name: a
-file is bounded by the size up to which files are read.
+file is bounded by the size up to which files are read. Files are dealt to tasks by the number of rows that there are, so
+that what a task sorts does not grow with the table: `rows` of a function is that number, counted if it is not given.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordering import next_after
+from plumbline.tables import dealt
 
 OPEN, CLOSE = "open", "close"
 
 
-def innermost(intervals: DataFrame, places: DataFrame, by: list[str], name: str, carried: list[str] | None = None) -> DataFrame:
+def innermost(intervals: DataFrame, places: DataFrame, by: list[str], name: str, carried: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """`places` (`by`, at, ...) with `name`: start and `carried` of the innermost of `intervals` (`by`, start, until, ...) that
     holds them, null outside all.
 
@@ -31,11 +33,12 @@ def innermost(intervals: DataFrame, places: DataFrame, by: list[str], name: str,
     kept = intervals.where("until > start")
     keys = [F.col(k) for k in by]
     no_row, no_interval = F.lit(None).cast(places.select(F.struct("*")).schema[0].dataType), F.lit(None).cast(kept.select(F.struct(*own)).schema[0].dataType)
-    events = (
-        places.select(*keys, F.col("at").alias("_at"), F.lit(0).alias("_rank"), F.lit(0).alias("_step"), F.struct("*").alias("_row"), no_interval.alias("_interval"))
-        .unionByName(kept.select(*keys, F.col("until").alias("_at"), F.lit(1).alias("_rank"), F.lit(-1).alias("_step"), no_row.alias("_row"), no_interval.alias("_interval")))
-        .unionByName(kept.select(*keys, F.col("start").alias("_at"), F.lit(2).alias("_rank"), F.lit(1).alias("_step"), no_row.alias("_row"), F.struct(*own).alias("_interval")))
+    edge = lambda at, rank, step, held: F.struct(F.col(at).alias("_at"), F.lit(rank).alias("_rank"), F.lit(step).alias("_step"), held.alias("_interval"))
+    edges = kept.select(*keys, F.explode(F.array(edge("until", 1, -1, no_interval), edge("start", 2, 1, F.struct(*own)))).alias("_e"))
+    events = places.select(*keys, F.col("at").alias("_at"), F.lit(0).alias("_rank"), F.lit(0).alias("_step"), F.struct("*").alias("_row"), no_interval.alias("_interval")).unionByName(
+        edges.select(*by, "_e._at", "_e._rank", "_e._step", no_row.alias("_row"), "_e._interval")
     )
+    events = dealt(events, places.count() + 2 * kept.count() if rows is None else rows, *by)
     before = Window.partitionBy(*by).orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
     deep = events.withColumn("_depth", F.sum("_step").over(before))
     same = Window.partitionBy(*by, "_depth").orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -43,46 +46,49 @@ def innermost(intervals: DataFrame, places: DataFrame, by: list[str], name: str,
     return deep.withColumn(name, held).where("_row IS NOT NULL").select("_row.*", name)
 
 
-def scopes(tokens: DataFrame) -> DataFrame:
-    """rel, start, until, depth, parent: a row for each `open` token (rel, at, kind).
+def scopes(tokens: DataFrame, carried: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """rel, start, until, depth, parent and `carried`: a row for each `open` token (rel, at, kind, ...).
 
     A `close` without an open scope is passed over; a scope left open ends with its file's last token.
     """
     order = Window.partitionBy("rel").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("kind") == OPEN, 1).when(F.col("kind") == CLOSE, -1).otherwise(0)
-    level = tokens.select("rel", "at", "kind", step.alias("_step")).withColumns({"_level": F.sum("_step").over(order), "_last": F.max("at").over(Window.partitionBy("rel"))})
+    more = carried or []
+    there = dealt(tokens.select("rel", "at", step.alias("_step"), *more), tokens.count() if rows is None else rows, "rel")
+    level = there.withColumns({"_level": F.sum("_step").over(order), "_last": F.max("at").over(Window.partitionBy("rel"))})
     depth = F.col("_level") - F.least(F.min("_level").over(order), F.lit(0))  # closes that close nothing count for nothing
     edges = level.withColumn("_depth", depth).where("_step <> 0").withColumn("depth", F.col("_depth") + F.when(F.col("_step") < 0, 1).otherwise(0))
     # at one depth an open scope's close is the next edge
     closed = edges.withColumn("_next", F.lead("at").over(Window.partitionBy("rel", "depth").orderBy("at"))).where("_step > 0")
-    made = closed.select("rel", F.col("at").alias("start"), F.coalesce("_next", "_last").alias("until"), "depth")
+    made = closed.select("rel", F.col("at").alias("start"), F.coalesce("_next", "_last").alias("until"), "depth", *more)
     around = Window.partitionBy("rel", "_of").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    # a scope's parent is the last scope before it that is one less deep
-    both = made.select("*", F.col("depth").alias("_of"), F.lit(False).alias("_asks")).unionByName(made.where("depth > 1").select("*", (F.col("depth") - 1).alias("_of"), F.lit(True).alias("_asks")))
-    asked = both.withColumn("parent", F.last(F.when(~F.col("_asks"), F.col("start")), ignorenulls=True).over(around)).where("_asks OR depth = 1")
-    return asked.select("rel", "start", "until", "depth", F.when(F.col("_asks"), F.col("parent")).alias("parent"))
+    # a scope's parent is the last scope before it that is one less deep; each is there for its own depth, and asks the one above
+    both = made.select("*", F.explode(F.array(F.col("depth"), F.col("depth") - 1)).alias("_of")).withColumn("_asks", F.col("_of") < F.col("depth"))
+    asked = both.withColumn("parent", F.last(F.when(~F.col("_asks"), F.col("start")), ignorenulls=True).over(around)).where("_asks")
+    return asked.select("rel", "start", "until", "depth", "parent", *more)
 
 
-def declared(tokens: DataFrame, made: DataFrame, kind: Column, carried: list[str]) -> DataFrame:
+def declared(tokens: DataFrame, made: DataFrame, kind: Column, carried: list[str], rows: int | None = None) -> DataFrame:
     """rel, name, start, until, scope and `carried` of the tokens that declare a name: each holds to the end of its scope,
     or of its file."""
     last = tokens.groupBy("rel").agg(F.max("at").alias("_last"))
-    there = innermost(made, tokens.where(kind).select("rel", "at", "name", *carried), ["rel"], "_in", ["until"]).join(last, "rel")
+    there = innermost(made, tokens.where(kind).select("rel", "at", "name", *carried), ["rel"], "_in", ["until"], rows).join(last, "rel")
     return there.select("rel", "name", F.col("at").alias("start"), F.coalesce("_in.until", "_last").alias("until"), F.col("_in.start").alias("scope"), *carried)
 
 
-def bound(declarations: DataFrame, uses: DataFrame, carried: list[str]) -> DataFrame:
+def bound(declarations: DataFrame, uses: DataFrame, carried: list[str], rows: int | None = None) -> DataFrame:
     """`uses` (rel, at, name, ...) with `binding`: start and `carried` of the declaration that they mean, null without one.
 
     Of the declarations of a name that are visible, the innermost scope's counts, and in it the last one before the use.
     """
-    return innermost(declarations, uses, ["rel", "name"], "binding", carried)
+    return innermost(declarations, uses, ["rel", "name"], "binding", carried, rows)
 
 
-def reassigned(declarations: DataFrame, assignments: DataFrame) -> DataFrame:
+def reassigned(declarations: DataFrame, assignments: DataFrame, rows: int | None = None) -> DataFrame:
     """`declarations` with `reassigned`: whether an assignment (rel, at, name) means them."""
-    hit = bound(declarations, assignments, []).where("binding IS NOT NULL").select("rel", F.col("binding.start").alias("start"), F.lit(True).alias("_hit")).distinct()
-    return declarations.join(hit, ["rel", "start"], "left").withColumn("reassigned", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    rows = 2 * declarations.count() + assignments.count() if rows is None else rows
+    hit = dealt(bound(declarations, assignments, [], rows).where("binding IS NOT NULL").select("rel", F.col("binding.start").alias("start"), F.lit(True).alias("_hit")), rows, "rel", "start").distinct()
+    return dealt(declarations, rows, "rel", "start").join(hit, ["rel", "start"], "left").withColumn("reassigned", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def words(path: Column) -> Column:
@@ -91,10 +97,10 @@ def words(path: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(stem, "([A-Z])", "-$1")), "[-_]+"), lambda w: w != "")
 
 
-def wrapped(calls: DataFrame, imports: DataFrame, concerns: dict[str, tuple[str, ...]]) -> DataFrame:
+def wrapped(calls: DataFrame, imports: DataFrame, concerns: dict[str, tuple[str, ...]], rows: int | None = None) -> DataFrame:
     """`calls` (rel, at, name: the first of the call's chain) with `wrapper`: the concerns, between blanks in order, whose words
     name the module of one's own (a path that begins with a dot) from which the name was imported; null without one."""
-    there = bound(imports, calls, ["source"])
+    there = bound(imports, calls, ["source"], rows)
     of = F.array_compact(F.array(*[F.when(F.arrays_overlap(words(F.col("binding.source")), F.array(*[F.lit(w) for w in known])), F.lit(c)) for c, known in sorted(concerns.items())]))
     own = F.col("binding.source").startswith(".") & (F.size(of) > 0)
     return there.withColumn("wrapper", F.when(own, F.array_join(of, " "))).drop("binding")

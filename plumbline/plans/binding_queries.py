@@ -9,7 +9,7 @@ from plumbline.operators import dimensions, scopes
 from plumbline.plans.registry import query
 from plumbline.registry import DIMENSIONS
 from plumbline.sources.star import read
-from plumbline.tables import stored
+from plumbline.tables import dealt, stored
 
 _KIND = "CASE CAST(l_quantity AS INT) % 8 WHEN 0 THEN 'open' WHEN 1 THEN 'open' WHEN 2 THEN 'close' WHEN 3 THEN 'close' WHEN 4 THEN 'declare' WHEN 5 THEN 'declare' WHEN 6 THEN 'assign' ELSE 'use' END"
 _NAME = "concat('n', CAST(l_partkey % 13 AS STRING))"
@@ -33,12 +33,15 @@ bound AS (SELECT t.rel, t."at", t.name, t.kind, max(x.start) AS declared, arg_ma
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     columns = {"kind": _KIND, "name": _NAME, "how": _HOW, "declares": _CONST, "source": _SOURCE, "block": _BLOCK}
-    return read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("rel"), F.row_number().over(order).cast("long").alias("at"), *[F.expr(e).alias(n) for n, e in columns.items()], "l_partkey", "l_returnflag")
+    items = read(spark, sf, "lineitem")
+    return dealt(items, items.count(), "l_suppkey").select(F.col("l_suppkey").alias("rel"), F.row_number().over(order).cast("long").alias("at"), *[F.expr(e).alias(n) for n, e in columns.items()], "l_partkey", "l_returnflag")
 
 
-def _declared(spark: SparkSession, sf: str, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+def _declared(spark: SparkSession, sf: str, carried: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Tokens, declarations, and how many rows a pass over them takes at most: a declaration or scope has two ends."""
     tokens = stored(_tokens(spark, sf), "tokens")
-    return tokens, scopes.declared(tokens, scopes.scopes(tokens), F.col("kind") == "declare", carried)
+    rows = 2 * tokens.count()
+    return tokens, scopes.declared(tokens, scopes.scopes(tokens), F.col("kind") == "declare", carried, rows), rows
 
 
 def _nodes(rows: DataFrame, type_: str, name: str, above: Column, **attrs: Column) -> DataFrame:
@@ -65,8 +68,8 @@ def scope_tree(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_DECLARED_SQL} SELECT rel, "at", name, declared FROM bound WHERE kind = 'use'""")
 def bound_names(spark: SparkSession, sf: str) -> DataFrame:
     """Each use of a name and the declaration that it means."""
-    tokens, there = _declared(spark, sf, [])
-    return scopes.bound(there, tokens.where("kind = 'use'").select("rel", "at", "name"), []).select("rel", "at", "name", F.col("binding.start").alias("declared"))
+    tokens, there, rows = _declared(spark, sf, [])
+    return scopes.bound(there, tokens.where("kind = 'use'").select("rel", "at", "name"), [], rows).select("rel", "at", "name", F.col("binding.start").alias("declared"))
 
 
 @query(f"""WITH {_DECLARED_SQL}, again AS (SELECT DISTINCT rel, declared FROM bound WHERE kind = 'assign' AND declared IS NOT NULL)
@@ -75,10 +78,11 @@ WHERE NOT EXISTS (SELECT 1 FROM scopes s WHERE s.rel = x.rel AND s.block = 'Func
 def module_state(spark: SparkSession, sf: str) -> DataFrame:
     """Declarations outside all functions: `const`, or `let` though nothing assigns to them."""
     tokens = stored(_tokens(spark, sf), "tokens")
-    made = stored(scopes.scopes(tokens).join(tokens.select("rel", F.col("at").alias("start"), "block"), ["rel", "start"]), "scopes")
-    there = scopes.declared(tokens, made, F.col("kind") == "declare", ["declares"])
-    again = scopes.reassigned(there, tokens.where("kind = 'assign'").select("rel", "at", "name")).withColumn("at", F.col("start"))
-    inside = scopes.innermost(made.where("block = 'Function'"), again.select("rel", "at", "name", "declares", "reassigned"), ["rel"], "_in")
+    rows = 2 * tokens.count()
+    made = stored(scopes.scopes(tokens, ["block"]), "scopes")
+    there = stored(scopes.declared(tokens, made, F.col("kind") == "declare", ["declares"], rows), "declared")
+    again = scopes.reassigned(there, tokens.where("kind = 'assign'").select("rel", "at", "name"), rows).withColumn("at", F.col("start"))
+    inside = scopes.innermost(made.where("block = 'Function'"), again.select("rel", "at", "name", "declares", "reassigned"), ["rel"], "_in", rows=rows)
     above = F.when(F.col("_in").isNotNull(), F.array(F.lit("Function"))).otherwise(_nowhere())
     return _told(_nodes(inside, "VariableDeclaration", "name", above, kind=F.col("declares"), reassigned=F.when(F.col("reassigned"), "1")), "module_state_const")
 
@@ -86,8 +90,8 @@ def module_state(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_DECLARED_SQL} SELECT rel, "at", how = 'useCallback' AS conforming FROM bound WHERE kind = 'use' AND how IN ('useCallback', 'function')""")
 def memoised_handlers(spark: SparkSession, sf: str) -> DataFrame:
     """Handlers by the declaration that their name means: a memoised function or a plain one."""
-    tokens, there = _declared(spark, sf, ["how"])
-    uses = scopes.bound(there, tokens.where("kind = 'use'").select("rel", "at", "name"), ["how"])
+    tokens, there, rows = _declared(spark, sf, ["how"])
+    uses = scopes.bound(there, tokens.where("kind = 'use'").select("rel", "at", "name"), ["how"], rows)
     how = F.when(F.col("binding.how").isin("useCallback", "function"), F.col("binding.how"))
     return _told(_nodes(uses, "JSXAttribute", "'onClick'", _nowhere(), bound_by=how), "handler_memoised")
 
@@ -95,8 +99,8 @@ def memoised_handlers(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_DECLARED_SQL} SELECT b.rel, b."at", t.l_partkey % 2 = 0 AS conforming FROM bound b JOIN d t ON t.rel = b.rel AND t."at" = b."at" WHERE b.kind = 'use' AND (t.l_partkey % 2 = 0 OR b.how IS DISTINCT FROM 'rest')""")
 def spread_origins(spark: SparkSession, sf: str) -> DataFrame:
     """Spreads on components and on plain elements; a plain element that passes on what is left of its own props is none."""
-    tokens, there = _declared(spark, sf, ["how"])
-    uses = scopes.bound(there, tokens.where("kind = 'use'").select("rel", "at", "name", "l_partkey"), ["how"])
+    tokens, there, rows = _declared(spark, sf, ["how"])
+    uses = scopes.bound(there, tokens.where("kind = 'use'").select("rel", "at", "name", "l_partkey"), ["how"], rows)
     element = F.when(F.col("l_partkey") % 2 == 0, "component").otherwise("plain")
     return _told(_nodes(uses, "JSXSpreadAttribute", "name", _nowhere(), element=element, forwarded=F.when(F.col("binding.how") == "rest", "1")), "spread_on_component")
 
@@ -109,9 +113,9 @@ w AS (SELECT b.rel, b."at", CASE b.source WHEN './lib/app-logger' THEN 'logging'
 def wrapper_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Calls and members that reach a concern through a module of one's own, by the import that their name means, or
     around it."""
-    tokens, there = _declared(spark, sf, ["source"])
+    tokens, there, rows = _declared(spark, sf, ["source"])
     uses = tokens.where("kind = 'use'").select("rel", "at", "name", "l_partkey")
-    calls = scopes.wrapped(uses, there, dimensions.CAPABILITY_WORDS)
+    calls = stored(scopes.wrapped(uses, there, dimensions.CAPABILITY_WORDS, rows), "calls")  # read for each concern
     own = F.col("l_partkey") % 7 == 0
     shapes = {"route_logging": ("CallExpression", "'log'", "console"), "route_network": ("CallExpression", "'fetch'", None), "route_env": ("MemberExpression", "'PORT'", "process.env")}
     out = None

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Rows that one task sorts at a time, whatever a table holds.
+ROWS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, rows: int, *by: str, most: int = ROWS) -> DataFrame:
+    """`df` in partitions by `by`, so many that each has some `most` of `rows` at most, and every core has one.
+
+    The number is given, so that neither a fixed number of shuffle partitions nor their merging makes a task's part grow
+    with the table, nor a table of few splits leaves cores idle.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)), *by)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table and read back."""
     path = shared_path(df.sparkSession, name)
