@@ -13,18 +13,21 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.dimensions import NODES
-from plumbline.tables import shared_path, stored
+from plumbline.tables import dealt, shared_path, stored
 
 #: Outcomes: the reader answered (`ok`, `rejected`), never saw the file (`unreadable`, `oversize`), or gave no answer twice.
 KINDS = ("ok", "rejected", "unreadable", "oversize", "crashed")
 ATTEMPTS = 2
 MAX_BYTES = 1 << 20
 KEY = ["rel", "hash", "lang"]
+FILES = 4096  # that a task reads at most, where `dealt_out` deals them
+TEXT = 1 << 20  # bytes that a worker reads at a time, a kilobyte a file added
 _NODE = f"array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split(' ', 1) for x in NODES.split(', ') if not x.startswith('rel ')))}>>"
 ANSWER = f"rel string, hash string, lang string, kind string, nodes {_NODE}"
 _ROW = f"{ANSWER}, version string, attempt int"
@@ -37,6 +40,22 @@ Read = Callable[[str, str, str, int], tuple[str, list[dict]]]
 Measure = Callable[[DataFrame], DataFrame]
 
 
+def dealt_out(files: DataFrame, n: int) -> DataFrame:
+    """`files` (rel, ...), `n` of them, over as many tasks as reading takes: a table of many small files has few splits."""
+    return dealt(files, n, "rel", most=FILES)
+
+
+def pieces(batch: pa.RecordBatch, column: str = "content") -> Iterator[pa.RecordBatch]:
+    """`batch` in pieces of TEXT, or of one file that is longer, so that a worker holds no more of texts and answers."""
+    low = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > low and held + size + 1024 > TEXT:
+            yield batch.slice(low, i - low)
+            low, held = i, 0
+        held += size + 1024
+    yield batch.slice(low)
+
+
 def guarded(read: Callable, rows: list[tuple]) -> Iterator[tuple[int, object]]:
     """(place, answer) of each row that `read` answers, read in a child process: a row that ends it has no answer, and the
     rows behind it are read in another."""
@@ -67,7 +86,7 @@ def guarded(read: Callable, rows: list[tuple]) -> Iterator[tuple[int, object]]:
 
 
 def reading(read: Read, isolated: bool = False) -> Measure:
-    """`read` as a measure over files. `isolated` contains what ends a process, at the price of one more for each batch;
+    """`read` as a measure over files. `isolated` contains what ends a process, at the price of one more for each piece of a batch;
     without it, errors that Python can catch are answers of kind `rejected`."""
 
     def attempt(*row: object) -> tuple[str, list[dict]]:
@@ -77,7 +96,7 @@ def reading(read: Read, isolated: bool = False) -> Measure:
             return "rejected", []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             rel, hash_, lang, content, tries = (c.to_pylist() for c in batch.columns)
             rows = list(zip(rel, lang, content, tries, strict=True))
             found = dict(guarded(attempt, rows)) if isolated else {i: attempt(*r) for i, r in enumerate(rows)}
@@ -136,7 +155,7 @@ class Ledger:
                 todo = wanted.join(asked.select(*KEY), KEY, "left_semi")
             if attempt == 1:
                 self._add(asked.where("skipped IS NOT NULL").select(*KEY, F.col("skipped").alias("kind")), 0)
-            self._add(measure(todo.where("skipped IS NULL").withColumn("attempt", F.lit(attempt))), attempt)
+            self._add(measure(dealt_out(todo.where("skipped IS NULL").withColumn("attempt", F.lit(attempt)), asked.count())), attempt)
             silent = asked.select(*KEY).join(self._state().where(F.col("kind").isNotNull()), KEY, "left_anti")
             self._add(silent.withColumn("kind", F.lit("crashed" if attempt == self.attempts else None).cast("string")), attempt)
         answered = self.rows().where((F.col("version") == self.version) & F.col("kind").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.api import Engine, write_map
 from plumbline.operators import tallies
 from plumbline.registry import DIMENSIONS
-from plumbline.sources import ledger, lexical
+from plumbline.sources import facets, ledger, lexical
 
 SCHEMA = "rel string, lang string, stripped boolean, content string"
 SWALLOWED = tuple(d for d in DIMENSIONS if d.key == "swallowed_error")
@@ -139,3 +139,23 @@ def test_the_map_of_a_blind_run_is_left_alone(spark, tmp_path):
 def test_long_statements_are_read_whole(path, text, site):
     nodes = lexical.read(path, "ruby" if path.endswith("rb") else "js", text)[1]
     assert any((n["type"], n["name"]) == site[:2] and site[2].items() <= dict(n["attrs"]).items() for n in nodes)
+
+
+def test_few_splits_are_read_by_many_tasks_in_pieces(spark):
+    """Small files of one split are dealt to tasks, and a worker holds a piece of a batch at a time."""
+    import pyarrow as pa
+
+    there = spark.range(3 * ledger.FILES).coalesce(1).selectExpr("concat('f', id) AS rel", "'js' AS lang", "'a' AS content")
+    seen = []
+
+    def measure(todo):
+        seen.append(todo.rdd.getNumPartitions())
+        return ledger.reading(read)(todo)
+
+    assert ledger.Ledger(spark).settle(there, measure).where("kind = 'ok'").count() == 3 * ledger.FILES
+    assert seen[0] >= spark.sparkContext.defaultParallelism
+    assert facets.extract(there).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    texts = ["x" * ledger.TEXT * 2, None, *["y" * (ledger.TEXT // 4)] * 8, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["content"])
+    parts = [p.column(0).to_pylist() for p in ledger.pieces(batch)]
+    assert [x for p in parts for x in p] == texts and [len(p) for p in parts] == [1, 4, 3, 3]
