@@ -122,10 +122,12 @@ class Ledger:
         """Everything written: a row for each answer, and one without a kind for each attempt that gave none."""
         return self.spark.read.schema(_ROW).parquet(self.path)
 
+    def _known(self) -> DataFrame:
+        return self.rows().where(F.col("version") == self.version)
+
     def _state(self) -> DataFrame:
-        """Each key's kind, null while it is open, and its attempts."""
-        known = self.rows().where(F.col("version") == self.version)
-        return known.groupBy(*KEY).agg(F.max("kind").alias("kind"), F.max("attempt").alias("attempts"))
+        """Whether each key is open still, and its attempts."""
+        return self._known().groupBy(*KEY).agg(F.bool_and(F.col("kind").isNull()).alias("open"), F.max("attempt").alias("attempts"))
 
     def _add(self, rows: DataFrame, attempt: int) -> None:
         """Append rows (KEY and, if they are there, kind and nodes)."""
@@ -148,7 +150,7 @@ class Ledger:
             else:
                 state = self._state()
                 # never tried yet, or tried as often as all passes so far and still open
-                open_ = keys.join(state, KEY, "left_anti") if attempt == 1 else keys.join(state.where((F.col("attempts") == attempt - 1) & F.col("kind").isNull()), KEY, "left_semi")
+                open_ = keys.join(state, KEY, "left_anti") if attempt == 1 else keys.join(state.where((F.col("attempts") == attempt - 1) & F.col("open")), KEY, "left_semi")
                 asked = stored(open_, "open")
                 if asked.isEmpty():
                     continue
@@ -156,9 +158,9 @@ class Ledger:
             if attempt == 1:
                 self._add(asked.where("skipped IS NOT NULL").select(*KEY, F.col("skipped").alias("kind")), 0)
             self._add(measure(dealt_out(todo.where("skipped IS NULL").withColumn("attempt", F.lit(attempt)), asked.count())), attempt)
-            silent = asked.select(*KEY).join(self._state().where(F.col("kind").isNotNull()), KEY, "left_anti")
+            silent = asked.select(*KEY).join(self._known().where(F.col("kind").isNotNull()).select(*KEY), KEY, "left_anti")
             self._add(silent.withColumn("kind", F.lit("crashed" if attempt == self.attempts else None).cast("string")), attempt)
-        answered = self.rows().where((F.col("version") == self.version) & F.col("kind").isNotNull())
+        answered = self._known().where(F.col("kind").isNotNull())
         return keys.select(*KEY).join(answered, KEY).select(*KEY, "kind", F.col("attempt").alias("attempts"), "nodes")
 
     def follow(self, files: DataFrame, measure: Measure, checkpoint: str) -> StreamingQuery:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.tables import dealt, stored
+
 #: Dimension key -> (predicate, has a counter claim, languages, blind in stripped files).
 DIMENSIONS = {
     "discount_cap": ("l_discount <= 0.09", True, ("F", "O"), False),
@@ -18,6 +20,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c_custkey, c_nationkey of all customers, stored in as many parts as there are cores: the table may be one split, and the
+    files that customers stand for are made of it several times."""
+    there = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return stored(dealt(there, there.count(), "c_custkey"), "customers")
+
+
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nationkey, area: region and nation as a path of two levels. A row a nation."""
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")

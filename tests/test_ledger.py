@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.api import Engine, write_map
 from plumbline.operators import tallies
+from plumbline.plans import verdict_queries
 from plumbline.registry import DIMENSIONS
 from plumbline.sources import facets, ledger, lexical
 
@@ -159,3 +160,21 @@ def test_few_splits_are_read_by_many_tasks_in_pieces(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["content"])
     parts = [p.column(0).to_pylist() for p in ledger.pieces(batch)]
     assert [x for p in parts for x in p] == texts and [len(p) for p in parts] == [1, 4, 3, 3]
+
+
+def test_a_check_reads_a_file_of_both_snapshots_once(spark, small, monkeypatch):
+    """`engine_check` reads its base, and of the head what differs."""
+    asked, reading = [], ledger.reading
+
+    def counted(read):
+        def measure(todo):
+            asked.append(todo.count())
+            return reading(read)(todo)
+
+        return measure
+
+    monkeypatch.setattr(ledger, "reading", counted)
+    assert verdict_queries.engine_check(spark, small).count()
+    customers = spark.read.parquet(f"{small}/customer.parquet")
+    differ = customers.where(f"NOT ({verdict_queries._BAD_BASE}) AND ({verdict_queries._BAD_HEAD})").count()
+    assert 0 < differ and sum(asked) == customers.count() + differ
