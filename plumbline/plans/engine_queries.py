@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.api import Base, Engine
 from plumbline.plans.registry import query
 from plumbline.registry import DIMENSIONS
-from plumbline.sources.star import read
+from plumbline.sources.star import customers
 from plumbline.tables import stored
 
 _NODE = ("rel", "pre", "post", "depth", "type", "name", "above", "fn", "cls", "line", "attrs")
@@ -31,7 +31,7 @@ def _nodes(files: DataFrame, *each: Column) -> DataFrame:
 
 
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("k"))
+    return customers(spark, sf).select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("k"))
 
 
 def _files(customers: DataFrame, rel: str, lang: str = "'js'") -> DataFrame:
