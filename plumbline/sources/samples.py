@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources import star
+
 
 class Sample(NamedTuple):
     family: str
@@ -115,7 +117,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
     rows = [(i, s.name if s.name.startswith("/") else "/src/{n}/" + s.name, s.lang, s.text) for i, s in enumerate(SAMPLES)]
     table = spark.createDataFrame(rows, "sample int, name string, lang string, content string")  # one row a sample
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.pmod(n, F.lit(len(SAMPLES))).cast("int").alias("sample"))
+    customers = star.customers(spark, sf_dir).select("c_custkey", F.pmod(n, F.lit(len(SAMPLES))).cast("int").alias("sample"))
     rel = F.replace(F.replace(F.expr("substring(name, 2)"), F.lit("{n}"), n.cast("string")), F.lit("{before}"), (n - 1).cast("string"))
     return customers.join(F.broadcast(table), "sample").select(rel.alias("rel"), "lang", (n % 7 == 0).alias("stripped"), "content", "sample")
 

@@ -222,3 +222,14 @@ def test_pin_and_exports(spark, scanned, tmp_path):
     paths = write_map(scanned, f"file://{tmp_path}/map")
     assert len(paths) == 2 and not list((tmp_path / "map").glob(".*.draft"))
     assert any((tmp_path / "map" / p.rpartition("/")[2]).read_text().startswith("# src/a\n") for p in paths)
+
+
+def test_customers_of_one_split_are_dealt(spark, tmp_path):
+    """Files that customers stand for are made by as many tasks as there are cores, though the table is one row group."""
+    from plumbline.plans import engine_queries
+    from plumbline.sources import samples
+
+    spark.range(4000).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for made in (samples.files(spark, str(tmp_path)), engine_queries._customers(spark, str(tmp_path))):
+        assert made.count() == 4000
+        assert len([n for n in made.rdd.glom().map(len).collect() if n]) >= spark.sparkContext.defaultParallelism
