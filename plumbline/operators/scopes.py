@@ -43,7 +43,8 @@ def innermost(intervals: DataFrame, places: DataFrame, by: list[str], name: str,
     deep = events.withColumn("_depth", F.sum("_step").over(before))
     same = Window.partitionBy(*by, "_depth").orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
     held = F.when(F.col("_depth") > 0, F.last("_interval", ignorenulls=True).over(same))
-    return deep.withColumn(name, held).where("_row IS NOT NULL").select("_row.*", name)
+    # keys are the dealt columns, not the row's copies of them: what follows finds the rows dealt by them
+    return deep.withColumn(name, held).where("_row IS NOT NULL").select(*[c if c in by else f"_row.{c}" for c in places.columns], name)
 
 
 def scopes(tokens: DataFrame, carried: list[str] | None = None, rows: int | None = None) -> DataFrame:
@@ -71,7 +72,8 @@ def scopes(tokens: DataFrame, carried: list[str] | None = None, rows: int | None
 def declared(tokens: DataFrame, made: DataFrame, kind: Column, carried: list[str], rows: int | None = None) -> DataFrame:
     """rel, name, start, until, scope and `carried` of the tokens that declare a name: each holds to the end of its scope,
     or of its file."""
-    last = tokens.groupBy("rel").agg(F.max("at").alias("_last"))
+    rows = 2 * tokens.count() if rows is None else rows
+    last = dealt(tokens.groupBy("rel").agg(F.max("at").alias("_last")), rows, "rel")  # as the pass is, so that the join deals nothing anew
     there = innermost(made, tokens.where(kind).select("rel", "at", "name", *carried), ["rel"], "_in", ["until"], rows).join(last, "rel")
     return there.select("rel", "name", F.col("at").alias("start"), F.coalesce("_in.until", "_last").alias("until"), F.col("_in.start").alias("scope"), *carried)
 
